@@ -46,6 +46,9 @@ BLOCK_WEIGHT = 1 << 20
 BRANCHES = 2
 LEVELS = 3
 
+#: Ids (eight bytes each) up to which a set of them is broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1 << 20
+
 
 def runs_for(recall: float, threshold: float = THRESHOLD, branches: int = BRANCHES, levels: int = LEVELS) -> int:
     """Runs after which a pair at the threshold is missed with a chance of at most 1 - recall."""
@@ -144,16 +147,15 @@ def _forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def _paths_matrix(column: pa.ChunkedArray, columns: np.ndarray) -> np.ndarray:
-    """Path of each set in each of ``columns`` (0: none); rows of (col, path) structs."""
-    lists = column.combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
+def _paths_matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, path of each set in each of them; 0: none) of lists of (col, path) structs."""
+    lists = pa.concat_arrays(column.chunks)
     flat = lists.flatten()
-    where = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    out = np.zeros((len(lists), len(columns)), np.int64)
-    out[where, np.searchsorted(columns, flat.field("col").to_numpy())] = flat.field("path").to_numpy()
-    return out
+    at, path = flat.field("col").to_numpy(), flat.field("path").to_numpy()
+    names = np.unique(at)
+    out = np.zeros((len(lists), len(names)), np.int64)
+    out[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), np.searchsorted(names, at)] = path
+    return names, out
 
 
 def _compared(table: pa.Table, threshold: float) -> pa.Table:
@@ -162,16 +164,14 @@ def _compared(table: pa.Table, threshold: float) -> pa.Table:
     side = table.column("side").to_numpy()
     reps = table.column("rep").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
-    paths = table.column("paths")
-    names = np.unique(paths.combine_chunks().flatten().field("col").to_numpy()) if not isinstance(paths.combine_chunks(), pa.ChunkedArray) else np.unique(pa.concat_arrays(paths.combine_chunks().chunks).flatten().field("col").to_numpy())
-    earlier = _paths_matrix(paths, names)[:, names < col]
+    names, matrix = _paths_matrix(table.column("paths"))
+    earlier = matrix[:, names < col]
     sizes = np.array([len(s) for s in sets])
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if (side == 1).any() else left
     links = np.zeros(len(sets), np.int64)
     near: list[tuple[int, int]] = []
     vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.concatenate(([0], np.cumsum(sizes)))
     # Shingles of one set only can't be shared; the others make a dense 0/1 matrix, in strips.
     common = np.flatnonzero(np.bincount(code, minlength=len(vocabulary)) > 1)
     dense = np.full(len(vocabulary), -1, np.int64)
@@ -188,7 +188,7 @@ def _compared(table: pa.Table, threshold: float) -> pa.Table:
         m[row_of[order[a:b]], place[order[a:b]] - k * strip] = 1
         shared += m[left] @ m[right].T
     both = sizes[left][:, None] + sizes[right][None, :] - shared
-    hit = shared >= threshold * both
+    hit = shared >= threshold * both - 1e-9
     for c in range(earlier.shape[1]):
         x, y = earlier[left, c][:, None], earlier[right, c][None, :]
         hit &= ~((x == y) & (x != 0))
@@ -196,7 +196,6 @@ def _compared(table: pa.Table, threshold: float) -> pa.Table:
         hit &= np.arange(len(left))[:, None] < np.arange(len(left))[None, :]
     else:
         hit &= reps[left][:, None] != reps[right][None, :]
-    del start
     np.add.at(links, left, hit.sum(axis=1))
     np.add.at(links, right, hit.sum(axis=0))
     i, j = np.nonzero(hit)
@@ -234,14 +233,20 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     firsts = signed.join(groups.select("key", F.col("rep").alias("id")), ["key", "id"]).select(F.col("id").alias("rep"), "size", "signature")
     first = materialise(firsts.dropDuplicates(["rep"]), "firsts")
     leaves, made = _leaves(first, runs, limit, branches, levels)
-    # Each set's leaves, and of those the ones where some pair of sets meets first.
-    of = leaves.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("col", "path"))).alias("paths"))
-    # A large leaf is dealt to blocks by hash, so that a block's sets hold block_weight shingles or so.
-    weight = leaves.groupBy("col", "path").agg(F.sum("size").alias("weight"), F.countDistinct("paths").alias("kinds")) if False else leaves.groupBy("col", "path").agg(F.sum("size").alias("weight"))
-    texts = rows.join(of.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    of = materialise(leaves.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("col", "path"))).alias("paths")), "leaves-of")
+    # All pairs of a leaf have met before if its sets share one first leaf and this is another.
+    own = F.struct("col", "path")
+    weighed = leaves.join(of.select("rep", F.col("paths")[0].alias("home")), "rep").groupBy("col", "path").agg(F.sum("size").alias("weight"), F.min("home").alias("low"), F.max("home").alias("high"))
+    weight = weighed.where((F.col("low") != F.col("high")) | (F.col("low") == own)).select("col", "path", "weight")
+    leaves = materialise(leaves.join(weight, ["col", "path"]), "leaves")
+    wanted = leaves.select(F.col("rep").alias("id")).distinct()
+    # Only texts of sets that share a leaf are read again; their ids go to all tasks if they are few.
+    few = wanted.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sets = texts.mapInArrow(_sets, "rep bigint, set binary")
+    # A large leaf is dealt to blocks by hash, so that a block's sets hold block_weight shingles or so.
     blocks = F.greatest(F.ceil(F.col("m") / limit), F.ceil(F.col("weight") / block_weight)).cast("int")
-    member = leaves.join(weight, ["col", "path"]).select("col", "path", "rep", blocks.alias("nb"))
+    member = leaves.select("col", "path", "rep", blocks.alias("nb"))
     member = member.withColumn("b", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).otherwise(F.lit(0)))
     pairs = member.select("col", "path", "rep", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     dealt = pairs.select("col", "path", "rep", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
@@ -254,7 +259,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     found = materialise(task.groupBy("col", "path", "bi", "bj").applyInArrow(compared, "rep bigint, links bigint, to bigint"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     grouped = components(found.where("to is not null"), "rep", "to")
-    release(first, full, *made)
+    release(first, full, of, leaves, *made)
     by_class = groups.join(counts, "rep", "left").join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     known = signed.select("id", "key").join(by_class, "key").select("id", "class_id", "n_links", "n_copies")
     others = rows.where("id is null or text is null").select("id").unionByName(rows.where("id is not null and text is not null").where(~F.expr(r"rlike(text, '[0-9A-Za-z\\x{80}-\\x{10FFFF}]')")).select("id"))
