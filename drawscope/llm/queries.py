@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import new_path, table
-from . import decontam, jaccard, langid, linededup, packing, tokenfile
+from ..scratch import materialise, new_path, table
+from . import chat, decontam, jaccard, langid, linededup, packing, quality, tokenfile, topk, urlfilter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MIN_SITES = 10
@@ -18,6 +18,18 @@ def remainder(key: str, mod: int):
     return F.crc32(F.col(key).cast("string")) % mod
 
 
+#: Host and path rules of the url filter.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+#: A conversation that holds the marks of a common template as text.
+EXTRA_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(table(spark, sf_dir, "documents"), MIN_SITES)
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_cut").alias("n_removed"), F.md5(F.col("text")).alias("kept_md5"))
@@ -29,6 +41,27 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_back(spark, folder)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(EXTRA_CHAT, "conv_id long, turn long, role string, text string")
+    done = materialise(chat.format_chats(rows.unionByName(extra)), "chats")
+    turns, masked = chat.parse(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss"))
+    return done.withColumns({"t": turns, "m": masked}).select(
+        "conv_id",
+        F.size("t").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("m").cast("long").alias("loss_chars"),
+        F.sha2(F.col("m"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urlfilter.fit(urlfilter.by_rules(pages, URL_RULES))
+    return urlfilter.judged(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -50,6 +83,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    # Held-out rows are no unlabelled text either.
+    scorer = quality.fit(docs.where(remainder("doc_id", 5) != 0), learnt)
+    scored = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), quality.score_column(docs, scorer).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def language_model(docs: DataFrame) -> langid.ContextTrees:
     return langid.fit(docs.where(remainder("doc_id", 4) != 2))
 
@@ -62,6 +104,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1_SQL = """
+WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM ok q JOIN ok r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+_REST = r"(/?INST\]|/?ROLE\]|TEXT\]|/?s>|</?SYS>>)"
+_ESCAPED = rf"regexp_replace(%s, '([\[<])(\\*){_REST}', '\1\\\2\3', 'g')"
+_UNESCAPED = rf"regexp_replace(%s, '([\[<])\\(\\*){_REST}', '\1\2\3', 'g')"
+_RENDERED = """string_agg(CASE role WHEN 'system' THEN '<<SYS>>' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '<s>' ELSE '[ROLE]' || {role} || '[TEXT]' END || {text}
+  || CASE role WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '[/ROLE]' END, '' ORDER BY turn NULLS FIRST, role, text)"""
+
+OP4_SQL = rf"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+  (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+per AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  {_RENDERED.format(role="role", text="text")} AS plain, {_RENDERED.format(role=_ESCAPED % "role", text=_ESCAPED % "text")} AS escaped,
+  list(text ORDER BY turn NULLS FIRST, role, text) AS texts FROM rows GROUP BY conv_id),
+parsed AS (SELECT *, regexp_extract_all(plain, '\[INST\].*?\[/INST\]|<s>.*?</s>|<<SYS>>.*?<</SYS>>|\[ROLE\].*?\[/ROLE\]', 0, 's') AS found FROM per),
+back AS (SELECT *, list_transform(found, lambda p: {_UNESCAPED % "regexp_extract(p, '^(?:<<SYS>>|<s>|.INST.|.ROLE.*?.TEXT.)(.*)(?:<</SYS>>|</s>|./INST.|./ROLE.)$', 1, 's')"}) AS again FROM parsed)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  length(CASE WHEN again = texts AND array_to_string(found, '') = plain THEN plain ELSE escaped END)::BIGINT AS formatted_chars FROM back
+"""
+
 OP2_SQL = f"""
 WITH cut AS (SELECT doc_id, coalesce(source, chr(0) || 'null') AS site, text, string_split(text, chr(10)) AS parts FROM documents),
 rows AS (SELECT doc_id, site, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM cut),
@@ -109,8 +179,8 @@ FROM docs d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.do
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_token_files, op6_ngram_jaccard_join, op7_packing, op8_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_token_files, op4_chat_formatting, op5_url_filter, op6_ngram_jaccard_join, op7_packing, op8_decontamination, op9_quality, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op2_line_dedup": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL}
