@@ -181,7 +181,7 @@ def _compared(table: pa.Table, threshold: float) -> pa.Table:
     place = dense[code]
     order = np.argsort(place, kind="stable")
     order = order[place[order] >= 0]
-    strip = max(256, (8 << 20) // max(1, len(sets)))
+    strip = max(1, min(len(common), max(256, (4 << 20) // len(sets))))
     bounds = np.searchsorted(place[order], np.arange(0, len(common) + strip, strip))
     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         m = np.zeros((len(sets), strip), np.float32)
