@@ -43,7 +43,8 @@ class PieceEncoder:
         top = max(vocabulary.values(), default=0) + 1
         self.dtype = np.dtype("<u4" if top > 1 << 16 else "<u2")
         self.remembered = remembered
-        self.row: dict[int, int] = {}  # of a piece's hash
+        self.keys = np.zeros(0, np.uint64)  # hashes of the pieces known, ascending
+        self.row = np.zeros(0, np.int64)  # of each of them
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, self.dtype)
@@ -92,8 +93,8 @@ class PieceEncoder:
             lengths.append(np.array([len(x)]))
         return order, ids, lengths
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> list[int]:
-        """Hashes in the order of the rows they were given."""
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """The rows given to the pieces."""
         order, ids, by = self._encoded(pieces)
         lengths = np.concatenate(by)
         n, total = self.rows + len(order), self.used + int(lengths.sum())
@@ -104,8 +105,10 @@ class PieceEncoder:
         self.length[self.rows : n] = lengths
         self.start[self.rows : n] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : total] = np.concatenate(ids)
+        given = np.empty(len(order), np.int64)
+        given[order] = np.arange(self.rows, n)
         self.rows, self.used = n, total
-        return [hashes[i] for i in order]
+        return given
 
     def _stretch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
@@ -113,21 +116,23 @@ class PieceEncoder:
         if not len(pieces.hash):
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
         seen, at, inverse = np.unique(pieces.hash, return_index=True, return_inverse=True)
-        keys = seen.tolist()
-        found = list(map(self.row.get, keys))
-        new = [i for i, r in enumerate(found) if r is None]
-        kept_rows, kept_used, row = self.rows, self.used, self.row
-        forget = len(row) + len(new) > self.remembered
-        if new:
-            raw = data.tobytes()
-            at = at[new]
+        place = np.searchsorted(self.keys, seen)
+        known = np.zeros(len(seen), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == seen[inside]
+        found = np.zeros(len(seen), np.int64)
+        found[known] = self.row[place[known]]
+        new = np.flatnonzero(~known)
+        kept_rows, kept_used = self.rows, self.used
+        forget = len(self.keys) + len(new) > self.remembered
+        if len(new):
+            raw, at = data.tobytes(), at[new]
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(pieces.start[at].tolist(), pieces.end[at].tolist(), strict=True)]
-            given = dict(zip(self._learn([keys[i] for i in new], texts), range(kept_rows, self.rows), strict=True))
-            for i in new:
-                found[i] = given[keys[i]]
+            found[new] = self._learn(texts)
             if not forget:
-                row.update(given)
-        rows = np.array(found, np.int64)[inverse]
+                self.keys = np.insert(self.keys, place[new], seen[new])
+                self.row = np.insert(self.row, place[new], found[new])
+        rows = found[inverse]
         lengths = self.length[rows]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         take = np.repeat(self.start[rows] - ends[:-1], lengths) + np.arange(ends[-1])
@@ -138,7 +143,7 @@ class PieceEncoder:
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, in the narrowest of two- or four-byte integers; null is empty."""
-        for _, _, data, offsets in textbytes.chunks(column, 2 * textbytes.CHUNK_BYTES):
+        for _, _, data, offsets in textbytes.chunks(column):
             ids, where = self._stretch(data, offsets)
             for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True):
                 yield ids[a:b]
