@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, rings
-from ..operators import ensembles, graph, quality
+from ..operators import ensembles, graph, quality, shapes
 from ..operators import units as ops
 from ..operators.components import components
 from ..scratch import table
-from . import diagnostics, electorate, figures, metrics, rollup, rules
+from ..sources import sinks
+from . import diagnostics, electorate, figures, generate, metrics, rollup, rules
 from .electorate import BASE_SQL, DRAWS
 
 SKIP = metrics.Policy(safety=metrics.Safety(on_small_values="skip_balance"))
@@ -622,3 +623,78 @@ def popup_totals(spark, d):  # AGG17, FN21
 @q(f"""{_POP} SELECT county, precinct_id, '{{"district":"' || district_key || '","unit_a":"' || a::BIGINT || '","unit_b":"' || b::BIGINT || '","district_a":"' || votes_a::BIGINT || '","district_b":"' || votes_b::BIGINT || '","district_units":"' || n_units || '"}}' AS popup FROM pk JOIN pt USING (county, district_key)""")
 def popups(spark, d):  # MAP1, FN16
     return figures.popups(_popped(spark, d), SCOPE)
+
+
+# ---- overlay, repair, voids, fuzzy contiguity -----------------------------------------------
+
+
+def _shells(spark, d) -> DataFrame:
+    """Each county's grid as one rectangle: eight wide, as high as its rows."""
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    top, zero, wide = F.col("top"), F.lit(0.0), F.lit(8.0)
+    ring = F.array(p(zero, zero), p(wide, zero), p(wide, top), p(zero, top), p(zero, zero))
+    return electorate.grid(spark, d).groupBy("county").agg((F.max("y") + 1).alias("top")).select("county", F.array(F.array(ring)).alias("shape"))
+
+
+@q(" SELECT county, round(8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0), 6) AS void_area FROM grid GROUP BY county HAVING 8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0) > 0")
+def void_totals(spark, d):  # GEO7, GEO8, GEO9, AGG19
+    v = shapes.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=0.5)
+    return v.groupBy("county").agg(r(F.sum("area_m2")).alias("void_area"))
+
+
+@q(" SELECT county, round(8 * (max(y) + 1), 6) AS shell_area, round(count(*) FILTER (k % 3 <> 0), 6)::DOUBLE AS union_area, round((8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0)) / (8 * (max(y) + 1)), 6) AS void_ratio FROM grid GROUP BY county")
+def shell_coverage(spark, d):  # AGG25
+    c = shapes.shell_coverage(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d))
+    return c.select("county", *(r(x).alias(x) for x in ("shell_area", "union_area", "void_ratio")))
+
+
+def voids_numbered(spark, d):  # GEO12, WIN2
+    v = shapes.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=0.5, hexagons=True, least=0.1, most=50.0, mean_factor=1.5, part_factor=2.0, width=0.2)
+    return ops.numbered_voids(v).select("county", "precinct_id", r("area_m2").alias("area_m2"))
+
+
+QUERIES["voids_numbered"] = voids_numbered
+
+
+@q(" SELECT count(*) FILTER (k % 5 = 0) AS n_invalid, 0::BIGINT AS n_empty, 0.5::DOUBLE AS max_abs_area_delta FROM u")
+def repair_summary(spark, d):  # GEO2, GEO3, AGG24
+    p = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    bow = F.array(F.array(F.array(p(0.0, 0.0), p(1.0, 1.0), p(1.0, 0.0), p(0.0, 1.0), p(0.0, 0.0))))
+    rows = electorate.grid(spark, d).select("precinct_id", F.when(F.col("k") % 5 == 0, bow).otherwise(F.col("shape")).alias("shape"))
+    s = quality.repair_statistics(shapes.repair(rows))
+    return s.select("n_invalid", "n_empty", r("max_abs_area_delta").alias("max_abs_area_delta"))
+
+
+@q(f", {_EDGE} SELECT county, src, dst FROM eq WHERE manhattan = 1")
+def edges_fuzzy(spark, d):  # GR3, JN6: squares shrunk to nine tenths, widened by six hundredths
+    small = F.transform("shape", lambda p: F.transform(p, lambda ring: F.transform(ring, lambda v: F.struct((F.col("x") + (v["x"] - F.col("x")) * 0.9).alias("x"), (F.col("y") + (v["y"] - F.col("y")) * 0.9).alias("y")))))
+    g = electorate.grid(spark, d).withColumn("shape", small)
+    return shapes.fuzzy_contiguity(quality.box_pairs(g, 2.0, SCOPE, grow=0.06), 0.06, SCOPE)
+
+
+@q(f"{_OV} SELECT county, precinct_id_a, precinct_id_b, round(ar, 6)::DOUBLE AS area FROM mo")
+def overlap_pairs_clipped(spark, d):  # GEO6 by overlay
+    pairs = quality.box_pairs(electorate.grid(spark, d, enlarged=True), 2.0, SCOPE)
+    found = quality.overlap_pairs(pairs, shapes.intersection_area(F.col("s_a"), F.col("s_b")), SCOPE, 0.1, 0.001)
+    return found.select("county", "precinct_id_a", "precinct_id_b", r("intersection_area_m2").alias("area"))
+
+
+def generated_plans(spark, d):  # DOM4, DOM6: a seeded generator, validated by the rules in tests
+    g = electorate.grid(spark, d).join(ops.population_of(electorate.units(spark, d).select("precinct_id"), electorate.voters(spark, d)), "precinct_id")
+    return generate.generate(g, graph.contiguity(g, "rook", SCOPE), electorate.districts(spark, d), 4, seed=7, per_chain=2)
+
+
+QUERIES["generated_plans"] = generated_plans
+
+
+@q(f", {_EDGE}, ix AS (SELECT county, precinct_id, row_number() OVER (PARTITION BY county ORDER BY precinct_id) - 1 AS n FROM u) SELECT eq.county, least(a.n, b.n)::BIGINT AS i, greatest(a.n, b.n)::BIGINT AS j FROM eq JOIN ix a ON a.precinct_id = src JOIN ix b ON b.precinct_id = dst WHERE manhattan = 1")
+def sampler_edges(spark, d):  # SNK7
+    _, pairs = sinks.sampler_bundle(electorate.units(spark, d).select("county", "precinct_id"), edges_rook(spark, d))
+    return pairs.select("county", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))
+
+
+@q(""" SELECT event_id, '{"event_id":' || event_id || ',"bad":null,"kind":"' || event_type || '"}' AS line FROM events""", base=False)
+def strict_json(spark, d):  # SNK6: what isn't finite is null
+    e = table(spark, d, "events").select("event_id", F.lit(float("inf")).alias("bad"), F.col("event_type").alias("kind"))
+    clean = sinks.finite_nulls(e)
+    return clean.select("event_id", F.to_json(F.struct("event_id", "bad", "kind"), {"ignoreNullFields": "false"}).alias("line"))
