@@ -114,6 +114,17 @@ def population_of(units: DataFrame, votes: DataFrame, column: str = "voters", ke
     return units.select(key).join(votes.select(key, F.col(column).cast("double").alias("population")), key, "left").withColumn("population", F.coalesce("population", F.lit(0.0)))
 
 
+#: Units up to which their columns are sent to every task; more are joined by shuffle.
+BROADCAST_UNITS = 1 << 20
+
+
+def on_units(ensemble: DataFrame, units: DataFrame, keys: Sequence[str] = ("precinct_id",)) -> DataFrame:
+    """The columns of ``units`` on a long ensemble (JN10). The ensemble is the large side, and is
+    not shuffled for the join as long as the units are few; they are counted first."""
+    few = units.select(*keys).limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS
+    return ensemble.join(F.broadcast(units) if few else units, list(keys))
+
+
 def with_draw(units: DataFrame, draw: DataFrame, key: str = "precinct_id") -> DataFrame:
     """One draw's districts on units; both must hold the same ids (JN2)."""
     report = key_differences(units, draw, key).first()

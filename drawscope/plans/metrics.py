@@ -12,6 +12,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.units import on_units
+
 METRICS = ("vote_share_a", "seat_share_a", "efficiency_gap", "mean_median_a_share_diff")
 
 
@@ -165,9 +167,9 @@ def long_metrics(rows: DataFrame, keys: list[str], names: tuple[str, ...] = METR
 
 def draw_metrics(units: DataFrame, ensemble: DataFrame, scope: list[str], policy: Policy | None = None) -> DataFrame:
     """Metrics of every (scope, draw). ``units`` hold balanced votes. The ensemble is the large
-    side: it is joined as it lies and shuffled once, by (scope, draw), if it is dealt by those."""
+    side: it is joined as it lies, and only its partial sums by district are shuffled."""
     votes = units.select(*scope, "precinct_id", "votes_a", "votes_b")
-    return plan_metrics(district_totals(ensemble.join(votes, [*scope, "precinct_id"]), [*scope, "draw"]), [*scope, "draw"], policy)
+    return plan_metrics(district_totals(on_units(ensemble, votes, [*scope, "precinct_id"]), [*scope, "draw"]), [*scope, "draw"], policy)
 
 
 def compare(units: DataFrame, votes: DataFrame, coding: DataFrame, focal: DataFrame, ensemble: DataFrame, scope: list[str] | None = None, policy: Policy | None = None, strict: bool = True) -> DataFrame:

@@ -156,7 +156,7 @@ def _balanced(spark, d) -> DataFrame:
 
 def _totals(spark, d) -> DataFrame:
     votes = _balanced(spark, d).select("county", "precinct_id", "votes_a", "votes_b")
-    return metrics.district_totals(electorate.ensemble(spark, d).join(votes, ["county", "precinct_id"]), ["county", "draw"])
+    return metrics.district_totals(ops.on_units(electorate.ensemble(spark, d), votes, ["county", "precinct_id"]), ["county", "draw"])
 
 
 @q(" SELECT county, precinct_id, a AS votes_a, b AS votes_b FROM bv")
@@ -226,7 +226,7 @@ def forensic_diff(spark, d):  # DOM14
 
 def _assigned(spark, d) -> DataFrame:
     people = ops.population_of(electorate.units(spark, d).select("precinct_id"), electorate.voters(spark, d))
-    return electorate.ensemble(spark, d).join(people, "precinct_id")
+    return ops.on_units(electorate.ensemble(spark, d), people)
 
 
 def _deviation(spark, d) -> DataFrame:
