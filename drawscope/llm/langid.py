@@ -68,34 +68,26 @@ def train(texts: dict[str, list[str]], order: int = 3) -> ContextTrees:
 def _tables(model: ContextTrees) -> tuple[np.ndarray, np.ndarray]:
     """(row of each context of ``order`` symbols, bits by row * n_symbols + symbol and language)."""
     k, n_lang = model.n_symbols, len(model.languages)
-    contexts = {()} | {g[:-1] for per in model.counts for grams in per for g in grams}
+    contexts = {()} | {g[j:-1] for per in model.counts for grams in per for g in grams for j in range(len(g))}
     ordered = sorted(contexts, key=lambda c: (len(c), c))
     row = {c: i for i, c in enumerate(ordered)}
     bits = np.full((len(ordered), k, n_lang), 8.0)
-    totals: list[list[dict]] = []
-    for per in model.counts:
-        by_order = []
+    following: dict[tuple[int, ...], list[tuple[int, dict[int, int]]]] = {}
+    for lang, per in enumerate(model.counts):
+        after: dict[tuple[int, ...], dict[int, int]] = {}
         for grams in per:
-            total: dict[tuple[int, ...], list[int]] = {}
-            for g, c in grams.items():
-                t = total.setdefault(g[:-1], [0, 0])
-                t[0] += c
-                t[1] += 1
-            by_order.append(total)
-        totals.append(by_order)
+            for g, n in grams.items():
+                after.setdefault(g[:-1], {})[g[-1]] = n
+        for c, symbols in after.items():
+            following.setdefault(c, []).append((lang, symbols))
     for c in ordered:  # shorter contexts first: an escape reads the finished row of the suffix
         r = row[c]
         if c:
-            bits[r] = bits[row[c[1:]]] if c[1:] in row else bits[row[()]]
-        for lang in range(n_lang):
-            if t := totals[lang][len(c)].get(c):
-                bits[r, :, lang] += np.log2((t[0] + t[1]) / t[1])
-    for lang in range(n_lang):
-        for length, grams in enumerate(model.counts[lang]):
-            total = totals[lang][length]
-            for g, n in grams.items():
-                t = total[g[:-1]]
-                bits[row[g[:-1]], g[-1], lang] = np.log2((t[0] + t[1]) / n)
+            bits[r] = bits[row[c[1:]]]
+        for lang, symbols in following.get(c, ()):
+            total, kinds = sum(symbols.values()), len(symbols)
+            bits[r, :, lang] += np.log2((total + kinds) / kinds)
+            bits[r, list(symbols), lang] = np.log2((total + kinds) / np.fromiter(symbols.values(), float, kinds))
     return _context_rows(model, row), bits.reshape(-1, n_lang).astype(np.float32)
 
 
@@ -121,8 +113,6 @@ def tables(model: ContextTrees) -> tuple[np.ndarray, np.ndarray]:
     """Built once in each worker; workers keep one model."""
     if model.key not in _ready:
         _ready.clear()
-        # A suffix of a known context is known: the counts of shorter orders cover it, except
-        # for contexts that hold only symbols before the first byte.
         _ready[model.key] = _tables(model)
     return _ready[model.key]
 
@@ -139,10 +129,10 @@ def code_lengths(model: ContextTrees, data: np.ndarray, offsets: np.ndarray) ->
     context = np.zeros(n, np.int64)
     before = s
     scale = 1
-    for j in range(1, model.order + 1):
-        before = np.concatenate(([edge], before[:-1]))  # the symbol j bytes earlier
-        at = offsets[:-1] + j - 1
-        before[at[at < n]] = edge
+    begin = offsets[:-1][offsets[:-1] < n]
+    for _ in range(model.order):
+        before = np.concatenate(([edge], before[:-1]))  # one byte earlier than the last time
+        before[begin] = edge
         context += before * scale
         scale *= k
     cost = bits[rows[context].astype(np.int64) * k + s]
