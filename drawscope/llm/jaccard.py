@@ -7,12 +7,16 @@ similarity. A *run* splits all sets by a sampled coordinate of its own: sets tha
 token chosen there share a bucket. A bucket of over ``limit`` sets is split again by further
 sampled coordinates, and so on down the path. Small buckets are compared by brute force, with
 exact set similarity. A bucket that is still large at the last level (a group of near copies,
-which no token parts) is compared exactly too, in blocks of bounded size, one task for each
-pair of blocks.
+which no token parts) is compared exactly too, in blocks of bounded size (``limit`` signatures, then
+``block`` sets and ``block_weight`` shingles), one task for each pair of blocks.
+
+Before any text is read again, the pairs of a bucket are filtered by their signatures: pairs
+that agree in fewer coordinates than all but very few similar pairs do are dropped.
 
 Runs are repeated until the target recall: a pair at the similarity threshold survives a run
 with a probability that follows from the branching, and ``runs_for`` takes as many runs as
-lower the chance to miss it below ``1 - recall``. (More similar pairs are missed less.)
+lower the chance to miss it in all of them below half of ``1 - recall``; the filter's chance is
+below the other half. (More similar pairs are missed less.)
 
 Two sets can meet in several leaves. They are compared only in the first leaf, in a fixed
 order of paths, that both are in, so links are counted once and pairs are never written:
@@ -41,8 +45,10 @@ from . import textbytes
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
-LIMIT = 400
+LIMIT = 4096
+BLOCK = 1024
 BLOCK_WEIGHT = 1 << 20
+TILE = 256
 BRANCHES = 2
 LEVELS = 3
 
@@ -58,8 +64,26 @@ def runs_for(recall: float, threshold: float = THRESHOLD, branches: int = BRANCH
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold * deeper))
 
 
+def least_agreeing(coordinates: int, recall: float, threshold: float = THRESHOLD) -> int:
+    """The most agreeing coordinates that a pair at the threshold falls short of with a chance
+    of at most 1 - recall."""
+    below, k = 0.0, 0
+    while True:
+        below += math.comb(coordinates, k) * threshold**k * (1 - threshold) ** (coordinates - k)
+        if below > 1 - recall:
+            return k
+        k += 1
+
+
 def coordinates(runs: int, branches: int = BRANCHES, levels: int = LEVELS) -> int:
-    return runs + branches * (levels - 1)
+    """Every node of every run's tree samples a coordinate of its own, so runs fail independently."""
+    return runs * sum(branches**k for k in range(levels))
+
+
+def _least_shingles(sh: np.ndarray, at: np.ndarray, c: int) -> np.ndarray:
+    """Each text's least shingle (32 bits) under the c-th order."""
+    seed, factor = (np.uint64(x) for x in textbytes.mix(np.array([2 * c, 2 * c + 1], np.uint64), 77))
+    return np.minimum.reduceat((((sh ^ seed) * (factor | np.uint64(1))) >> np.uint64(32)).astype(np.uint32), at)
 
 
 def shingles(w: textbytes.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +103,7 @@ def shingles(w: textbytes.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray
 
 
 def _signatures(spread: int):
-    kind = pa.list_(pa.int64())
+    kind = pa.list_(pa.int32())
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,8 +118,8 @@ def _signatures(spread: int):
                 place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], np.diff(w.first))
                 power = textbytes.powers(int(place.max()) + 1)[place]
                 key = np.stack([np.add.reduceat(textbytes.mix(w.hash, seed) * power, w.first[full]) for seed in (1, 2)], axis=1)
-                least = np.stack([np.minimum.reduceat(textbytes.mix(sh, 1000 + c), at) for c in range(spread)], axis=1)
-                flat = pa.array(least.view(np.int64).ravel())
+                least = np.stack([_least_shingles(sh, at, c) for c in range(spread)], axis=1)
+                flat = pa.array(least.view(np.int32).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo).take(pa.array(full)),
@@ -110,12 +134,16 @@ def _signatures(spread: int):
 
 
 def _leaves(classes: DataFrame, runs: int, limit: int, branches: int, levels: int) -> DataFrame:
-    """(col, path, m, rep, size): leaves of two sets or more. ``col`` orders the paths."""
+    """(col, path, m, rep, size): leaves of two sets or more. ``col`` is the node of the run's
+    tree (0: root, then level by level) and the run; it orders the paths."""
     shares = classes.select("rep", "size", "signature")
+    below = sum(branches**k for k in range(1, levels))
     level = shares.select("rep", "size", F.posexplode(F.slice("signature", 1, runs)).alias("col", "value")).select("rep", "size", F.col("col").cast("long").alias("col"), F.xxhash64("col", "value").alias("path"))
     out, made = None, []
     for depth in range(levels):
-        counted = level.groupBy("col", "path").agg(F.count("*").alias("m")).where("m > 1")
+        # Written first, so that the join is one of plain tables, whose hot paths Spark can split.
+        counted = materialise(level.groupBy("col", "path").agg(F.count("*").alias("m")).where("m > 1"), "path-sizes")
+        made.append(counted)
         sized = materialise(level.join(counted, ["col", "path"]), f"paths-{depth}")
         made.append(sized)
         last = depth == levels - 1
@@ -124,8 +152,10 @@ def _leaves(classes: DataFrame, runs: int, limit: int, branches: int, levels: in
         large = sized.where(F.col("m") > limit)
         if last or not large.limit(1).count():
             break
-        extra = F.slice("signature", runs + branches * depth + 1, branches)
-        level = large.join(shares.select("rep", "signature"), "rep").select("rep", "size", "col", "path", F.posexplode(extra).alias("branch", "value")).select("rep", "size", (F.col("col") * branches + F.col("branch") + (1 << (8 * (depth + 1)))).alias("col"), F.xxhash64("path", "branch", "value").alias("path"))
+        run, node = F.col("col") % 65536, F.shiftright("col", 16)
+        extra = F.slice("signature", (runs + run * below + node * branches + 1).cast("int"), branches)
+        split = large.join(shares.select("rep", "signature"), "rep").select("rep", "size", "col", "path", F.posexplode(extra).alias("branch", "value"))
+        level = split.select("rep", "size", ((node * branches + F.col("branch") + 1) * 65536 + run).cast("long").alias("col"), F.xxhash64("path", "branch", "value").alias("path"))
     return out, made
 
 
@@ -158,19 +188,53 @@ def _paths_matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return names, out
 
 
+def _met_before(earlier: np.ndarray, left: np.ndarray, right: np.ndarray, alone: bool) -> np.ndarray:
+    """Which pairs meet in an earlier leaf, or (within a block) are no pair of two sets."""
+    out = left[:, None] >= right[None, :] if alone else np.zeros((len(left), len(right)), bool)
+    for c in range(earlier.shape[1]):
+        x, y = earlier[left, c][:, None], earlier[right, c][None, :]
+        out |= (x == y) & (x != 0)
+    return out
+
+
+def _earlier(table: pa.Table) -> np.ndarray:
+    """Paths of each set in the columns before the table's."""
+    names, matrix = _paths_matrix(table.column("paths"))
+    return matrix[:, names < table.column("col")[0].as_py()]
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    side = table.column("side").to_numpy()
+    left = np.flatnonzero(side == 0)
+    alone = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
+    return left, left if alone else np.flatnonzero(side == 1), alone
+
+
+def _promising(table: pa.Table, least: int) -> pa.Table:
+    """Sets of a block (or pair of blocks) that agree with another in ``least`` coordinates or more."""
+    left, right, alone = _sides(table)
+    earlier = _earlier(table)
+    signatures = pa.concat_arrays(table.column("signature").chunks).flatten().to_numpy().reshape(table.num_rows, -1)
+    good = np.zeros(table.num_rows, bool)
+    for lo in range(0, len(left), TILE):
+        part = left[lo : lo + TILE]
+        agreeing = np.zeros((len(part), len(right)), np.int16)
+        for c in range(signatures.shape[1]):
+            agreeing += signatures[part, c][:, None] == signatures[right, c][None, :]
+        hit = (agreeing >= least) & ~_met_before(earlier, part, right, alone)
+        good[part[hit.any(axis=1)]] = True
+        good[right[hit.any(axis=0)]] = True
+    rows = np.flatnonzero(good)
+    return table.select(["col", "path", "rep", "size"]).take(pa.array(rows))
+
+
 def _compared(table: pa.Table, threshold: float) -> pa.Table:
     """Links and spanning edges within a block, or between the two blocks of a pair."""
-    col = table.column("col")[0].as_py()
-    side = table.column("side").to_numpy()
+    left, right, alone = _sides(table)
     reps = table.column("rep").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
-    names, matrix = _paths_matrix(table.column("paths"))
-    earlier = matrix[:, names < col]
     sizes = np.array([len(s) for s in sets])
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
     links = np.zeros(len(sets), np.int64)
-    near: list[tuple[int, int]] = []
     vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
     # Shingles of one set only can't be shared; the others make a dense 0/1 matrix, in strips.
     common = np.flatnonzero(np.bincount(code, minlength=len(vocabulary)) > 1)
@@ -189,13 +253,7 @@ def _compared(table: pa.Table, threshold: float) -> pa.Table:
         shared += m[left] @ m[right].T
     both = sizes[left][:, None] + sizes[right][None, :] - shared
     hit = shared >= threshold * both - 1e-9
-    for c in range(earlier.shape[1]):
-        x, y = earlier[left, c][:, None], earlier[right, c][None, :]
-        hit &= ~((x == y) & (x != 0))
-    if right is left:
-        hit &= np.arange(len(left))[:, None] < np.arange(len(left))[None, :]
-    else:
-        hit &= reps[left][:, None] != reps[right][None, :]
+    hit &= ~_met_before(_earlier(table), left, right, alone)
     np.add.at(links, left, hit.sum(axis=1))
     np.add.at(links, right, hit.sum(axis=0))
     i, j = np.nonzero(hit)
@@ -218,16 +276,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
 
 
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block_weight: int = BLOCK_WEIGHT, branches: int = BRANCHES, levels: int = LEVELS) -> DataFrame:
+def _dealt(leaves: DataFrame, limit: int, block_weight: int | None = None) -> DataFrame:
+    """Members of leaves, once for each pair of blocks they take part in. A leaf of more than
+    ``limit`` sets, or ``block_weight`` shingles, has several blocks, dealt by hash."""
+    n = F.ceil(F.col("m") / limit)
+    if block_weight:
+        n = F.greatest(n, F.ceil(F.col("weight") / block_weight))
+    member = leaves.withColumn("nb", n.cast("int")).withColumn("b", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).otherwise(F.lit(0)))
+    pairs = member.select("col", "path", "rep", "size", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    return pairs.select("col", "path", "rep", "size", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
+
+
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, block_weight: int = BLOCK_WEIGHT, branches: int = BRANCHES, levels: int = LEVELS) -> DataFrame:
     """(id, class_id, n_links, n_copies) for every row.
 
     class_id: least id of the texts that a chain of similar texts reaches. n_links: number of
     other word sequences similar to the row's. n_copies: rows with the row's word sequence.
     """
-    runs = runs_for(recall, threshold, branches, levels)
+    runs = runs_for(1 - (1 - recall) / 2, threshold, branches, levels)
     spread = coordinates(runs, branches, levels)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = materialise(rows.where("id is not null and text is not null").mapInArrow(_signatures(spread), "id bigint, key binary, size bigint, signature array<bigint>"), "signatures")
+    signed = materialise(rows.where("id is not null and text is not null").mapInArrow(_signatures(spread), "id bigint, key binary, size bigint, signature array<int>"), "signatures")
     groups = materialise(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.max("size").alias("size")), "classes")
     # One signature a class: that of a row with the class's least id (rows may repeat an id).
     firsts = signed.join(groups.select("key", F.col("rep").alias("id")), ["key", "id"]).select(F.col("id").alias("rep"), "size", "signature")
@@ -235,23 +304,20 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     leaves, made = _leaves(first, runs, limit, branches, levels)
     of = materialise(leaves.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("col", "path"))).alias("paths")), "leaves-of")
     # All pairs of a leaf have met before if its sets share one first leaf and this is another.
-    own = F.struct("col", "path")
-    weighed = leaves.join(of.select("rep", F.col("paths")[0].alias("home")), "rep").groupBy("col", "path").agg(F.sum("size").alias("weight"), F.min("home").alias("low"), F.max("home").alias("high"))
-    weight = weighed.where((F.col("low") != F.col("high")) | (F.col("low") == own)).select("col", "path", "weight")
-    leaves = materialise(leaves.join(weight, ["col", "path"]), "leaves")
+    home = leaves.join(of.select("rep", F.col("paths")[0].alias("home")), "rep").groupBy("col", "path").agg(F.min("home").alias("low"), F.max("home").alias("high"))
+    useful = materialise(home.where((F.col("low") != F.col("high")) | (F.col("low") == F.struct("col", "path"))).select("col", "path"), "useful")
+    signed_of = of.join(first.select("rep", "signature"), "rep")
+    least = least_agreeing(spread, 1 - (1 - recall) / 2, threshold)
+    filtered = _dealt(leaves.join(useful, ["col", "path"]), limit).join(signed_of, "rep").groupBy("col", "path", "bi", "bj").applyInArrow(lambda t: _promising(t, least), "col bigint, path bigint, rep bigint, size bigint")
+    leaves = materialise(filtered.distinct(), "leaves")
     wanted = leaves.select(F.col("rep").alias("id")).distinct()
-    # Only texts of sets that share a leaf are read again; their ids go to all tasks if they are few.
+    # Only texts of sets with a promising partner are read again; their ids go to all tasks if they are few.
     few = wanted.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = texts.mapInArrow(_sets, "rep bigint, set binary")
-    # A large leaf is dealt to blocks by hash, so that a block's sets hold block_weight shingles or so.
-    blocks = F.greatest(F.ceil(F.col("m") / limit), F.ceil(F.col("weight") / block_weight)).cast("int")
-    member = leaves.select("col", "path", "rep", blocks.alias("nb"))
-    member = member.withColumn("b", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).otherwise(F.lit(0)))
-    pairs = member.select("col", "path", "rep", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    dealt = pairs.select("col", "path", "rep", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
-    full = materialise(of.join(sets, "rep"), "sets")
-    task = dealt.join(full, "rep")
+    full = materialise(of.join(texts.mapInArrow(_sets, "rep bigint, set binary"), "rep"), "sets")
+    weights = materialise(leaves.groupBy("col", "path").agg(F.count("*").alias("m"), F.sum("size").alias("weight")), "leaf-weights")
+    weighed = leaves.join(weights, ["col", "path"])
+    task = _dealt(weighed, block, block_weight).join(full, "rep")
 
     def compared(table: pa.Table) -> pa.Table:
         return _compared(table, threshold)
@@ -259,7 +325,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     found = materialise(task.groupBy("col", "path", "bi", "bj").applyInArrow(compared, "rep bigint, links bigint, to bigint"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     grouped = components(found.where("to is not null"), "rep", "to")
-    release(first, full, of, leaves, *made)
+    release(first, full, of, leaves, useful, weights, *made)
     by_class = groups.join(counts, "rep", "left").join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     known = signed.select("id", "key").join(by_class, "key").select("id", "class_id", "n_links", "n_copies")
     others = rows.where("id is null or text is null").select("id").unionByName(rows.where("id is not null and text is not null").where(~F.expr(r"rlike(text, '[0-9A-Za-z\\x{80}-\\x{10FFFF}]')")).select("id"))
