@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.units import on_units
+from ..operators.units import ContractError, on_units
 
 METRICS = ("vote_share_a", "seat_share_a", "efficiency_gap", "mean_median_a_share_diff")
 
@@ -185,9 +185,8 @@ def compare(units: DataFrame, votes: DataFrame, coding: DataFrame, focal: DataFr
     scope = scope or ["county"]
     blocs = balanced(bloc_votes(units, votes, coding), scope, policy)
     labelled = blocs.join(first_focal(focal), "precinct_id", "left")
-    if strict:
-        gone = (F.col("votes_a") + F.col("votes_b") > 0) & F.col("focal_district").isNull()
-        labelled = labelled.withColumn("votes_a", F.when(gone, F.raise_error(F.lit("units with votes lack an enacted district")).cast("double")).otherwise(F.col("votes_a")))
+    if strict and labelled.where((F.col("votes_a") + F.col("votes_b") > 0) & F.col("focal_district").isNull()).limit(1).count():
+        raise ContractError("units with votes lack an enacted district")
     enacted = plan_metrics(district_totals(labelled.where("focal_district is not null"), scope, "focal_district"), scope, policy)
     focal_rows = long_metrics(enacted, scope).withColumnRenamed("value", "focal_value")
     focal_rows = focal_rows.withColumn("focal_value", F.when((F.col("metric") != "mean_median_a_share_diff"), F.coalesce("focal_value", F.lit(0.0))).otherwise(F.col("focal_value")))
