@@ -1,8 +1,9 @@
 """Packing token streams into windows of at most ``capacity`` tokens by Karmarkar-Karp.
 
 Every document is encoded and ended with ``end_id``. Stretches of exactly ``capacity`` tokens
-are windows of their own; what is left of each document (under ``capacity``) is dealt to
-windows by multiway differencing: every left-over starts as a partial partition into m
+are windows of their own; what is left of each document (under ``capacity``) is cut into
+left-overs of at most a third of ``capacity``, small enough for windows to come out nearly
+full, and dealt to windows by multiway differencing: every left-over starts as a partial partition into m
 windows, all but one empty; again and again the two partial partitions of greatest imbalance
 are merged so that the fullest windows of one meet the emptiest of the other. The result is m
 nearly equal windows. m starts at the least number that could hold all tokens, and rises by
@@ -115,10 +116,11 @@ class _Group:
         for start in range(0, n - c + 1, c):
             self.rows.append((doc_id, start, c, _crc(ids[start : start + c]), n, self.first, 0))
             self.first += 1
-        if n % c:
-            start = n - n % c
-            self.left.append((doc_id, start, n - start, _crc(ids[start:]), n))
-            self.tokens += n - start
+        most = max(1, c // 3)
+        for start in range(n - n % c, n, most):
+            part = ids[start : start + most]
+            self.left.append((doc_id, start, len(part), _crc(part), n))
+        self.tokens += n % c
 
     def close(self) -> Iterator[tuple]:
         where = windows([x[2] for x in self.left], self.capacity)
