@@ -61,12 +61,15 @@ def spread(rows: DataFrame, min_sites: int, lg_k: int = 10) -> DataFrame:
 
 
 def removals(docs: DataFrame, min_sites: int = 10, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
-    """(id, cut): the sorted positions of the lines that each document loses."""
+    """(id, cut): the lines that each document loses, as bits of an array of 64-bit words."""
     rows = lines(docs, text, site, key)
     found = spread(rows, min_sites)
     hit = rows.select("id", "pos", "h1", "h2").where("id is not null").join(found, ["h1", "h2"])
     later = hit.where((F.col("id") != F.col("first_id")) | (F.col("pos") != F.col("first_pos")) | F.col("first_id").isNull())
-    return later.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
+    words = later.groupBy("id", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
+    held = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last"))
+    # Dense, so that a line's bit is looked up in one step however many lines a text has.
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("cut"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 10, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
@@ -74,6 +77,6 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, text: str = "text", site:
     cut = removals(docs, min_sites, text, site, key).select(F.col("id").alias("__id"), F.col("cut").alias("__cut"))
     joined = docs.join(cut, docs[key] == cut["__id"], "left")
     split = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__cut", i)), "\n"))
+    kept = F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.array_join(F.filter(split, lambda _, i: F.coalesce(F.getbit(F.get("__cut", F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0), "\n"))
     others = [F.col(f"`{c}`") if c != text else kept.alias(text) for c in docs.columns]
-    return joined.select(*others, F.coalesce(F.size(F.filter(split, lambda x: _bare(x) != "")), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("__n_cut"))
+    return joined.select(*others, F.coalesce(F.size(F.filter(split, lambda x: _bare(x) != "")), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.aggregate("__cut", F.lit(0), lambda n, w: n + F.bit_count(w)), F.lit(0)).cast("long").alias("__n_cut"))
