@@ -43,6 +43,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
         labels.scratch_path = following.scratch_path
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     release(both)
     if nodes is None:
         return labels

@@ -1,7 +1,8 @@
 """Tables written to the folder that driver and executors share.
 
 Lineage is cut by writing Parquet there and reading it again: any executor can be
-lost afterwards, and nothing upstream is computed twice.
+lost afterwards, and nothing upstream is computed twice. What a returned plan still reads
+stays there; the folder is the cluster's to clean, as it is for ``checkpoint()``.
 """
 
 from __future__ import annotations
