@@ -314,7 +314,7 @@ def county_and_national(spark, d):  # extension: grouping sets
     return rollup.county_and_national(_reports(spark, d), _counts(spark, d)).select("metric", "maz", r("focal_value").alias("focal_value"), r("ensemble_mean").alias("ensemble_mean"))
 
 
-@q(f""", {_EDGE}, rows AS (SELECT ens.county, draw, precinct_id, district, nd, voters::DOUBLE AS p FROM ens JOIN bv USING (precinct_id, county, nd) WHERE draw <= 4),
+@q(f""", {_EDGE}, rows AS (SELECT ens.county, draw, precinct_id, district, nd, voters::DOUBLE AS p FROM ens JOIN bv USING (precinct_id, county, nd)),
 per AS (SELECT county, draw, nd, district, sum(p) AS p FROM rows GROUP BY ALL), pl AS (SELECT county, draw, nd, sum(p) AS total, count(*) AS used FROM per GROUP BY ALL),
 rook AS (SELECT src, dst FROM eq WHERE manhattan = 1), both_ AS (SELECT src, dst FROM rook UNION ALL SELECT dst, src FROM rook),
 ins AS (SELECT a.draw, a.precinct_id AS src, b.precinct_id AS dst FROM both_ JOIN rows a ON a.precinct_id = src JOIN rows b ON b.precinct_id = dst AND a.draw = b.draw AND a.district = b.district),
@@ -327,7 +327,7 @@ SELECT county, draw::INTEGER AS draw, code, district FROM v""", recursive=True)
 def rule_violations(spark, d):  # DOM2, GR10
     spec = rules.Spec(rules.ElectorBalance(0, 0.1), rules.Contiguity(True), rules.CountyContainment(False))
     edges = graph.contiguity(electorate.grid(spark, d), "rook", SCOPE).select("src", "dst")
-    return rules.violations(_assigned(spark, d).where("draw <= 4"), electorate.districts(spark, d), edges, SCOPE, spec)
+    return rules.violations(_assigned(spark, d), electorate.districts(spark, d), edges, SCOPE, spec)
 
 
 # ---- graphs ---------------------------------------------------------------------------------
