@@ -414,9 +414,9 @@ def edge_patch_counts(spark, d):  # SET3
     return graph.patch(edges_rook(spark, d).select("src", "dst"), queen.where("src like '%1'"), queen.where("dst like '%2'"))[1]
 
 
-@q(f", {_EDGE}, dr AS (SELECT ens.* FROM ens WHERE draw <= 3), two AS (SELECT src, dst FROM eq WHERE manhattan = 1 UNION ALL SELECT dst, src FROM eq WHERE manhattan = 1), ins AS (SELECT a.draw, two.src, two.dst FROM two JOIN dr a ON a.precinct_id = two.src JOIN dr b ON b.precinct_id = two.dst AND b.draw = a.draw AND b.district = a.district), reach(draw, node, root) AS (SELECT draw, precinct_id, precinct_id FROM dr UNION SELECT i.draw, i.dst, r.root FROM reach r JOIN ins i ON i.draw = r.draw AND i.src = r.node), comp AS (SELECT draw, node, min(root) AS c FROM reach GROUP BY ALL) SELECT county, dr.draw::INTEGER AS draw, district, count(DISTINCT c) AS n_pieces, count(*) AS n_units FROM dr JOIN comp ON node = precinct_id AND comp.draw = dr.draw GROUP BY county, dr.draw, district", recursive=True)
+@q(f", {_EDGE}, dr AS (SELECT ens.* FROM ens), two AS (SELECT src, dst FROM eq WHERE manhattan = 1 UNION ALL SELECT dst, src FROM eq WHERE manhattan = 1), ins AS (SELECT a.draw, two.src, two.dst FROM two JOIN dr a ON a.precinct_id = two.src JOIN dr b ON b.precinct_id = two.dst AND b.draw = a.draw AND b.district = a.district), reach(draw, node, root) AS (SELECT draw, precinct_id, precinct_id FROM dr UNION SELECT i.draw, i.dst, r.root FROM reach r JOIN ins i ON i.draw = r.draw AND i.src = r.node), comp AS (SELECT draw, node, min(root) AS c FROM reach GROUP BY ALL) SELECT county, dr.draw::INTEGER AS draw, district, count(DISTINCT c) AS n_pieces, count(*) AS n_units FROM dr JOIN comp ON node = precinct_id AND comp.draw = dr.draw GROUP BY county, dr.draw, district", recursive=True)
 def district_connectivity(spark, d):  # GR10
-    return graph.district_components(electorate.ensemble(spark, d).where("draw <= 3"), edges_rook(spark, d).select("src", "dst"))
+    return graph.district_components(electorate.ensemble(spark, d), edges_rook(spark, d).select("src", "dst"))
 
 
 @q(f", {_EDGE} SELECT eq.src, eq.dst, a.x + 0.5 AS x1, a.y + 0.5 AS y1, b.x + 0.5 AS x2, b.y + 0.5 AS y2 FROM eq JOIN nodes a ON a.precinct_id = src JOIN nodes b ON b.precinct_id = dst WHERE manhattan = 1")
