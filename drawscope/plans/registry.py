@@ -522,12 +522,12 @@ def ring_parsing(spark, d):  # FN5, FN6, GEO1
 # ---- ensemble layouts -----------------------------------------------------------------------
 
 
-@q(" SELECT precinct_id, max(district) FILTER (draw = 1) AS d000001, max(district) FILTER (draw = 2) AS d000002, max(district) FILTER (draw = 3) AS d000003 FROM ens GROUP BY precinct_id")
+@q(f" SELECT precinct_id, {', '.join(f'max(district) FILTER (draw = {i}) AS d{i:06d}' for i in range(1, DRAWS + 1))} FROM ens GROUP BY precinct_id")
 def ensemble_wide(spark, d):  # PIV4, PIV2
-    return ensembles.to_wide(electorate.ensemble(spark, d), [1, 2, 3])
+    return ensembles.to_wide(electorate.ensemble(spark, d), range(1, DRAWS + 1))
 
 
-@q(" SELECT precinct_id, draw::INTEGER AS draw, district FROM ens WHERE draw <= 3")
+@q(" SELECT precinct_id, draw::INTEGER AS draw, district FROM ens")
 def ensemble_long(spark, d):  # PIV3, SRC13, FN18
     return ensembles.to_long(ensemble_wide(spark, d))
 
