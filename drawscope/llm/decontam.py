@@ -10,11 +10,12 @@ than ``span`` words are one window, found by the hash of the whole item.
 
 The index over the items is sent to the executors in blocks of at most ``BLOCK_CHARS``
 characters of items. One block, which any usual benchmark fits in, is one pass over the
-documents without a shuffle; more blocks are one pass each, joined by document id.
+documents without a shuffle; more blocks are one pass each over the documents, which are numbered
+and written first, and joined by that number.
 
 Defined cases: null and wordless texts have no words and no hits; null and wordless items
-have no windows; items that share an id are one item; documents that share an id are each
-marked on their own with one block, and together with several; an item with a null id takes
+have no windows; items that share an id are one item; every document is marked on
+its own, also where ids are null or repeated, whatever the number of blocks; an item with a null id takes
 part and is called ``null``; an empty benchmark marks nothing.
 """
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from . import textbytes
 
 SPAN = 10
@@ -218,17 +220,20 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with a struct column ``__hits``: n_words, spans (merged stretches of hit
-    words, [lo, hi)) and items (sorted ids as strings)."""
+    words, [lo, hi)) and items (sorted ids as strings). ``key`` plays no part: rows have numbers of their own."""
     indexes = [build_index(rows, span, k) for rows in _blocks(benchmark, item, item_text, block_chars)]
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "__hits"]
     if len(indexes) == 1:
         return docs.select(*kept, _marker(docs.sparkSession, indexes[0])(F.col(text).cast("string")).alias("__hits"))
-    counted = docs.select(*kept, _marker(docs.sparkSession, build_index([], span, k))(F.col(text).cast("string")).alias("__empty"))
+    # Ids may be null or repeated. A number of the row's own stays the same once it is written.
+    numbered = materialise(docs.select(F.struct(*kept).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    body = F.col("doc").getField(text).cast("string")
+    counted = numbered.select("doc", "row", _marker(docs.sparkSession, build_index([], span, k))(body).alias("__empty"))
     hits = None
     for index in indexes:
-        one = docs.select(F.col(key).alias("__id"), _marker(docs.sparkSession, index)(F.col(text).cast("string")).alias("h")).where(F.size("h.items") > 0)
+        one = numbered.select("row", _marker(docs.sparkSession, index)(body).alias("h")).where(F.size("h.items") > 0)
         hits = one if hits is None else hits.unionByName(one)
-    merged = hits.groupBy("__id").agg(F.flatten(F.collect_list("h.spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("i"))
+    merged = hits.groupBy("row").agg(F.flatten(F.collect_list("h.spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("i"))
     start = F.struct(F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("done"))
     joined = F.aggregate(
         F.array_sort("s"), start,
@@ -236,9 +241,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
                               F.struct(F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc["done"], F.lit(-1))["lo"].alias("lo"), F.greatest(F.try_element_at(acc["done"], F.lit(-1))["hi"], x["hi"]).alias("hi")))).alias("done")))
         .otherwise(F.struct(F.concat(acc["done"], F.array(x)).alias("done"))),
     )["done"]
-    merged = merged.select("__id", joined.alias("__s"), F.col("i").alias("__i"))
-    out = counted.join(merged, counted[key] == merged["__id"], "left")
-    return out.select(*kept, F.struct(F.col("__empty.n_words").alias("n_words"), F.coalesce("__s", "__empty.spans").alias("spans"), F.coalesce("__i", "__empty.items").alias("items")).alias("__hits"))
+    merged = merged.select("row", joined.alias("__s"), F.col("i").alias("__i"))
+    out = counted.join(merged, "row", "left")
+    return out.select("doc.*", F.struct(F.col("__empty.n_words").alias("n_words"), F.coalesce("__s", "__empty.spans").alias("spans"), F.coalesce("__i", "__empty.items").alias("items")).alias("__hits"))
 
 
 def digest(ids: list[str]) -> str:
