@@ -102,6 +102,14 @@ def shingles(w: textbytes.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray
     return out, first
 
 
+def _keys(w: textbytes.Words, first: np.ndarray) -> list[bytes]:
+    """Two hashes of the word sequence of each text that starts at a word of ``first``."""
+    place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], np.diff(w.first))
+    power = textbytes.powers(int(place.max()) + 1)[place]
+    key = np.stack([np.add.reduceat(textbytes.mix(w.hash, seed) * power, first) for seed in (1, 2)], axis=1)
+    return [row.tobytes() for row in key]
+
+
 def _signatures(spread: int):
     kind = pa.list_(pa.int32())
 
@@ -115,15 +123,12 @@ def _signatures(spread: int):
                 if not len(full):
                     continue
                 at = first[full]
-                place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], np.diff(w.first))
-                power = textbytes.powers(int(place.max()) + 1)[place]
-                key = np.stack([np.add.reduceat(textbytes.mix(w.hash, seed) * power, w.first[full]) for seed in (1, 2)], axis=1)
                 least = np.stack([_least_shingles(sh, at, c) for c in range(spread)], axis=1)
                 flat = pa.array(least.view(np.int32).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo).take(pa.array(full)),
-                        pa.array([row.tobytes() for row in key], pa.binary()),
+                        pa.array(_keys(w, w.first[full]), pa.binary()),
                         pa.array(np.diff(first)[full]),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * spread), flat).cast(kind),
                     ],
@@ -271,9 +276,13 @@ def _compared(table: pa.Table, threshold: float) -> pa.Table:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in textbytes.chunks(batch.column(1)):
-            sh, first = shingles(textbytes.words(data, offsets))
-            sets = [np.unique(sh[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
+            w = textbytes.words(data, offsets)
+            sh, first = shingles(w)
+            full = np.flatnonzero(np.diff(first))
+            if not len(full):
+                continue
+            sets = [np.unique(sh[first[i] : first[i + 1]]) for i in full]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array(_keys(w, w.first[full]), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "key", "set"])
 
 
 def _dealt(leaves: DataFrame, limit: int, block_weight: int | None = None) -> DataFrame:
@@ -297,9 +306,10 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     spread = coordinates(runs, branches, levels)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     signed = materialise(rows.where("id is not null and text is not null").mapInArrow(_signatures(spread), "id bigint, key binary, size bigint, signature array<int>"), "signatures")
-    groups = materialise(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.max("size").alias("size")), "classes")
+    # Texts that differ may share their least id, so a class has a number of its own, fixed once written.
+    groups = materialise(signed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n_copies")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     # One signature a class: that of a row with the class's least id (rows may repeat an id).
-    firsts = signed.join(groups.select("key", F.col("rep").alias("id")), ["key", "id"]).select(F.col("id").alias("rep"), "size", "signature")
+    firsts = signed.join(groups.select("key", "id", "rep"), ["key", "id"]).select("rep", "size", "signature")
     first = materialise(firsts.dropDuplicates(["rep"]), "firsts")
     leaves, made = _leaves(first, runs, limit, branches, levels)
     of = materialise(leaves.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("col", "path"))).alias("paths")), "leaves-of")
@@ -310,11 +320,14 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     least = least_agreeing(spread, 1 - (1 - recall) / 2, threshold)
     filtered = _dealt(leaves.join(useful, ["col", "path"]), limit).join(signed_of, "rep").groupBy("col", "path", "bi", "bj").applyInArrow(lambda t: _promising(t, least), "col bigint, path bigint, rep bigint, size bigint")
     leaves = materialise(filtered.distinct(), "leaves")
-    wanted = leaves.select(F.col("rep").alias("id")).distinct()
+    named = materialise(leaves.select("rep").distinct().join(groups.select("rep", "id", "key"), "rep"), "named")
+    wanted = named.select("id").distinct()
     # Only texts of sets with a promising partner are read again; their ids go to all tasks if they are few.
     few = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    full = materialise(of.join(texts.mapInArrow(_sets, "rep bigint, set binary"), "rep"), "sets")
+    texts = rows.where("text is not null").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    # An id's other texts have other keys and are left out here.
+    sets = texts.mapInArrow(_sets, "id bigint, key binary, set binary").groupBy("id", "key").agg(F.first("set").alias("set"))
+    full = materialise(of.join(named, "rep").join(sets, ["id", "key"]).select("rep", "paths", "set"), "sets")
     weights = materialise(leaves.groupBy("col", "path").agg(F.count("*").alias("m"), F.sum("size").alias("weight")), "leaf-weights")
     weighed = leaves.join(weights, ["col", "path"])
     task = _dealt(weighed, block, block_weight).join(full, "rep")
@@ -324,9 +337,17 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
     found = materialise(task.groupBy("col", "path", "bi", "bj").applyInArrow(compared, "rep bigint, links bigint, to bigint"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    grouped = components(found.where("to is not null"), "rep", "to")
-    release(first, full, of, leaves, useful, weights, *made)
-    by_class = groups.join(counts, "rep", "left").join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    # Rows that share an id share a class: an id's word sequences are tied to one of them.
+    hashed = F.xxhash64("key")
+    repeated = signed.groupBy("id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low != high").select("id")
+    of_id = materialise(signed.select("id", "key").join(repeated, "id").distinct().join(groups.select("key", "rep"), "key").select("id", "rep"), "repeated-ids")
+    ties = of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("to")), "id").select("rep", "to")
+    grouped = components(found.where("to is not null").select("rep", "to").unionByName(ties), "rep", "to").select(F.col("node").alias("rep"), "component")
+    least_ids = materialise(grouped.join(groups.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("least")), "least-ids")
+    least_ids = F.broadcast(least_ids) if least_ids.count() <= BROADCAST_IDS else least_ids
+    class_ids = grouped.join(least_ids, "component").select("rep", "least")
+    release(first, full, of, leaves, useful, weights, named, of_id, *made)
+    by_class = groups.join(counts, "rep", "left").join(class_ids, "rep", "left").select("key", F.coalesce("least", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     known = signed.select("id", "key").join(by_class, "key").select("id", "class_id", "n_links", "n_copies")
     others = rows.where("id is null or text is null").select("id").unionByName(rows.where("id is not null and text is not null").where(~F.expr(r"rlike(text, '[0-9A-Za-z\\x{80}-\\x{10FFFF}]')")).select("id"))
     return known.unionByName(others.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))

@@ -3,7 +3,7 @@
 import pytest
 from test_text_operators import benchmark_case, brute_hits
 
-from drawscope.llm import decontam
+from drawscope.llm import decontam, jaccard
 
 
 @pytest.mark.parametrize("block_chars", [1 << 20, 60])
@@ -17,3 +17,13 @@ def test_each_row_is_marked_on_its_own(spark, block_chars):
     want = brute_hits(docs, items)
     assert len(got) == len(want) and sum(g != w for g, w in zip(got, want, strict=True)) == 0
     assert out.columns == [*d.columns, "__hits"] and [r.doc_id for r in rows] == [None if n % 3 == 0 else n % 7 for n in range(len(docs))]
+
+
+def test_links_of_every_text_of_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    # In either order of the texts: 6 and 7 are near copies of the two texts of id 5; 9 ties 8's text to 3's.
+    rows = [(5, a), (5, b), (6, f"{a} end"), (7, f"{b} end"), (9, c), (9, "other words"), (3, "other words"), (8, f"{c} end"), (4, "alone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.class_id, r.n_links, r.n_copies) for r in jaccard.similar(d).collect()}
+    assert got == {(5, 5, 1, 1), (6, 5, 1, 1), (7, 5, 1, 1), (9, 3, 1, 1), (9, 3, 0, 2), (3, 3, 0, 2), (8, 3, 1, 1), (4, 4, 0, 1)}
+    assert sorted(r.doc_id for r in jaccard.keep_one(d).collect()) == [3, 4, 5, 5]
