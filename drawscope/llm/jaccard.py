@@ -105,8 +105,8 @@ def shingles(w: textbytes.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray
 def _keys(w: textbytes.Words, first: np.ndarray) -> list[bytes]:
     """Two hashes of the word sequence of each text that starts at a word of ``first``."""
     place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], np.diff(w.first))
-    power = textbytes.powers(int(place.max()) + 1)[place]
-    key = np.stack([np.add.reduceat(textbytes.mix(w.hash, seed) * power, first) for seed in (1, 2)], axis=1)
+    most = int(place.max()) + 1
+    key = np.stack([np.add.reduceat(textbytes.mix(w.hash, seed) * textbytes.multipliers(most, seed)[place], first) for seed in (1, 2)], axis=1)
     return [row.tobytes() for row in key]
 
 

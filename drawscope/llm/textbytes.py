@@ -20,9 +20,7 @@ _codes = np.arange(256)
 LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)
 IS_WORD = ((_codes >= 48) & (_codes <= 57)) | ((_codes >= 65) & (_codes <= 90)) | ((_codes >= 97) & (_codes <= 122)) | (_codes >= 128)
 
-#: Any odd multiplier is invertible modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -59,19 +57,47 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+_multipliers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    key = "inverse" if inverse else "base"
-    if key not in _powers or len(_powers[key]) < n:
-        step = np.full(max(n, CHUNK_BYTES + 4096), BASE_INVERSE if inverse else BASE, np.uint64)
-        step[0] = 1
-        made = np.cumprod(step, dtype=np.uint64)
+def multipliers(n: int, seed: int = 0) -> np.ndarray:
+    """An odd pseudo-random factor for each place of a sequence.
+
+    Powers of one number would not do: modulo 2**64 they make all words collide that differ by
+    the swaps of a Thue-Morse word of 2**10 letters or more.
+    """
+    if seed not in _multipliers or len(_multipliers[seed]) < n:
+        made = mix(np.arange(max(n, 1 << 16), dtype=np.uint64), 0xA5A5 + 2 * seed + 1) | np.uint64(1)
         if len(made) > 4 * CHUNK_BYTES:
             return made
-        _powers[key] = made
-    return _powers[key]
+        _multipliers[seed] = made
+    return _multipliers[seed]
+
+
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+
+
+def differ(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Which of the byte strings of ``a`` are not, byte for byte, those of ``b``."""
+    out = a_size != b_size
+    x, y = _eights(a), _eights(b)
+    left = np.flatnonzero(~out)
+    for k in range(0, 64, 8):  # eight bytes of all strings at a time
+        if not len(left):
+            return out
+        kept = _KEPT[np.minimum(a_size[left] - k, 8)]
+        out[left[((x[a_start[left] + k] ^ y[b_start[left] + k]) & kept) != 0]] = True
+        left = left[a_size[left] > k + 8]
+    for i in left.tolist():
+        n = a_size[i]
+        out[i] |= not np.array_equal(a[a_start[i] : a_start[i] + n], b[b_start[i] : b_start[i] + n])
+    return out
 
 
 @dataclass
@@ -102,10 +128,13 @@ def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = IS_WORD, fo
     last = cut[cut > 0] - 1
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    scaled = (fold[data].astype(np.uint64) + np.uint64(1)) * powers(n + 1)[:n]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(scaled, out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * powers(n + 1, inverse=True)[start], 0x51ED)
+    hashes = np.zeros(len(start), np.uint64)
+    if len(start):
+        size = end - start
+        at = np.flatnonzero(inside)
+        place = at - np.repeat(start, size)
+        scaled = (fold[data[at]].astype(np.uint64) + np.uint64(1)) * multipliers(int(size.max()))[place]
+        hashes = mix(np.add.reduceat(scaled, np.cumsum(size) - size), 0x51ED)
     return Words(start, end, hashes, np.searchsorted(start, offsets))
 
 

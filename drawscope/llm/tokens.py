@@ -5,8 +5,8 @@ normaliser works character by character (a white-space character composes with n
 its splitter drops white space. So a text's ids are the ids of its white-space separated
 pieces in a row, and each different piece has to be encoded only once a worker. A test holds
 this against encoding whole texts. Only the six ASCII white-space characters part pieces.
-Pieces are told apart by a 64-bit hash: among a million remembered ones, two share a hash
-with a chance of about 3e-8.
+Pieces are looked up by a 64-bit hash, and every one of them is compared byte for byte with the
+piece whose ids it is given; one that only shares the hash is encoded by itself.
 
 Special-token strings are recognised as the library does by default; they hold no white space.
 """
@@ -24,8 +24,9 @@ from . import textbytes
 
 END_ID = 2
 
-#: Pieces that a worker remembers; further ones are encoded for each batch and forgotten.
+#: Pieces, and bytes of them, that a worker remembers; further ones are encoded for each batch and forgotten.
 REMEMBERED = 1_000_000
+REMEMBERED_BYTES = 1 << 26
 
 IS_PIECE = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Letters, then signs of ASCII other than the apostrophe: one word, or one and the signs.
@@ -48,7 +49,10 @@ class PieceEncoder:
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, self.dtype)
-        self.rows = self.used = 0
+        self.text = np.zeros(1 << 14, np.uint8)  # bytes of the pieces known
+        self.text_start = np.zeros(1 << 12, np.int64)
+        self.text_size = np.zeros(1 << 12, np.int64)
+        self.rows = self.used = self.text_used = 0
         # Where the tokenizer marks word ends and parts letters from signs, many simple pieces
         # can be encoded in one call and parted again at the marks.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -99,7 +103,7 @@ class PieceEncoder:
         lengths = np.concatenate(by)
         n, total = self.rows + len(order), self.used + int(lengths.sum())
         while len(self.start) < n:
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.text_start, self.text_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.text_start, self.text_size))
         while len(self.flat) < total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.length[self.rows : n] = lengths
@@ -110,11 +114,22 @@ class PieceEncoder:
         self.rows, self.used = n, total
         return given
 
+    def _remember(self, place: np.ndarray, keys: np.ndarray, rows: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        total = int(size.sum())
+        while len(self.text) < self.text_used + total:
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        first = np.cumsum(size) - size
+        self.text[self.text_used : self.text_used + total] = data[np.arange(total) + np.repeat(start - first, size)]
+        self.text_start[rows], self.text_size[rows] = self.text_used + first, size
+        self.keys, self.row = np.insert(self.keys, place, keys), np.insert(self.row, place, rows)
+        self.text_used += total
+
     def _stretch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
         pieces = textbytes.words(data, offsets, IS_PIECE, AS_IS)
         if not len(pieces.hash):
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
+        start, size = pieces.start, pieces.end - pieces.start
         seen, at, inverse = np.unique(pieces.hash, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, seen)
         known = np.zeros(len(seen), bool)
@@ -122,23 +137,39 @@ class PieceEncoder:
         known[inside] = self.keys[place[inside]] == seen[inside]
         found = np.zeros(len(seen), np.int64)
         found[known] = self.row[place[known]]
+        # A piece may share the hash of the first one here, or of a remembered one, and differ.
+        first = at[inverse]
+        odd = textbytes.differ(data, start, size, data, start[first], size[first])
+        where, old = at[known], found[known]
+        strange = np.zeros(len(seen), bool)
+        strange[known] = textbytes.differ(data, start[where], size[where], self.text, self.text_start[old], self.text_size[old])
+        odd |= strange[inverse]
         new = np.flatnonzero(~known)
+
+        def texts(at: np.ndarray) -> list[bytes]:
+            raw = data.tobytes()
+            return [raw[a:b] for a, b in zip(start[at].tolist(), pieces.end[at].tolist(), strict=True)]
+
         kept_rows, kept_used = self.rows, self.used
-        forget = len(self.keys) + len(new) > self.remembered
+        more = at[new]
+        forget = len(self.keys) + len(new) > self.remembered or self.text_used + int(size[more].sum()) > REMEMBERED_BYTES
         if len(new):
-            raw, at = data.tobytes(), at[new]
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(pieces.start[at].tolist(), pieces.end[at].tolist(), strict=True)]
-            found[new] = self._learn(texts)
+            found[new] = self._learn([t.decode("utf-8", "replace") for t in texts(more)])
             if not forget:
-                self.keys = np.insert(self.keys, place[new], seen[new])
-                self.row = np.insert(self.row, place[new], found[new])
+                self._remember(place[new], seen[new], found[new], data, start[more], size[more])
+                kept_rows, kept_used = self.rows, self.used
         rows = found[inverse]
+        alone = np.flatnonzero(odd)
+        if len(alone):
+            wanted = texts(alone)
+            different = list(dict.fromkeys(wanted))
+            given = dict(zip(different, self._learn([t.decode("utf-8", "replace") for t in different]).tolist(), strict=True))
+            rows[alone] = [given[t] for t in wanted]
         lengths = self.length[rows]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         take = np.repeat(self.start[rows] - ends[:-1], lengths) + np.arange(ends[-1])
         ids = self.flat[take]
-        if forget:
-            self.rows, self.used = kept_rows, kept_used
+        self.rows, self.used = kept_rows, kept_used
         return ids, ends[pieces.first]
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
