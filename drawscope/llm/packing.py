@@ -10,8 +10,15 @@ nearly equal windows. m starts at the least number that could hold all tokens, a
 one whenever a window comes out over capacity.
 
 Packing runs where the documents lie: each task packs its rows in groups of about
-``group_windows`` windows, so memory is bounded, nothing is shuffled, and a task that is run
-again gives the same windows. Window ids are (partition << 33) + running number.
+``group_windows`` windows, so no text is shuffled. What a task has left at its end, less than a group,
+is packed with that of the other tasks in a second pass over numbers alone (ids, lengths and
+checksums), in parts of several groups each. So padding hardly depends on how many tasks
+there were. Window ids are (partition << 33) + running number, in the second pass
+2**62 more.
+
+Memory is bounded by a group: it ends after ``group_windows`` windows, or ``GROUP_PIECES``
+left-overs, and left-overs under a 32nd of ``capacity`` go to windows in bundles of a 32nd to a 16th, so
+that a group of one-token documents is no larger a problem than any other.
 
 Padding: a window is filled up to ``capacity``, except where its length is a power of two;
 ``padded_length`` says to what. A window that could hold no document is never made.
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +41,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from . import tokens
 
 CAPACITY = 4096
 GROUP_WINDOWS = 192
+GROUP_PIECES = 1 << 18
+#: Groups that a task of the second pass has at least, where there are as many.
+SECOND_GROUPS = 4
+SECOND_PASS = 1 << 62
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -102,42 +115,69 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def bundles(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The bundle of each left-over: one of its own, or one shared with neighbours as small."""
+    least = max(1, capacity // 32)
+    small = sizes < least
+    before = np.cumsum(np.where(small, sizes, 0)) - np.where(small, sizes, 0)
+    key = np.where(small, before // least, -1 - np.arange(len(sizes)))
+    return np.unique(key, return_inverse=True)[1]
+
+
 class _Group:
-    """Documents of one task that are packed together; ``first`` is the next free window id."""
+    """Left-overs of one task that are packed together, as columns; ``first`` is the next free window id."""
+
+    NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.first = capacity, first
-        self.rows: list[tuple] = []
-        self.left: list[tuple] = []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.columns = [array("q") for _ in self.NAMES]
+        self.no_id = array("b")
         self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        n, c = len(ids), self.capacity
-        for start in range(0, n - c + 1, c):
-            self.rows.append((doc_id, start, c, _crc(ids[start : start + c]), n, self.first, 0))
-            self.first += 1
-        most = max(1, c // 3)
-        for start in range(n - n % c, n, most):
-            part = ids[start : start + most]
-            self.left.append((doc_id, start, len(part), _crc(part), n))
-        self.tokens += n % c
-
-    def close(self) -> Iterator[tuple]:
-        where = windows([x[2] for x in self.left], self.capacity)
-        offset: dict[int, int] = {}
+    def add(self, doc_id: int | None, start: int, length: int, crc: int, doc_tokens: int) -> None:
+        for column, value in zip(self.columns, (doc_id or 0, start, length, crc, doc_tokens), strict=True):
+            column.append(value)
+        self.no_id.append(doc_id is None)
+        self.tokens += length
+
+    def full(self, group_windows: int) -> bool:
+        return self.tokens >= group_windows * self.capacity or len(self.no_id) >= GROUP_PIECES
+
+    def _table(self, window: np.ndarray | None, offset: np.ndarray | None) -> pa.RecordBatch:
+        columns = [np.frombuffer(c, np.int64) if len(c) else np.zeros(0, np.int64) for c in self.columns]
+        found = [pa.array(columns[0], mask=np.array(self.no_id, bool)), *map(pa.array, columns[1:])]
+        for x in (window, offset):
+            found.append(pa.nulls(len(columns[0]), pa.int64()) if x is None else pa.array(x, pa.int64()))
+        return pa.RecordBatch.from_arrays(found, [*self.NAMES, "sequence_id", "offset"])
+
+    def left(self) -> pa.RecordBatch:
+        """The left-overs, without a window."""
+        out = self._table(None, None)
+        self._clear()
+        return out
+
+    def close(self) -> pa.RecordBatch:
+        sizes = np.array(self.columns[2], np.int64)
+        item = bundles(sizes, self.capacity)
+        where = windows(np.bincount(item, weights=sizes).astype(np.int64).tolist(), self.capacity)[item]
         _, dense = np.unique(where, return_inverse=True)
-        for x, w in zip(self.left, dense.tolist(), strict=True):
-            self.rows.append((*x, self.first + w, offset.get(w, 0)))
-            offset[w] = offset.get(w, 0) + x[2]
-        self.first += len(offset)
-        rows, self.rows, self.left, self.tokens = self.rows, [], [], 0
-        return iter(rows)
+        order = np.argsort(dense, kind="stable")
+        ends = np.cumsum(sizes[order])
+        offset = np.zeros(len(sizes), np.int64)
+        begins = np.searchsorted(dense[order], dense[order])
+        offset[order] = ends - sizes[order] - (ends - sizes[order])[begins]
+        out = self._table(dense + self.first, offset)
+        self.first += int(dense.max()) + 1 if len(dense) else 0
+        self._clear()
+        return out
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], [*_Group.NAMES, "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, end_id: int = tokens.END_ID) -> DataFrame:
@@ -145,11 +185,38 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = _Group(capacity, TaskContext.get().partitionId() << 33)
+        most = max(1, capacity // 3)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encoder(tokenizer).encode(batch.column(1)), strict=True):
-                group.add(doc_id, tokens.with_end(ids, end_id))
-                if group.tokens >= group_windows * capacity:
-                    yield _table(list(group.close()))
-        yield _table(list(group.close()))
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(packed, PIECES)
+            whole: list[tuple] = []
+            for doc_id, found in zip(batch.column(0).to_pylist(), tokens.encoder(tokenizer).encode(batch.column(1)), strict=True):
+                ids = tokens.with_end(found, end_id)
+                n = len(ids)
+                rest = n - n % capacity
+                for start in range(0, rest, capacity):
+                    whole.append((doc_id, start, capacity, _crc(ids[start : start + capacity]), n, group.first, 0))
+                    group.first += 1
+                for start in range(rest, n, most):
+                    part = ids[start : start + most]
+                    group.add(doc_id, start, len(part), _crc(part), n)
+                if group.full(group_windows):
+                    yield group.close()
+            if whole:
+                yield _batch(whole)
+        yield group.left()
+
+    def packed_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = _Group(capacity, SECOND_PASS + (TaskContext.get().partitionId() << 33))
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(_Group.NAMES))), strict=True):
+                group.add(*row)
+                if group.full(group_windows):
+                    yield group.close()
+        yield group.close()
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    pieces = materialise(rows.mapInArrow(packed, PIECES), "pieces")
+    left = pieces.where("sequence_id is null")
+    total = left.agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).first()
+    parts = max((total.n or 0) // (SECOND_GROUPS * group_windows * capacity), total.pieces // (SECOND_GROUPS * GROUP_PIECES))
+    dealt = left.repartition(parts) if parts > 1 else left.coalesce(1)
+    return pieces.where("sequence_id is not null").unionByName(dealt.select(*_Group.NAMES).mapInArrow(packed_again, PIECES))
