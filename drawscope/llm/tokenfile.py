@@ -22,8 +22,12 @@ controls, data        the documents' control bytes and data bytes, one document
 The rank table (ids by rank) is one row of ``<folder>/ranks``. Its size is bounded by the
 vocabulary. ``read_back`` returns documents with their position in the whole stream.
 
+Files are ranges of (id, hash of the ids), so an id that a third of all rows share, or no id, is
+dealt to many files like any other. Their number follows from the ids there are: about
+``FILE_BYTES`` of them a file.
+
 Defined cases: a null or empty text is its end token alone; documents that share an id
-follow each other, ordered by their coded bytes; null ids come first; an empty table gives
+follow each other, ordered by the hash of their ids; null ids come first; an empty table gives
 an empty set of files, which reads back as no documents; further columns are dropped.
 """
 
@@ -42,6 +46,7 @@ from ..scratch import materialise, release
 from . import tokens
 
 BLOCK_TOKENS = 1 << 20
+FILE_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
 
 #: Lengths of the four ranks of a control byte.
@@ -85,8 +90,8 @@ def tokenise(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "do
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(encoded, "doc_id bigint, ids binary")
 
 
-def ranking(ids: DataFrame, dtype: np.dtype) -> np.ndarray:
-    """Ids that occur, by falling frequency over the whole corpus, ties to the smaller id."""
+def ranking(ids: DataFrame, dtype: np.dtype) -> tuple[np.ndarray, int]:
+    """(ids that occur, by falling frequency over the whole corpus, ties to the smaller id; how many ids there are)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -100,13 +105,14 @@ def ranking(ids: DataFrame, dtype: np.dtype) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
     rows = ids.select("ids").mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
+    return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64), int(rows["n"].sum())
 
 
 BLOCKS = "shard int, block int, first_doc bigint, base bigint, n_tokens bigint, doc_ids binary, counts binary, controls binary, data binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
+def _blocks(documents: Iterator[tuple[int | None, np.ndarray]], block_tokens: int) -> Iterator[pa.RecordBatch]:
+    """``documents``: (doc_id, ranks), in the order of the file."""
     shard, block, base = TaskContext.get().partitionId(), 0, 0
     part: list[tuple[int, int, bytes, bytes]] = []
     size = 0
@@ -116,38 +122,37 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
-    for batch in batches:
-        for doc, n, controls, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            part.append((NULL_ID if doc is None else doc, n, controls, data))
-            size += n
-            if size >= block_tokens:
-                yield closed()
-                block, base, part, size = block + 1, base + size, [], 0
+    for doc, ranks in documents:
+        part.append((NULL_ID if doc is None else doc, len(ranks), *encode(ranks)))
+        size += len(ranks)
+        if size >= block_tokens:
+            yield closed()
+            block, base, part, size = block + 1, base + size, [], 0
     if part:
         yield closed()
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key: str = "doc_id", files: int | None = None, block_tokens: int = BLOCK_TOKENS, end_id: int = tokens.END_ID) -> None:
     """Encode ``docs`` into a new set of files. Texts are read and tokenised once; the only
-    shuffle is that of coded documents by ranges of ``doc_id``."""
+    shuffle is that of ids by ranges of ``doc_id``, and each document is coded once, after it."""
     spark = docs.sparkSession
     ids = materialise(tokenise(docs, tokenizer, text, key, end_id), "token-ids")
     dtype = tokens.encoder(tokenizer).dtype
-    by_rank = ranking(ids, dtype)
+    by_rank, total = ranking(ids, dtype)
     spark.createDataFrame([(bytearray(by_rank.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
     sent = spark.sparkContext.broadcast(rank)  # four bytes an id of the vocabulary
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [encode(sent.value[np.frombuffer(x.as_buffer(), dtype)]) for x in batch.column(1)]
-            n = [len(x.as_buffer()) // dtype.itemsize for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["doc_id", "n", "controls", "data"])
-
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ids.mapInArrow(coded, "doc_id bigint, n bigint, controls binary, data binary").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "controls", "data")
-    dealt.mapInArrow(lambda batches: _blocks(batches, block_tokens), BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+        rows = ((doc, sent.value[np.frombuffer(x.as_buffer(), dtype)]) for batch in batches for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        return _blocks(rows, block_tokens)
+
+    size = total * dtype.itemsize
+    some = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20)))
+    n = files or max(1, some, -(-size // FILE_BYTES))
+    place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
+    ids.repartitionByRange(n, *place).sortWithinPartitions(*place, "ids").mapInArrow(coded, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     release(ids)
 
 
@@ -155,8 +160,8 @@ def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks with ``start``, the number of ids before them in the whole set."""
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     # One row a file: so few that a window over all of them is nothing.
-    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.min("first_doc").alias("f"))
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("f", "shard").rowsBetween(Window.unboundedPreceding, -1))).alias("b"))
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).alias("b"))
     return blocks.join(before, "shard").withColumn("start", F.coalesce("b", F.lit(0)) + F.col("base")).drop("b")
 
 
