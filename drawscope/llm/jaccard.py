@@ -22,9 +22,13 @@ Two sets can meet in several leaves. They are compared only in the first leaf, i
 order of paths, that both are in, so links are counted once and pairs are never written:
 a block returns each set's number of links and the edges of a spanning forest.
 
-Defined cases: null and wordless texts, and rows with a null id, are in no class (class_id is
-their own id, no links); texts of fewer than five words are one shingle of all their words;
-rows that share an id share a class; equal rows are copies of each other; an empty table gives
+Rows are numbered once, in a table written to the shared folder; a class goes by the least row of its word sequence,
+and everything is joined by row or class, never by id.
+
+Defined cases: null and wordless texts are in no class (class_id is their own id, no links,
+one copy) and are all kept; texts of fewer than five words are one shingle of all their words;
+every row takes part with its own text, also where ids are null or repeated (two classes may then have the
+same least id; ``class_no`` tells them apart); rows with equal words are copies of each other; an empty table gives
 an empty result; further columns are dropped by ``similar`` and kept by ``keep_one``.
 """
 
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -45,15 +49,15 @@ from . import textbytes
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
-LIMIT = 4096
+LIMIT = 1024
 BLOCK = 1024
 BLOCK_WEIGHT = 1 << 20
 TILE = 256
 BRANCHES = 2
 LEVELS = 3
 
-#: Ids (eight bytes each) up to which a set of them is broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1 << 20
+#: Row numbers (eight bytes each) up to which a set of them is broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def runs_for(recall: float, threshold: float = THRESHOLD, branches: int = BRANCHES, levels: int = LEVELS) -> int:
@@ -115,8 +119,7 @@ def _signatures(spread: int):
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, offsets in textbytes.chunks(batch.column(1)):
+            for lo, hi, data, offsets in textbytes.chunks(batch.column(2)):
                 w = textbytes.words(data, offsets)
                 sh, first = shingles(w)
                 full = np.flatnonzero(np.diff(first))
@@ -125,15 +128,9 @@ def _signatures(spread: int):
                 at = first[full]
                 least = np.stack([_least_shingles(sh, at, c) for c in range(spread)], axis=1)
                 flat = pa.array(least.view(np.int32).ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(lo, hi - lo).take(pa.array(full)),
-                        pa.array(_keys(w, w.first[full]), pa.binary()),
-                        pa.array(np.diff(first)[full]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * spread), flat).cast(kind),
-                    ],
-                    ["id", "key", "size", "signature"],
-                )
+                row, of = (batch.column(i).slice(lo, hi - lo).take(pa.array(full)) for i in (0, 1))
+                signature = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * spread), flat).cast(kind)
+                yield pa.RecordBatch.from_arrays([row, of, pa.array(_keys(w, w.first[full]), pa.binary()), pa.array(np.diff(first)[full]), signature], ["row", "id", "key", "size", "signature"])
 
     return signed
 
@@ -276,13 +273,9 @@ def _compared(table: pa.Table, threshold: float) -> pa.Table:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in textbytes.chunks(batch.column(1)):
-            w = textbytes.words(data, offsets)
-            sh, first = shingles(w)
-            full = np.flatnonzero(np.diff(first))
-            if not len(full):
-                continue
-            sets = [np.unique(sh[first[i] : first[i + 1]]) for i in full]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array(_keys(w, w.first[full]), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "key", "set"])
+            sh, first = shingles(textbytes.words(data, offsets))
+            sets = [np.unique(sh[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["rep", "set"])
 
 
 def _dealt(leaves: DataFrame, limit: int, block_weight: int | None = None) -> DataFrame:
@@ -296,21 +289,22 @@ def _dealt(leaves: DataFrame, limit: int, block_weight: int | None = None) -> Da
     return pairs.select("col", "path", "rep", "size", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
 
 
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, block_weight: int = BLOCK_WEIGHT, branches: int = BRANCHES, levels: int = LEVELS) -> DataFrame:
-    """(id, class_id, n_links, n_copies) for every row.
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` (one column of numbers, written already), to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    class_id: least id of the texts that a chain of similar texts reaches. n_links: number of
-    other word sequences similar to the row's. n_copies: rows with the row's word sequence.
-    """
+
+def classified(table: DataFrame, text: Column, key: Column, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, block_weight: int = BLOCK_WEIGHT, branches: int = BRANCHES, levels: int = LEVELS) -> DataFrame:
+    """(row, id, class_no, best, n_links, n_copies) of the rows of a written, numbered table whose
+    texts hold words; ``best`` is the class's first row: (none, id, row) of the least id, null last."""
     runs = runs_for(1 - (1 - recall) / 2, threshold, branches, levels)
     spread = coordinates(runs, branches, levels)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = materialise(rows.where("id is not null and text is not null").mapInArrow(_signatures(spread), "id bigint, key binary, size bigint, signature array<int>"), "signatures")
-    # Texts that differ may share their least id, so a class has a number of its own, fixed once written.
-    groups = materialise(signed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n_copies")).withColumn("rep", F.monotonically_increasing_id()), "classes")
-    # One signature a class: that of a row with the class's least id (rows may repeat an id).
-    firsts = signed.join(groups.select("key", "id", "rep"), ["key", "id"]).select("rep", "size", "signature")
-    first = materialise(firsts.dropDuplicates(["rep"]), "firsts")
+    rows = table.select("row", key.cast("long").alias("id"), text.cast("string").alias("text"))
+    signed = materialise(rows.where("text is not null").mapInArrow(_signatures(spread), "row bigint, id bigint, key binary, size bigint, signature array<int>"), "signatures")
+    best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    # A class goes by its least row.
+    groups = materialise(signed.groupBy("key").agg(F.min("row").alias("rep"), F.min(best).alias("best"), F.count("*").alias("n_copies")), "classes")
+    first = materialise(signed.join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "size", "signature"), "firsts")
     leaves, made = _leaves(first, runs, limit, branches, levels)
     of = materialise(leaves.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("col", "path"))).alias("paths")), "leaves-of")
     # All pairs of a leaf have met before if its sets share one first leaf and this is another.
@@ -320,40 +314,50 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     least = least_agreeing(spread, 1 - (1 - recall) / 2, threshold)
     filtered = _dealt(leaves.join(useful, ["col", "path"]), limit).join(signed_of, "rep").groupBy("col", "path", "bi", "bj").applyInArrow(lambda t: _promising(t, least), "col bigint, path bigint, rep bigint, size bigint")
     leaves = materialise(filtered.distinct(), "leaves")
-    named = materialise(leaves.select("rep").distinct().join(groups.select("rep", "id", "key"), "rep"), "named")
-    wanted = named.select("id").distinct()
-    # Only texts of sets with a promising partner are read again; their ids go to all tasks if they are few.
-    few = wanted.count() <= BROADCAST_IDS
-    texts = rows.where("text is not null").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    # An id's other texts have other keys and are left out here.
-    sets = texts.mapInArrow(_sets, "id bigint, key binary, set binary").groupBy("id", "key").agg(F.first("set").alias("set"))
-    full = materialise(of.join(named, "rep").join(sets, ["id", "key"]).select("rep", "paths", "set"), "sets")
+    wanted = materialise(leaves.select("rep").distinct(), "wanted")
+    # Only texts of sets with a promising partner are read again, one of each class.
+    texts = rows.select(F.col("row").alias("rep"), "text").join(_few(wanted), "rep", "left_semi")
+    sets = texts.mapInArrow(_sets, "rep bigint, set binary")
+    full = materialise(of.join(sets, "rep").select("rep", "paths", "set"), "sets")
     weights = materialise(leaves.groupBy("col", "path").agg(F.count("*").alias("m"), F.sum("size").alias("weight")), "leaf-weights")
-    weighed = leaves.join(weights, ["col", "path"])
-    task = _dealt(weighed, block, block_weight).join(full, "rep")
+    task = _dealt(leaves.join(weights, ["col", "path"]), block, block_weight).join(full, "rep")
 
-    def compared(table: pa.Table) -> pa.Table:
-        return _compared(table, threshold)
+    def compared(part: pa.Table) -> pa.Table:
+        return _compared(part, threshold)
 
     found = materialise(task.groupBy("col", "path", "bi", "bj").applyInArrow(compared, "rep bigint, links bigint, to bigint"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    # Rows that share an id share a class: an id's word sequences are tied to one of them.
-    hashed = F.xxhash64("key")
-    repeated = signed.groupBy("id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low != high").select("id")
-    of_id = materialise(signed.select("id", "key").join(repeated, "id").distinct().join(groups.select("key", "rep"), "key").select("id", "rep"), "repeated-ids")
-    ties = of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("to")), "id").select("rep", "to")
-    grouped = components(found.where("to is not null").select("rep", "to").unionByName(ties), "rep", "to").select(F.col("node").alias("rep"), "component")
-    least_ids = materialise(grouped.join(groups.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("least")), "least-ids")
-    least_ids = F.broadcast(least_ids) if least_ids.count() <= BROADCAST_IDS else least_ids
-    class_ids = grouped.join(least_ids, "component").select("rep", "least")
-    release(first, full, of, leaves, useful, weights, named, of_id, *made)
-    by_class = groups.join(counts, "rep", "left").join(class_ids, "rep", "left").select("key", F.coalesce("least", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    known = signed.select("id", "key").join(by_class, "key").select("id", "class_id", "n_links", "n_copies")
-    others = rows.where("id is null or text is null").select("id").unionByName(rows.where("id is not null and text is not null").where(~F.expr(r"rlike(text, '[0-9A-Za-z\\x{80}-\\x{10FFFF}]')")).select("id"))
-    return known.unionByName(others.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
+    grouped = components(found.where("to is not null").select("rep", "to"), "rep", "to").select(F.col("node").alias("rep"), "component")
+    of_class = groups.join(counts, "rep", "left").join(grouped, "rep", "left").select("key", F.coalesce("component", "rep").alias("class_no"), "best", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    of_class = materialise(of_class, "classes-linked")
+    bests = of_class.groupBy("class_no").agg(F.min("best").alias("best"))
+    out = signed.select("row", "id", "key").join(of_class.drop("best").join(bests, "class_no"), "key").drop("key")
+    release(first, full, of, leaves, useful, weights, wanted, found, groups, *made)
+    return out
+
+
+def _numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc")), "numbered")
+
+
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """(id, class_id, n_links, n_copies, class_no) for every row.
+
+    class_id: least id of the texts that a chain of similar texts reaches. n_links: number of
+    other word sequences similar to the row's. n_copies: rows with the row's word sequence.
+    class_no: a number of the class's own (null for rows in no class). options: as of ``classified``.
+    """
+    table = _numbered(docs, [key, text])
+    body, of = F.col("doc").getField(text).cast("string"), F.col("doc").getField(key).cast("long")
+    known = classified(table, body, of, **options).select("id", F.col("best.id").alias("class_id"), "n_links", "n_copies", "class_no")
+    wordless = ~F.coalesce(F.rlike(body, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")), F.lit(False))
+    others = table.where(wordless).select(of.alias("id"), of.alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("class_no"))
+    return known.unionByName(others)
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents, one of each class: that of the least id. Rows with that id all stay."""
-    gone = similar(docs, text, key, **options).where("id != class_id").select(F.col("id").alias("__gone"))
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    """The documents, one of each class: its first row in the order of ids, null last."""
+    table = _numbered(docs, docs.columns)
+    classes = classified(table, F.col("doc").getField(text), F.col("doc").getField(key), **options)
+    gone = materialise(classes.where(F.col("row") != F.col("best.row")).select("row"), "gone")
+    return table.join(_few(gone), "row", "left_anti").select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

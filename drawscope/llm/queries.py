@@ -63,7 +63,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return jaccard.similar(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Word-level operators on null and repeated ids."""
 
 import pytest
-from test_text_operators import benchmark_case, brute_hits
+from pyspark.sql import functions as F
+from test_text_operators import benchmark_case, brute_hits, brute_lines
 
-from drawscope.llm import decontam, jaccard
+from drawscope.llm import decontam, jaccard, linededup
 
 
 @pytest.mark.parametrize("block_chars", [1 << 20, 60])
@@ -21,9 +22,29 @@ def test_each_row_is_marked_on_its_own(spark, block_chars):
 
 def test_links_of_every_text_of_an_id(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
-    # In either order of the texts: 6 and 7 are near copies of the two texts of id 5; 9 ties 8's text to 3's.
-    rows = [(5, a), (5, b), (6, f"{a} end"), (7, f"{b} end"), (9, c), (9, "other words"), (3, "other words"), (8, f"{c} end"), (4, "alone")]
+    # 6 and 7 are near copies of the two texts of id 5; 9 has 8's text and 3's; null ids take part.
+    rows = [(5, a), (5, b), (6, f"{a} end"), (7, f"{b} end"), (9, c), (9, "other words"), (3, "other words"), (8, f"{c} end"), (4, "alone"), (None, f"{c} End"), (None, "one"), (None, "one"), (None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.id, r.class_id, r.n_links, r.n_copies) for r in jaccard.similar(d).collect()}
-    assert got == {(5, 5, 1, 1), (6, 5, 1, 1), (7, 5, 1, 1), (9, 3, 1, 1), (9, 3, 0, 2), (3, 3, 0, 2), (8, 3, 1, 1), (4, 4, 0, 1)}
-    assert sorted(r.doc_id for r in jaccard.keep_one(d).collect()) == [3, 4, 5, 5]
+    got = jaccard.similar(d).collect()
+    assert sorted(map(str, ((r.id, r.class_id, r.n_links, r.n_copies) for r in got))) == sorted(
+        map(str, [(5, 5, 1, 1), (6, 5, 1, 1), (5, 5, 1, 1), (7, 5, 1, 1), (9, 8, 1, 1), (8, 8, 1, 2), (None, 8, 1, 2), (9, 3, 0, 2), (3, 3, 0, 2), (4, 4, 0, 1), (None, None, 0, 2), (None, None, 0, 2), (None, None, 0, 1)])
+    )
+    assert len({r.class_no for r in got if r.id == 5}) == 2
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(d).collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (8, f"{c} end"), (3, "other words"), (4, "alone"), (None, "one"), (None, None)], key=str)
+
+
+def test_no_unique_text_is_lost_where_ids_repeat(spark):
+    rows = [(3, "A one"), (7, "A one"), (7, "Z two"), (9, "Q three"), (9, "Q three")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in jaccard.keep_one(d).collect()) == [(3, "A one"), (7, "Z two"), (9, "Q three")]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_lines_are_cut_from_their_own_row_only(spark, parts):
+    rows = [(1, "boiler", "s1"), (2, "boiler", "s2"), (2, "unique", "s3"), (None, "boiler\nmine", "s4"), (None, "only null\nboiler", "s5"), (2, "x\nboiler\ny", "s6")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("row", "cut", "doc", "__cut", "__id", "__n_cut")}).repartition(parts)
+    got = linededup.dedup_lines(d, 2)
+    assert got.columns == [*d.columns[:-1], "__n_lines", "__n_cut"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(brute_lines(rows, 2), key=str)
+    assert sorted(r["__n_cut"] for r in got.collect()) == [0, 0, 1, 1, 1, 1]

@@ -213,7 +213,7 @@ def test_pipeline_stages_against_plain_ones(spark):
             cut = dict(brute_lines([(i, r.text, r.source) for i, r in now.items()], queries.MIN_SITES))
             want = {i: t for i, t in cut.items() if t == now[i].text or t.strip()}
         elif name == "n-gram Jaccard join":
-            want = {c: now[c].text for c, _, _ in brute_classes([(i, r.text) for i, r in now.items()]).values()}
+            want = {c: now[c].text for _, c, _, _ in brute_classes([(i, r.text) for i, r in now.items()])}
         else:
             hits = brute_hits([r.text for r in now.values()], items)
             want = {i: r.text for (i, r), h in zip(now.items(), hits, strict=True) if not h[1]}

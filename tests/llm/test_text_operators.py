@@ -107,7 +107,7 @@ def brute_classes(rows, threshold=0.8):
     groups = defaultdict(list)
     for i, t in rows:
         w = words(t)
-        if i is not None and w:
+        if w:
             groups[tuple(w)].append(i)
     keys = list(groups)
     sets = [{k[a : a + 5] for a in range(max(1, len(k) - 4))} for k in keys]
@@ -127,11 +127,12 @@ def brute_classes(rows, threshold=0.8):
                 root[find(a)] = find(b)
     least = defaultdict(list)
     for a, k in enumerate(keys):
-        least[find(a)] += groups[k]
-    out = {i: (i, 0, 1) for i, _ in rows}
-    for a, k in enumerate(keys):
-        for i in groups[k]:
-            out[i] = (min(least[find(a)]), links[a], len(groups[k]))
+        least[find(a)] += [i for i in groups[k] if i is not None]
+    out = []
+    for i, t in rows:
+        k = tuple(words(t))
+        a = keys.index(k) if k else None
+        out.append((i, i, 0, 1) if a is None else (i, min(least[find(a)], default=None), links[a], len(groups[k])))
     return out
 
 
@@ -163,13 +164,14 @@ def near_copies(seed=5, n=60):
 @pytest.mark.parametrize("options", [{}, {"limit": 6, "block": 4, "block_weight": 300}])
 def test_join_equals_all_pairs(spark, options):
     rows = near_copies()
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1))
-    got = {(r.id, r.class_id, r.n_links, r.n_copies) for r in jaccard.similar(d, **options).collect()}
-    want = {(i, *v) for i, v in brute_classes(rows).items()}
-    assert {g for g in got if g[0] is not None} == {w for w in want if w[0] is not None}
-    assert jaccard.similar(d, **options).count() == len(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("doc", F.lit("clash"))
+    order = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted(((r.id, r.class_id, r.n_links, r.n_copies) for r in jaccard.similar(d, **options).collect()), key=order)
+    want = brute_classes(rows)
+    assert got == sorted(want, key=order)
     kept = jaccard.keep_one(d, **options)
-    assert {r.doc_id for r in kept.collect()} == {None} | {c for c, _, _ in brute_classes(rows).values() if c is not None}
+    single = [i for (i, t) in rows if not words(t)]
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i)) == sorted([*{c for (i, t), (_, c, _, _) in zip(rows, want, strict=True) if words(t)}, *single], key=lambda i: (i is None, i))
     assert kept.columns == d.columns
 
 
@@ -183,20 +185,20 @@ def test_runs_reach_the_recall():
 
 
 def brute_lines(rows, min_sites):
+    """Texts of (id, text, site) rows, in their order; the first of equal ids and texts counts as the first row."""
     sites, first = defaultdict(set), {}
-    for i, t, s in rows:
+    for n, (i, t, s) in enumerate(rows):
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
             bare = line.strip(" \t\r")
             if bare:
                 sites[bare].add(s)
-                if i is not None:
-                    first[bare] = min(first.get(bare, (i, p)), (i, p))
+                first[bare] = min(first.get(bare, (True, 0, n, p)), (i is None, i or 0, n, p))
     out = []
-    for i, t, _ in rows:
+    for n, (i, t, _) in enumerate(rows):
         if t is None:
             out.append((i, None))
             continue
-        kept = [line for p, line in enumerate(t.split("\n")) if not (line.strip(" \t\r") and len(sites[line.strip(" \t\r")]) >= min_sites and i is not None and first[line.strip(" \t\r")] != (i, p))]
+        kept = [line for p, line in enumerate(t.split("\n")) if not (line.strip(" \t\r") and len(sites[line.strip(" \t\r")]) >= min_sites and first[line.strip(" \t\r")] != (i is None, i or 0, n, p))]
         out.append((i, "\n".join(kept)))
     return out
 
@@ -211,7 +213,7 @@ def test_line_dedup_equals_exact_counts(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("cut", F.lit("x"))
     for least in (1, 5, 10, 14):
         got = linededup.dedup_lines(d, least)
-        order = lambda r: (r[0] is None, r[0])
+        order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
         assert sorted([(r.doc_id, r.text) for r in got.collect()], key=order) == sorted(brute_lines(rows, least), key=order)
         assert got.columns[: len(d.columns)] == d.columns
     assert linededup.dedup_lines(d.limit(0)).count() == 0
