@@ -7,17 +7,20 @@ A turn is rendered between marks that depend on its role::
 (system, user, assistant, any other role). A conversation is first rendered as it is, parsed
 again with a deterministic grammar (an opening mark, then everything up to the first closing
 mark of the same kind), unescaped and compared with its source turns. Where they differ,
-its texts hold control strings, and all of them are escaped: the first character of a control
+some turns conflict: rendered by themselves, they don't parse back. Those turns, and no others, are escaped: the first character of a control
 string is followed by one more backslash than before (``</s>`` becomes ``<\\/s>``, ``<\\/s>``
 becomes ``<\\\\/s>``). Unescaping takes one backslash away, so the pair is exactly reversible,
-and a rendered control string is always a real mark. The escaped rendering is parsed and
-compared as well; a difference there would stop the job.
+and a rendered control string is always a real mark. The new rendering is parsed and compared
+again; should it still differ, all turns are escaped, and a difference after that stops the job.
 
 The loss mask is the list of code-point ranges [lo, hi) of assistant texts in the rendering.
+Places are running sums over blocks of ``RUN`` turns, and texts are cut from their turn's own
+piece, so the work grows in proportion to a conversation's length and number of turns.
 
 Defined cases: null texts and roles are empty; turns are ordered by number, role and text,
-nulls first, and repeated rows are repeated turns; a null conversation id is a conversation;
-an empty table gives no conversations; further columns are dropped.
+nulls first, and repeated rows are repeated turns; a row with a null conversation id is a
+conversation of its own (nothing says which rows belong together); an empty table gives no
+conversations; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -33,9 +36,15 @@ OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
 _REST = r"(/?INST\]|/?ROLE\]|TEXT\]|/?s>|</?SYS>>)"
 ESCAPE = (r"([\[<])(\\*)" + _REST, r"$1\\$2$3")
 UNESCAPE = (r"([\[<])\\(\\*)" + _REST, r"$1$2$3")
+RUN = 256
 TURN = r"(?s)\[INST\].*?\[/INST\]|<s>.*?</s>|<<SYS>>.*?<</SYS>>|\[ROLE\].*?\[/ROLE\]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once however often, and in whatever lambda, body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, *map(F.lit, ESCAPE))
 
@@ -51,13 +60,22 @@ def _by_role(role: Column, of: dict[str, str], other: Column) -> Column:
     return out.otherwise(other)
 
 
-def render(turns: Column, escaped: bool) -> Column:
-    """``turns``: an array of structs with role and text."""
+def _rendered(turn: Column, escaped: bool) -> Column:
     put = escape if escaped else (lambda x: x)
-    return F.array_join(
-        F.transform(turns, lambda t: F.concat(_by_role(t["role"], OPEN, F.concat(F.lit(OTHER[0]), put(t["role"]), F.lit(OTHER[1]))), put(t["text"]), _by_role(t["role"], CLOSE, F.lit(OTHER[2])))),
-        "",
-    )
+    role, text = turn["role"], turn["text"]
+    return F.concat(_by_role(role, OPEN, F.concat(F.lit(OTHER[0]), put(role), F.lit(OTHER[1]))), put(text), _by_role(role, CLOSE, F.lit(OTHER[2])))
+
+
+def conflicts(turn: Column) -> Column:
+    """Whether a turn, rendered as it is, does not parse back to itself."""
+    parsed_back = lambda p: let(pieces(p), lambda found: (F.size(found) == 1) & (F.get(found, F.lit(0)) == p)) & (_turn(p) == turn)
+    return ~let(_rendered(turn, False), parsed_back)
+
+
+def render(turns: Column, escaped: bool | str) -> Column:
+    """``turns``: an array of structs with role and text. escaped: no turn (False), all (True), or those that conflict."""
+    one = (lambda t: F.when(conflicts(t), _rendered(t, True)).otherwise(_rendered(t, False))) if escaped == "conflicts" else (lambda t: _rendered(t, bool(escaped)))
+    return F.array_join(F.transform(turns, one), "")
 
 
 def pieces(formatted: Column) -> Column:
@@ -96,32 +114,56 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces(formatted), _turn)
 
 
-def loss_mask(formatted: Column) -> Column:
-    """Ranges [lo, hi) of the assistant's texts, in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"))
+def _places(lengths: Column) -> Column:
+    """Where each piece begins, from the pieces' lengths: running sums within blocks, and over them."""
+    zero = F.lit(0).cast("long")
+    none = F.array().cast("array<bigint>")
 
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p)
-        span = F.struct((acc["at"] + len(OPEN["assistant"])).alias("lo"), (end - len(CLOSE["assistant"])).alias("hi"))
-        return F.struct(end.alias("at"), F.when(F.startswith(p, F.lit(OPEN["assistant"])), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def running(values: Column) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("out"))
+        return F.aggregate(values, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
 
-    return F.aggregate(pieces(formatted), start, step)["spans"]
+    def placed(block: Column) -> Column:
+        before = running(F.transform(block, lambda x: F.aggregate(x, zero, lambda n, y: n + y)))
+        both = F.arrays_zip(F.transform(block, running).alias("w"), before.alias("b"))
+        return F.flatten(F.transform(both, lambda z: F.transform(z["w"], lambda x: x + z["b"])))
+
+    def blocks(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda b: F.slice(all_, b * RUN + 1, RUN))
+
+    return let(lengths, lambda all_: F.when(F.size(all_) == 0, none).otherwise(let(blocks(all_), placed)))
+
+
+def _of_assistant(formatted: Column) -> Column:
+    """(at, piece) of the assistant's turns."""
+    placed = lambda found: F.arrays_zip(_places(F.transform(found, lambda p: F.length(p).cast("long"))).alias("at"), found.alias("piece"))
+    return F.filter(let(pieces(formatted), placed), lambda x: F.startswith(x["piece"], F.lit(OPEN["assistant"])))
+
+
+def loss_mask(formatted: Column) -> Column:
+    """Ranges [lo, hi) of the assistant's texts, in code points."""
+    span = lambda x: F.struct((x["at"] + len(OPEN["assistant"])).alias("lo"), (x["at"] + F.length(x["piece"]) - len(CLOSE["assistant"])).alias("hi"))
+    return F.transform(_of_assistant(formatted), span)
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["lo"] + 1, s["hi"] - s["lo"]))), "")
+    """The text under the loss mask, unescaped. Each span is cut from the piece that holds it."""
+    both = F.arrays_zip(_of_assistant(formatted).alias("p"), spans.alias("s"))
+    cut = lambda x: unescape(F.substring(x["p"]["piece"], (x["s"]["lo"] - x["p"]["at"] + 1).cast("int"), (x["s"]["hi"] - x["s"]["lo"]).cast("int")))
+    return F.array_join(F.transform(both, cut), "")
 
 
 def format_chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, formatted, loss): a row for each conversation."""
     turns = rows.select(F.col(conversation).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    plain = grouped.withColumn("plain", render(F.col("turns"), False))
+    known = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    grouped = known.unionByName(turns.where("conv_id is null").select("conv_id", F.array("t").alias("turns"))).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
     def same(formatted: Column) -> Column:
-        return (parse(formatted) == F.col("turns")) & (F.array_join(pieces(formatted), "") == formatted)
+        return let(pieces(formatted), lambda found: (F.array_join(found, "") == formatted) & (F.transform(found, _turn) == F.col("turns")))
 
-    tried = plain.withColumn("formatted", F.when(same(F.col("plain")), F.col("plain")).otherwise(render(F.col("turns"), True)))
+    tried = grouped.withColumn("formatted", render(F.col("turns"), False))
+    for escaped in ("conflicts", True):
+        tried = tried.withColumn("formatted", F.when(same(F.col("formatted")), F.col("formatted")).otherwise(render(F.col("turns"), escaped)))
     sure = F.when(same(F.col("formatted")), F.col("formatted")).otherwise(F.raise_error(F.lit("a rendering does not parse back to its turns")))
     return tried.select("conv_id", sure.alias("formatted")).select("conv_id", "formatted", loss_mask(F.col("formatted")).alias("loss"))

@@ -115,21 +115,23 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 
 _REST = r"(/?INST\]|/?ROLE\]|TEXT\]|/?s>|</?SYS>>)"
 _ESCAPED = rf"regexp_replace(%s, '([\[<])(\\*){_REST}', '\1\\\2\3', 'g')"
-_UNESCAPED = rf"regexp_replace(%s, '([\[<])\\(\\*){_REST}', '\1\2\3', 'g')"
-_RENDERED = """string_agg(CASE role WHEN 'system' THEN '<<SYS>>' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '<s>' ELSE '[ROLE]' || {role} || '[TEXT]' END || {text}
-  || CASE role WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '[/ROLE]' END, '' ORDER BY turn NULLS FIRST, role, text)"""
 
+#: A turn conflicts if its closing mark comes early, if another role's name holds the text mark, or
+#: if unescaping would change it; those turns are escaped.
 OP4_SQL = rf"""
-WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+WITH rows AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
   (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
-per AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-  {_RENDERED.format(role="role", text="text")} AS plain, {_RENDERED.format(role=_ESCAPED % "role", text=_ESCAPED % "text")} AS escaped,
-  list(text ORDER BY turn NULLS FIRST, role, text) AS texts FROM rows GROUP BY conv_id),
-parsed AS (SELECT *, regexp_extract_all(plain, '\[INST\].*?\[/INST\]|<s>.*?</s>|<<SYS>>.*?<</SYS>>|\[ROLE\].*?\[/ROLE\]', 0, 's') AS found FROM per),
-back AS (SELECT *, list_transform(found, lambda p: {_UNESCAPED % "regexp_extract(p, '^(?:<<SYS>>|<s>|.INST.|.ROLE.*?.TEXT.)(.*)(?:<</SYS>>|</s>|./INST.|./ROLE.)$', 1, 's')"}) AS again FROM parsed)
-SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
-  length(CASE WHEN again = texts AND array_to_string(found, '') = plain THEN plain ELSE escaped END)::BIGINT AS formatted_chars FROM back
+marks AS (SELECT *, CASE role WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '[/ROLE]' END AS close,
+  CASE role WHEN 'system' THEN '<<SYS>>' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '<s>' END AS open FROM rows),
+bodies AS (SELECT *, CASE WHEN open IS NULL THEN role || '[TEXT]' || text ELSE text END AS body,
+  CASE WHEN open IS NULL THEN '[ROLE]' || {_ESCAPED % "role"} || '[TEXT]' || {_ESCAPED % "text"} ELSE open || {_ESCAPED % "text"} END || close AS escaped FROM marks),
+turns AS (SELECT *, strpos(body || close, close) <= length(body) OR regexp_matches(text, '[\[<]\\+{_REST}')
+  OR (open IS NULL AND (strpos(role || '[TEXT]', '[TEXT]') <= length(role) OR regexp_matches(role, '[\[<]\\+{_REST}'))) AS conflict FROM bodies)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(CASE WHEN conflict THEN escaped ELSE coalesce(open, '[ROLE]') || body || close END))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id, alone
 """
 
 OP2_SQL = f"""

@@ -1,6 +1,7 @@
 """Tokens, token files, packing, chats, urls and top-k against plain versions."""
 
 import hashlib
+import time
 import uuid
 import zlib
 
@@ -124,8 +125,9 @@ def chat_rows():
 def test_chats_read_back_as_they_were(spark):
     rows = chat_rows()
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
-    got = {r.conv_id: r for r in chat.format_chats(d).select("*", chat.parse(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("masked")).collect()}
-    assert len(got) == len({r[0] for r in rows})
+    found = chat.format_chats(d).select("*", chat.parse(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("masked")).collect()
+    got = {r.conv_id: r for r in found}
+    assert len(found) == len(got) == len({r[0] for r in rows})
     for c, r in got.items():
         mine = sorted([x[1:] for x in rows if x[0] == c], key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "", x[2] or ""))
         assert [(b.role, b.text) for b in r.back] == [(x[1] or "", x[2] or "") for x in mine]
@@ -134,6 +136,26 @@ def test_chats_read_back_as_they_were(spark):
     assert chat.format_chats(d.limit(0)).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    d = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert sorted(r.formatted for r in chat.format_chats(d).collect()) == ["<s>b</s>", "<s>b</s>", "[INST]a[/INST]"]
+
+
+def test_only_conflicting_turns_are_escaped(spark):
+    rows = [(0, "user", "[/INST] no </s>"), (1, "assistant", "[INST] fine"), (2, "assistant", "<\\/s>"), (3, "tool", "</s> fine"), (4, "a[TEXT]b", "c"), (5, "user", "</s")]
+    d = spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(d).first().formatted == "[INST][\\/INST] no <\\/s>[/INST]<s>[INST] fine</s><s><\\\\/s></s>[ROLE]tool[TEXT]</s> fine[/ROLE][ROLE]a[\\TEXT]b[TEXT]c[/ROLE][INST]</s[/INST]"
+
+
+def test_a_long_conversation_takes_time_in_proportion(spark):
+    n = 6000
+    d = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</s> text é "), F.col("id").cast("string")).alias("text"))
+    began = time.perf_counter()
+    r = chat.format_chats(d).select("*", chat.masked_text(F.col("formatted"), F.col("loss")).alias("masked")).first()
+    assert time.perf_counter() - began < 30
+    assert r.masked == "".join(f"</s> text é {i}" for i in range(1, n, 2)) and [r.formatted[s.lo - 3 : s.lo] for s in r.loss] == ["<s>"] * (n // 2)
+
+
 def test_plain_texts_are_not_escaped(spark):
     d = spark.createDataFrame([(1, 0, "user", "a [x] <b>"), (1, 1, "assistant", "c")], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(d).first().formatted == "[INST]a [x] <b>[/INST]<s>c</s>"
