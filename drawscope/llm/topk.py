@@ -10,13 +10,16 @@ are selected from the most significant slice downward, counting bits; every row
 bound of the k-th sum is a boundary row, and all of those are resolved by exact integer inner
 products. So the result is exact.
 
-Blocks of queries meet blocks of the index, one task for each pair; a block pair returns at
-most k rows a query. The work is that of the query set against all rows, in blocks; a query's
+Queries are sent to the blocks of the index, each of which is read once and moved once: a
+task sees a block first and then its queries as a stream, so its memory is that of one block and one
+batch of queries. A block returns at most k rows a query. The work is that of the query set
+against all rows, in blocks; a query's
 results are merged by a window that keeps k rows a task before it shuffles.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
 vectors are compared with those of equal length only; the query's own id is no candidate;
-repeated rows are candidates each for themselves, and equal query rows are one query; ties go
+repeated rows are candidates each for themselves; equal query rows are one query, and different
+vectors under one id share that id's k best rows (the greatest scores of any of them); ties go
 to the smaller id; a query without candidates has no rows; empty tables give empty results;
 further columns are dropped. Scores must fit in 64 bits.
 """
@@ -24,17 +27,18 @@ further columns are dropped. Scores must fit in 64 bits.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
 
 BLOCK_ROWS = 1 << 15
-BLOCK_QUERIES = 128
+#: Fewer rows than this are not worth a block of their own.
+LEAST_ROWS = 1 << 12
 DROPPED = 1
 
 _INDEX = "dims int, ids binary, low binary, slices binary, bits int, values binary"
@@ -151,10 +155,6 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFr
     return rows.where(finite).select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("long")).alias("v"))
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     lists = pa.concat_arrays(table.column("v").chunks)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -166,63 +166,66 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(kind)
 
 
-def _indexed(table: pa.Table) -> pa.Table:
+def _indexed(table: pa.Table, of: int) -> pa.Table:
     ids, values = _matrix(table)
-    rows = []
-    for lo in range(0, len(ids), BLOCK_ROWS):
-        low, slices, bits = slices_of(values[lo : lo + BLOCK_ROWS])
-        rows.append({"dims": values.shape[1], "ids": ids[lo : lo + BLOCK_ROWS].tobytes(), "low": low.tobytes(), "slices": slices.tobytes(), "bits": bits, "values": _narrow(values[lo : lo + BLOCK_ROWS]).tobytes()})
-    return pa.Table.from_pylist(rows, pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("low", pa.binary()), ("slices", pa.binary()), ("bits", pa.int32()), ("values", pa.binary())]))
+    low, slices, bits = slices_of(values)
+    row = {"of": of, "dims": values.shape[1], "ids": ids.tobytes(), "low": low.tobytes(), "slices": slices.tobytes(), "bits": bits, "values": _narrow(values).tobytes()}
+    return pa.Table.from_pylist([row], pa.schema([("of", pa.int64()), ("dims", pa.int32()), ("ids", pa.binary()), ("low", pa.binary()), ("slices", pa.binary()), ("bits", pa.int32()), ("values", pa.binary())]))
+
+
+def block_of(row: dict) -> Block:
+    ids, d = np.frombuffer(row["ids"], np.int64), row["dims"]
+    values = np.frombuffer(row["values"], np.dtype(f"i{len(row['values']) // (len(ids) * d)}")).reshape(len(ids), d)
+    return Block(ids, np.frombuffer(row["low"], np.int64), np.frombuffer(row["slices"], np.uint64).reshape(row["bits"], d, -1), values)
+
 
+def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """(blocks, [(dims, first block, number of blocks)]): rows of (of, dims, ids, low, slices, bits, values).
 
-def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """(blocks, their number): rows of (block, dims, ids, low, slices, bits, values)."""
+    Vectors are dealt evenly, so blocks hold ``block_rows`` vectors or a little less, and fewer
+    where there would be fewer blocks than cores.
+    """
     sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("d > 0").collect()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
     first, parts = 0, []
     for s in sorted(sizes, key=lambda s: s.d):
-        parts.append((s.d, first, math.ceil(s.n / (0.9 * block_rows))))  # the hash deals unevenly
+        rows = min(block_rows, max(LEAST_ROWS, -(-s.n // cores)))
+        parts.append((s.d, first, math.ceil(s.n / (0.9 * rows))))  # the hash deals unevenly
         first += parts[-1][2]
     block = F.lit(None).cast("long")
     for d, at, n in parts:
         block = F.when(F.size("v") == d, F.pmod(F.xxhash64("n"), F.lit(n)) + at).otherwise(block)
-    dealt = vectors.where(F.size("v") > 0).withColumn("n", F.monotonically_increasing_id()).select(block.alias("block"), "id", "v")
-    made = dealt.groupBy("block").applyInArrow(lambda key, t: _indexed(t).append_column("of", pa.array([key[0].as_py()] * _parts(len(t)), pa.int64())), _INDEX + ", of bigint")
-    stored = materialise(made, "bit-slices")
-    return stored, first
+    dealt = vectors.where(F.size("v") > 0).withColumn("n", F.monotonically_increasing_id()).select(block.alias("of"), "id", "v")
+    made = dealt.groupBy("of").applyInArrow(lambda key, t: _indexed(t, key[0].as_py()), f"of bigint, {_INDEX}")
+    return materialise(made, "bit-slices"), parts
 
 
-def _parts(rows: int) -> int:
-    return -(-rows // BLOCK_ROWS)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, dropped: int = DROPPED, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, dropped: int = DROPPED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` of greatest inner product with
     each row of ``queries``; both tables have the columns ``key`` and ``vector``."""
-    index, n_blocks = build_index(quantised(vectors, key, vector, scale), block_rows)
+    index, parts = build_index(quantised(vectors, key, vector, scale), block_rows)
     asked = quantised(queries, key, vector, scale).where("id is not null and size(v) > 0").distinct()
-    n_query_blocks = max(1, -(-asked.count() // block_queries))
-    dealt = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(n_query_blocks)).alias("q"), "id", "v", F.size("v").alias("d"))
-    left = index.select("*", F.explode(_numbers(n_query_blocks)).alias("q"))
-    right = dealt.select("q", "id", "v", F.explode(_numbers(max(1, n_blocks))).alias("of"), "d")
-
-    def searched(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for row in blocks.to_pylist() if len(wanted) else []:
-            ids = np.frombuffer(row["ids"], np.int64)
-            low = np.frombuffer(row["low"], np.int64)
-            d, n = row["dims"], len(ids)
-            slices = np.frombuffer(row["slices"], np.uint64).reshape(row["bits"], d, -1)
-            values = np.frombuffer(row["values"], np.dtype(f"i{len(row['values']) // (n * d)}")).reshape(n, d)
-            block = Block(ids, low, slices, values)
-            fits = wanted.filter(pc.equal(wanted.column("d"), d))
-            if not len(fits):
-                continue
-            for own, q in zip(*_matrix(fits), strict=True):
-                found, scores = block.top(q, int(own), k, dropped)
-                out.append((np.full(len(found), own), found, scores))
-        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-    found = left.groupBy("of", "q").cogroup(right.groupBy("of", "q")).applyInArrow(searched, "query_id bigint, vec_id bigint, score bigint")
+    blocks = F.array().cast("array<bigint>")
+    for d, at, n in parts:  # a query meets the blocks of its own length
+        blocks = F.when(F.size("v") == d, F.sequence(F.lit(at).cast("long"), F.lit(at + n - 1).cast("long"))).otherwise(blocks)
+    wanted = asked.select(F.explode(blocks).alias("of"), "id", "v")
+    both = index.unionByName(wanted, allowMissingColumns=True).repartition("of").sortWithinPartitions("of", F.col("id").asc_nulls_first())
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at = None, None
+        for batch in batches:
+            ids = batch.column("id")
+            for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist() + [batch.num_rows]:
+                # Queries before the next block are those of the one before.
+                lo = 0 if at is None else at
+                if i > lo:
+                    part = pa.Table.from_batches([batch.slice(lo, i - lo).select(["id", "v"])])
+                    out = [(np.full(len(f), own), f, s) for own, q in zip(*_matrix(part), strict=True) for f, s in [block.top(q, int(own), k, dropped)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out]).astype(np.int64)) for j in range(3)], ["query_id", "vec_id", "score"])
+                if i < batch.num_rows:
+                    block, at = block_of(batch.slice(i, 1).to_pylist()[0]), i + 1
+            at = None
+
+    found = both.mapInArrow(searched, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

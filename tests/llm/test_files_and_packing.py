@@ -200,8 +200,8 @@ def brute_top(rows, k):
     sound = [(i, np.floor(64 * np.asarray(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and len(v)]
     asked = {(i, tuple(v)) for i, v in sound if i % 20 == 0}
     out = []
-    for i, v in asked:
-        scores = sorted((-int(np.dot(v, w)), j) for j, w in sound if j != i and len(w) == len(v))[:k]
+    for i in {a for a, _ in asked}:
+        scores = sorted((-int(np.dot(v, w)), j) for a, v in asked if a == i for j, w in sound if j != i and len(w) == len(v))[:k]
         out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -211,9 +211,10 @@ def test_top_k_is_exact(spark, dropped):
     rng = np.random.default_rng(dropped)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6).astype(np.float32)]) for i in range(230)]
     rows += [(i, rows[5][1]) for i in range(300, 340)]  # ties
-    rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (420, [0.0] * 6), (440, [1.0, 2.0]), (441, [3.0, -9.0]), (460, []), (40, rows[40][1]), (7, rows[7][1])]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = topk.top_k(d, d.where("vec_id % 20 = 0"), dropped=dropped, block_rows=64, block_queries=5)
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (420, [0.0] * 6), (440, [1.0, 2.0]), (441, [3.0, -9.0]), (460, []), (40, rows[40][1]), (7, rows[7][1]), (60, [0.5] * 6)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("score", "of", "id", "v")})
+    topk.LEAST_ROWS = 16
+    got = topk.top_k(d, d.where("vec_id % 20 = 0"), dropped=dropped, block_rows=64)
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 20)
     assert topk.top_k(d.limit(0), d.limit(0)).count() == 0
 
