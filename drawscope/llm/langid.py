@@ -5,22 +5,26 @@ byte followed in the training texts. A byte that followed a context of n bytes i
 them different, c times, costs ``log2((n + q) / c)`` bits there; any other byte costs the
 escape ``log2((n + q) / q)`` and is then coded by the context one byte shorter, down to a
 uniform order of 8 bits. A context the language never showed is passed at no cost. The
-statistics are frozen after training, so a text's code length is an exact sum, and the
-language with the shortest code wins.
+statistics are frozen after training, so a text's code length is an exact sum (in double
+precision), and the language with the shortest code wins.
 
-Because nothing adapts, the trees of all languages are flattened into one table of bits by
-(longest known context, next byte, language); scoring is two table lookups a byte.
+Trees are kept sparse: for each language and order, the sorted codes (nine bits a symbol) of
+the grams and contexts that training showed, with their bits. Because nothing adapts, the
+cost of a byte depends on it and the ``order`` symbols before it alone; a worker remembers
+the costs of the grams it has met, in a table of at most ``REMEMBERED_BYTES``.
+
+There is no limit on languages. The training sample is bounded: ``per_language`` texts of a language, and
+``max_bytes`` of text in all, an equal share for each language.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the
 language first in string order; with no training rows at all every text is ``und``; every
 row, repeated or not, is scored on its own; null and extra columns of the input are kept
-untouched by ``with_language`` (its two output columns replace columns of the same names).
+untouched by ``with_language`` (its three output columns replace columns of the same names).
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,113 +35,165 @@ from pyspark.sql import functions as F
 from . import textbytes
 
 UND = "und"
+#: Stands before a text's first byte.
+EDGE = 256
+SYMBOL_BITS = 9
+REMEMBERED_BYTES = 1 << 26
+#: Bytes, and languages, that are worked on at once.
+STRETCH = 1 << 20
+AT_ONCE = 8
+OUTPUT = ("lang_pred", "score", "lang_bits")
 
 
 @dataclass(frozen=True)
-class ContextTrees:
-    """Frozen counts: ``counts[l][k]`` maps a (k + 1)-gram of symbols to its count."""
+class Order:
+    """One order of a language's tree: sorted codes with their bits."""
+
+    grams: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
 
+
+@dataclass(frozen=True)
+class ContextTrees:
     languages: tuple[str, ...]
-    symbol: np.ndarray  # of each byte; the last but one symbol is any byte not seen in training
-    n_symbols: int  # the last symbol stands before a text's first byte
-    counts: tuple[tuple[dict[tuple[int, ...], int], ...], ...]
+    trees: tuple[tuple[Order, ...], ...]  # by language, then order
     order: int
     key: str
 
 
+def _codes(data: np.ndarray, offsets: np.ndarray, order: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """For each byte from ``lo`` to ``hi``, it and the ``order`` symbols before it; the byte is lowest."""
+    hi = len(data) if hi is None else hi
+    symbols = np.full(order + hi - lo, EDGE, np.uint64)
+    known = max(0, lo - order)
+    symbols[order - (lo - known) :] = data[known:hi]
+    begins = offsets[:-1][(offsets[:-1] > lo - order) & (offsets[:-1] < hi)] - lo
+    out = symbols[order:].copy()
+    for j in range(1, order + 1):
+        before = symbols[order - j : order - j + hi - lo].copy()
+        for k in range(j):  # a byte that has but k before it in its text
+            at = begins + k
+            before[at[(at >= 0) & (at < hi - lo)]] = EDGE
+        out |= before << np.uint64(SYMBOL_BITS * j)
+    return out
+
+
+def _tree(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[Order, ...]:
+    whole = _codes(data, offsets, order)
+    out = []
+    for k in range(order + 1):
+        grams, counts = np.unique(whole & np.uint64((1 << SYMBOL_BITS * (k + 1)) - 1), return_counts=True)
+        contexts, of, kinds = np.unique(grams >> np.uint64(SYMBOL_BITS), return_inverse=True, return_counts=True)
+        total = np.bincount(of, weights=counts, minlength=len(contexts)) + kinds
+        out.append(Order(grams, np.log2(total[of] / counts) if len(grams) else np.zeros(0), contexts, np.log2(total / kinds)))
+    return tuple(out)
+
+
 def train(texts: dict[str, list[str]], order: int = 3) -> ContextTrees:
     """Context trees of whole texts by language (driver side; the caller bounds the sample)."""
     languages = tuple(sorted(texts))
-    seen = np.unique(np.frombuffer("".join("".join(texts[x]) for x in languages).encode(), np.uint8))
-    symbol = np.full(256, len(seen), np.int64)
-    symbol[seen] = np.arange(len(seen))
-    edge = len(seen) + 1
-    counts = []
+    trees = []
     for language in languages:
-        grams: list[Counter] = [Counter() for _ in range(order + 1)]
-        for text in texts[language]:
-            s = symbol[np.frombuffer(text.encode(), np.uint8)]
-            padded = [edge] * order + s.tolist()
-            for k in range(order + 1):
-                at = order - k
-                grams[k].update(zip(*(padded[at + j : len(padded) - k + j] for j in range(k + 1)), strict=False))
-        counts.append(tuple(dict(g) for g in grams))
-    return ContextTrees(languages, symbol, edge + 1, tuple(counts), order, uuid.uuid4().hex)
-
-
-def _tables(model: ContextTrees) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each context of ``order`` symbols, bits by row * n_symbols + symbol and language)."""
-    k, n_lang = model.n_symbols, len(model.languages)
-    contexts = {()} | {g[j:-1] for per in model.counts for grams in per for g in grams for j in range(len(g))}
-    ordered = sorted(contexts, key=lambda c: (len(c), c))
-    row = {c: i for i, c in enumerate(ordered)}
-    bits = np.full((len(ordered), k, n_lang), 8.0)
-    following: dict[tuple[int, ...], list[tuple[int, dict[int, int]]]] = {}
-    for lang, per in enumerate(model.counts):
-        after: dict[tuple[int, ...], dict[int, int]] = {}
-        for grams in per:
-            for g, n in grams.items():
-                after.setdefault(g[:-1], {})[g[-1]] = n
-        for c, symbols in after.items():
-            following.setdefault(c, []).append((lang, symbols))
-    for c in ordered:  # shorter contexts first: an escape reads the finished row of the suffix
-        r = row[c]
-        if c:
-            bits[r] = bits[row[c[1:]]]
-        for lang, symbols in following.get(c, ()):
-            total, kinds = sum(symbols.values()), len(symbols)
-            bits[r, :, lang] += np.log2((total + kinds) / kinds)
-            bits[r, list(symbols), lang] = np.log2((total + kinds) / np.fromiter(symbols.values(), float, kinds))
-    return _context_rows(model, row), bits.reshape(-1, n_lang).astype(np.float32)
-
-
-def _context_rows(model: ContextTrees, row: dict) -> np.ndarray:
-    """For every context of ``order`` symbols, the row of its longest known suffix."""
-    k = model.n_symbols
-    rows = np.full(1, row[()], np.int32)
-    for length in range(1, model.order + 1):
-        rows = np.tile(rows, k)  # a symbol in front of every shorter context
-        for c, r in row.items():
-            if len(c) == length:
-                at = 0
-                for s in c:
-                    at = at * k + s
-                rows[at] = r
-    return rows
-
-
-_ready: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def tables(model: ContextTrees) -> tuple[np.ndarray, np.ndarray]:
-    """Built once in each worker; workers keep one model."""
+        raw = [t.encode() for t in texts[language] if t]
+        offsets = np.cumsum([0, *map(len, raw)])
+        trees.append(_tree(np.frombuffer(b"".join(raw), np.uint8), offsets, order))
+    return ContextTrees(languages, tuple(trees), order, uuid.uuid4().hex)
+
+
+def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each is there, and where)."""
+    at = np.searchsorted(sorted_, wanted)
+    there = at < len(sorted_)
+    there[there] = sorted_[at[there]] == wanted[there]
+    return there, at
+
+
+def costs(model: ContextTrees, codes: np.ndarray) -> np.ndarray:
+    """[gram, language]: bits of the last symbol of each gram of ``order`` + 1 symbols."""
+    out = np.zeros((len(codes), len(model.languages)))
+    for lang, tree in enumerate(model.trees):
+        left = np.arange(len(codes))  # grams whose symbol no order has coded yet
+        for k in range(model.order, -1, -1):
+            gram = codes[left] & np.uint64((1 << SYMBOL_BITS * (k + 1)) - 1)
+            there, at = _find(tree[k].grams, gram)
+            out[left[there], lang] += tree[k].bits[at[there]]
+            left, gram = left[~there], gram[~there]
+            there, at = _find(tree[k].contexts, gram >> np.uint64(SYMBOL_BITS))
+            out[left[there], lang] += tree[k].escapes[at[there]]
+        out[left, lang] += 8.0
+    return out
+
+
+class Costs:
+    """Costs of the grams met so far, found by a hash table with one place a gram."""
+
+    def __init__(self, model: ContextTrees, remembered_bytes: int = REMEMBERED_BYTES):
+        self.model = model
+        self.most = max(1, remembered_bytes // (8 * max(1, len(model.languages))))
+        self.bits = min(21, max(4, (4 * self.most).bit_length()))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.full(1 << self.bits, 0xFFFFFFFFFFFFFFFF, np.uint64)  # no gram's code
+        self.row = np.zeros(1 << self.bits, np.int64)
+        self.table = np.zeros((0, len(self.model.languages)))
+        self.used = 0
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of ``table`` of the grams; good until the next call."""
+        slot = (codes * textbytes.BASE) >> np.uint64(64 - self.bits)
+        out = self.row[slot]
+        missed = np.flatnonzero(self.keys[slot] != codes)
+        if not len(missed):
+            return out
+        new, inverse = np.unique(codes[missed], return_inverse=True)
+        if self.used and self.used + len(new) > self.most:
+            self._clear()
+            return self.rows(codes)
+        while len(self.table) < self.used + len(new):
+            self.table = np.concatenate([self.table, np.zeros((max(1024, len(self.table)), self.table.shape[1]))])
+        place = (new * textbytes.BASE) >> np.uint64(64 - self.bits)
+        # A gram takes its place if that is free and no other of the new ones takes it; others are forgotten again.
+        _, first = np.unique(place, return_index=True)
+        kept = np.zeros(len(new), bool)
+        kept[first] = self.keys[place[first]] == np.uint64(0xFFFFFFFFFFFFFFFF)
+        row = np.empty(len(new), np.int64)
+        order = np.concatenate([np.flatnonzero(kept), np.flatnonzero(~kept)])
+        row[order] = self.used + np.arange(len(new))
+        self.table[row] = costs(self.model, new)
+        self.keys[place[kept]], self.row[place[kept]] = new[kept], row[kept]
+        self.used += int(kept.sum())
+        out[missed] = row[inverse]
+        return out
+
+
+_ready: dict[str, Costs] = {}
+
+
+def _costs(model: ContextTrees) -> Costs:
+    """Workers keep one model."""
     if model.key not in _ready:
         _ready.clear()
-        _ready[model.key] = _tables(model)
+        _ready[model.key] = Costs(model)
     return _ready[model.key]
 
 
 def code_lengths(model: ContextTrees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Exact bits of each text under each language."""
-    rows, bits = tables(model)
-    k, edge = model.n_symbols, model.n_symbols - 1
-    n = len(data)
+    met = _costs(model)
     out = np.zeros((len(offsets) - 1, len(model.languages)))
-    if not n:
-        return out
-    s = model.symbol[data]
-    context = np.zeros(n, np.int64)
-    before = s
-    scale = 1
-    begin = offsets[:-1][offsets[:-1] < n]
-    for _ in range(model.order):
-        before = np.concatenate(([edge], before[:-1]))  # one byte earlier than the last time
-        before[begin] = edge
-        context += before * scale
-        scale *= k
-    cost = bits[rows[context].astype(np.int64) * k + s]
     full = np.flatnonzero(np.diff(offsets))
-    out[full] = np.add.reduceat(cost, offsets[full], axis=0, dtype=np.float64)
+    begin = offsets[full]
+    for lo in range(0, len(data), STRETCH):
+        hi = min(len(data), lo + STRETCH)
+        rows = met.rows(_codes(data, offsets, model.order, lo, hi))
+        a, b = np.searchsorted(begin, lo, "right") - 1, np.searchsorted(begin, hi, "left")
+        at = np.maximum(begin[a:b] - lo, 0)
+        for lang in range(0, len(model.languages), AT_ONCE):
+            part = slice(lang, lang + AT_ONCE)
+            out[full[a:b], part] += np.add.reduceat(met.table[:, part][rows], at, axis=0)
     return out
 
 
@@ -145,10 +201,14 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
-def predict(model: ContextTrees, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """(language, posterior share of its code under equal priors) of each text."""
+def predict(model: ContextTrees, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, its bits a byte) of each text.
+
+    The score is the language's share of ``2 ** -(bits of eight average bytes)`` over all languages, so it
+    tells how far apart the languages are, and not how long the text is.
+    """
     names: list[str] = []
-    scores = np.zeros(len(column))
+    scores, per_byte = np.zeros(len(column)), np.zeros(len(column))
     for lo, hi, data, offsets in textbytes.chunks(column):
         sums = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_LETTER[data], out=sums[1:])
@@ -160,46 +220,64 @@ def predict(model: ContextTrees, column: pa.Array) -> tuple[list[str], np.ndarra
             continue
         length = code_lengths(model, data, offsets)
         best = length.argmin(axis=1)
-        share = 1 / np.exp2(np.clip(length.min(axis=1)[:, None] - length, -1000, 0)).sum(axis=1)
-        scores[lo:hi] = np.where(letters, share, 0.0)
+        mean = length / np.maximum(np.diff(offsets), 1)[:, None]
+        least = mean.min(axis=1)
+        share = 1 / np.exp2(np.clip(8 * (least[:, None] - mean), -1000, 0)).sum(axis=1)
+        scores[lo:hi], per_byte[lo:hi] = np.where(letters, share, 0.0), least
         names += [model.languages[b] if ok else UND for b, ok in zip(best, letters, strict=True)]
-    return names, scores
+    return names, scores, per_byte
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 150, order: int = 3, languages: int = 200) -> ContextTrees:
-    """Train on a bounded sample: the ``per_language`` rows of each of at most ``languages``
-    languages (the most frequent) whose hashed ``key`` is smallest, whole texts.
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 150, order: int = 3, max_bytes: int = 64 << 20) -> ContextTrees:
+    """Train on a bounded sample of whole texts: of each language, the ``per_language`` texts of least
+    hash (of key and text), as far as they fit in the language's share of ``max_bytes``; equal rows count
+    once. A language whose texts are all longer than its share is trained on the shortest drawn.
 
-    The sample is taken by partial aggregation, so no task holds a language's rows.
+    The driver sees hashes and lengths of about twice as many rows, and the chosen texts.
     """
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("string").alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("t is not null and l is not null")
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
+    t = F.col(text)
+    rows = labelled.select(t.alias("t"), F.col(label).cast("string").alias("l"), F.xxhash64(F.col(key).cast("string"), t).alias("h"), F.octet_length(t).alias("n")).where("t is not null and l is not null")
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return train({}, order)
-    # Keep about twice the wanted rows by a threshold on the hash, then cut exactly on the driver.
-    share = F.coalesce(*(F.when(F.col("l") == name, F.lit(min(1.0, (2.0 * per_language + 20) / n))) for name, n in sizes.items()), F.lit(0.0))
+    spark = labelled.sparkSession
+    # About twice the wanted rows lie below a threshold on the hash.
+    share = spark.createDataFrame([(name, min(1.0, (2.0 * per_language + 20) / n)) for name, n in sizes.items()], "l string, share double")
     unit = (F.col("h").cast("double") / F.lit(float(2**64))) + F.lit(0.5)
-    chosen = rows.where(unit <= share).collect()
-    by: dict[str, list] = {}
-    for r in sorted(chosen, key=lambda r: (r.h, r.t)):
-        by.setdefault(r.l, [])
-        if len(by[r.l]) < per_language:
-            by[r.l].append(r.t)
+    drawn = rows.join(F.broadcast(share), "l").where(unit <= F.col("share")).groupBy("l", "h").agg(F.min("n").alias("n")).collect()
+    most = max_bytes // len(sizes)
+    chosen: dict[str, list] = {}
+    for name in sizes:
+        mine = sorted((r.h, r.n) for r in drawn if r.l == name)
+        taken, used = [], 0
+        for h, n in mine:
+            if len(taken) < per_language and used + n <= most:
+                taken.append(h)
+                used += n
+        chosen[name] = taken or [h for h, _ in sorted(mine, key=lambda x: (x[1], x[0]))[:1]]
+    pairs = spark.createDataFrame([(name, h) for name, hs in chosen.items() for h in hs], "l string, h long")
+    found = rows.join(F.broadcast(pairs), ["l", "h"], "left_semi").groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    by: dict[str, list] = {name: [] for name in sizes}
+    for r in sorted(found, key=lambda r: r.h):
+        by[r.l].append(r.t)
     return train(by, order)
 
 
 def language_column(df: DataFrame, model: ContextTrees, text: str = "text") -> Column:
-    """A struct column (lang_pred, score) from ``text`` alone."""
+    """A struct column (lang_pred, score, lang_bits) from ``text`` alone."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,lang_bits:double>")
     def language(column: pa.Array) -> pa.Array:
-        names, scores = predict(sent.value, column)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+        names, scores, per_byte = predict(sent.value, column)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(per_byte)], list(OUTPUT))
 
-    return language(F.col(text).cast("string"))
+    return language(F.col(f"`{text}`").cast("string"))
 
 
 def with_language(df: DataFrame, model: ContextTrees, text: str = "text") -> DataFrame:
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
-    return df.select(*kept, language_column(df, model, text).alias("__language")).select(*kept, "__language.lang_pred", "__language.score")
+    """``df`` with lang_pred, score and lang_bits, the bits a byte of the text under that language
+    (over 8: no learned language codes it better than bytes drawn at random)."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in OUTPUT]
+    both = df.select(F.struct(*kept).alias("row"), language_column(df, model, text).alias("found"))
+    return both.select("row.*", "found.*")

@@ -219,7 +219,18 @@ def test_line_dedup_equals_exact_counts(spark):
     assert linededup.dedup_lines(d.limit(0)).count() == 0
 
 
-def test_language_model_code_lengths_are_exact():
+def test_hundreds_of_languages_and_a_bounded_sample(spark):
+    rows = [(n * 3 + k, f"{chr(0x4E00 + n)}{chr(0x4E00 + n)} {chr(0x4E00 + n)}" * (k + 1), f"l{n:03}") for n in range(260) for k in range(3)]
+    rows += [(None, "zz zy", "hot")] * 500 + [(5, "q" * 5000, "long")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("row", "found", "h", "l")})
+    model = langid.fit(d, max_bytes=262 * 40)
+    assert len(model.languages) == 262
+    got = langid.with_language(d.dropDuplicates(["lang"]), model).collect()
+    assert all(r.lang == r.lang_pred for r in got) and got[0].row == "clash"
+    assert langid.predict(langid.train({"a": ["xx"], "b": ["xx"]}), pa.array(["xx"]))[0] == ["a"]
+
+
+def test_language_model_code_lengths_are_exact(monkeypatch):
     texts = {"aa": ["abab abba", "baab"], "bb": ["bcbc cbbc", ""]}
     model = langid.train(texts, order=2)
 
@@ -248,8 +259,12 @@ def test_language_model_code_lengths_are_exact():
     probes = ["ab", "", "bcb abx", "é", "cccc", "b"]
     for _, _, data, offsets in textbytes.chunks(pa.array(probes)):
         got = langid.code_lengths(model, data, offsets)
-    for i, t in enumerate(probes):
-        assert got[i] == pytest.approx([bits("aa", t), bits("bb", t)], abs=1e-3)
+    want = [[bits("aa", t), bits("bb", t)] for t in probes]
+    assert got == pytest.approx(np.array(want), abs=1e-9)
+    for stretch, remembered in ((1, 1 << 20), (3, 16), (4, 64)):  # many stretches, and a table that overflows
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        monkeypatch.setitem(langid._ready, model.key, langid.Costs(model, remembered))
+        assert langid.code_lengths(model, data, offsets) == pytest.approx(np.array(want), abs=1e-9)
 
 
 def test_language_of_odd_texts_and_held_out_accuracy(spark):
@@ -260,6 +275,9 @@ def test_language_of_odd_texts_and_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
     odd = langid.with_language(spark.createDataFrame([(t,) for t in ["", None, "12 ..", "\n"]], "text string"), model).collect()
     assert {(r.lang_pred, r.score) for r in odd} == {("und", 0.0)}
+    noise = bytes(np.random.default_rng(0).integers(0x4E00, 0x9000, 400).astype("<u2").tobytes()).decode("utf-16-le")
+    r = langid.with_language(spark.createDataFrame([(noise,)], "text string"), model).first()
+    assert r.lang_bits > 8 and all(x.lang_bits < 5 for x in rows)
     none = langid.fit(docs.limit(0))
     assert langid.with_language(docs.limit(3), none).first().lang_pred == "und"
 
