@@ -110,9 +110,23 @@ def train(hosts: list[str], paths: list[str], block: list[int], steps: int = 300
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "block", max_rows: int = MAX_ROWS) -> Model:
-    """Train on the ``max_rows`` labelled urls of smallest hash (label: 1 block, 0 allow)."""
-    rows = with_parts(labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("y")).where("url is not null and y is not null")).select("host", "path", "y").distinct()
-    taken = rows.orderBy(F.xxhash64("host", "path"), "host", "path", "y").limit(max_rows).collect()
+    """Train on the ``max_rows`` labelled urls of smallest hash (label: 1 block, 0 allow).
+
+    Hashes below a threshold are taken first, so only about twice as many rows as wanted are
+    made distinct and sorted. Rows are counted, copies of a hot url too, so where the threshold
+    leaves too few urls all of them are taken.
+    """
+    rows = with_parts(labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("y")).where("url is not null and y is not null")).select("host", "path", "y")
+    h = F.xxhash64("host", "path")
+    unit = h.cast("double") / F.lit(float(2**64)) + F.lit(0.5)
+
+    def least(part: DataFrame) -> list:
+        return part.distinct().orderBy(h, "host", "path", "y").limit(max_rows).collect()
+
+    share = (2.0 * max_rows + 100) / max(1, rows.count())
+    taken = least(rows.where(unit <= share))
+    if len(taken) < max_rows and share < 1:
+        taken = least(rows)
     return train([r.host for r in taken], [r.path for r in taken], [r.y for r in taken])
 
 
