@@ -8,21 +8,24 @@ item's, the hit is extended word by word to both sides, and counts where at leas
 words agree (the bytes of the words are compared, not only their hashes). Items of fewer
 than ``span`` words are one window, found by the hash of the whole item.
 
-The index over the items is sent to the executors in blocks of at most ``BLOCK_CHARS``
-characters of items. One block, which any usual benchmark fits in, is one pass over the
+The index over the items is sent to the executors in blocks of about ``BLOCK_CHARS``
+characters of items, one after the other: driver and executors hold one block at a time. One
+block, which any usual benchmark fits in, is one pass over the
 documents without a shuffle; more blocks are one pass each over the documents, which are numbered
-and written first, and joined by that number.
+and written first, and their hits are joined by that number. The result is the same.
 
 Defined cases: null and wordless texts have no words and no hits; null and wordless items
-have no windows; items that share an id are one item; every document is marked on
-its own, also where ids are null or repeated, whatever the number of blocks; an item with a null id takes
-part and is called ``null``; an empty benchmark marks nothing.
+have no windows; items that share an id are one item, and so are those with a null id, which
+``items`` names by a null at its end; every document is marked on
+its own, also where ids are null or repeated, whatever the number of blocks; an empty benchmark marks nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +45,15 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 class Index:
     """Winnowed items: sorted fingerprints with (item row, word) postings, and the items' words."""
 
-    ids: list[str]
+    ids: list[str | None]
     span: int
     k: int
     prints: np.ndarray  # sorted
     word: np.ndarray  # of each fingerprint, in the flat arrays below
     hashes: np.ndarray  # of the words of all items
     owner: np.ndarray  # item row of each word
-    text: list[bytes]  # each word
+    text: bytes  # of all words, one after another
+    start: np.ndarray  # of each word there, and the end of the last
     short: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # length: hash: first words
     filter: np.ndarray = field(default_factory=lambda: np.zeros(1, bool))
 
@@ -74,14 +78,10 @@ def winnow(hashes: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
-def _word_bytes(data: np.ndarray, words: textbytes.Words, i: int) -> bytes:
-    return textbytes.LOWER[data[words.start[i] : words.end[i]]].tobytes()
-
-
-def build_index(items: list[tuple[str, str]], span: int = SPAN, k: int = K) -> Index:
+def build_index(items: list[tuple[str | None, str]], span: int = SPAN, k: int = K) -> Index:
     ids, texts = [i for i, _ in items], pa.array([t for _, t in items], pa.string())
-    out = Index(ids, span, k, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), [])
-    prints, at, hashes, owner = [], [], [], []
+    out = Index(ids, span, k, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), b"", np.zeros(1, np.int64))
+    prints, at, hashes, owner, raw, sizes = [], [], [], [], [], []
     base = 0
     for lo, _, data, offsets in textbytes.chunks(texts):
         words = textbytes.words(data, offsets)
@@ -91,7 +91,9 @@ def build_index(items: list[tuple[str, str]], span: int = SPAN, k: int = K) -> I
             at.append(kept + base)
         hashes.append(words.hash)
         owner.append(words.text_of + lo)
-        out.text += [_word_bytes(data, words, i) for i in range(len(words.hash))]
+        size = words.end - words.start
+        raw.append(textbytes.LOWER[data[np.repeat(words.start - np.cumsum(size) + size, size) + np.arange(size.sum())]].tobytes())
+        sizes.append(size)
         for row in np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < span)):
             a, b = words.first[row], words.first[row + 1]
             whole = int(textbytes.grams(words.hash[a:b], b - a)[0])
@@ -99,6 +101,7 @@ def build_index(items: list[tuple[str, str]], span: int = SPAN, k: int = K) -> I
         base += len(words.hash)
     if hashes:
         out.hashes, out.owner = np.concatenate(hashes), np.concatenate(owner)
+        out.text, out.start = b"".join(raw), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     if prints:
         p, a = np.concatenate(prints), np.concatenate(at)
         order = np.argsort(p, kind="stable")
@@ -126,25 +129,25 @@ def _candidates(index: Index, words: textbytes.Words) -> tuple[np.ndarray, np.nd
     return doc, item
 
 
-def mark(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
+def mark(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str | None]]]:
     """Per text: number of words, hit stretches of words (merged), ids of the items that occur."""
     words = textbytes.words(data, offsets)
     n_texts = len(offsets) - 1
     stretches: list[list[tuple[int, int]]] = [[] for _ in range(n_texts)]
-    found: list[set[str]] = [set() for _ in range(n_texts)]
+    found: list[set[str | None]] = [set() for _ in range(n_texts)]
     text_of = words.text_of
-    same: dict[int, bytes] = {}
 
-    def word(i: int) -> bytes:
-        if i not in same:
-            same[i] = _word_bytes(data, words, i)
-        return same[i]
-
-    def hit(a: int, b: int, item_word: int) -> None:
-        if all(word(a + j) == index.text[item_word + j] for j in range(b - a)):
-            t = int(text_of[a])
-            stretches[t].append((int(a - words.first[t]), int(b - words.first[t])))
-            found[t].add(index.ids[int(index.owner[item_word])])
+    def hit(a: int, b: int, item_word: int, least: int) -> None:
+        """Runs of ``least`` equal words or more within b - a words of equal hashes."""
+        t, lo = int(text_of[a]), a
+        for i in range(a, b + 1):
+            w = item_word + i - a
+            if i < b and textbytes.LOWER[data[words.start[i] : words.end[i]]].tobytes() == index.text[index.start[w] : index.start[w + 1]]:
+                continue
+            if i - lo >= least:
+                stretches[t].append((int(lo - words.first[t]), int(i - words.first[t])))
+                found[t].add(index.ids[int(index.owner[item_word])])
+            lo = i + 1
 
     doc, item = _candidates(index, words)
     if len(doc):
@@ -166,7 +169,7 @@ def mark(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
                 b, y = b + 1, y + 1
             reached[lane] = b
             if b - a >= index.span:
-                hit(a, b, x)
+                hit(a, b, x, index.span)
     for length, by_hash in index.short.items():
         g = textbytes.grams(words.hash, length)
         if not len(g):
@@ -175,7 +178,7 @@ def mark(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
         end = words.first[1:][text_of[: len(g)]]
         for a in np.flatnonzero(np.isin(g, wanted) & (np.arange(len(g)) + length <= end)).tolist():
             for i in by_hash[int(g[a])]:
-                hit(a, a + length, i)
+                hit(a, a + length, i, length)
     return np.diff(words.first), [_merged(s) for s in stretches], found
 
 
@@ -192,8 +195,11 @@ def _merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _RESULT = "struct<n_words:bigint,spans:array<struct<lo:bigint,hi:bigint>>,items:array<string>>"
 
 
-def _marker(spark, index: Index):
-    sent = spark.sparkContext.broadcast(index)
+def _named(found: set[str | None]) -> list[str | None]:
+    return sorted(found, key=lambda x: (x is None, x or ""))
+
+
+def _marker(sent):
     span = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
 
     @F.arrow_udf(_RESULT)
@@ -203,47 +209,54 @@ def _marker(spark, index: Index):
             n, s, f = mark(sent.value, data, offsets)
             counts += n.tolist()
             spans += [[{"lo": a, "hi": b} for a, b in x] for x in s]
-            items += [sorted(x) for x in f]
+            items += [_named(x) for x in f]
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
 
     return marked
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int):
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
+def _joiner():
+    @F.arrow_udf(_RESULT)
+    def joined(counts: pa.Array, spans: pa.Array, items: pa.Array) -> pa.Array:
+        """What several blocks found in each text, as one block would have found it."""
+        merged = [[{"lo": a, "hi": b} for a, b in _merged([(x["lo"], x["hi"]) for part in row for x in part])] for row in spans.to_pylist()]
+        names = [_named({x for part in row for x in part}) for row in items.to_pylist()]
+        return pa.StructArray.from_arrays([counts, pa.array(merged, spans.type.value_type), pa.array(names, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+
+    return joined
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int) -> tuple[int, Callable[[int], list[tuple[str | None, str]]]]:
+    """(number of blocks, what collects one of them)."""
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
     chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
     n = max(1, -(-chars // block_chars))
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.orderBy("i", "t").collect()]
+    return n, lambda b: sorted(((r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with a struct column ``__hits``: n_words, spans (merged stretches of hit
     words, [lo, hi)) and items (sorted ids as strings). ``key`` plays no part: rows have numbers of their own."""
-    indexes = [build_index(rows, span, k) for rows in _blocks(benchmark, item, item_text, block_chars)]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "__hits"]
-    if len(indexes) == 1:
-        return docs.select(*kept, _marker(docs.sparkSession, indexes[0])(F.col(text).cast("string")).alias("__hits"))
-    # Ids may be null or repeated. A number of the row's own stays the same once it is written.
-    numbered = materialise(docs.select(F.struct(*kept).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    context = docs.sparkSession.sparkContext
+    n, block = _blocks(benchmark, item, item_text, block_chars)
+    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "__hits")).alias("doc")
+    send = lambda b: context.broadcast(build_index(block(b), span, k))
     body = F.col("doc").getField(text).cast("string")
-    counted = numbered.select("doc", "row", _marker(docs.sparkSession, build_index([], span, k))(body).alias("__empty"))
-    hits = None
-    for index in indexes:
-        one = numbered.select("row", _marker(docs.sparkSession, index)(body).alias("h")).where(F.size("h.items") > 0)
-        hits = one if hits is None else hits.unionByName(one)
-    merged = hits.groupBy("row").agg(F.flatten(F.collect_list("h.spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("i"))
-    start = F.struct(F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("done"))
-    joined = F.aggregate(
-        F.array_sort("s"), start,
-        lambda acc, x: F.when((F.size(acc["done"]) > 0) & (F.try_element_at(acc["done"], F.lit(-1))["hi"] >= x["lo"]),
-                              F.struct(F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc["done"], F.lit(-1))["lo"].alias("lo"), F.greatest(F.try_element_at(acc["done"], F.lit(-1))["hi"], x["hi"]).alias("hi")))).alias("done")))
-        .otherwise(F.struct(F.concat(acc["done"], F.array(x)).alias("done"))),
-    )["done"]
-    merged = merged.select("row", joined.alias("__s"), F.col("i").alias("__i"))
-    out = counted.join(merged, "row", "left")
-    return out.select("doc.*", F.struct(F.col("__empty.n_words").alias("n_words"), F.coalesce("__s", "__empty.spans").alias("spans"), F.coalesce("__i", "__empty.items").alias("items")).alias("__hits"))
+    if n == 1:
+        return docs.select(kept).select("doc", _marker(send(0))(body).alias("__hits")).select("doc.*", "__hits")
+    # Ids may be null or repeated. A number of the row's own stays the same once it is written.
+    numbered = materialise(docs.select(kept, F.monotonically_increasing_id().alias("row")), "numbered")
+    counted, passes = None, []
+    for b in range(n):
+        sent = send(b)
+        found = materialise(numbered.select("row", _marker(sent)(body).alias("h")).where(F.lit(b == 0) | (F.size("h.items") > 0)), f"hits-{b}")
+        sent.destroy()  # the pass is written: nothing reads this block again
+        counted = counted or found.select("row", F.col("h.n_words").alias("n"))
+        passes.append(found.where(F.size("h.items") > 0))
+    hits = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.collect_list("h.spans").alias("s"), F.collect_list("h.items").alias("i"))
+    out = numbered.join(counted, "row").join(hits, "row", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(dict(hits.dtypes)[c]))
+    return out.select("doc", _joiner()(F.col("n"), none("s"), none("i")).alias("__hits")).select("doc.*", "__hits")
 
 
 def digest(ids: list[str]) -> str:

@@ -1,13 +1,34 @@
 """Word-level operators on null and repeated ids."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_text_operators import benchmark_case, brute_hits, brute_lines
 
-from drawscope.llm import decontam, jaccard, linededup
+from drawscope.llm import decontam, jaccard, linededup, textbytes
 
 
-@pytest.mark.parametrize("block_chars", [1 << 20, 60])
+def test_nameless_items_are_not_called_null(spark):
+    d = spark.createDataFrame([(None, "q w e r")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "h", "doc")})
+    for chars in (1 << 20, 3):
+        b = spark.createDataFrame([("null", "q w"), (None, "e r"), (None, "w e"), ("x", None)], "item_id string, text string")
+        r = decontam.decontaminate(d, b, block_chars=chars).first()
+        assert list(r["__hits"]["items"]) == ["null", None] and [(s.lo, s.hi) for s in r["__hits"].spans] == [(0, 4)] and r["row"] == "clash"
+
+
+def test_words_that_share_a_hash_split_a_hit():
+    words = [f"w{i}" for i in range(25)]
+    index = decontam.build_index([("a", " ".join(words))])
+    other = words[:]
+    other[12] = "no"
+    for _, _, data, offsets in textbytes.chunks(pa.array([" ".join(other)])):
+        w = textbytes.words(data, offsets)
+        index.hashes[12] = w.hash[12]  # as if both words had one hash
+        _, spans, found = decontam.mark(index, data, offsets)
+    assert spans == [[(0, 12), (13, 25)]] and found == [{"a"}]
+
+
+@pytest.mark.parametrize("block_chars", [1 << 20, 700, 60])
 def test_each_row_is_marked_on_its_own(spark, block_chars):
     docs, items = benchmark_case()
     d = spark.createDataFrame([(None if n % 3 == 0 else n % 7, t, n) for n, t in enumerate(docs)], "doc_id long, text string, row long")
