@@ -12,11 +12,13 @@ a first scorer tells P from U, and ``pi`` is the least ratio, over thresholds th
 of P, of the shares of U and of P above the threshold (if what is left of U holds nothing but
 positives, that ratio is ``pi``).
 
-Statistics of a text are computed over the whole of it, from its bytes and word hashes. The
-training sample is bounded: ``max_positive`` and ``max_unlabelled`` rows of smallest hash.
+Statistics of a text are computed over the whole of it, from its bytes and words: shares of
+byte classes, lengths, repetition, and the square root of the share of its words and word pairs that fall in each of
+``BINS`` hashed bins. The training sample is bounded: ``max_positive`` and ``max_unlabelled`` ids of smallest hash,
+one text each.
 
 Defined cases: null and empty texts have all statistics zero, and a score; repeated rows are
-scored each for themselves; with no positives or no unlabelled rows every score is the prior
+scored each for themselves (for training, of the texts of one id that of least statistics counts); with no positives or no unlabelled rows every score is the prior
 (1 without any); an empty table gives an empty result; further columns are dropped.
 """
 
@@ -33,6 +35,9 @@ from . import textbytes
 
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
+BINS = 128
+#: Weight of a hashed bin beside a statistic, before training.
+BIN_SCALE = 0.25
 
 
 def _class(*bytes_: bytes) -> np.ndarray:
@@ -54,7 +59,8 @@ CLASSES = {
     "wide": np.arange(256) >= 128,
 }
 KIND = np.argmax(list(CLASSES.values()), axis=0)
-FEATURES = (*list(CLASSES)[1:], "log words", "word length", "distinct", "repeated", "repeated pair", "upper of letters")
+STATISTICS = (*list(CLASSES)[1:], "log words", "word length", "distinct", "repeated", "repeated pair", "upper of letters")
+FEATURES = (*STATISTICS, *(f"bin {b}" for b in range(BINS)))
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -82,6 +88,11 @@ def statistics(column: pa.Array) -> np.ndarray:
             same = np.zeros(len(w.hash), bool)
             same[gap:] = (w.hash[gap:] == w.hash[:-gap]) & (text_of[gap:] == text_of[:-gap])
             part[:, j] = np.bincount(text_of[same], minlength=hi - lo) / some
+        pairs = textbytes.grams(w.hash, 2)
+        inside = text_of[:-1] == text_of[1:]
+        hashed, of = np.concatenate([w.hash, pairs[inside]]), np.concatenate([text_of, text_of[1:][inside]])
+        binned = np.bincount((hashed >> np.uint64(32)).astype(np.int64) % BINS + of * BINS, minlength=(hi - lo) * BINS).reshape(-1, BINS)
+        part[:, len(STATISTICS) :] = np.sqrt(binned / np.maximum(binned.sum(axis=1, keepdims=True), 1))
         part[:, at + 5] = kinds[:, 1] / np.maximum(kinds[:, [0, 1, at]].sum(axis=1), 1)
     return out
 
@@ -95,7 +106,8 @@ class Scorer:
 
     def _design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.concatenate([z, z**2 / 8, np.ones((len(z), 1))], axis=1)
+        own, bins = z[:, : len(STATISTICS)], z[:, len(STATISTICS) :]
+        return np.concatenate([own, bins * BIN_SCALE, own**2 / 8, np.ones((len(z), 1))], axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.weights, -500, 500)))
@@ -131,9 +143,9 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def train(positive: np.ndarray, unlabelled: np.ndarray) -> Scorer:
     d = len(FEATURES)
     if not len(positive) or not len(unlabelled):
-        return Scorer(np.zeros(d), np.ones(d), np.append(np.zeros(2 * d), 30.0), 1.0)
+        return Scorer(np.zeros(d), np.ones(d), np.append(np.zeros(d + len(STATISTICS)), 30.0), 1.0)
     both = np.concatenate([positive, unlabelled])
-    blank = Scorer(both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6), np.zeros(2 * d + 1), 0.5)
+    blank = Scorer(both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6), np.zeros(0), 0.5)
     p, u = blank._design(positive), blank._design(unlabelled)
     first = _minimise(p[::2], u[::2], 0.5, False)
     prior = estimated_prior(p[1::2] @ first if len(p) > 1 else p @ first, u[1::2] @ first if len(u) > 1 else u @ first)
@@ -165,7 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     plain = docs.select(F.col(key), F.col(text).alias("text"))
     web = _sample(plain.select(key).where(F.col(key).isNotNull()).join(known.select(key), key, "left_anti"), key, max_unlabelled)
     drawn = good.withColumn("__p", F.lit(True)).unionByName(web.withColumn("__p", F.lit(False)))
-    rows = plain.join(F.broadcast(drawn), key).select(key, "__p", _features(plain, "text").alias("x")).collect()
+    measured = plain.join(F.broadcast(drawn), key).select(key, "__p", _features(plain, "text").alias("x"))
+    # A sampled id may be that of very many rows: one of them is taken, by partial aggregation.
+    rows = measured.groupBy(key, "__p").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r[key], r["x"]))
     x = {flag: np.array([r["x"] for r in rows if r["__p"] is flag]).reshape(-1, len(FEATURES)) for flag in (True, False)}
     return train(x[True], x[False])
