@@ -1,7 +1,8 @@
 """Documents to packed windows: language ID, line dedup, near-duplicates, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. Its result
-is written as Parquet and read again as the next one's documents.
+is written as Parquet and read again as the next one's documents; what a stage had written on
+its way is deleted then, and a stage's result once the next one's is written.
 """
 
 from __future__ import annotations
@@ -10,14 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawscope.llm import decontam, jaccard, langid, linededup, packing, queries
-from drawscope.scratch import materialise, table
+from drawscope.scratch import new_path, release, scope, table
+
+#: Bits a byte of the uniform code, at which a text is in none of the languages learnt.
+UNIFORM_BITS = 8.0
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; the rest (no text, no letter) goes."""
-    return langid.with_language(docs, queries.language_model(docs)).where(F.col("lang_pred") != langid.UND).select(*COLUMNS)
+    """Documents in one of the languages learnt, with ``lang`` as predicted. Those go that hold no
+    letter, and those that the best context tree codes in no fewer bits than bytes drawn at random."""
+    found = langid.with_language(docs, queries.language_model(docs))
+    kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("lang_bits") < UNIFORM_BITS))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that of the least id."""
+    """One document of each group of similar ones: the first in the order of ids."""
     return jaccard.keep_one(docs).select(*COLUMNS)
 
 
@@ -51,5 +58,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with scope(spark):
+            made = stage(spark, docs, sf_dir)
+            out = new_path(spark, name.replace(" ", "-"))
+            made.write.option("compression", "zstd").parquet(out)
+        docs = spark.read.schema(made.schema).parquet(out)
+        docs.scratch_path = out
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,7 +24,7 @@ COUNTY_NAMES = {
     "13": "Nograd",
     "14": "Pest",
     "15": "Somogy",
-    "16": "Szabolcs-Szatmár-Bereg",
+    "16": "Szabolcs-Szatmar-Bereg",
     "17": "Tolna",
     "18": "Vas",
     "19": "Veszprem",

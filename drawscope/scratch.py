@@ -2,23 +2,32 @@
 
 Lineage is cut by writing Parquet there and reading it again: any executor can be
 lost afterwards, and nothing upstream is computed twice. What a returned plan still reads
-stays there; the folder is the cluster's to clean, as it is for ``checkpoint()``.
+stays there until its result is written: a caller that writes it opens a ``scope`` and
+leaves it afterwards, which deletes all that was written within.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir (tests, a laptop).
+#: Used only where one machine runs all and the session names no spark.checkpoint.dir (tests, a laptop).
 LOCAL_FALLBACK = "file:///tmp/checkpoints/drawscope"
 
+#: Paths written in each open scope.
+_scopes: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local one is set only if none is."""
+    """The cluster's spark.checkpoint.dir; a local one is set only if none is and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir is unset: {master} needs a folder that driver and executors share")
         folder = LOCAL_FALLBACK
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,20 +41,36 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back; ``.scratch_path`` names the place."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once no later plan reads it."""
     for df in frames:
         path = getattr(df, "scratch_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on leaving, whatever ``materialise`` wrote within (and no inner scope has deleted)."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

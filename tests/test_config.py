@@ -64,3 +64,29 @@ def test_county_reports_become_flat_rows(spark):
 def test_known_columns_come_first(spark):
     df = spark.createDataFrame([(1, 2, 3, "u")], "votes_b int, votes_a int, voters int, precinct_id string")
     assert ordered_columns(df).columns == ["precinct_id", "voters", "votes_a", "votes_b"]
+
+
+def test_scopes_delete_what_they_wrote(spark):
+    from drawscope import scratch
+
+    with scratch.scope(spark):
+        with scratch.scope(spark):
+            inner = scratch.materialise(spark.range(3), "inner")
+            assert inner.count() == 3
+        outer = scratch.materialise(spark.range(2), "outer")
+    for df in (inner, outer):
+        assert not Path(df.scratch_path.removeprefix("file://")).exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from drawscope import scratch
+
+    for master, wrong in (("yarn", True), ("spark://a:7077", True), ("local-cluster[2,1,1024]", True), ("local[4]", False), ("local", False)):
+        kept = {}
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d, set=kept.__setitem__), sparkContext=SimpleNamespace(master=master))
+        if wrong:
+            with pytest.raises(ValueError, match="share"):
+                scratch.shared_folder(session)
+        assert wrong or scratch.shared_folder(session) == kept["spark.checkpoint.dir"]
