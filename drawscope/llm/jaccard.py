@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..scratch import materialise, release
 from . import textbytes
+from .joins import few
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -56,9 +57,6 @@ TILE = 256
 BRANCHES = 2
 LEVELS = 3
 
-#: Row numbers (eight bytes each) up to which a set of them is broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1 << 20
-
 
 def runs_for(recall: float, threshold: float = THRESHOLD, branches: int = BRANCHES, levels: int = LEVELS) -> int:
     """Runs after which a pair at the threshold is missed with a chance of at most 1 - recall."""
@@ -289,11 +287,6 @@ def _dealt(leaves: DataFrame, limit: int, block_weight: int | None = None) -> Da
     return pairs.select("col", "path", "rep", "size", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """``rows`` (one column of numbers, written already), to be broadcast where they are few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def classified(table: DataFrame, text: Column, key: Column, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, block_weight: int = BLOCK_WEIGHT, branches: int = BRANCHES, levels: int = LEVELS) -> DataFrame:
     """(row, id, class_no, best, n_links, n_copies) of the rows of a written, numbered table whose
     texts hold words; ``best`` is the class's first row: (none, id, row) of the least id, null last."""
@@ -316,7 +309,7 @@ def classified(table: DataFrame, text: Column, key: Column, threshold: float = T
     leaves = materialise(filtered.distinct(), "leaves")
     wanted = materialise(leaves.select("rep").distinct(), "wanted")
     # Only texts of sets with a promising partner are read again, one of each class.
-    texts = rows.select(F.col("row").alias("rep"), "text").join(_few(wanted), "rep", "left_semi")
+    texts = rows.select(F.col("row").alias("rep"), "text").join(few(wanted), "rep", "left_semi")
     sets = texts.mapInArrow(_sets, "rep bigint, set binary")
     full = materialise(of.join(sets, "rep").select("rep", "paths", "set"), "sets")
     weights = materialise(leaves.groupBy("col", "path").agg(F.count("*").alias("m"), F.sum("size").alias("weight")), "leaf-weights")
@@ -360,4 +353,4 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     table = _numbered(docs, docs.columns)
     classes = classified(table, F.col("doc").getField(text), F.col("doc").getField(key), **options)
     gone = materialise(classes.where(F.col("row") != F.col("best.row")).select("row"), "gone")
-    return table.join(_few(gone), "row", "left_anti").select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
+    return table.join(few(gone), "row", "left_anti").select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, release
+from .joins import few
 
 NULL_SITE = "\x00null"
 COUNTS = ("__n_lines", "__n_cut")
@@ -57,8 +58,9 @@ def spread(rows: DataFrame, min_sites: int, lg_k: int = 10) -> DataFrame:
 
     lg_k: the sketches have 2**lg_k registers; the error allowed for is four standard errors.
     """
-    frequent = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    sketched = rows.join(frequent, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(
+    frequent = materialise(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2"), "frequent")
+    # Where they are few, the rows of a line that fills a third of the corpus are sketched where they lie.
+    sketched = rows.join(few(frequent), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("about"),
         F.min(F.struct("first", "row", "pos")).alias("keep"),
     )
@@ -67,10 +69,10 @@ def spread(rows: DataFrame, min_sites: int, lg_k: int = 10) -> DataFrame:
     sure = kept.where(F.col("about") > min_sites + slack)
     near = kept.where(F.col("about") <= min_sites + slack)
     # Distinct (line, site) pairs are few however often a line occurs: partial aggregation meets them first.
-    exact = rows.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = rows.join(few(near.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     decided = near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi")
     found = materialise(sure.unionByName(decided).select("h1", "h2", "keep"), "boilerplate")
-    release(kept)
+    release(kept, frequent)
     return found
 
 
@@ -78,7 +80,7 @@ def removals(table: DataFrame, min_sites: int = 10) -> DataFrame:
     """(row, cut): the lines that each row of a numbered table loses, as bits of an array of 64-bit words."""
     rows = table.select("row", "first", "site", F.explode("lines").alias("line")).select("row", "first", "site", "line.*")
     found = spread(rows, min_sites)
-    hit = rows.select("row", "pos", "h1", "h2").join(found, ["h1", "h2"])
+    hit = rows.select("row", "pos", "h1", "h2").join(few(found), ["h1", "h2"])
     later = hit.where((F.col("row") != F.col("keep.row")) | (F.col("pos") != F.col("keep.pos")))
     words = later.groupBy("row", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
     held = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last"))
