@@ -38,9 +38,9 @@ UND = "und"
 #: Stands before a text's first byte.
 EDGE = 256
 SYMBOL_BITS = 9
-REMEMBERED_BYTES = 1 << 26
+REMEMBERED_BYTES = 1 << 23
 #: Bytes, and languages, that are worked on at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 AT_ONCE = 8
 OUTPUT = ("lang_pred", "score", "lang_bits")
 
@@ -153,7 +153,7 @@ class Costs:
             self._clear()
             return self.rows(codes)
         while len(self.table) < self.used + len(new):
-            self.table = np.concatenate([self.table, np.zeros((max(1024, len(self.table)), self.table.shape[1]))])
+            self.table = np.concatenate([self.table, np.zeros((max(1024, len(self.table) // 2), self.table.shape[1]))])
         place = (new * textbytes.BASE) >> np.uint64(64 - self.bits)
         # A gram takes its place if that is free and no other of the new ones takes it; others are forgotten again.
         _, first = np.unique(place, return_index=True)

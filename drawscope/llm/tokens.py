@@ -26,7 +26,7 @@ END_ID = 2
 
 #: Pieces, and bytes of them, that a worker remembers; further ones are encoded for each batch and forgotten.
 REMEMBERED = 1_000_000
-REMEMBERED_BYTES = 1 << 26
+REMEMBERED_BYTES = 1 << 24
 
 IS_PIECE = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Letters, then signs of ASCII other than the apostrophe: one word, or one and the signs.
@@ -45,13 +45,13 @@ class PieceEncoder:
         self.dtype = np.dtype("<u4" if top > 1 << 16 else "<u2")
         self.remembered = remembered
         self.keys = np.zeros(0, np.uint64)  # hashes of the pieces known, ascending
-        self.row = np.zeros(0, np.int64)  # of each of them
-        self.start = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
+        self.row = np.zeros(0, np.int32)  # of each of them
+        self.start = np.zeros(1 << 12, np.int32)
+        self.length = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, self.dtype)
         self.text = np.zeros(1 << 14, np.uint8)  # bytes of the pieces known
-        self.text_start = np.zeros(1 << 12, np.int64)
-        self.text_size = np.zeros(1 << 12, np.int64)
+        self.text_start = np.zeros(1 << 12, np.int32)
+        self.text_size = np.zeros(1 << 12, np.int32)
         self.rows = self.used = self.text_used = 0
         # Where the tokenizer marks word ends and parts letters from signs, many simple pieces
         # can be encoded in one call and parted again at the marks.
@@ -103,9 +103,9 @@ class PieceEncoder:
         lengths = np.concatenate(by)
         n, total = self.rows + len(order), self.used + int(lengths.sum())
         while len(self.start) < n:
-            self.start, self.length, self.text_start, self.text_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.text_start, self.text_size))
+            self.start, self.length, self.text_start, self.text_size = (np.concatenate([x, np.zeros(len(x) // 2, x.dtype)]) for x in (self.start, self.length, self.text_start, self.text_size))
         while len(self.flat) < total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 2, self.dtype)])
         self.length[self.rows : n] = lengths
         self.start[self.rows : n] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : total] = np.concatenate(ids)
@@ -117,7 +117,7 @@ class PieceEncoder:
     def _remember(self, place: np.ndarray, keys: np.ndarray, rows: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         total = int(size.sum())
         while len(self.text) < self.text_used + total:
-            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+            self.text = np.concatenate([self.text, np.zeros(len(self.text) // 2, np.uint8)])
         first = np.cumsum(size) - size
         self.text[self.text_used : self.text_used + total] = data[np.arange(total) + np.repeat(start - first, size)]
         self.text_start[rows], self.text_size[rows] = self.text_used + first, size
@@ -140,7 +140,7 @@ class PieceEncoder:
         # A piece may share the hash of the first one here, or of a remembered one, and differ.
         first = at[inverse]
         odd = textbytes.differ(data, start, size, data, start[first], size[first])
-        where, old = at[known], found[known]
+        where, old = at[known], found[known].astype(np.int64)
         strange = np.zeros(len(seen), bool)
         strange[known] = textbytes.differ(data, start[where], size[where], self.text, self.text_start[old], self.text_size[old])
         odd |= strange[inverse]
@@ -165,7 +165,7 @@ class PieceEncoder:
             different = list(dict.fromkeys(wanted))
             given = dict(zip(different, self._learn([t.decode("utf-8", "replace") for t in different]).tolist(), strict=True))
             rows[alone] = [given[t] for t in wanted]
-        lengths = self.length[rows]
+        lengths = self.length[rows].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(lengths)))
         take = np.repeat(self.start[rows] - ends[:-1], lengths) + np.arange(ends[-1])
         ids = self.flat[take]

@@ -38,7 +38,7 @@ from ..scratch import materialise
 
 BLOCK_ROWS = 1 << 15
 #: Fewer rows than this are not worth a block of their own.
-LEAST_ROWS = 1 << 12
+LEAST_ROWS = 1 << 14
 DROPPED = 1
 
 _INDEX = "dims int, ids binary, low binary, slices binary, bits int, values binary"
@@ -209,7 +209,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     for d, at, n in parts:  # a query meets the blocks of its own length
         blocks = F.when(F.size("v") == d, F.sequence(F.lit(at).cast("long"), F.lit(at + n - 1).cast("long"))).otherwise(blocks)
     wanted = asked.select(F.explode(blocks).alias("of"), "id", "v")
-    both = index.unionByName(wanted, allowMissingColumns=True).repartition("of").sortWithinPartitions("of", F.col("id").asc_nulls_first())
+    both = index.unionByName(wanted, allowMissingColumns=True).repartitionById(max(1, sum(n for _, _, n in parts)), F.col("of").cast("int")).sortWithinPartitions("of", F.col("id").asc_nulls_first())
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at = None, None
