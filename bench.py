@@ -1,4 +1,4 @@
-"""Headline queries, warm: one JSON line with the median of three runs each.
+"""Headline queries, warm: one JSON line with the median of five runs each.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the tables, BENCH_CPUS (default 4) the cores.
 Ensemble queries run over 20, 200 and 1000 draws.
@@ -23,7 +23,7 @@ from drawscope.operators.components import components  # noqa: E402
 from drawscope.plans import diagnostics, electorate, metrics, registry  # noqa: E402
 from drawscope.session import build_session  # noqa: E402
 
-RUNS = 3
+RUNS = 5
 
 
 def main() -> None:
@@ -64,7 +64,7 @@ def main() -> None:
             job().write.format("noop").mode("overwrite").save()
             took.append(time.perf_counter() - began)
         out[name] = round(statistics.median(took[1:]), 3)
-    print(json.dumps({"metric": "sum of warm medians", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": Path(folder).name.removeprefix("sf")}))
+    print(json.dumps({"metric": "sum of warm medians", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": Path(folder).name.removeprefix("sf"), "cpus": cpus}))
 
 
 if __name__ == "__main__":

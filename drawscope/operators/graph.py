@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,16 +128,36 @@ def bridges(nodes: DataFrame, edges: DataFrame, scope: str = "county", unit: str
 def district_components(assigned: DataFrame, edges: DataFrame, scope: Sequence[str] = ("county",)) -> DataFrame:
     """Per (scope, draw, district): connected pieces of its units (GR10).
 
-    One run over all draws: a node is a (scope, draw, unit), so draws never meet.
+    Every unit carries its neighbours (a few), and the units of one plan of one scope, some
+    thousands, meet in a task that joins neighbours of one district. The ensemble is shuffled once.
     """
     keys = [*scope, "draw"]
-    node = lambda u: F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys), u)
-    a = assigned.select(*keys, F.col("precinct_id").alias("src"), F.col("district").alias("da"))
-    b = assigned.select(*keys, F.col("precinct_id").alias("dst"), F.col("district").alias("db"))
-    inside = edges.join(a, "src").join(b, [*keys, "dst"]).where("da = db").select(node(F.col("src")).alias("src"), node(F.col("dst")).alias("dst"))
-    every = assigned.select(*keys, "district", node(F.col("precinct_id")).alias("node"))
-    parts = components(inside, nodes=every.select("node"))
-    return every.join(parts, "node").groupBy(*keys, "district").agg(F.countDistinct("component").alias("n_pieces"), F.count("*").alias("n_units"))
+    sides = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = sides.groupBy(F.col("src").alias("precinct_id")).agg(F.collect_set("dst").alias("near"))
+    rows = assigned.select(*keys, "precinct_id", "district").join(near, "precinct_id", "left")
+    kinds = {f.name: f.dataType.simpleString() for f in assigned.schema.fields}
+
+    def pieces(plan: pa.Table) -> pa.Table:
+        names, district = plan.column("precinct_id").to_pylist(), plan.column("district").to_pylist()
+        at = {u: i for i, u in enumerate(names)}
+        root = list(range(len(names)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, others in enumerate(plan.column("near").to_pylist()):
+            for j in (at[u] for u in others or () if u in at):
+                if district[i] == district[j]:
+                    root[find(i)] = find(j)
+        n_units, n_pieces = Counter(district), Counter(d for i, d in enumerate(district) if find(i) == i)
+        found = sorted(n_units, key=lambda d: (d is None, d or 0))
+        one = {k: pa.array([plan.column(k)[0].as_py()] * len(found), plan.schema.field(k).type) for k in keys}
+        return pa.table({**one, "district": pa.array(found, plan.schema.field("district").type), "n_pieces": pa.array([n_pieces[d] for d in found], pa.int64()), "n_units": pa.array([n_units[d] for d in found], pa.int64())})
+
+    return rows.groupBy(*keys).applyInArrow(pieces, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "district"]) + ", n_pieces bigint, n_units bigint")
 
 
 def edge_lines(edges: DataFrame, centres: DataFrame, most: int | None = None, unit: str = "precinct_id") -> DataFrame:

@@ -404,13 +404,16 @@ def parted_voids(gaps: list[Shape], cell_area: float | None, part_from: float, m
     return kept, left_out, len(final) - len(kept)
 
 
-_VOIDS = f"county string, void_key bigint, cx double, cy double, area_m2 double, shape {rings.SHAPE}"
+_VOIDS = f"county string, void_key bigint, cx double, cy double, area_m2 double, shape {rings.SHAPE}, cells_left_out bigint, pieces_dropped bigint"
 
 
-def voids(units: DataFrame, shells: DataFrame, min_area: float = 100.0, hexagons: bool = False, mean_factor: float = 1.5, least: float = 10_000.0, most: float = 5_000_000.0, part_factor: float = 4.0, width: float | None = 30.0, fraction: float | None = None) -> DataFrame:
+def voids(units: DataFrame, shells: DataFrame, min_area: float = 100.0, hexagons: bool = False, mean_factor: float = 1.5, least: float = 10_000.0, most: float = 5_000_000.0, part_factor: float = 4.0, width: float | None = 30.0, fraction: float | None = None, most_cells: int = 200_000) -> DataFrame:
     """What units leave uncovered of their county's shell, in pieces of ``min_area`` or more
     (GEO7-9, GEO12). units: (county, precinct_id, shape); shells: (county, shape).
 
+    ``most_cells``: hexagons that a void is cut into at most. Every row tells, for its county, how many
+    grid cells were left out for that (``cells_left_out``), and how many pieces for their quality.
+
     A county's units meet in one task: their number is that of a county's polling stations,
     a few thousand at most, whatever the number of plans.
     """
@@ -422,14 +425,15 @@ def voids(units: DataFrame, shells: DataFrame, min_area: float = 100.0, hexagons
             outer = union([from_rows(s) for s in shell.column("shape").to_pylist()])
             covered = [s for s in (from_rows(v) for v in mine.column("shape").to_pylist()) if s]
             gaps = [[p] for p in (difference(outer, covered) if covered else outer) if area([p]) >= min_area]
+            left_out = dropped = 0
             if hexagons and covered:
                 mean = sum(map(area, covered)) / len(covered)
-                gaps, _, _ = parted_voids(gaps, max(least, min(mean * mean_factor, most)), max(least, mean * part_factor), min_area, width=width, fraction=fraction)
+                gaps, left_out, dropped = parted_voids(gaps, max(least, min(mean * mean_factor, most)), max(least, mean * part_factor), min_area, most_cells, width, fraction)
             for i, g in enumerate(gaps):
                 x, y = ring_centroid(g[0][0])
-                rows.append({"county": county, "void_key": i, "cx": x, "cy": y, "area_m2": area(g), "shape": to_rows(g)})
+                rows.append({"county": county, "void_key": i, "cx": x, "cy": y, "area_m2": area(g), "shape": to_rows(g), "cells_left_out": left_out, "pieces_dropped": dropped})
         point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-        return pa.Table.from_pylist(rows, pa.schema([("county", pa.string()), ("void_key", pa.int64()), ("cx", pa.float64()), ("cy", pa.float64()), ("area_m2", pa.float64()), ("shape", pa.list_(pa.list_(pa.list_(point))))]))
+        return pa.Table.from_pylist(rows, pa.schema([("county", pa.string()), ("void_key", pa.int64()), ("cx", pa.float64()), ("cy", pa.float64()), ("area_m2", pa.float64()), ("shape", pa.list_(pa.list_(pa.list_(point)))), ("cells_left_out", pa.int64()), ("pieces_dropped", pa.int64())]))
 
     return units.select("county", "shape").groupBy("county").cogroup(shells.select("county", "shape").groupBy("county")).applyInArrow(of_county, _VOIDS)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import log_scan
+from ..scratch import materialise
 
 
 def population_deviation(assigned: DataFrame, districts: DataFrame, keys: list[str], scope: list[str], population: str = "population") -> DataFrame:
@@ -16,7 +17,16 @@ def population_deviation(assigned: DataFrame, districts: DataFrame, keys: list[s
     ideal of zero or less gives 0.
     """
     per = list(dict.fromkeys([*scope, *keys]))
-    totals = assigned.groupBy(*per, "district").agg(F.sum(F.coalesce(F.col(population), F.lit(0)).cast("double")).alias("p"))
+    totals = assigned.groupBy(*per, "district").agg(_population(population).alias("p"))
+    return _deviation(totals, districts, per, scope)
+
+
+def _population(column: str = "population"):
+    return F.sum(F.coalesce(F.col(column), F.lit(0)).cast("double"))
+
+
+def _deviation(totals: DataFrame, districts: DataFrame, per: list[str], scope: list[str]) -> DataFrame:
+    """``totals``: (per, district, p)."""
     plans = totals.join(F.broadcast(districts.select(*scope, "ndists")), scope)
     inside = F.when(F.col("district").between(1, F.col("ndists")), F.col("p"))
     # |p - ideal| is greatest at the largest or the smallest district: no second pass is needed.
@@ -54,11 +64,18 @@ def uniqueness(assigned: DataFrame, scope: list[str]) -> DataFrame:
     A plan's vector is known by two sums of hashes over its (unit, district) pairs: they need
     no order, combine map-side, and are never collected to one row of a plan's size.
     """
+    signed = assigned.groupBy(*scope, "draw").agg(*(F.sum(h).alias(n) for n, h in _hashes().items()))
+    return _unique(signed, scope)
+
+
+def _hashes() -> dict[str, Column]:
     pair = F.xxhash64("precinct_id", "district")
     again = F.xxhash64(F.lit(11), "district", "precinct_id")
     # Halves of 31 bits can be summed over two thousand million units without overflow.
-    sums = [F.sum(F.shiftrightunsigned(h, n).bitwiseAND(F.lit(0x7FFFFFFF))) for h in (pair, again) for n in (0, 32)]
-    signed = assigned.groupBy(*scope, "draw").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums)))
+    return {f"s{2 * i + j}": F.shiftrightunsigned(h, n).bitwiseAND(F.lit(0x7FFFFFFF)) for i, h in enumerate((pair, again)) for j, n in enumerate((0, 32))}
+
+
+def _unique(signed: DataFrame, scope: list[str]) -> DataFrame:
     return signed.groupBy(*scope).agg(F.countDistinct("s0", "s1", "s2", "s3").alias("n_unique"), F.count("*").alias("n_draws")).select(*scope, "n_draws", "n_unique", (F.col("n_draws") - F.col("n_unique")).alias("n_duplicate"))
 
 
@@ -97,9 +114,15 @@ def log_report(logs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bundle(assigned: DataFrame, districts: DataFrame, scope: list[str], tolerance: float | None = None) -> DataFrame:
-    """Population, uniqueness, splits and convergence for every scope (DOM10)."""
-    deviation = population_deviation(assigned, districts, [*scope, "draw"], scope)
-    chains = assigned.select(*scope, "draw", "chain").distinct()
-    series = deviation.join(chains, [*scope, "draw"]).select(*scope, "chain", "draw", F.col("deviation").alias("value"))
-    units = assigned.groupBy(*scope).agg(F.countDistinct("precinct_id").alias("n_units"))
-    return units.join(districts.select(*scope, "ndists"), scope).join(population_summary(deviation, scope, tolerance), scope).join(uniqueness(assigned, scope), scope).join(r_hat(series, scope).withColumnRenamed("r_hat", "r_hat_deviation"), scope)
+    """Population, uniqueness, splits and convergence for every scope (DOM10).
+
+    The ensemble is read once: one aggregation by (scope, draw, district), written, holds all that is asked. A draw
+    covers every unit (the ensemble's contract), so the units of a scope are those of a draw.
+    """
+    sums = [F.sum(h).alias(n) for n, h in _hashes().items()]
+    parts = materialise(assigned.groupBy(*scope, "draw", "district").agg(_population().alias("p"), F.count("*").alias("n"), F.min("chain").alias("chain"), *sums), "plan-parts")
+    plans = parts.groupBy(*scope, "draw").agg(F.sum("n").alias("n"), F.min("chain").alias("chain"), *(F.sum(c).alias(c) for c in _hashes()))
+    deviation = _deviation(parts, districts, [*scope, "draw"], scope)
+    series = deviation.join(plans.select(*scope, "draw", "chain"), [*scope, "draw"]).select(*scope, "chain", "draw", F.col("deviation").alias("value"))
+    units = plans.groupBy(*scope).agg(F.max("n").alias("n_units"))
+    return units.join(districts.select(*scope, "ndists"), scope).join(population_summary(deviation, scope, tolerance), scope).join(_unique(plans, scope), scope).join(r_hat(series, scope).withColumnRenamed("r_hat", "r_hat_deviation"), scope)

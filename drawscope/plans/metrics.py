@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.units import ContractError, on_units
+from ..scratch import materialise
 
 METRICS = ("vote_share_a", "seat_share_a", "efficiency_gap", "mean_median_a_share_diff")
 
@@ -172,6 +173,12 @@ def draw_metrics(units: DataFrame, ensemble: DataFrame, scope: list[str], policy
     return plan_metrics(district_totals(on_units(ensemble, votes, [*scope, "precinct_id"]), [*scope, "draw"]), [*scope, "draw"], policy)
 
 
+def draw_series(units: DataFrame, votes: DataFrame, coding: DataFrame, ensemble: DataFrame, scope: list[str], policy: Policy | None = None) -> DataFrame:
+    """(scope, draw, metric, value) of every draw, for histograms (DOM13)."""
+    blocs = materialise(balanced(bloc_votes(units, votes, coding), scope, policy), "blocs")
+    return long_metrics(draw_metrics(blocs, ensemble, scope, policy), [*scope, "draw"])
+
+
 def compare(units: DataFrame, votes: DataFrame, coding: DataFrame, focal: DataFrame, ensemble: DataFrame, scope: list[str] | None = None, policy: Policy | None = None, strict: bool = True) -> DataFrame:
     """Enacted plan against the ensemble (DOM8): a row for each scope and metric.
 
@@ -183,7 +190,8 @@ def compare(units: DataFrame, votes: DataFrame, coding: DataFrame, focal: DataFr
     are compared after rounding to 12 digits, since sums come in any order on a cluster.
     """
     scope = scope or ["county"]
-    blocs = balanced(bloc_votes(units, votes, coding), scope, policy)
+    # A row a unit, read by the enacted plan, the draws, the count of units and the strict check: written once.
+    blocs = materialise(balanced(bloc_votes(units, votes, coding), scope, policy), "blocs")
     labelled = blocs.join(first_focal(focal), "precinct_id", "left")
     if strict and labelled.where((F.col("votes_a") + F.col("votes_b") > 0) & F.col("focal_district").isNull()).limit(1).count():
         raise ContractError("units with votes lack an enacted district")

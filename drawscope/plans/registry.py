@@ -16,7 +16,7 @@ from ..operators import units as ops
 from ..operators.components import components
 from ..scratch import table
 from ..sources import sinks
-from . import diagnostics, electorate, figures, generate, metrics, rollup, rules
+from . import diagnostics, electorate, figures, generate, metrics, reports, rollup, rules
 from .electorate import BASE_SQL, DRAWS
 
 SKIP = metrics.Policy(safety=metrics.Safety(on_small_values="skip_balance"))
@@ -276,7 +276,7 @@ def chain_of_draw(spark, d):  # AGG23, WIN3
 
 
 @q(f", {_PD}, {_UN}, {_RH} SELECT un.county, un.n_draws, un.n_unique, round(any_value(m), 6) AS mean_dev, count(*) AS n_units FROM un JOIN (SELECT county, avg(deviation) AS m FROM pd GROUP BY county) s USING (county) JOIN u USING (county) GROUP BY un.county, un.n_draws, un.n_unique")
-def diagnostics_bundle(spark, d):  # DOM10, DOM11
+def diagnostics_bundle(spark, d):  # DOM10
     b = diagnostics.bundle(_assigned(spark, d), electorate.districts(spark, d), SCOPE, 0.25)
     return b.select("county", "n_draws", "n_unique", r("mean_of_max_abs_rel_deviation").alias("mean_dev"), "n_units")
 
@@ -414,7 +414,7 @@ def edge_patch_counts(spark, d):  # SET3
     return graph.patch(edges_rook(spark, d).select("src", "dst"), queen.where("src like '%1'"), queen.where("dst like '%2'"))[1]
 
 
-@q(f", {_EDGE}, dr AS (SELECT ens.* FROM ens), two AS (SELECT src, dst FROM eq WHERE manhattan = 1 UNION ALL SELECT dst, src FROM eq WHERE manhattan = 1), ins AS (SELECT a.draw, two.src, two.dst FROM two JOIN dr a ON a.precinct_id = two.src JOIN dr b ON b.precinct_id = two.dst AND b.draw = a.draw AND b.district = a.district), reach(draw, node, root) AS (SELECT draw, precinct_id, precinct_id FROM dr UNION SELECT i.draw, i.dst, r.root FROM reach r JOIN ins i ON i.draw = r.draw AND i.src = r.node), comp AS (SELECT draw, node, min(root) AS c FROM reach GROUP BY ALL) SELECT county, dr.draw::INTEGER AS draw, district, count(DISTINCT c) AS n_pieces, count(*) AS n_units FROM dr JOIN comp ON node = precinct_id AND comp.draw = dr.draw GROUP BY county, dr.draw, district", recursive=True)
+@q(f", {_EDGE}, two AS (SELECT src, dst FROM eq WHERE manhattan = 1 UNION ALL SELECT dst, src FROM eq WHERE manhattan = 1), ins AS MATERIALIZED (SELECT a.draw, two.src, two.dst FROM two JOIN ens a ON a.precinct_id = two.src JOIN ens b ON b.precinct_id = two.dst AND b.draw = a.draw AND b.district = a.district), comp(draw, node, c) USING KEY (draw, node) AS (SELECT draw, precinct_id, precinct_id FROM ens UNION SELECT i.draw, i.dst, min(r.c) FROM comp r JOIN ins i ON i.draw = r.draw AND i.src = r.node JOIN recurring.comp old ON old.draw = i.draw AND old.node = i.dst WHERE r.c < old.c GROUP BY i.draw, i.dst) SELECT county, ens.draw::INTEGER AS draw, district, count(DISTINCT c) AS n_pieces, count(*) AS n_units FROM ens JOIN comp ON node = precinct_id AND comp.draw = ens.draw GROUP BY county, ens.draw, district", recursive=True)
 def district_connectivity(spark, d):  # GR10
     return graph.district_components(electorate.ensemble(spark, d), edges_rook(spark, d).select("src", "dst"))
 
@@ -587,13 +587,33 @@ def fig_gap_interval(spark, d):  # FIG4, JN9
     return f.select("maz", *(r(c).alias(c) for c in ("focal_value", "ensemble_p05", "ensemble_p95", "vote_share_a")))
 
 
-def _events_values(spark, d) -> DataFrame:
-    return table(spark, d, "events").select(F.col("event_type").alias("k"), F.col("value"))
+def _series(spark, d) -> DataFrame:
+    """Every draw's metrics and population deviation, rounded alike in query and SQL."""
+    found = metrics.draw_series(electorate.units(spark, d).select("county", "precinct_id"), electorate.list_votes(spark, d), electorate.coding(spark), electorate.ensemble(spark, d), SCOPE, SKIP)
+    deviation = _deviation(spark, d).select("county", "draw", F.lit("population_deviation").alias("metric"), F.col("deviation").alias("value"))
+    return found.unionByName(deviation).withColumn("value", r("value", 9))
 
 
-@q(" , e AS (SELECT event_type AS k, min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL GROUP BY event_type), c AS (SELECT event_type AS k, least(15, floor((value - lo) / (hi - lo) * 16))::INTEGER AS bin, count(*) AS n FROM events JOIN e ON e.k = event_type WHERE value IS NOT NULL GROUP BY ALL) SELECT e.k, b.bin::INTEGER AS bin, round(lo + b.bin * ((hi - lo) / 16), 6) AS bin_lo, coalesce(n, 0)::BIGINT AS n FROM e, (SELECT unnest(range(16)) AS bin) b LEFT JOIN c ON c.k = e.k AND c.bin = b.bin")
+_SERIES = f"{_ALL}, {_PD}, ser AS (SELECT county, draw::INTEGER AS draw, metric, round(value, 9) + 0.0::DOUBLE AS value FROM (SELECT county, draw, metric, value FROM dl UNION ALL SELECT county, draw, 'population_deviation', deviation FROM pd))"
+
+
+@q(f"{_SERIES} SELECT * FROM ser")
+def draw_series(spark, d):  # DOM13
+    return _series(spark, d)
+
+
+@q(f"{_SERIES}, e AS (SELECT county, metric, CASE WHEN min(value) = max(value) THEN min(value) - 0.5::DOUBLE ELSE min(value) END AS lo, CASE WHEN min(value) = max(value) THEN max(value) + 0.5::DOUBLE ELSE max(value) END AS hi FROM ser WHERE value IS NOT NULL GROUP BY county, metric), c AS (SELECT county, metric, least(15, floor((value - lo) / (hi - lo) * 16))::INTEGER AS bin, count(*) AS n FROM ser JOIN e USING (county, metric) WHERE value IS NOT NULL GROUP BY ALL) SELECT e.county, e.metric, b.bin::INTEGER AS bin, round(lo + b.bin * ((hi - lo) / 16), 6) + 0.0::DOUBLE AS bin_lo, coalesce(n, 0)::BIGINT AS n FROM e, (SELECT unnest(range(16)) AS bin) b LEFT JOIN c ON c.county = e.county AND c.metric = e.metric AND c.bin = b.bin")
 def fig_histogram(spark, d):  # FIG5, FIG6, FIG7, DOM13
-    return figures.histogram(_events_values(spark, d), ["k"]).withColumn("bin_lo", r("bin_lo"))
+    return figures.histogram(_series(spark, d), ["county", "metric"]).withColumn("bin_lo", r("bin_lo"))
+
+
+@q(f"{_ALL}, {_PD}, {_UN}, sizes AS (SELECT county, count(*) AS n_units FROM u GROUP BY county), dev AS (SELECT county, avg(deviation) AS m FROM pd GROUP BY county) SELECT un.county, metric, n_units, un.n_draws, n_unique, round(m, 6) AS mean_dev, round(focal_value, 6) + 0.0::DOUBLE AS focal_value, round(ensemble_mean, 6) + 0.0::DOUBLE AS ensemble_mean, round(percentile_rank, 6) AS percentile_rank FROM un JOIN cmp ON cmp.county = un.county JOIN sizes ON sizes.county = un.county JOIN dev ON dev.county = un.county")
+def county_reports(spark, d):  # DOM11, SNK6, FLT4
+    found = reports.county_reports(electorate.units(spark, d).select("county", "precinct_id"), electorate.list_votes(spark, d), electorate.coding(spark), electorate.focal(spark, d), electorate.ensemble(spark, d), electorate.voters(spark, d), electorate.districts(spark, d), SCOPE, SKIP, 0.25)
+    one = F.from_json("diagnostics", "n_units bigint, n_draws bigint, n_unique bigint, mean_of_max_abs_rel_deviation double")
+    each = F.from_json("partisan", "metrics map<string,struct<focal_value:double,ensemble_mean:double,percentile_rank:double>>")
+    read = found.select("county", one.alias("x"), F.explode(each["metrics"]).alias("metric", "v"))
+    return read.select("county", "metric", "x.n_units", "x.n_draws", "x.n_unique", r("x.mean_of_max_abs_rel_deviation").alias("mean_dev"), *(r(f"v.{c}").alias(c) for c in ("focal_value", "ensemble_mean", "percentile_rank")))
 
 
 @q(f", {_UN}, {_COUNTS} SELECT maz, round(weight, 9) AS weight, round(n_unique / n_draws, 9) AS unique_frac, round((n_draws - n_unique) / n_draws, 9) AS dup_frac, row_number() OVER (ORDER BY (n_draws - n_unique) / n_draws DESC, maz) <= 3 OR maz IN ('01', '14') AS labelled FROM un JOIN wt ON maz = county")
