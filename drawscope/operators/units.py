@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 from ..functions.keys import county_code
 
 HEADER = ("maz", "taz", "szk", "precinct_id", "name", "oevk_id", "oevk_id_full", "header_generated", "header_vl_id", "header_nvv_id")
@@ -169,6 +171,16 @@ def unit_index(units: DataFrame, scope: Sequence[str] = ("county",), key: str =
     return units.withColumn("unit_index", F.row_number().over(Window.partitionBy(*scope).orderBy(key)) - 1)
 
 
+def unit_index_of_all(units: DataFrame, key: str = "precinct_id") -> DataFrame:
+    """0-based place of each id among all, without one task that holds them: ids are dealt by range,
+    numbered within each range, and the ranges (a row each) by their sizes."""
+    ranges = materialise(units.repartitionByRange(key).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return ranges.withColumn("__at", within).join(F.broadcast(before), "__range").withColumn("unit_index", (F.col("before") + F.col("__at")).cast("int")).drop("__range", "__at", "before")
+
+
 def unknown_lists(votes: DataFrame, known: DataFrame) -> DataFrame:
     """How often a list without a column occurs (AGG18)."""
     return votes.join(known.select("list_id"), "list_id", "left_anti").groupBy("list_id").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, quality, shapes
 from ..operators.ensembles import from_indexed, index_contract
-from ..operators.units import ContractError, unit_index
+from ..operators.units import ContractError, unit_index, unit_index_of_all
 from ..sources import stored
 from . import generate
 
@@ -120,9 +120,11 @@ class EnsembleSource:
             raise ContractError(f"{self.kind!r} needs units")
         if self.kind == "csv":
             rows = stored.sampler_csv(spark, self.path)
-            if index_contract(rows).where("not ok").limit(1).count():
+            # Indexes are those within a scope where the file names it, and those of all units otherwise.
+            own = [c for c in scope if c in rows.columns]
+            if index_contract(rows, own).where("not ok").limit(1).count():
                 raise ContractError("a draw's unit indexes aren't 0 to n - 1")
-            return from_indexed(rows, unit_index(units.withColumn("__all", F.lit(1)), ["__all"]))
+            return from_indexed(rows, unit_index(units, own) if own else unit_index_of_all(units), own)
         if self.kind == "generated":
             if edges is None or districts is None:
                 raise ContractError("the generator needs edges and districts")

@@ -676,6 +676,12 @@ def voids_numbered(spark, d):  # GEO12, WIN2
 QUERIES["voids_numbered"] = voids_numbered
 
 
+@q(" SELECT county, round(8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0), 3) AS void_area, 0::BIGINT AS cells_left_out FROM grid GROUP BY county HAVING 8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0) > 0")
+def voids_in_pieces(spark, d):  # GEO11, GEO12: hexagons cover what they cut up
+    v = shapes.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=1e-9, hexagons=True, least=0.1, most=50.0, mean_factor=1.5, part_factor=2.0, width=None)
+    return v.groupBy("county").agg(r(F.sum("area_m2"), 3).alias("void_area"), F.max("cells_left_out").alias("cells_left_out"))
+
+
 @q(" SELECT count(*) FILTER (k % 5 = 0) AS n_invalid, 0::BIGINT AS n_empty, 0.5::DOUBLE AS max_abs_area_delta FROM u")
 def repair_summary(spark, d):  # GEO2, GEO3, AGG24
     p = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
@@ -707,6 +713,14 @@ def generated_plans(spark, d):  # DOM4, DOM6: a seeded generator, validated by t
 QUERIES["generated_plans"] = generated_plans
 
 
+@q(", four AS (SELECT unnest(range(1, 5)) AS draw) SELECT county, four.draw::INTEGER AS draw, ((four.draw - 1) // 2 + 1)::INTEGER AS chain, count(*) AS n_units, any_value(nd)::BIGINT AS n_districts, 1::INTEGER AS low, any_value(nd)::INTEGER AS high, any_value(nd)::BIGINT AS n_pieces FROM u, four GROUP BY county, four.draw")
+def generated_plan_checks(spark, d):  # DOM4, DOM6: every unit once, labels 1 to n, each district in one piece
+    plans = generated_plans(spark, d)
+    counted = plans.groupBy("county", "draw").agg(F.min("chain").cast("int").alias("chain"), F.countDistinct("precinct_id").alias("n_units"), F.countDistinct("district").alias("n_districts"), F.min("district").cast("int").alias("low"), F.max("district").cast("int").alias("high"))
+    pieces = graph.district_components(plans, edges_rook(spark, d).select("src", "dst")).groupBy("county", "draw").agg(F.sum("n_pieces").alias("n_pieces"))
+    return counted.join(pieces, ["county", "draw"]).withColumn("draw", F.col("draw").cast("int"))
+
+
 @q(f", {_EDGE}, ix AS (SELECT county, precinct_id, row_number() OVER (PARTITION BY county ORDER BY precinct_id) - 1 AS n FROM u) SELECT eq.county, least(a.n, b.n)::BIGINT AS i, greatest(a.n, b.n)::BIGINT AS j FROM eq JOIN ix a ON a.precinct_id = src JOIN ix b ON b.precinct_id = dst WHERE manhattan = 1")
 def sampler_edges(spark, d):  # SNK7
     _, pairs = sinks.sampler_bundle(electorate.units(spark, d).select("county", "precinct_id"), edges_rook(spark, d))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import subprocess
 import sys
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..operators.ensembles import require_complete, to_wide
 from ..operators.units import unit_index
-from .stored import ENSEMBLE_SCHEMA, with_wkb
+from .stored import ENSEMBLE_SCHEMA, fingerprint, id_hash, with_wkb
 
 
 def finite_nulls(df: DataFrame) -> DataFrame:
@@ -68,20 +67,38 @@ def geojson_rows(units: DataFrame, shape: str = "shape") -> DataFrame:
 
 def write_ensemble(ensemble: DataFrame, folder: str, layout: str = "long", metadata: dict | None = None, check: bool = True) -> dict:
     """An ensemble and its manifest (SNK3). ``long`` is partitioned by county where there is one,
-    so a county's draws are read alone; ``wide`` has a column a draw."""
+    so a county's draws are read alone; ``wide`` has a column a draw.
+
+    The manifest holds the numbers of units and draws, the draws and their chains, sha256 of the sorted
+    unit ids, and sha256 over the files. Unit ids lie beside it as a table, since there is no bound on them.
+    """
     spark = ensemble.sparkSession
     scope = [c for c in ("county",) if c in ensemble.columns]
     if check:
         require_complete(ensemble, scope)
-    meta = {"schema_version": ENSEMBLE_SCHEMA, "layout": layout, "precinct_id_column": "precinct_id", "metadata": metadata or {}}
     if layout == "wide":
         draws = [r.draw for r in ensemble.select("draw").distinct().orderBy("draw").limit(1025).collect()]
         write_table(to_wide(ensemble, draws), f"{folder}/assignments")
-        meta["draw_ids"] = draws
     elif layout == "long":
         write_table(ensemble, f"{folder}/assignments", scope)
     else:
         raise ValueError(f"unknown layout {layout!r}")
+    chain = F.min("chain") if "chain" in ensemble.columns else F.lit(None).cast("int")
+    per = ensemble.groupBy("draw").agg(chain.alias("chain")).orderBy("draw").collect()  # a row a draw
+    write_table(ensemble.select("precinct_id").distinct().orderBy("precinct_id"), f"{folder}/units")
+    units = spark.read.parquet(f"{folder}/units")
+    meta = {
+        "schema_version": ENSEMBLE_SCHEMA,
+        "layout": layout,
+        "precinct_id_column": "precinct_id",
+        "n_units": units.count(),
+        "n_draws": len(per),
+        "draw_ids": [r.draw for r in per],
+        "chain_per_draw": [r.chain for r in per] if any(r.chain is not None for r in per) else None,
+        "unit_ids_hash": id_hash(units),
+        "sha256": fingerprint(spark, f"{folder}/assignments", "*.parquet"),
+        "metadata": metadata or {},
+    }
     write_document(spark, meta, f"{folder}/manifest")
     return meta
 
@@ -109,16 +126,6 @@ def write_bundle(units: DataFrame, edges: DataFrame, folder: str, run: dict, sco
     write_document(units.sparkSession, {"schema_version": "drawscope.sampler_run/v1"} | run, f"{folder}/run")
 
 
-def fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> str:
-    """sha256 of a file's bytes, or over the sorted ``name<tab>sha256`` lines of a folder's files
-    (SNK10, FN19). Only one line a file comes to the driver."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    rows = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("h")).orderBy("name").collect()
-    if len(rows) == 1 and path.rstrip("/").endswith(rows[0].name):
-        return rows[0].h
-    return hashlib.sha256("\n".join(f"{r.name}\t{r.h}" for r in rows).encode()).hexdigest()
-
-
 def run_manifest(stages: Sequence[str], inputs: dict[str, str], argv: Sequence[str] | None = None) -> dict:
     """What was run, on which inputs (name: hash), from which commit (SNK9)."""
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from pathlib import Path
@@ -20,6 +21,31 @@ from ..operators.units import ContractError
 ENSEMBLE_SCHEMA = "drawscope.ensemble/v1"
 
 
+def fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> str:
+    """sha256 of a file's bytes, or over the sorted ``name<tab>sha256`` lines of a folder's files, at any
+    depth (SNK10, FN19). Only one line a file comes to the driver."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    rows = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("h")).orderBy("name", "h").collect()
+    if len(rows) == 1 and path.rstrip("/").endswith(rows[0].name):
+        return rows[0].h
+    return hashlib.sha256("\n".join(f"{r.name}\t{r.h}" for r in rows).encode()).hexdigest()
+
+
+def id_hash(units: DataFrame, key: str = "precinct_id") -> str:
+    """A hash of a set of ids that needs no order and combines map-side."""
+    halves = [F.sum(F.shiftrightunsigned(h, n).bitwiseAND(F.lit(0x7FFFFFFF))) for h in (F.xxhash64(key), F.xxhash64(F.lit(11), key)) for n in (0, 32)]
+    return "-".join(f"{x or 0:x}" for x in units.select(key).distinct().agg(*halves).first())
+
+
+def verify(spark: SparkSession, folder: str) -> list[str]:
+    """What of a stored ensemble differs from its manifest: nothing, if it is as it was written."""
+    meta = read_manifest(spark, folder) or {}
+    long = ensemble(spark, folder)
+    counted = long.agg(F.countDistinct("precinct_id").alias("n_units"), F.countDistinct("draw").alias("n_draws")).first()
+    found = {"n_units": counted.n_units, "n_draws": counted.n_draws, "unit_ids_hash": id_hash(long), "sha256": fingerprint(spark, f"{folder}/assignments", "*.parquet")}
+    return [k for k, v in found.items() if meta.get(k) != v]
+
+
 def ensemble(spark: SparkSession, folder: str, check: bool = False) -> DataFrame:
     """A stored ensemble as long rows; its manifest, if any, says how it lies (SRC12, SRC13)."""
     meta = read_manifest(spark, folder)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawscope.operators import graph, shapes
+from drawscope.operators import units as ops
 from drawscope.operators.units import ContractError
 from drawscope.plans import diagnostics, metrics, reports
 
@@ -90,3 +91,9 @@ def test_cells_left_out_are_reported(spark):
     cut = lambda most: shapes.voids(units, shells, 0.1, True, 1.0, 1.0, 50.0, 2.0, None, None, most).agg(F.sum("area_m2").alias("a"), F.max("cells_left_out").alias("n")).first()
     whole, part = cut(200_000), cut(5)
     assert whole.n == 0 and whole.a == pytest.approx(99, rel=0.02) and part.n > 0 and part.a < 50
+
+
+def test_index_of_all_units_is_that_of_their_order(spark):
+    ids = [f"{i * 7919 % 1000:03}" for i in range(200)]
+    got = ops.unit_index_of_all(spark.createDataFrame([(u,) for u in ids], "precinct_id string").repartition(5)).collect()
+    assert {r.precinct_id: r.unit_index for r in got} == {u: i for i, u in enumerate(sorted(ids))}

@@ -231,6 +231,12 @@ def test_ensemble_layouts_and_storage(spark, folder):
     want = {(r.precinct_id, r.draw, r.district) for r in e.collect()}
     for layout in ("long", "wide"):
         assert {(r.precinct_id, r.draw, r.district) for r in stored.ensemble(spark, f"{folder}/{layout}", check=True).collect()} == want
+        assert stored.verify(spark, f"{folder}/{layout}") == []
+    meta = stored.read_manifest(spark, f"{folder}/long")
+    assert (meta["n_units"], meta["n_draws"], meta["draw_ids"], meta["chain_per_draw"]) == (2, 3, [5, 6, 7], [1, 1, 2])
+    e.where("draw > 5").write.mode("overwrite").parquet(f"{folder}/long/assignments")
+    assert stored.verify(spark, f"{folder}/long") == ["n_draws", "sha256"]
+    e.write.mode("overwrite").parquet(f"{folder}/long/assignments")
     assert ensembles.single_draw(stored.ensemble(spark, f"{folder}/long"), 6).count() == 2
     assert {(r.draw, r.chain) for r in ensembles.first_chain(e).collect()} == {(5, 1), (6, 1), (7, 2)}
     with pytest.raises(ContractError):
