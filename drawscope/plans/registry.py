@@ -349,13 +349,16 @@ def degrees(spark, d):  # GR5
     return graph.degrees(g, graph.contiguity(g, "queen", SCOPE))
 
 
-_PARTIAL = ", nodes AS (SELECT precinct_id, county, x, y, k FROM grid), e AS (SELECT a.county, a.precinct_id AS src, b.precinct_id AS dst FROM nodes a JOIN nodes b ON a.county = b.county AND a.precinct_id < b.precinct_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.k % 3 <> 0 AND b.k % 3 <> 0)"
+_PARTIAL = ", nodes AS (SELECT precinct_id, county, x, y, k FROM grid), e AS (SELECT a.county, a.precinct_id AS src, b.precinct_id AS dst FROM nodes a JOIN nodes b ON a.county = b.county AND a.precinct_id < b.precinct_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 JOIN fo fa ON fa.precinct_id = a.precinct_id JOIN fo fb ON fb.precinct_id = b.precinct_id AND fb.district = fa.district)"
 _REACH = "two AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), reach(node, root) AS (SELECT precinct_id, precinct_id FROM nodes UNION SELECT t.dst, r.root FROM reach r JOIN two t ON t.src = r.node), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"
 
 
 def _partial(spark, d) -> tuple[DataFrame, DataFrame]:
     g = electorate.grid(spark, d)
-    edges = graph.contiguity(g.where("k % 3 != 0"), "rook", SCOPE)
+    # Neighbours within a district of the enacted plan: its pieces are the graph's components.
+    enacted = electorate.focal(spark, d).where("district is not null").select("precinct_id", "district")
+    end = lambda side: enacted.select(F.col("precinct_id").alias(side), F.col("district").alias(f"{side}_district"))
+    edges = graph.contiguity(g, "rook", SCOPE).join(end("src"), "src").join(end("dst"), "dst").where("src_district = dst_district").drop("src_district", "dst_district")
     return g, edges
 
 
