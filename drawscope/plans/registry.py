@@ -735,3 +735,6 @@ def strict_json(spark, d):  # SNK6: what isn't finite is null
     e = table(spark, d, "events").select("event_id", F.lit(float("inf")).alias("bad"), F.col("event_type").alias("kind"))
     clean = sinks.finite_nulls(e)
     return clean.select("event_id", F.to_json(F.struct("event_id", "bad", "kind"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+from . import stored_queries  # noqa: E402, F401  (registers what is written and read back)

@@ -37,12 +37,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/drawscope-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; ``.scratch_path`` names the place."""
-    spark = df.sparkSession
+def scoped_path(spark: SparkSession, label: str) -> str:
+    """A new path that the open scope, if any, deletes."""
     path = new_path(spark, label)
     if _scopes:
         _scopes[-1].append(path)
+    return path
+
+
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; ``.scratch_path`` names the place."""
+    spark = df.sparkSession
+    path = scoped_path(spark, label)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
