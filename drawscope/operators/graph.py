@@ -24,11 +24,11 @@ def _corners(units: DataFrame, scope: Sequence[str], unit: str, shape: str, snap
 
 
 def _sharing(places: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Pairs of units at one place. A place holds the few units that meet there; the pairs are
-    made from its set, so a place's units meet in one row and a pair is made once a place."""
+    """Pairs of units at one place: each unit of a place with those after it, a row a unit, so a
+    place where many meet needs memory in proportion to its units and not to its pairs."""
     met = places.groupBy(*scope, "place").agg(F.sort_array(F.collect_set("u")).alias("us")).where("size(us) > 1")
-    pairs = F.flatten(F.transform("us", lambda a, i: F.transform(F.slice(F.col("us"), i + 2, F.size("us")), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    return met.select(*scope, F.explode(pairs).alias("e")).select(*scope, "e.src", "e.dst").distinct()
+    each = met.select(*scope, "us", F.posexplode("us").alias("i", "src"))
+    return each.select(*scope, "src", F.explode(F.slice("us", F.col("i") + 2, F.size("us"))).alias("dst")).distinct()
 
 
 def contiguity(units: DataFrame, rule: str = "queen", scope: Sequence[str] = (), unit: str = "precinct_id", shape: str = "shape", snap: float = 1e-6) -> DataFrame:
