@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import uuid
 
 import pytest
@@ -112,6 +113,29 @@ def test_contiguity_of_a_two_by_two_grid(spark):
     assert shapes.fuzzy_contiguity(quality.box_pairs(near, 2.0, ["county"], grow=0.03), 0.03, ["county"]).count() == 1
 
 
+@pytest.mark.parametrize("name", [lambda i: i, lambda i: f"{'é' * (i % 3)}{i}"])
+def test_components_in_one_task_and_by_rounds(spark, name):
+    chance = random.Random(5)
+    ends = [(name(chance.randrange(400)), name(chance.randrange(400))) for _ in range(260)] + [(name(7), name(7)), (name(7), None)]
+    e = spark.createDataFrame(ends, "src long, dst long" if name(0) == 0 else "src string, dst string")
+    reach = {}
+    for x, y in ends:
+        if y is not None and x != y:
+            reach.setdefault(x, set()).add(y)
+            reach.setdefault(y, set()).add(x)
+    want = {}
+    for start in sorted(reach, key=lambda v: v if isinstance(v, int) else v.encode()):
+        todo = [start]
+        while todo:
+            node = todo.pop()
+            if node not in want:
+                want[node] = start
+                todo += reach[node]
+    for n in (0, 1 << 18):
+        assert {r.node: r.component for r in components(e, one_task=n).collect()} == want
+    assert components(e.where("src is null")).count() == 0
+
+
 def test_components_patches_and_health(spark):
     e = spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y"), ("q", "q"), (None, "a")], "src string, dst string")
     n = spark.createDataFrame([("k", u) for u in "abcxyz"], "county string, precinct_id string")
