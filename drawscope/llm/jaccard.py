@@ -320,7 +320,8 @@ def classified(table: DataFrame, text: Column, key: Column, threshold: float = T
 
     found = materialise(task.groupBy("col", "path", "bi", "bj").applyInArrow(compared, "rep bigint, links bigint, to bigint"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    grouped = components(found.where("to is not null").select("rep", "to"), "rep", "to").select(F.col("node").alias("rep"), "component")
+    # By rounds at every size: the links grow with the documents.
+    grouped = components(found.where("to is not null").select("rep", "to"), "rep", "to", one_task=0).select(F.col("node").alias("rep"), "component")
     of_class = groups.join(counts, "rep", "left").join(grouped, "rep", "left").select("key", F.coalesce("component", "rep").alias("class_no"), "best", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     of_class = materialise(of_class, "classes-linked")
     bests = of_class.groupBy("class_no").agg(F.min("best").alias("best"))
