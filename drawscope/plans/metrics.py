@@ -175,7 +175,7 @@ def draw_metrics(units: DataFrame, ensemble: DataFrame, scope: list[str], policy
 
 def draw_series(units: DataFrame, votes: DataFrame, coding: DataFrame, ensemble: DataFrame, scope: list[str], policy: Policy | None = None) -> DataFrame:
     """(scope, draw, metric, value) of every draw, for histograms (DOM13)."""
-    blocs = materialise(balanced(bloc_votes(units, votes, coding), scope, policy), "blocs")
+    blocs = balanced(materialise(bloc_votes(units, votes, coding), "blocs"), scope, policy)
     return long_metrics(draw_metrics(blocs, ensemble, scope, policy), [*scope, "draw"])
 
 
@@ -191,7 +191,7 @@ def compare(units: DataFrame, votes: DataFrame, coding: DataFrame, focal: DataFr
     """
     scope = scope or ["county"]
     # A row a unit, read by the enacted plan, the draws, the count of units and the strict check: written once.
-    blocs = materialise(balanced(bloc_votes(units, votes, coding), scope, policy), "blocs")
+    blocs = balanced(materialise(bloc_votes(units, votes, coding), "blocs"), scope, policy)
     labelled = blocs.join(first_focal(focal), "precinct_id", "left")
     if strict and labelled.where((F.col("votes_a") + F.col("votes_b") > 0) & F.col("focal_district").isNull()).limit(1).count():
         raise ContractError("units with votes lack an enacted district")
