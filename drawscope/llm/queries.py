@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, new_path, table
-from . import chat, decontam, jaccard, langid, linededup, packing, quality, tokenfile, topk, urlfilter
+from . import chat, decontam, jaccard, langid, linededup, packing, quality, repair, tokenfile, topk, urlfilter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MIN_SITES = 10
@@ -102,6 +102,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.repair(repair.damaged(rows), copies="copies")
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return done.select(*(c for c in done.columns if c != "repaired"), F.sha2(said, 256).alias("repaired_sha256"))
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = """
@@ -179,10 +186,39 @@ SELECT d.doc_id, coalesce(len(d.ws), 0)::BIGINT AS n_words, coalesce(c.n_hit, 0)
 FROM docs d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id
 """
 
+#: Best (cost, audit, turns) of each (row, state), row by row; what follows a row are its edit and at most two inserts.
+OP11_SQL = r"""
+WITH RECURSIVE src AS (SELECT *, dense_rank() OVER (ORDER BY conv_id, alone) AS c FROM (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn,
+    coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)),
+hit AS (SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::UBIGINT), lambda s, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::UBIGINT[],
+    lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)), xor(s, b)), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS f FROM src),
+dam AS (SELECT c, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM hit),
+num AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM dam),
+seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, left(role, 1) AS l, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM num),
+rows AS (SELECT c, i, turn, role, text, l, before, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM seen),
+per AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (i > 1 AND before || l NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY c),
+ins(q, q3, cost, audit, said) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (3, 2, 2, 'I', ['user:']),
+    (2, 3, 2, 'I', ['assistant:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+edits(l, e, q, q2, cost, role) AS (VALUES ('s', 'K', 0, 1, 0, NULL), ('u', 'K', 0, 2, 0, NULL), ('u', 'K', 1, 2, 0, NULL), ('u', 'K', 3, 2, 0, NULL), ('a', 'K', 2, 3, 0, NULL),
+    (NULL, 'R', 0, 2, 2, 'user'), (NULL, 'R', 1, 2, 2, 'user'), (NULL, 'R', 3, 2, 2, 'user'), (NULL, 'R', 2, 3, 2, 'assistant'), (NULL, 'D', 0, 0, 3, NULL), (NULL, 'D', 1, 1, 3, NULL), (NULL, 'D', 2, 2, 3, NULL), (NULL, 'D', 3, 3, 3, NULL)),
+best(c, i, q, b) AS (SELECT c, 0::BIGINT, q3, {'cost': cost, 'audit': audit, 'said': said} FROM (SELECT DISTINCT c FROM src), ins WHERE q = 0
+  UNION ALL
+  SELECT n.c, n.i + 1, s.q3, min({'cost': n.b.cost + e.cost + s.cost + CASE WHEN r.cut AND e.e <> 'D' THEN 1 ELSE 0 END, 'audit': n.b.audit || e.e || s.audit,
+      'said': list_concat(n.b.said, CASE e.e WHEN 'D' THEN [] ELSE [coalesce(e.role, r.role) || ':' || r.text] END, s.said)})
+  FROM best n JOIN rows r ON r.c = n.c AND r.i = n.i + 1 JOIN edits e ON e.q = n.q AND (e.l IS NULL OR e.l = r.l) AND (e.e = 'D' OR NOT (r.blank OR r.dup)) JOIN ins s ON s.q = e.q2 GROUP BY n.c, n.i, s.q3),
+ends AS (SELECT b.c, min(b.b) AS b FROM best b LEFT JOIN per p ON p.c = b.c WHERE b.i = coalesce(p.n, 0) AND b.q IN (0, 3) GROUP BY b.c),
+ids AS (SELECT DISTINCT c, conv_id FROM src)
+SELECT ids.conv_id, coalesce(p.gaps, 0)::BIGINT AS gaps, coalesce(p.blank, 0)::BIGINT AS blank, coalesce(p.duplicate, 0)::BIGINT AS duplicate, coalesce(p.truncated, 0)::BIGINT AS truncated,
+  coalesce(p.illegal, 0)::BIGINT AS illegal, e.b.cost::BIGINT AS cost, e.b.audit AS audit, sha256(array_to_string(e.b.said, chr(10))) AS repaired_sha256
+FROM ids LEFT JOIN per p ON p.c = ids.c JOIN ends e ON e.c = ids.c
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_token_files, op4_chat_formatting, op5_url_filter, op6_ngram_jaccard_join, op7_packing, op8_decontamination, op9_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_token_files, op4_chat_formatting, op5_url_filter, op6_ngram_jaccard_join, op7_packing, op8_decontamination, op9_quality, op10_language_id, op11_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op2_line_dedup": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op2_line_dedup": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL, "op11_conversation_repair": OP11_SQL}
