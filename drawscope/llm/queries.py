@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, new_path, table
-from . import chat, decontam, jaccard, langid, linededup, packing, quality, repair, tokenfile, topk, urlfilter
+from . import chat, decontam, jaccard, langid, linededup, packing, quality, repair, sentpiece, tokenfile, topk, urlfilter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MIN_SITES = 10
 
 
@@ -109,6 +110,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(*(c for c in done.columns if c != "repaired"), F.sha2(said, 256).alias("repaired_sha256"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentpiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    back = sentpiece.decode(coded.select("doc_id", "ids"), PIECES)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = """
@@ -217,7 +225,7 @@ FROM ids LEFT JOIN per p ON p.c = ids.c JOIN ends e ON e.c = ids.c
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_token_files, op4_chat_formatting, op5_url_filter, op6_ngram_jaccard_join, op7_packing, op8_decontamination, op9_quality, op10_language_id, op11_conversation_repair)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_token_files, op4_chat_formatting, op5_url_filter, op6_ngram_jaccard_join, op7_packing, op8_decontamination, op9_quality, op10_language_id, op11_conversation_repair, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -42,6 +42,17 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         top = max(vocabulary.values(), default=0) + 1
+        self._empty(top, remembered)
+        # Where the tokenizer marks word ends and parts letters from signs, many simple pieces
+        # can be encoded in one call and parted again at the marks.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(top, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.marked = bool(suffix) and [len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in ("a", "a,")] == [1, 2]
+
+    def _empty(self, top: int, remembered: int) -> None:
+        """No piece known yet, of a vocabulary of ``top`` ids."""
         self.dtype = np.dtype("<u4" if top > 1 << 16 else "<u2")
         self.remembered = remembered
         self.keys = np.zeros(0, np.uint64)  # hashes of the pieces known, ascending
@@ -53,13 +64,10 @@ class PieceEncoder:
         self.text_start = np.zeros(1 << 12, np.int32)
         self.text_size = np.zeros(1 << 12, np.int32)
         self.rows = self.used = self.text_used = 0
-        # Where the tokenizer marks word ends and parts letters from signs, many simple pieces
-        # can be encoded in one call and parted again at the marks.
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(top, bool)
-        if suffix:
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.marked = bool(suffix) and [len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in ("a", "a,")] == [1, 2]
+
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> textbytes.Words:
+        """The pieces of the texts."""
+        return textbytes.words(data, offsets, IS_PIECE, AS_IS)
 
     def _encoded(self, pieces: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
         """(order, ids, lengths): the pieces' positions as encoded, and their ids and lengths in stretches."""
@@ -126,7 +134,7 @@ class PieceEncoder:
 
     def _stretch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
-        pieces = textbytes.words(data, offsets, IS_PIECE, AS_IS)
+        pieces = self._parts(data, offsets)
         if not len(pieces.hash):
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
         start, size = pieces.start, pieces.end - pieces.start
