@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, new_path, table
-from . import chat, decontam, jaccard, langid, linededup, packing, quality, repair, sentpiece, tokenfile, topk, urlfilter
+from . import chat, decontam, jaccard, langid, linededup, packing, phrases, quality, repair, sentpiece, tokenfile, topk, urlfilter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -110,6 +110,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(*(c for c in done.columns if c != "repaired"), F.sha2(said, 256).alias("repaired_sha256"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"), least=30, top=2000)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentpiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
     back = sentpiece.decode(coded.select("doc_id", "ids"), PIECES)
@@ -223,10 +227,27 @@ SELECT ids.conv_id, coalesce(p.gaps, 0)::BIGINT AS gaps, coalesce(p.blank, 0)::B
 FROM ids LEFT JOIN per p ON p.c = ids.c JOIN ends e ON e.c = ids.c
 """
 
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM cut GROUP BY lang),
+found AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM cut, (VALUES (1), (2), (3), (4)) t(k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM found GROUP BY ALL HAVING count(*) >= 30),
+split AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT s.*, j, x.a AS l, y.a AS r, 2000000::HUGEINT * s.a // (x.a + y.a) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM split) s
+  JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(ws[:j], ' ') JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(ws[j + 1:], ' ')),
+best AS (SELECT lang, phrase, a, min({'score': score, 'j': j, 'l': l, 'r': r}) AS b FROM cuts GROUP BY ALL),
+inner_ AS (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, a, ws, m, unnest(range(1, k - m + 2)) AS i FROM split, (VALUES (2), (3)) t(m) WHERE m < k)),
+longer AS (SELECT lang, phrase, max(a) AS a FROM inner_ GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer x ON x.lang = b.lang AND x.phrase = b.phrase WHERE x.a IS NULL OR 100::HUGEINT * x.a < 80::HUGEINT * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY b.score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, b.l AS l, b.r AS r, n, b.score::BIGINT AS score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY b.score DESC, a DESC, phrase) <= 2000
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_token_files, op4_chat_formatting, op5_url_filter, op6_ngram_jaccard_join, op7_packing, op8_decontamination, op9_quality, op10_language_id, op11_conversation_repair, op13_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_token_files, op4_chat_formatting, op5_url_filter, op6_ngram_jaccard_join, op7_packing, op8_decontamination, op9_quality, op10_language_id, op11_conversation_repair, op12_phrase_mining, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op2_line_dedup": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL, "op11_conversation_repair": OP11_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op2_line_dedup": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_phrase_mining": OP12_SQL}
