@@ -115,10 +115,9 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentpiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    back = sentpiece.decode(coded.select("doc_id", "ids"), PIECES)
+    coded = sentpiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, decoded="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

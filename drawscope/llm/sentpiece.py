@@ -42,8 +42,8 @@ from . import textbytes, tokens
 SPACE = "▁"
 LONG = 512
 NONE = np.int32(1 << 30)
-#: Ids decoded at a time (one row's ids stay together).
-STEP = 1 << 18
+#: Rows coded at a time.
+ROWS = 256
 
 
 class Rounds(tokens.PieceEncoder):
@@ -318,6 +318,13 @@ def model(path: str) -> Rounds:
     return _models[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that what a worker holds follows from those."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema if f.name != name] + [T.StructField(name, kind)])
 
@@ -327,19 +334,22 @@ def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [column], kept + [name])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", end: bool = True) -> DataFrame:
-    """``docs`` with the ids of each whole text, an array of ints, and an end id after them."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, end: bool = True) -> DataFrame:
+    """``docs`` with the ids of each whole text, an array of ints, and an end id after them. decoded: also
+    the text of those ids, in a column of this name (by the same worker, which knows the model once)."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
         tail = [coder.end_id] if end else []
-        for batch in batches:
+        for batch in _slices(batches):
             found = [np.append(x, tail).astype(np.int32) for x in coder.encode(batch.column(batch.schema.get_field_index(text)))]
-            where = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int32), *found])
-            yield _put(batch, ids, pa.ListArray.from_arrays(pa.array(where), pa.array(flat)))
+            counts = np.array([len(x) for x in found], np.int64)
+            flat = np.concatenate(found)
+            made = _put(batch, ids, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat)))
+            yield _put(made, decoded, pa.array(coder.decode(flat, counts), pa.string())) if decoded else made
 
-    return docs.mapInArrow(encoded, _with(docs.schema, ids, T.ArrayType(T.IntegerType())))
+    schema = _with(docs.schema, ids, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(encoded, _with(schema, decoded, T.StringType()) if decoded else schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -347,20 +357,12 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
-        for batch in batches:
+        for batch in _slices(batches):
             column = batch.column(batch.schema.get_field_index(ids))
             counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if len(flat) and not (flat.min() >= 0 and flat.max() < coder.size):
                 raise ValueError(f"ids outside the vocabulary of {path}")
-            ends = np.cumsum(counts)
-            texts: list[str] = []
-            lo = 0
-            while lo < len(counts):
-                before = ends[lo] - counts[lo]
-                hi = max(lo + 1, int(np.searchsorted(ends, before + STEP, "right")))
-                texts += coder.decode(flat[before : ends[hi - 1]], counts[lo:hi])
-                lo = hi
-            yield _put(batch, text, pa.array(texts, pa.string()))
+            yield _put(batch, text, pa.array(coder.decode(flat, counts), pa.string()))
 
     return rows.mapInArrow(decoded, _with(rows.schema, text, T.StringType()))
