@@ -11,14 +11,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where one machine runs all and the session names no spark.checkpoint.dir (tests, a laptop).
 LOCAL_FALLBACK = "file:///tmp/checkpoints/drawscope"
 
-#: Paths written in each open scope.
-_scopes: list[list[str]] = []
+#: Paths written in each open scope of this thread (or task of an event loop); others have their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,8 +41,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 def scoped_path(spark: SparkSession, label: str) -> str:
     """A new path that the open scope, if any, deletes."""
     path = new_path(spark, label)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return path
 
 
@@ -70,12 +71,14 @@ def release(*frames: DataFrame) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes, on leaving, whatever ``materialise`` wrote within (and no inner scope has deleted)."""
-    _scopes.append([])
+    """Deletes, on leaving, whatever ``materialise`` wrote within, in this thread (and no inner scope has deleted)."""
+    written: list[str] = []
+    token = _scopes.set((*_scopes.get(), written))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in written:
             _delete(spark, path)
 
 

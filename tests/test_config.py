@@ -78,6 +78,34 @@ def test_scopes_delete_what_they_wrote(spark):
         assert not Path(df.scratch_path.removeprefix("file://")).exists()
 
 
+def test_a_scope_leaves_other_threads_tables(spark):
+    from threading import Event, Thread
+
+    from drawscope import scratch
+
+    inside, written, kept = Event(), Event(), []
+
+    def other():
+        with scratch.scope(spark):
+            inside.wait(60)
+            kept.append(scratch.materialise(spark.range(5), "other"))
+            written.set()
+            left.wait(60)
+            kept.append(kept[0].count())
+
+    left = Event()
+    thread = Thread(target=other)
+    thread.start()
+    with scratch.scope(spark):
+        inside.set()
+        assert written.wait(60)
+        mine = scratch.materialise(spark.range(2), "mine")
+    assert not Path(mine.scratch_path.removeprefix("file://")).exists()
+    left.set()
+    thread.join(60)
+    assert kept[1] == 5 and not Path(kept[0].scratch_path.removeprefix("file://")).exists()
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
