@@ -21,7 +21,8 @@ vectors are compared with those of equal length only; the query's own id is no c
 repeated rows are candidates each for themselves; equal query rows are one query, and different
 vectors under one id share that id's k best rows (the greatest scores of any of them); ties go
 to the smaller id; a query without candidates has no rows; empty tables give empty results;
-further columns are dropped. Scores must fit in 64 bits.
+further columns are dropped. Where a sum of absolute products could pass 64 bits, or a quantised
+component 62, the job stops with an error: no score is ever wrapped around.
 """
 
 from __future__ import annotations
@@ -90,6 +91,7 @@ class Block:
         self.slices = np.concatenate([slices, ~slices]).reshape(-1, self.words)
         self.all = np.packbits(np.arange(self.words * 64) < len(ids), bitorder="little").view(np.uint64)
         self.order = np.argsort(ids, kind="stable")
+        self.most = np.maximum(np.abs(values.max(axis=0, initial=0).astype(np.int64)), np.abs(values.min(axis=0, initial=0).astype(np.int64)))
 
     def sums(self, q: np.ndarray, dropped: int) -> tuple[list[np.ndarray], int]:
         """(bit slices of the sum short of its dropped part, bound of that part)."""
@@ -105,6 +107,8 @@ class Block:
 
     def top(self, q: np.ndarray, own: int, k: int, dropped: int = DROPPED) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the block's k best rows other than ``own``."""
+        if np.abs(q).astype(float) @ self.most.astype(float) >= 2.0**62 and sum(abs(a) * b for a, b in zip(q.tolist(), self.most.tolist(), strict=True)) >= 1 << 63:
+            raise OverflowError(f"scores of query {own} may not fit in 64 bits")
         dropped = min(dropped, self.bits - 1)
         live = self.all
         a, b = np.searchsorted(self.ids, [own, own + 1], sorter=self.order)
@@ -152,7 +156,8 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFr
     """(id, v): floor(scale * component) as longs, of the vectors that take part."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(finite).select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("long")).alias("v"))
+    fits = lambda x: F.when(F.abs(F.lit(scale) * x) < float(1 << 62), F.floor(F.lit(scale) * x).cast("long")).otherwise(F.raise_error(F.lit("a quantised component does not fit in 62 bits")).cast("long"))
+    return rows.where(finite).select("id", F.transform("v", fits).alias("v"))
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
