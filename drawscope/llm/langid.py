@@ -18,7 +18,7 @@ There is no limit on languages. The training sample is bounded: ``per_language``
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the
 language first in string order; with no training rows at all every text is ``und``; every
-row, repeated or not, is scored on its own; null and extra columns of the input are kept
+row, repeated or not, with an id or without, is scored on its own; null and extra columns of the input are kept
 untouched by ``with_language`` (its three output columns replace columns of the same names).
 """
 
@@ -38,6 +38,7 @@ UND = "und"
 #: Stands before a text's first byte.
 EDGE = 256
 SYMBOL_BITS = 9
+MOST = 64 // SYMBOL_BITS - 1
 REMEMBERED_BYTES = 1 << 23
 #: Bytes, and languages, that are worked on at once.
 STRETCH = 1 << 18
@@ -233,8 +234,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     hash (of key and text), as far as they fit in the language's share of ``max_bytes``; equal rows count
     once. A language whose texts are all longer than its share is trained on the shortest drawn.
 
-    The driver sees hashes and lengths of about twice as many rows, and the chosen texts.
+    The driver sees hashes and lengths of about twice as many rows, and the chosen texts. order: at most
+    ``MOST`` (a gram of order + 1 symbols is one 64-bit code).
     """
+    if not 0 <= order <= MOST:
+        raise ValueError(f"order {order} is not within 0 to {MOST}")
     t = F.col(text)
     rows = labelled.select(t.alias("t"), F.col(label).cast("string").alias("l"), F.xxhash64(F.col(key).cast("string"), t).alias("h"), F.octet_length(t).alias("n")).where("t is not null and l is not null")
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}

@@ -15,8 +15,8 @@ MIN_SITES = 10
 
 
 def remainder(key: str, mod: int):
-    """crc32 of the id as text, modulo ``mod``."""
-    return F.crc32(F.col(key).cast("string")) % mod
+    """crc32 of the id as text, modulo ``mod``; -1 for a null id, so such a row is not held out and may train."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % mod, F.lit(-1))
 
 
 #: Host and path rules of the url filter.
