@@ -21,8 +21,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learnt, with ``lang`` as predicted. Those go that hold no
-    letter, and those that the best context tree codes in no fewer bits than bytes drawn at random."""
-    found = langid.with_language(docs, queries.language_model(docs))
+    letter, and those that the best context tree codes in no fewer bits than bytes drawn at random.
+    Where no row can train (no ``lang``, or none outside the held-out ids), every document with a letter
+    stays, with the ``lang`` it has. Rows without an id train like others."""
+    model = queries.language_model(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = langid.with_language(docs, model)
     kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("lang_bits") < UNIFORM_BITS))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
