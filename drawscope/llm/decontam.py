@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -38,24 +38,35 @@ from . import textbytes
 SPAN = 10
 K = 5
 BLOCK_CHARS = 32 << 20
+#: Spans compared word by word at a time.
+COMPARED = 1 << 15
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@dataclass
+class Spans:
+    """The different spans of one length of all items: sorted hashes (equal ones differ in bytes), a place where
+    each stands, and the number of the set of items that hold it."""
+
+    hash: np.ndarray
+    word: np.ndarray
+    of: np.ndarray
+
+
 @dataclass
 class Index:
-    """Winnowed items: sorted fingerprints with (item row, word) postings, and the items' words."""
+    """Winnowed items: their fingerprints, and the spans of ``span`` words, or of a whole shorter item, by length."""
 
-    ids: list[str | None]
+    names: list[str | None]  # sorted, null last
     span: int
     k: int
-    prints: np.ndarray  # sorted
-    word: np.ndarray  # of each fingerprint, in the flat arrays below
-    hashes: np.ndarray  # of the words of all items
-    owner: np.ndarray  # item row of each word
-    text: bytes  # of all words, one after another
+    prints: np.ndarray  # sorted, different
+    filter: np.ndarray
+    spans: dict[int, Spans]
+    set_start: np.ndarray  # of each set of items, and the end of the last
+    set_names: np.ndarray  # places in ``names``, ascending within a set
+    text: np.ndarray  # bytes of all words, one after another
     start: np.ndarray  # of each word there, and the end of the last
-    short: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # length: hash: first words
-    filter: np.ndarray = field(default_factory=lambda: np.zeros(1, bool))
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarray:
@@ -78,108 +89,178 @@ def winnow(hashes: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
+def _grams_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """``textbytes.grams`` at some places."""
+    out = hashes[at].copy()
+    for j in range(1, k):
+        out *= textbytes.BASE
+        out += hashes[at + j]
+    return textbytes.mix(out, int(k))
+
+
+def _differ(data: np.ndarray, start: np.ndarray, at: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_at: np.ndarray, length: int) -> np.ndarray:
+    """Which spans of ``length`` words are not, word for word, the others'. ``start`` has the end of the last word too,
+    or is a pair of starts and ends."""
+    out = np.zeros(len(at), bool)
+    for lo in range(0, len(at), COMPARED):
+        x = (at[lo : lo + COMPARED, None] + np.arange(length)).ravel()
+        y = (other_at[lo : lo + COMPARED, None] + np.arange(length)).ravel()
+        begin, end = start if isinstance(start, tuple) else (start[:-1], start[1:])
+        wrong = textbytes.differ(data, begin[x], end[x] - begin[x], other, other_start[y], other_start[y + 1] - other_start[y])
+        out[lo : lo + COMPARED] = wrong.reshape(-1, length).any(axis=1)
+    return out
+
+
+def _classes(hashes: np.ndarray, at: np.ndarray, length: int, text: np.ndarray, start: np.ndarray) -> tuple[Spans, np.ndarray]:
+    """(the different spans, which of them each given one is)."""
+    order = np.lexsort((at, hashes))
+    hashes, at = hashes[order], at[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+    leader = np.repeat(first, np.diff(np.append(first, len(hashes))))
+    left = np.flatnonzero(leader != np.arange(len(hashes)))
+    while len(left):  # spans of one hash that differ from its first become spans of their own
+        odd = left[_differ(text, start, at[left], text, start, at[leader[left]], length)]
+        if len(odd):
+            new = np.flatnonzero(np.append(True, hashes[odd][1:] != hashes[odd][:-1]))
+            leader[odd] = np.repeat(odd[new], np.diff(np.append(new, len(odd))))
+        left = odd[leader[odd] != odd]
+    heads, of = np.unique(leader, return_inverse=True)
+    given = np.empty(len(order), np.int64)
+    given[order] = of
+    return Spans(hashes[heads], at[heads], np.zeros(len(heads), np.int64)), given
+
+
+def _sets(owner: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each span's set of items, starts of sets, names in them): spans of the same items share a set."""
+    pairs = np.unique(of * np.int64(1 << 32) + owner)
+    of, owner = pairs >> 32, pairs & np.int64((1 << 32) - 1)
+    size = np.bincount(of, minlength=n)
+    at = np.cumsum(size) - size
+    sums = [np.add.reduceat(textbytes.mix(owner.astype(np.uint64), seed), at) if n else np.zeros(0, np.uint64) for seed in (3, 5)]
+    key = textbytes.mix(sums[0] ^ textbytes.mix(sums[1] + size.astype(np.uint64)))
+    _, head, like = np.unique(key, return_index=True, return_inverse=True)
+    head = head[like]
+    # Sets that agree in the sums are compared name by name.
+    same = size == size[head]
+    long = np.flatnonzero(same)
+    inner = np.arange(int(size[long].sum())) - np.repeat(np.cumsum(size[long]) - size[long], size[long])
+    unlike = owner[np.repeat(at[long], size[long]) + inner] != owner[np.repeat(at[head[long]], size[long]) + inner]
+    same[np.repeat(long, size[long])[unlike]] = False
+    head = np.where(same, head, np.arange(n))
+    kept, number = np.unique(head, return_inverse=True)
+    take = np.arange(int(size[kept].sum())) - np.repeat(np.cumsum(size[kept]) - size[kept], size[kept]) + np.repeat(at[kept], size[kept])
+    return number, np.concatenate(([0], np.cumsum(size[kept]))), owner[take].astype(np.int32)
+
+
 def build_index(items: list[tuple[str | None, str]], span: int = SPAN, k: int = K) -> Index:
-    ids, texts = [i for i, _ in items], pa.array([t for _, t in items], pa.string())
-    out = Index(ids, span, k, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), b"", np.zeros(1, np.int64))
-    prints, at, hashes, owner, raw, sizes = [], [], [], [], [], []
+    names = sorted({i for i, _ in items}, key=lambda x: (x is None, x or ""))
+    name_of = {x: n for n, x in enumerate(names)}
+    owners = np.array([name_of[i] for i, _ in items], np.int64)
+    prints, raw, sizes = [], [], []
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}  # length: hashes, first words, owners
     base = 0
-    for lo, _, data, offsets in textbytes.chunks(texts):
+    for lo, _, data, offsets in textbytes.chunks(pa.array([t for _, t in items], pa.string())):
         words = textbytes.words(data, offsets)
-        kept = winnow(words.hash, words.first, k, span - k + 1)
-        if len(kept):
-            prints.append(textbytes.grams(words.hash, k)[kept])
-            at.append(kept + base)
-        hashes.append(words.hash)
-        owner.append(words.text_of + lo)
+        prints.append(textbytes.grams(words.hash, k)[winnow(words.hash, words.first, k, span - k + 1)])
+        n = np.diff(words.first)
+        for length in np.unique(np.minimum(n[n > 0], span)).tolist():
+            rows = np.flatnonzero(n >= span if length == span else n == length)
+            count = n[rows] - length + 1
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(words.first[rows], count)
+            found.setdefault(length, []).append((_grams_at(words.hash, at, length), at + base, owners[lo + np.repeat(rows, count)]))
         size = words.end - words.start
-        raw.append(textbytes.LOWER[data[np.repeat(words.start - np.cumsum(size) + size, size) + np.arange(size.sum())]].tobytes())
+        raw.append(textbytes.LOWER[data[np.repeat(words.start - np.cumsum(size) + size, size) + np.arange(size.sum())]])
         sizes.append(size)
-        for row in np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < span)):
-            a, b = words.first[row], words.first[row + 1]
-            whole = int(textbytes.grams(words.hash[a:b], b - a)[0])
-            out.short.setdefault(int(b - a), {}).setdefault(whole, []).append(int(a + base))
         base += len(words.hash)
-    if hashes:
-        out.hashes, out.owner = np.concatenate(hashes), np.concatenate(owner)
-        out.text, out.start = b"".join(raw), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-    if prints:
-        p, a = np.concatenate(prints), np.concatenate(at)
-        order = np.argsort(p, kind="stable")
-        out.prints, out.word = p[order], a[order]
-        out.filter = np.zeros(1 << max(16, int(len(p)).bit_length() + 4), bool)
-        out.filter[(p & np.uint64(len(out.filter) - 1)).astype(np.int64)] = True
+    text = np.concatenate([np.zeros(0, np.uint8), *raw])
+    start = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+    out = Index(names, span, k, np.unique(np.concatenate([np.zeros(0, np.uint64), *prints])), np.zeros(1, bool), {}, np.zeros(1, np.int64), np.zeros(0, np.int32), text, start)
+    of, owner, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for length, parts in found.items():
+        hashes, at, who = (np.concatenate(x) for x in zip(*parts, strict=True))
+        out.spans[length], which = _classes(hashes, at, length, text, start)
+        of.append(which + n)
+        owner.append(who)
+        n += len(out.spans[length].hash)
+    number, out.set_start, out.set_names = _sets(np.concatenate(owner), np.concatenate(of), n)
+    n = 0
+    for table in out.spans.values():
+        table.of = number[n : n + len(table.hash)]
+        n += len(table.hash)
+    out.filter = np.zeros(1 << max(16, len(out.prints).bit_length() + 4), bool)
+    out.filter[(out.prints & np.uint64(len(out.filter) - 1)).astype(np.int64)] = True
     return out
 
 
-def _candidates(index: Index, words: textbytes.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(document word, item word) where fingerprints of both sides meet."""
+def _near_prints(index: Index, words: textbytes.Words) -> np.ndarray:
+    """First words of the spans of a document that hold a fingerprint of its own which some item has too."""
     none = np.zeros(0, np.int64)
-    if not len(index.prints):
-        return none, none
     kept = winnow(words.hash, words.first, index.k, index.span - index.k + 1)
-    if not len(kept):
-        return none, none
-    prints = textbytes.grams(words.hash, index.k)[kept]
+    if not len(kept) or not len(index.prints):
+        return none
+    prints = _grams_at(words.hash, kept, index.k)
     maybe = index.filter[(prints & np.uint64(len(index.filter) - 1)).astype(np.int64)]
     kept, prints = kept[maybe], prints[maybe]
-    lo, hi = np.searchsorted(index.prints, prints, "left"), np.searchsorted(index.prints, prints, "right")
-    n = hi - lo
-    doc = np.repeat(kept, n)
-    item = index.word[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if n.sum() else none
-    return doc, item
+    at = np.minimum(np.searchsorted(index.prints, prints), len(index.prints) - 1)
+    kept = kept[index.prints[at] == prints]
+    if not len(kept):
+        return none
+    text = np.searchsorted(words.first, kept, "right") - 1
+    lo = np.maximum(kept - (index.span - index.k), words.first[text])
+    hi = np.minimum(kept, words.first[text + 1] - index.span)
+    n = np.maximum(hi - lo + 1, 0)
+    return np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
 
 
-def mark(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str | None]]]:
-    """Per text: number of words, hit stretches of words (merged), ids of the items that occur."""
+def mark(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str | None]]]:
+    """Per text: number of words, hit stretches of words (merged), ids of the items that occur (sorted, null last)."""
     words = textbytes.words(data, offsets)
-    n_texts = len(offsets) - 1
-    stretches: list[list[tuple[int, int]]] = [[] for _ in range(n_texts)]
-    found: list[set[str | None]] = [set() for _ in range(n_texts)]
-    text_of = words.text_of
-
-    def hit(a: int, b: int, item_word: int, least: int) -> None:
-        """Runs of ``least`` equal words or more within b - a words of equal hashes."""
-        t, lo = int(text_of[a]), a
-        for i in range(a, b + 1):
-            w = item_word + i - a
-            if i < b and textbytes.LOWER[data[words.start[i] : words.end[i]]].tobytes() == index.text[index.start[w] : index.start[w + 1]]:
-                continue
-            if i - lo >= least:
-                stretches[t].append((int(lo - words.first[t]), int(i - words.first[t])))
-                found[t].add(index.ids[int(index.owner[item_word])])
-            lo = i + 1
-
-    doc, item = _candidates(index, words)
-    if len(doc):
-        # One extension for each document and diagonal: hits on it lie in runs of equal words.
-        order = np.lexsort((doc, item - doc))
-        doc, item = doc[order], item[order]
-        reached: dict[tuple[int, int, int], int] = {}
-        n_words, n_item = len(words.hash), len(index.hashes)
-        for d, i in zip(doc.tolist(), item.tolist(), strict=True):
-            t, o = int(text_of[d]), int(index.owner[i])
-            lane = (t, o, i - d)
-            if reached.get(lane, -1) > d:
-                continue
-            a, x = d, i
-            while a > words.first[t] and x > 0 and index.owner[x - 1] == o and words.hash[a - 1] == index.hashes[x - 1]:
-                a, x = a - 1, x - 1
-            b, y = d, i
-            while b < words.first[t + 1] and b < n_words and y < n_item and index.owner[y] == o and words.hash[b] == index.hashes[y]:
-                b, y = b + 1, y + 1
-            reached[lane] = b
-            if b - a >= index.span:
-                hit(a, b, x, index.span)
-    for length, by_hash in index.short.items():
-        g = textbytes.grams(words.hash, length)
-        if not len(g):
+    n, n_texts = len(words.hash), len(offsets) - 1
+    turns = np.zeros(n + 1, np.int64)  # spans that begin at a word, less those that end before it
+    pairs = [np.zeros(0, np.int64)]  # text and set of items, in one number
+    lowered = None
+    for length, table in index.spans.items():
+        if length == index.span:
+            at = _near_prints(index, words)
+        else:
+            at = np.arange(max(0, n - length + 1))
+            at = at[at + length <= np.repeat(words.first[1:], np.diff(words.first))[: len(at)]]
+        if not len(at):
             continue
-        wanted = np.fromiter(by_hash, np.uint64, len(by_hash))
-        end = words.first[1:][text_of[: len(g)]]
-        for a in np.flatnonzero(np.isin(g, wanted) & (np.arange(len(g)) + length <= end)).tolist():
-            for i in by_hash[int(g[a])]:
-                hit(a, a + length, i, length)
-    return np.diff(words.first), [_merged(s) for s in stretches], found
+        hashes = _grams_at(words.hash, at, length)
+        lo, hi = np.searchsorted(table.hash, hashes, "left"), np.searchsorted(table.hash, hashes, "right")
+        while True:  # once, unless different spans of items share a hash
+            met = np.flatnonzero(lo < hi)
+            if not len(met):
+                break
+            if lowered is None:
+                lowered = textbytes.LOWER[data]
+            sure = met[~_differ(lowered, (words.start, words.end), at[met], index.text, index.start, table.word[lo[met]], length)]
+            np.add.at(turns, at[sure], 1)
+            np.add.at(turns, at[sure] + length, -1)
+            text = np.searchsorted(words.first, at[sure], "right") - 1
+            pairs.append(np.unique(text * np.int64(1 << 32) + table.of[lo[sure]]))
+            lo = lo + 1
+    stretches: list[list[tuple[int, int]]] = [[] for _ in range(n_texts)]
+    inside = np.cumsum(turns[:-1]) > 0
+    if inside.any():
+        edge = np.zeros(n + 1, bool)  # a text's first word
+        edge[words.first] = True
+        begin = np.flatnonzero(inside & (edge[:-1] | ~np.append(False, inside[:-1])))
+        end = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
+        text = np.searchsorted(words.first, begin, "right") - 1
+        for t, a, b in zip(text.tolist(), (begin - words.first[text]).tolist(), (end - words.first[text]).tolist(), strict=True):
+            stretches[t].append((a, b))
+    found: list[list[str | None]] = [[] for _ in range(n_texts)]
+    met = np.unique(np.concatenate(pairs))
+    if len(met):
+        text, which = met >> 32, met & np.int64((1 << 32) - 1)
+        cuts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(text)], strict=True):
+            sets = [index.set_names[index.set_start[s] : index.set_start[s + 1]] for s in which[lo:hi].tolist()]
+            held = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+            found[int(text[lo])] = [index.names[i] for i in held.tolist()]
+    return np.diff(words.first), stretches, found
 
 
 def _merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -209,7 +290,7 @@ def _marker(sent):
             n, s, f = mark(sent.value, data, offsets)
             counts += n.tolist()
             spans += [[{"lo": a, "hi": b} for a, b in x] for x in s]
-            items += [_named(x) for x in f]
+            items += f
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
 
     return marked

@@ -1,5 +1,9 @@
 """Word-level operators on null and repeated ids."""
 
+import random
+import time
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -16,16 +20,60 @@ def test_nameless_items_are_not_called_null(spark):
         assert list(r["__hits"]["items"]) == ["null", None] and [(s.lo, s.hi) for s in r["__hits"].spans] == [(0, 4)] and r["row"] == "clash"
 
 
-def test_words_that_share_a_hash_split_a_hit():
+def marked(index, text):
+    for _, _, data, offsets in textbytes.chunks(pa.array([text])):
+        _, spans, found = decontam.mark(index, data, offsets)
+    return spans[0], found[0]
+
+
+def test_words_that_share_a_hash_split_a_hit(monkeypatch):
     words = [f"w{i}" for i in range(25)]
-    index = decontam.build_index([("a", " ".join(words))])
-    other = words[:]
-    other[12] = "no"
-    for _, _, data, offsets in textbytes.chunks(pa.array([" ".join(other)])):
-        w = textbytes.words(data, offsets)
-        index.hashes[12] = w.hash[12]  # as if both words had one hash
+    other = [*words[:12], "no", *words[13:]]
+    plain = textbytes.words
+    code = {t: plain(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).hash[0] for t in ("no", "w12")}
+
+    def alike(data, offsets, *kinds):
+        found = plain(data, offsets, *kinds)
+        found.hash[found.hash == code["no"]] = code["w12"]  # as if both words had one hash
+        return found
+
+    monkeypatch.setattr(textbytes, "words", alike)
+    one = decontam.build_index([("a", " ".join(words))])
+    assert marked(one, " ".join(words)) == ([(0, 25)], ["a"])
+    assert marked(one, " ".join(other)) == ([(0, 12), (13, 25)], ["a"])
+    both = decontam.build_index([("a", " ".join(words)), ("b", " ".join(other)), ("c", "w12 w3"), ("d", "no w3")])
+    assert marked(both, " ".join(words[8:20])) == ([(0, 12)], ["a"])
+    assert marked(both, " ".join(other[8:20])) == ([(0, 12)], ["b"])
+    assert marked(both, "no w3 x") == ([(0, 2)], ["d"]) and marked(both, "x W12 w3") == ([(1, 3)], ["c"])
+
+
+def test_repetitive_texts_against_plain_ones():
+    rng = random.Random(1)
+    for case in range(60):
+        size = rng.choice([1, 2, 3])
+        some = [f"w{i}" for i in range(size)]
+        items = [(f"i{n % 7}", " ".join(rng.choice(some) for _ in range(rng.choice([1, 4, 9, 10, 11, 40])))) for n in range(12)]
+        items += [("p", "a b c " * rng.choice([3, 30])), ("q", "a " * rng.choice([9, 10, 50]))]
+        docs = [" ".join(rng.choice([*some, "z"]) for _ in range(rng.choice([0, 5, 10, 30, 200]))) for _ in range(6)] + ["b c a " * 40, "a " * 30, "a b c " * 3 + "x " + "b " * 10]
+        index = decontam.build_index(items)
+        for _, _, data, offsets in textbytes.chunks(pa.array(docs)):
+            n, spans, found = decontam.mark(index, data, offsets)
+        got = [(int(c), sum(b - a for a, b in x), f) for c, x, f in zip(n, spans, found, strict=True)]
+        assert got == brute_hits(docs, items), case
+
+
+def test_work_follows_from_the_words():
+    began = time.perf_counter()
+    assert marked(decontam.build_index([("a", "word " * 20_000)]), "word " * 20_000) == ([(0, 20_000)], ["a"])
+    assert time.perf_counter() - began < 2
+    opening = " ".join(f"o{i}" for i in range(40))
+    index = decontam.build_index([(f"{n:05d}", f"{opening} " + " ".join(f"x{n}y{i}" for i in range(20))) for n in range(10_000)])
+    docs = pa.array([f"so {opening} {n}" for n in range(100)])
+    began = time.perf_counter()
+    for _, _, data, offsets in textbytes.chunks(docs):
         _, spans, found = decontam.mark(index, data, offsets)
-    assert spans == [[(0, 12), (13, 25)]] and found == [{"a"}]
+    assert time.perf_counter() - began < 100 * 0.02
+    assert all(s == [(1, 41)] and len(f) == 10_000 for s, f in zip(spans, found, strict=True))
 
 
 @pytest.mark.parametrize("block_chars", [1 << 20, 700, 60])
