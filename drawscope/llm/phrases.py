@@ -52,6 +52,8 @@ BITS = 26
 #: Keys of one minimal perfect hash, and slots of one row of counts.
 BLOCK, SLOTS = 1 << 21, 1 << 15
 FAN = 32
+#: Rows of text looked at together, bytes of text behind one row of stored words, phrases summed at a time.
+ROWS, STORED, TOGETHER = 512, 1 << 17, 1 << 20
 #: Keys that a task remembers to have sent already.
 SENT = 1 << 20
 
@@ -65,13 +67,15 @@ def seed_of(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, bytes, offsets) of stretches of a batch of (lang, text)."""
-    langs = pc.fill_null(batch.column(0), UNKNOWN).dictionary_encode()
-    for code, lang in enumerate(langs.dictionary.to_pylist()):
-        rows = pc.equal(langs.indices, code)
-        for _, _, data, offsets in textbytes.chunks(pc.filter(batch.column(1), rows)):
-            yield lang, data, offsets
+def by_language(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, bytes, offsets) of stretches of about ``limit`` bytes of rows of (lang, text)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            some = batch.slice(lo, ROWS)
+            langs = pc.fill_null(some.column(0), UNKNOWN).dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                for _, _, data, offsets in textbytes.chunks(pc.filter(some.column(1), pc.equal(langs.indices, code)), limit):
+                    yield lang, data, offsets
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, textbytes.Words]:
@@ -123,11 +127,10 @@ def tokenised(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, n, words): stretches of texts of one language."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data, offsets in by_language(batch):
-                hashes, place, _ = word_hashes(data, offsets)
-                if len(place):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(place)], pa.int64()), pa.array([hashes.astype("<u8").tobytes()], pa.binary())], ["lang", "n", "words"])
+        for name, data, offsets in by_language(batches, STORED):
+            hashes, place, _ = word_hashes(data, offsets)
+            if len(place):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(place)], pa.int64()), pa.array([hashes.astype("<u8").tobytes()], pa.binary())], ["lang", "n", "words"])
 
     return materialise(_texts(docs, text, lang).mapInArrow(cut, "lang string, n bigint, words binary"), "words")
 
@@ -147,11 +150,22 @@ def frequent(words: DataFrame, k: int, bits: list[np.ndarray], least: int) -> Da
     sent = words.sparkSession.sparkContext.broadcast(bits)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            seen, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for lo in range(0, len(seen), SLOTS):
+                yield pa.RecordBatch.from_arrays([pa.array(seen[lo : lo + SLOTS].view(np.int64)), pa.array(n[lo : lo + SLOTS].astype(np.int64))], ["h", "n"])
+
         for seed, row in _stretches(batches):
             *_, (level, _, hashes) = levels(row, seed, sent.value)
-            if level == k and len(hashes):
-                seen, n = np.unique(hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            if level == k:
+                held.append(hashes)
+            if sum(map(len, held)) >= TOGETHER:
+                yield from summed()
+        if held:
+            yield from summed()
 
     rows = words.select("lang", "words").mapInArrow(counted, "h bigint, n bigint")
     return materialise(rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), f"level-{k}")
@@ -183,48 +197,47 @@ def candidates(docs: DataFrame, text: str, lang: str, bits: list[np.ndarray]) ->
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = [np.zeros(0, np.uint64) for _ in range(LONGEST)]
-        for batch in batches:
-            for name, data, offsets in by_language(batch):
-                row, place, words = word_hashes(data, offsets)
-                if not len(place):
+        for name, data, offsets in by_language(batches, textbytes.CHUNK_BYTES):
+            row, place, words = word_hashes(data, offsets)
+            if not len(place):
+                continue
+            seed, size = seed_of(name), words.end - words.start
+            # The words with one space after each: a phrase is a slice of this.
+            after = np.cumsum(size + 1)
+            flat = np.full(after[-1], 32, np.uint8)
+            start = after - size - 1
+            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            flat[inner + np.repeat(start, size)] = textbytes.LOWER[data[inner + np.repeat(words.start, size)]]
+            number = np.zeros(len(row) + 1, np.int64)
+            number[place] = np.arange(len(place))
+            h, g = np.zeros((LONGEST, len(row)), np.uint64), np.zeros((LONGEST, len(row)), np.uint64)
+            for k, at, hashes in levels(row, seed, sent.value):
+                there = marked(sent.value[k - 1], hashes)
+                at, hashes = at[there], hashes[there]
+                h[k - 1, at], g[k - 1, at] = hashes, second_hashes(row, seed, at, k)
+                new, one = np.unique(hashes, return_index=True)
+                if len(done[k - 1]):
+                    near = np.minimum(np.searchsorted(done[k - 1], new), len(done[k - 1]) - 1)
+                    one, new = one[done[k - 1][near] != new], new[done[k - 1][near] != new]
+                if not len(one):
                     continue
-                seed, size = seed_of(name), words.end - words.start
-                # The words with one space after each: a phrase is a slice of this.
-                after = np.cumsum(size + 1)
-                flat = np.full(after[-1], 32, np.uint8)
-                start = after - size - 1
-                inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                flat[inner + np.repeat(start, size)] = textbytes.LOWER[data[inner + np.repeat(words.start, size)]]
-                number = np.zeros(len(row) + 1, np.int64)
-                number[place] = np.arange(len(place))
-                h, g = np.zeros((LONGEST, len(row)), np.uint64), np.zeros((LONGEST, len(row)), np.uint64)
-                for k, at, hashes in levels(row, seed, sent.value):
-                    there = marked(sent.value[k - 1], hashes)
-                    at, hashes = at[there], hashes[there]
-                    h[k - 1, at], g[k - 1, at] = hashes, second_hashes(row, seed, at, k)
-                    new, one = np.unique(hashes, return_index=True)
-                    if len(done[k - 1]):
-                        near = np.minimum(np.searchsorted(done[k - 1], new), len(done[k - 1]) - 1)
-                        one, new = one[done[k - 1][near] != new], new[done[k - 1][near] != new]
-                    if not len(one):
-                        continue
-                    done[k - 1] = np.sort(np.concatenate([done[k - 1], new])) if len(done[k - 1]) + len(new) <= SENT else np.sort(new)[:SENT]
-                    at = at[one]
-                    lo, hi = start[number[at]], after[number[at + k - 1]] - 1
-                    ends = np.concatenate(([0], np.cumsum(hi - lo)))
-                    take = flat[np.repeat(lo - ends[:-1], hi - lo) + np.arange(ends[-1])]
-                    parts = np.stack([x for j in range(1, k) for x in (h[j - 1, at], g[j - 1, at], h[k - j - 1, at + j], g[k - j - 1, at + j])], axis=1) if k > 1 else np.zeros((len(at), 0), np.uint64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h[k - 1, at].view(np.int64)),
-                            pa.array(g[k - 1, at].view(np.int64)),
-                            pa.array([name] * len(at)),
-                            pa.array(np.full(len(at), k, np.int32)),
-                            pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(take.tobytes())).cast(pa.string()),
-                            pa.array([p.tobytes() for p in parts.astype("<u8")], pa.binary()),
-                        ],
-                        ["h", "g", "lang", "k", "phrase", "parts"],
-                    )
+                done[k - 1] = np.sort(np.concatenate([done[k - 1], new])) if len(done[k - 1]) + len(new) <= SENT else np.sort(new)[:SENT]
+                at = at[one]
+                lo, hi = start[number[at]], after[number[at + k - 1]] - 1
+                ends = np.concatenate(([0], np.cumsum(hi - lo)))
+                take = flat[np.repeat(lo - ends[:-1], hi - lo) + np.arange(ends[-1])]
+                parts = np.stack([x for j in range(1, k) for x in (h[j - 1, at], g[j - 1, at], h[k - j - 1, at + j], g[k - j - 1, at + j])], axis=1) if k > 1 else np.zeros((len(at), 0), np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[k - 1, at].view(np.int64)),
+                        pa.array(g[k - 1, at].view(np.int64)),
+                        pa.array([name] * len(at)),
+                        pa.array(np.full(len(at), k, np.int32)),
+                        pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(take.tobytes())).cast(pa.string()),
+                        pa.array([p.tobytes() for p in parts.astype("<u8")], pa.binary()),
+                    ],
+                    ["h", "g", "lang", "k", "phrase", "parts"],
+                )
 
     return _texts(docs, text, lang).mapInArrow(found, "h bigint, g bigint, lang string, k int, phrase string, parts binary")
 
