@@ -113,16 +113,62 @@ def log_report(logs: DataFrame, text: str = "text") -> DataFrame:
     return logs.select("*", scanned["parse_status"].alias("parse_status"), scanned["ess_line_hits"].alias("ess_line_hits"), scanned["excerpt_suffix"].alias("excerpt_suffix"))
 
 
-def bundle(assigned: DataFrame, districts: DataFrame, scope: list[str], tolerance: float | None = None) -> DataFrame:
-    """Population, uniqueness, splits and convergence for every scope (DOM10).
+#: Columns of ``bundle`` in the blocks of a report.
+BLOCKS = {
+    "population": ("ideal_per_district", "total_population", "per_draw_max_abs_rel_deviation", "draws_exceeding_tolerance", "n_exceeding", "mean_of_max_abs_rel_deviation", "max_of_max_abs_rel_deviation", "p95_of_max_abs_rel_deviation"),
+    "county_splits": ("n_counties_in_frame", "per_draw_n_split_counties", "mean_n_split_counties", "max_n_split_counties"),
+    "chains": ("n_chains", "r_hat_max_abs_rel_pop_deviation", "r_hat_n_split_counties"),
+    "ensemble": ("n_unique", "n_duplicate"),
+    "smc_log": ("parse_status", "stderr_path", "stdout_path", "ess_line_hits", "log_excerpt_chars", "excerpt_suffix"),
+}
 
-    The ensemble is read once: one aggregation by (scope, draw, district), written, holds all that is asked. A draw
+
+def bundle(assigned: DataFrame, districts: DataFrame, scope: list[str], tolerance: float | None = None, county: str | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """Population, splits, convergence, uniqueness and sampler log of every scope (DOM10): the columns of ``BLOCKS``,
+    n_units, n_draws and ndists.
+
+    assigned: (scope, draw, chain, precinct_id, district, population), and the column ``county`` if one is named, whose
+    splits are counted then (it may be one of the scope). logs: what ``sources.logs.scanned`` returns, by scope. Without
+    them, without ``tolerance`` or with one chain only, the columns they give are null.
+
+    The ensemble is read once: one aggregation by (scope, draw, county, district), written, holds all that is asked. A draw
     covers every unit (the ensemble's contract), so the units of a scope are those of a draw.
     """
+    part = F.col(county) if county else F.lit(None).cast("string")
     sums = [F.sum(h).alias(n) for n, h in _hashes().items()]
-    parts = materialise(assigned.groupBy(*scope, "draw", "district").agg(_population().alias("p"), F.count("*").alias("n"), F.min("chain").alias("chain"), *sums), "plan-parts")
+    parts = materialise(assigned.groupBy(*scope, "draw", "district", part.alias("__county")).agg(_population().alias("p"), F.count("*").alias("n"), F.min("chain").alias("chain"), *sums), "plan-parts")
     plans = parts.groupBy(*scope, "draw").agg(F.sum("n").alias("n"), F.min("chain").alias("chain"), *(F.sum(c).alias(c) for c in _hashes()))
-    deviation = _deviation(parts, districts, [*scope, "draw"], scope)
-    series = deviation.join(plans.select(*scope, "draw", "chain"), [*scope, "draw"]).select(*scope, "chain", "draw", F.col("deviation").alias("value"))
-    units = plans.groupBy(*scope).agg(F.max("n").alias("n_units"))
-    return units.join(districts.select(*scope, "ndists"), scope).join(population_summary(deviation, scope, tolerance), scope).join(_unique(plans, scope), scope).join(r_hat(series, scope).withColumnRenamed("r_hat", "r_hat_deviation"), scope)
+    deviation = _deviation(parts.groupBy(*scope, "draw", "district").agg(F.sum("p").alias("p")), districts, [*scope, "draw"], scope)
+    # A row of ``parts`` is a district within a county.
+    per = parts.groupBy(*scope, "draw", "__county").agg(F.count("*").alias("n")).groupBy(*scope, "draw").agg(F.count_if(F.col("n") > 1).alias("splits"), F.count("*").alias("counties"))
+    drawn = plans.select(*scope, "draw", "chain", "n").join(deviation, [*scope, "draw"]).join(per, [*scope, "draw"])
+    drawn = materialise(drawn.withColumn("splits", F.when(F.lit(county is not None), F.col("splits"))), "draw-facts")
+    population = population_summary(drawn, scope, tolerance)
+    over = F.transform("per_draw_max_abs_rel_deviation", lambda x: x > tolerance) if tolerance is not None else F.lit(None).cast("array<boolean>")
+    population = population.withColumn("draws_exceeding_tolerance", over).withColumn("n_exceeding", F.col("n_exceeding") if tolerance is not None else F.lit(None).cast("bigint"))
+    series = F.transform(F.sort_array(F.collect_list(F.struct("draw", "splits"))), lambda x: x["splits"])
+    facts = drawn.groupBy(*scope).agg(
+        F.max("n").alias("n_units"),
+        F.when(F.lit(county is not None), F.max("counties")).alias("n_counties_in_frame"),
+        F.when(F.lit(county is not None), series).alias("per_draw_n_split_counties"),
+        F.avg("splits").alias("mean_n_split_counties"),
+        F.max("splits").alias("max_n_split_counties"),
+    )
+    hats = r_hat(drawn.select(*scope, "chain", "draw", F.col("deviation").alias("d"), F.col("splits").cast("double").alias("s")).unpivot([*scope, "chain", "draw"], ["d", "s"], "metric", "value").where("value is not null"), [*scope, "metric"])
+    of = lambda metric: F.max(F.when((F.col("metric") == metric) & (F.col("n_chains") >= 2), F.col("r_hat")))
+    chains = hats.groupBy(*scope).agg(F.max(F.when(F.col("n_chains") >= 2, F.col("n_chains"))).alias("n_chains"), of("d").alias("r_hat_max_abs_rel_pop_deviation"), of("s").alias("r_hat_n_split_counties"))
+    out = facts.join(districts.select(*scope, "ndists"), scope).join(population, scope).join(_unique(plans, scope), scope).join(chains, scope, "left")
+    if logs is not None:
+        out = out.join(logs.select(*scope, *BLOCKS["smc_log"]), scope, "left")
+    else:
+        kinds = dict.fromkeys(BLOCKS["smc_log"], "string") | {"ess_line_hits": "bigint", "log_excerpt_chars": "bigint"}
+        out = out.withColumns({c: F.lit(None).cast(kinds[c]) for c in BLOCKS["smc_log"]})
+    return out.select(*scope, "n_units", "n_draws", "ndists", *(c for block in BLOCKS.values() for c in block))
+
+
+def blocks() -> list[Column]:
+    """A ``bundle``'s columns as a report has them: numbers of the whole, then a struct for each block (null
+    where it has no content)."""
+    empty = {"county_splits": "n_counties_in_frame", "chains": "n_chains", "smc_log": "parse_status"}
+    whole = [F.col(c) for c in ("n_units", "n_draws", "ndists")]
+    return whole + [F.when(F.col(empty[b]).isNotNull(), F.struct(*c)).alias(b) if b in empty else F.struct(*c).alias(b) for b, c in BLOCKS.items()]

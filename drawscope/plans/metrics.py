@@ -189,17 +189,25 @@ def compare(units: DataFrame, votes: DataFrame, coding: DataFrame, focal: DataFr
     A focal value that is undefined becomes 0, except for the mean-median difference. Values
     are compared after rounding to 12 digits, since sums come in any order on a cluster.
     """
+    return comparison(units, votes, coding, focal, ensemble, scope, policy, strict)[0]
+
+
+def comparison(units: DataFrame, votes: DataFrame, coding: DataFrame, focal: DataFrame, ensemble: DataFrame, scope: list[str] | None = None, policy: Policy | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(what ``compare`` returns, a row for each scope with the counters of ``coverage`` and the totals, factor and
+    skip reason of ``balance_factors``)."""
     scope = scope or ["county"]
     # A row a unit, read by the enacted plan, the draws, the count of units and the strict check: written once.
-    blocs = balanced(materialise(bloc_votes(units, votes, coding), "blocs"), scope, policy)
-    labelled = blocs.join(first_focal(focal), "precinct_id", "left")
+    raw = materialise(bloc_votes(units, votes, coding), "blocs")
+    blocs = balanced(raw, scope, policy)
+    labels = first_focal(focal)
+    labelled = blocs.join(labels, "precinct_id", "left")
     if strict and labelled.where((F.col("votes_a") + F.col("votes_b") > 0) & F.col("focal_district").isNull()).limit(1).count():
         raise ContractError("units with votes lack an enacted district")
     enacted = plan_metrics(district_totals(labelled.where("focal_district is not null"), scope, "focal_district"), scope, policy)
     focal_rows = long_metrics(enacted, scope).withColumnRenamed("value", "focal_value")
     focal_rows = focal_rows.withColumn("focal_value", F.when((F.col("metric") != "mean_median_a_share_diff"), F.coalesce("focal_value", F.lit(0.0))).otherwise(F.col("focal_value")))
     draws = long_metrics(draw_metrics(blocs, ensemble, scope, policy), [*scope, "draw"])
-    return summarise(draws, focal_rows, scope)
+    return summarise(draws, focal_rows, scope), coverage(raw.join(labels, "precinct_id", "left"), scope).join(balance_factors(raw, scope, policy), scope)
 
 
 def summarise(draws: DataFrame, focal_rows: DataFrame, scope: list[str]) -> DataFrame:

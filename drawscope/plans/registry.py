@@ -14,8 +14,8 @@ from ..functions import keys, rings
 from ..operators import ensembles, graph, quality, shapes
 from ..operators import units as ops
 from ..operators.components import components
-from ..scratch import table
-from ..sources import sinks
+from ..scratch import scoped_path, table
+from ..sources import logs, sinks
 from . import diagnostics, electorate, figures, generate, metrics, reports, rollup, rules
 from .electorate import BASE_SQL, DRAWS
 
@@ -259,12 +259,15 @@ def plan_signatures(spark, d):  # AGG10, FN19
     return diagnostics.plan_signature(electorate.ensemble(spark, d), SCOPE)
 
 
-_RH = """rk AS (SELECT *, row_number() OVER (PARTITION BY county, chain ORDER BY draw) AS rn FROM pd), ln AS (SELECT county, min(n) AS n, count(*) AS m FROM (SELECT county, chain, count(*) AS n FROM pd GROUP BY ALL) GROUP BY county),
-pc AS (SELECT county, chain, any_value(n) AS n, any_value(m) AS m, avg(deviation) AS mu, var_samp(deviation) AS w FROM rk JOIN ln USING (county) WHERE rn <= n GROUP BY county, chain),
-rh AS (SELECT county, any_value(m) AS n_chains, any_value(n)::DOUBLE AS n, avg(w) AS w, var_samp(mu) AS b FROM pc GROUP BY county)"""
+def _rhat_sql(name: str, source: str, value: str) -> str:
+    """``name`` (county, n_chains, r_hat) of ``source`` (county, chain, draw, value)."""
+    return f"""{name}rk AS (SELECT county, chain, {value} AS v, row_number() OVER (PARTITION BY county, chain ORDER BY draw) AS rn FROM {source}), {name}ln AS (SELECT county, min(n) AS n, count(*) AS m FROM (SELECT county, chain, count(*) AS n FROM {source} GROUP BY ALL) GROUP BY county),
+{name}pc AS (SELECT county, chain, any_value(n) AS n, any_value(m) AS m, avg(v) AS mu, var_samp(v) AS w FROM {name}rk JOIN {name}ln USING (county) WHERE rn <= n GROUP BY county, chain),
+{name} AS (SELECT county, n_chains, round(CASE WHEN n_chains >= 2 AND n >= 2 AND w > 0 THEN greatest(1.0::DOUBLE, sqrt(((n - 1) / n * w + b) / w)) WHEN n_chains >= 2 AND n >= 2 AND b = 0 THEN 1.0::DOUBLE END, 6) AS r_hat FROM
+  (SELECT county, any_value(m) AS n_chains, any_value(n)::DOUBLE AS n, avg(w) AS w, var_samp(mu) AS b FROM {name}pc GROUP BY county))"""
 
 
-@q(f", {_PD}, {_RH} SELECT county, n_chains, round(CASE WHEN n_chains >= 2 AND n >= 2 AND w > 0 THEN greatest(1.0::DOUBLE, sqrt(((n - 1) / n * w + b) / w)) WHEN n_chains >= 2 AND n >= 2 AND b = 0 THEN 1.0::DOUBLE END, 6) AS r_hat FROM rh")
+@q(f", {_PD}, {_rhat_sql('rh', 'pd', 'deviation')} SELECT * FROM rh")
 def rhat(spark, d):  # AGG21, AGG22, WIN4
     series = _deviation(spark, d).join(electorate.ensemble(spark, d).select("county", "draw", "chain").distinct(), ["county", "draw"])
     return diagnostics.r_hat(series.withColumnRenamed("deviation", "value"), SCOPE).select("county", "n_chains", r("r_hat").alias("r_hat"))
@@ -275,10 +278,72 @@ def chain_of_draw(spark, d):  # AGG23, WIN3
     return ensembles.first_chain(electorate.ensemble(spark, d), SCOPE)
 
 
-@q(f", {_PD}, {_UN}, {_RH} SELECT un.county, un.n_draws, un.n_unique, round(any_value(m), 6) AS mean_dev, count(*) AS n_units FROM un JOIN (SELECT county, avg(deviation) AS m FROM pd GROUP BY county) s USING (county) JOIN u USING (county) GROUP BY un.county, un.n_draws, un.n_unique")
+def _logs(spark, d) -> DataFrame:
+    """Each county's sampler log, written a line a unit and read back: most have one for stderr, one in four names
+    a stdout that isn't there, and one in four has no paths."""
+    folder = scoped_path(spark, "logs")
+    k = F.col("k")
+    line = F.when(k % 5 == 0, F.concat(F.lit("Effective sample size: "), k)).when(k % 7 == 0, F.concat(F.lit(" ESS = "), k)).otherwise(F.concat(F.lit("step "), k))
+    lines = electorate.units(spark, d).select("county", "k", line.alias("line"))
+    lines.repartition("county").sortWithinPartitions("county", "k").select("county", "line").write.partitionBy("county").text(folder)
+    found = logs.files(spark, folder, "*.txt")
+    place = found.select(F.regexp_extract("path", r"/county=([^/]+)/", 1).alias("county"), "path")
+    n = F.col("county").cast("int") % 4
+    wanted = electorate.units(spark, d).select("county").distinct().join(place, "county", "left")
+    return logs.scanned(wanted.select("county", F.when(n < 3, F.col("path")).alias("stderr_path"), F.when(n == 1, F.lit("/no/such/log")).alias("stdout_path")), found, SCOPE)
+
+
+_LOGS = r"""lgt AS (SELECT county, county::INTEGER % 4 AS n, '--- stderr ---' || chr(10) || string_agg(CASE WHEN k % 5 = 0 THEN 'Effective sample size: ' || k WHEN k % 7 = 0 THEN ' ESS = ' || k ELSE 'step ' || k END || chr(10), '' ORDER BY k) || chr(10) AS err FROM u GROUP BY county),
+lgc AS (SELECT county, n, CASE n WHEN 3 THEN NULL WHEN 1 THEN err || '[stdout: missing file /no/such/log]' || chr(10) ELSE err END AS t FROM lgt),
+lg AS (SELECT county, CASE WHEN t IS NULL THEN 'no_log_paths' ELSE 'scanned' END AS parse_status, CASE WHEN t IS NULL THEN 0 ELSE len(regexp_extract_all(t, '(?im)(effective\s+sample\s+size|(^|\s)ESS\s*[:=])')) END::BIGINT AS ess_line_hits,
+  CASE WHEN t IS NULL THEN 0 ELSE least(4000, length(t)) END::BIGINT AS log_excerpt_chars, md5(right(t, 4000)) AS excerpt_md5 FROM lgc)"""
+
+
+@q(f", {_LOGS} SELECT * FROM lg")
+def sampler_logs(spark, d):  # FN15
+    return _logs(spark, d).select("county", "parse_status", "ess_line_hits", "log_excerpt_chars", F.md5("excerpt_suffix").alias("excerpt_md5"))
+
+
+#: Splits of settlements.
+_SP = "sp AS (SELECT county, draw, chain, count(*) FILTER (n > 1) AS splits, count(*) AS places FROM (SELECT ens.county, draw, chain, k % 7 AS taz, count(DISTINCT district) AS n FROM ens JOIN u USING (precinct_id) GROUP BY ALL) GROUP BY ALL)"
+_BUNDLE = f"""{_PD}, {_UN}, {_SP}, {_rhat_sql('rh', 'pd', 'deviation')}, {_rhat_sql('rs', 'sp', 'splits')}, {_LOGS},
+bd AS (SELECT county, any_value(ideal) AS ideal, any_value(total) AS total, avg(deviation) AS mean_dev, max(deviation) AS max_dev, quantile_cont(deviation, 0.95) AS p95_dev, count(*) FILTER (deviation > 0.25) AS n_exceeding,
+  string_agg(round(deviation * 1e6)::BIGINT::VARCHAR, ',' ORDER BY draw) AS deviations, string_agg((deviation > 0.25)::VARCHAR, ',' ORDER BY draw) AS exceeding FROM pd GROUP BY county),
+bs AS (SELECT county, max(places) AS n_places, avg(splits) AS mean_splits, max(splits) AS max_splits, string_agg(splits::VARCHAR, ',' ORDER BY draw) AS splits FROM sp GROUP BY county),
+sz AS (SELECT county, count(*) AS n_units, any_value(nd) AS nd FROM u GROUP BY county)"""
+
+
+@q(f""", {_BUNDLE} SELECT un.county, n_units, un.n_draws, nd AS ndists, round(ideal, 6) AS ideal, round(total, 6) AS total, round(mean_dev, 6) AS mean_dev, round(max_dev, 6) AS max_dev, round(p95_dev, 6) AS p95_dev, n_exceeding, deviations, exceeding,
+  n_places, round(mean_splits, 6) AS mean_splits, max_splits, splits, rh.n_chains, rh.r_hat AS r_hat_deviation, rs.r_hat AS r_hat_splits, n_unique, n_duplicate, parse_status, ess_line_hits, log_excerpt_chars
+  FROM un JOIN bd USING (county) JOIN bs USING (county) JOIN sz USING (county) JOIN rh USING (county) JOIN rs USING (county) JOIN lg USING (county)""")
 def diagnostics_bundle(spark, d):  # DOM10
-    b = diagnostics.bundle(_assigned(spark, d), electorate.districts(spark, d), SCOPE, 0.25)
-    return b.select("county", "n_draws", "n_unique", r("mean_of_max_abs_rel_deviation").alias("mean_dev"), "n_units")
+    assigned = _assigned(spark, d).join(electorate.units(spark, d).select("precinct_id", "taz"), "precinct_id")
+    b = diagnostics.bundle(assigned, electorate.districts(spark, d), SCOPE, 0.25, "taz", _logs(spark, d))
+    listed = lambda c, f: F.array_join(F.transform(c, lambda x: f(x).cast("string")), ",")
+    return b.select(
+        "county",
+        "n_units",
+        "n_draws",
+        "ndists",
+        r("ideal_per_district").alias("ideal"),
+        r("total_population").alias("total"),
+        *(r(f"{c}_of_max_abs_rel_deviation").alias(f"{c}_dev") for c in ("mean", "max", "p95")),
+        "n_exceeding",
+        listed("per_draw_max_abs_rel_deviation", lambda x: F.round(x * 1e6).cast("bigint")).alias("deviations"),
+        listed("draws_exceeding_tolerance", lambda x: x).alias("exceeding"),
+        F.col("n_counties_in_frame").alias("n_places"),
+        r("mean_n_split_counties").alias("mean_splits"),
+        F.col("max_n_split_counties").alias("max_splits"),
+        listed("per_draw_n_split_counties", lambda x: x).alias("splits"),
+        "n_chains",
+        r("r_hat_max_abs_rel_pop_deviation").alias("r_hat_deviation"),
+        r("r_hat_n_split_counties").alias("r_hat_splits"),
+        "n_unique",
+        "n_duplicate",
+        "parse_status",
+        "ess_line_hits",
+        "log_excerpt_chars",
+    )
 
 
 def _counts(spark, d) -> DataFrame:
@@ -610,13 +675,50 @@ def fig_histogram(spark, d):  # FIG5, FIG6, FIG7, DOM13
     return figures.histogram(_series(spark, d), ["county", "metric"]).withColumn("bin_lo", r("bin_lo"))
 
 
-@q(f"{_ALL}, {_PD}, {_UN}, sizes AS (SELECT county, count(*) AS n_units FROM u GROUP BY county), dev AS (SELECT county, avg(deviation) AS m FROM pd GROUP BY county) SELECT un.county, metric, n_units, un.n_draws, n_unique, round(m, 6) AS mean_dev, round(focal_value, 6) + 0.0::DOUBLE AS focal_value, round(ensemble_mean, 6) + 0.0::DOUBLE AS ensemble_mean, round(percentile_rank, 6) AS percentile_rank FROM un JOIN cmp ON cmp.county = un.county JOIN sizes ON sizes.county = un.county JOIN dev ON dev.county = un.county")
+@q(f"""{_ALL}, {_BUNDLE}, cov AS (SELECT fo.county, count(*) FILTER (a + b > 0) AS n_voting, count(*) FILTER (NOT in_votes) AS n_no_votes, count(*) FILTER (district IS NULL) AS n_no_focal, count(*) FILTER (a + b > 0 AND district IS NULL) AS n_voting_no_focal, count(district) AS n_focal FROM fo JOIN bv USING (precinct_id) GROUP BY fo.county)
+  SELECT un.county, metric, n_units, un.n_draws, n_unique, n_duplicate, round(mean_dev, 6) AS mean_dev, n_exceeding, n_places, round(mean_splits, 6) AS mean_splits, max_splits, rh.n_chains, rh.r_hat AS r_hat_deviation, rs.r_hat AS r_hat_splits, parse_status, ess_line_hits,
+  'left' AS label_a, 'right' AS label_b, n_voting, n_no_votes, n_no_focal, n_voting_no_focal, n_focal, '1,2' AS a_lists, '3,4' AS b_lists, x IS NOT NULL AS balanced, round(x, 6) AS factor, sa AS sum_a, sb AS sum_b,
+  round(focal_value, 6) + 0.0::DOUBLE AS focal_value, round(ensemble_mean, 6) + 0.0::DOUBLE AS ensemble_mean, round(ensemble_p05, 6) + 0.0::DOUBLE AS ensemble_p05, round(ensemble_p95, 6) + 0.0::DOUBLE AS ensemble_p95, round(percentile_rank, 6) AS percentile_rank
+  FROM un JOIN cmp ON cmp.county = un.county JOIN bd ON bd.county = un.county JOIN bs ON bs.county = un.county JOIN sz ON sz.county = un.county JOIN rh ON rh.county = un.county JOIN rs ON rs.county = un.county JOIN lg ON lg.county = un.county JOIN cov ON cov.county = un.county JOIN bal ON bal.county = un.county""")
 def county_reports(spark, d):  # DOM11, SNK6, FLT4
-    found = reports.county_reports(electorate.units(spark, d).select("county", "precinct_id"), electorate.list_votes(spark, d), electorate.coding(spark), electorate.focal(spark, d), electorate.ensemble(spark, d), electorate.voters(spark, d), electorate.districts(spark, d), SCOPE, SKIP, 0.25)
-    one = F.from_json("diagnostics", "n_units bigint, n_draws bigint, n_unique bigint, mean_of_max_abs_rel_deviation double")
-    each = F.from_json("partisan", "metrics map<string,struct<focal_value:double,ensemble_mean:double,percentile_rank:double>>")
-    read = found.select("county", one.alias("x"), F.explode(each["metrics"]).alias("metric", "v"))
-    return read.select("county", "metric", "x.n_units", "x.n_draws", "x.n_unique", r("x.mean_of_max_abs_rel_deviation").alias("mean_dev"), *(r(f"v.{c}").alias(c) for c in ("focal_value", "ensemble_mean", "percentile_rank")))
+    found = reports.county_reports(electorate.units(spark, d).select("county", "precinct_id", "taz"), electorate.list_votes(spark, d), electorate.coding(spark), electorate.focal(spark, d), electorate.ensemble(spark, d), electorate.voters(spark, d), electorate.districts(spark, d), SCOPE, SKIP, 0.25, labels=("left", "right"), split_by="taz", logs=_logs(spark, d))
+    one = F.from_json("diagnostics", "n_units bigint, n_draws bigint, population struct<n_exceeding:bigint,mean_of_max_abs_rel_deviation:double>, county_splits struct<n_counties_in_frame:bigint,mean_n_split_counties:double,max_n_split_counties:bigint>, chains struct<n_chains:bigint,r_hat_max_abs_rel_pop_deviation:double,r_hat_n_split_counties:double>, ensemble struct<n_unique:bigint,n_duplicate:bigint>, smc_log struct<parse_status:string,ess_line_hits:bigint>")
+    each = F.from_json(
+        "partisan",
+        "party_label_a string, party_label_b string, metrics map<string,struct<focal_value:double,ensemble_mean:double,ensemble_p05:double,ensemble_p95:double,percentile_rank:double>>, coverage struct<n_units_with_positive_two_party_votes:bigint,n_units_missing_vote_row:bigint,n_units_missing_focal_district:bigint,n_voting_units_missing_focal:bigint>, extra struct<coding:struct<a_lists:array<string>,b_lists:array<string>>,n_units_in_focal_aggregate:bigint,vote_balance:struct<balance_applied:boolean,scale_factor:double,sum_a_before:double,sum_b_before:double>>",
+    )
+    read = found.select("county", one.alias("x"), each.alias("y")).select("county", "x.*", "y.*").select("*", F.explode("metrics").alias("metric", "v"))
+    return read.select(
+        "county",
+        "metric",
+        "n_units",
+        "n_draws",
+        "ensemble.n_unique",
+        "ensemble.n_duplicate",
+        r("population.mean_of_max_abs_rel_deviation").alias("mean_dev"),
+        "population.n_exceeding",
+        F.col("county_splits.n_counties_in_frame").alias("n_places"),
+        r("county_splits.mean_n_split_counties").alias("mean_splits"),
+        F.col("county_splits.max_n_split_counties").alias("max_splits"),
+        "chains.n_chains",
+        r("chains.r_hat_max_abs_rel_pop_deviation").alias("r_hat_deviation"),
+        r("chains.r_hat_n_split_counties").alias("r_hat_splits"),
+        "smc_log.parse_status",
+        "smc_log.ess_line_hits",
+        F.col("party_label_a").alias("label_a"),
+        F.col("party_label_b").alias("label_b"),
+        F.col("coverage.n_units_with_positive_two_party_votes").alias("n_voting"),
+        F.col("coverage.n_units_missing_vote_row").alias("n_no_votes"),
+        F.col("coverage.n_units_missing_focal_district").alias("n_no_focal"),
+        F.col("coverage.n_voting_units_missing_focal").alias("n_voting_no_focal"),
+        F.col("extra.n_units_in_focal_aggregate").alias("n_focal"),
+        *(F.array_join(f"extra.coding.{b}_lists", ",").alias(f"{b}_lists") for b in "ab"),
+        F.col("extra.vote_balance.balance_applied").alias("balanced"),
+        r("extra.vote_balance.scale_factor").alias("factor"),
+        F.col("extra.vote_balance.sum_a_before").alias("sum_a"),
+        F.col("extra.vote_balance.sum_b_before").alias("sum_b"),
+        *(r(f"v.{c}").alias(c) for c in ("focal_value", "ensemble_mean", "ensemble_p05", "ensemble_p95", "percentile_rank")),
+    )
 
 
 @q(f", {_UN}, {_COUNTS} SELECT maz, round(weight, 9) AS weight, round(n_unique / n_draws, 9) AS unique_frac, round((n_draws - n_unique) / n_draws, 9) AS dup_frac, row_number() OVER (ORDER BY (n_draws - n_unique) / n_draws DESC, maz) <= 3 OR maz IN ('01', '14') AS labelled FROM un JOIN wt ON maz = county")

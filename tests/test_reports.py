@@ -33,11 +33,17 @@ def test_reports_of_every_county_in_one_job(spark):
     reports.write_county_reports(found, folder)
     read = lambda kind: json.loads(next(Path(folder, f"report={kind}", "county=01").glob("*.txt")).read_text())
     d, p = read("diagnostics"), read("partisan")
-    assert (d["n_units"], d["n_draws"], d["n_unique"], d["ndists"], d["n_exceeding"]) == (2, 2, 2, 2, 0)
-    assert d["mean_of_max_abs_rel_deviation"] == 0 and d["run_id"] == p["run_id"] == "r1" and d["r_hat_deviation"] is None
+    assert (d["n_units"], d["n_draws"], d["ndists"], d["ensemble"]) == (2, 2, 2, {"n_unique": 2, "n_duplicate": 0})
+    assert d["population"]["mean_of_max_abs_rel_deviation"] == 0 and d["population"]["draws_exceeding_tolerance"] == [False, False]
+    assert d["extra"]["run_id"] == p["extra"]["run_id"] == "r1" and p["extra"]["report_county"] == "01"
+    assert (d["chains"], d["county_splits"], d["smc_log"]) == (None, None, None)
+    assert p["coverage"] == {"n_units": 2, "n_units_with_positive_two_party_votes": 2, "n_units_missing_vote_row": 0, "n_units_missing_focal_district": 0, "n_voting_units_missing_focal": 0}
+    assert (p["party_label_a"], p["extra"]["coding"], p["extra"]["n_units_in_focal_aggregate"]) == ("A", {"a_lists": ["a1"], "b_lists": ["b1"]}, 2)
+    assert p["extra"]["vote_balance"] == {"balance_requested": True, "balance_mode": "symmetric", "balance_applied": True, "skip_reason": None, "scale_factor": 1.0, "sum_a_before": 40.0, "sum_b_before": 40.0, "sum_two_party_before": 80.0}
+    assert p["extra"]["policy"]["safety"]["on_small_values"] == "raise"
     gap = p["metrics"]["efficiency_gap"]
     assert gap["focal_value"] == pytest.approx(0) and gap["percentile_rank"] == 100 and gap["n_draws"] == 2
-    assert set(p["metrics"]) == set(metrics.METRICS) and p["efficiency_gap_definition"] == reports.GAP_DEFINITION
+    assert set(p["metrics"]) == set(metrics.METRICS) and p["extra"]["efficiency_gap_definition"] == reports.GAP_DEFINITION
 
 
 def test_strict_reports_want_every_voting_unit_in_the_enacted_plan(spark):
@@ -60,6 +66,65 @@ def test_bundle_equals_its_parts(spark):
     assert (b.n_draws, b.n_unique, b.n_duplicate) == (u.n_draws, u.n_unique, u.n_duplicate)
 
 
+def test_splits_and_both_r_hats(spark):
+    # Counties X and Y of two units each; draws 1 to 4 in two chains.
+    plans = {1: (1, 1, 1, 1), 2: (1, 2, 1, 2), 3: (1, 1, 1, 2), 4: (1, 2, 1, 2)}
+    rows = [("s", d, 1 + (d > 2), f"u{i}", x, 1.0, "XXYY"[i]) for d, plan in plans.items() for i, x in enumerate(plan)]
+    assigned = spark.createDataFrame(rows, "scope string, draw int, chain int, precinct_id string, district int, population double, maz string")
+    districts = spark.createDataFrame([("s", 2)], "scope string, ndists int")
+    b = diagnostics.bundle(assigned, districts, ["scope"], 0.4, "maz").first()
+    assert (b.n_counties_in_frame, b.per_draw_n_split_counties, b.mean_n_split_counties, b.max_n_split_counties) == (2, [0, 2, 1, 2], 1.25, 2)
+    assert (b.per_draw_max_abs_rel_deviation, b.draws_exceeding_tolerance, b.n_exceeding) == ([1.0, 0.0, 0.5, 0.0], [True, False, True, False], 2)
+    hat = lambda series: diagnostics.r_hat(spark.createDataFrame([("s", 1 + i // 2, i, float(v)) for i, v in enumerate(series)], "scope string, chain int, draw int, value double"), ["scope"]).first().r_hat
+    assert (b.n_chains, b.r_hat_max_abs_rel_pop_deviation, b.r_hat_n_split_counties) == (2, hat([1, 0, 0.5, 0]), hat([0, 2, 1, 2]))
+    assert (b.n_draws, b.n_unique, b.n_duplicate, b.parse_status) == (4, 3, 1, None)
+    one = diagnostics.bundle(assigned.where("chain = 1"), districts, ["scope"]).first()
+    assert (one.n_chains, one.n_exceeding, one.draws_exceeding_tolerance, one.per_draw_n_split_counties) == (None, None, None, None)
+
+
+def test_a_unit_without_enacted_district_is_counted(spark):
+    units, votes, coding, focal, *rest = inputs(spark)
+    (r,) = reports.county_reports(units, votes.where("precinct_id <> 'u2' or list_id <> 'a1'"), coding, focal.where("precinct_id = 'u1'"), *rest, labels=("one", "two")).collect()
+    p = json.loads(r.partisan)
+    assert p["coverage"]["n_voting_units_missing_focal"] == p["coverage"]["n_units_missing_focal_district"] == 1
+    assert p["extra"]["n_units_in_focal_aggregate"] == 1 and p["party_label_b"] == "two"
+
+
+def plain_log(err, out, read, most):
+    """The block of one run, from the texts of its files."""
+    import re
+
+    if not err and not out:
+        return ("no_log_paths", 0, 0, None)
+    text = ""
+    for name, path in (("stderr", err), ("stdout", out)):
+        if path:
+            text += f"--- {name} ---\n{read[path]}\n" if path in read else f"[{name}: missing file {path}]\n"
+    hits = len(re.findall(r"(?im)(effective\s+sample\s+size|(^|\s)ESS\s*[:=])", text))
+    return ("scanned", hits, min(most, len(text)), text[-most:])
+
+
+def test_logs_from_paths(spark, tmp_path):
+    from drawscope.sources import logs
+
+    texts = {"a.err": "Some preamble\nEffective sample size: 42%\nmore\n", "a.out": "ESS: 3\nx ESS = 4 less", "long.err": "ESS=1\n" * 900 + "é" * 300, "empty.out": ""}
+    read = {}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        read[str(tmp_path / name)] = text
+    (tmp_path / "raw.err").write_bytes(b"\xff ESS: \xe9\n")
+    read[str(tmp_path / "raw.err")] = "\ufffd ESS: \ufffd\n"
+    at = lambda name: name and str(tmp_path / name)
+    pairs = [("a.err", "a.out"), ("long.err", "a.out"), ("a.out", "long.err"), (None, None), ("", None), ("gone.err", None), ("gone.err", "a.out"), (None, "empty.out"), ("raw.err", "gone.out")]
+    wanted = spark.createDataFrame([(i, at(e), at(o)) for i, (e, o) in enumerate(pairs)], "run int, stderr_path string, stdout_path string")
+    for most in (4000, 60):
+        found = logs.scanned(wanted, logs.files(spark, str(tmp_path), "*.*", most), ["run"], most).orderBy("run").collect()
+        got = [(r.parse_status, r.ess_line_hits, r.log_excerpt_chars, r.excerpt_suffix) for r in found]
+        assert got == [plain_log(at(e), at(o), read, most) for e, o in pairs]
+    schemed = wanted.where("run = 0").withColumn("stderr_path", F.concat(F.lit("file://"), "stderr_path"))
+    assert logs.scanned(schemed, logs.files(spark, str(tmp_path)), ["run"]).first().ess_line_hits == 3
+
+
 def test_pieces_of_districts_against_a_plain_walk(spark):
     import random
 
