@@ -11,7 +11,8 @@ it lies within a longer one that occurs at least 0.8 times as often.
 2. *Apriori-safe candidates*, level by level: a phrase of k words is looked at only where both of its parts
    of k - 1 words may be frequent (a bitmap of fixed size, which can err only towards more work). Its
    64-bit hashes are summed map-side and by one shuffle; hashes that reach ``least`` stay. Hashes that fall
-   together can only raise a sum, so no frequent phrase is lost, and all parts of a frequent one are there.
+   together can only raise a sum, so no frequent phrase is lost, and all parts of a frequent one are there. The text of
+   each is read where it stands among the words of least hash, so it is sent about once.
 3. *Minimal perfect hash* over the candidates of all levels (bit arrays with ranks, about 4 bits a
    key, built by tasks in blocks of at most ``BLOCK`` keys), with a stored 128-bit key per slot. Mappers look up the
    occurrences, compare the stored key, and ``bincount`` slots in one numpy array a task; the arrays are
@@ -54,8 +55,8 @@ BLOCK, SLOTS = 1 << 21, 1 << 15
 FAN = 32
 #: Rows of text looked at together, bytes of text behind one row of stored words, phrases summed at a time.
 ROWS, STORED, TOGETHER = 512, 1 << 17, 1 << 20
-#: Keys that a task remembers to have sent already.
-SENT = 1 << 20
+#: Words on either side that tell occurrences of a phrase apart.
+AROUND = 3
 
 _codes = np.arange(256)
 ENDS = np.isin(_codes, [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
@@ -79,7 +80,8 @@ def by_language(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, textbytes.Words]:
-    """(hashes of the words in a row with a zero wherever a piece ends, the words' places in it, the words)."""
+    """(hashes of the words in a row with a zero wherever a piece ends, the words' places in it, the words). Texts
+    are ``AROUND`` zeros apart, so what stands around a word is the same however texts are put together."""
     words = textbytes.words(data, offsets, IS_WORD)
     n = len(words.start)
     if not n:
@@ -89,7 +91,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends[1:] = piece[1:] != piece[:-1]
     first = words.first[1:-1]
     first = first[(first > 0) & (first < n)]
-    ends[first] = 1
+    ends[first] = AROUND
     place = np.arange(n) + np.cumsum(ends)
     out = np.zeros(place[-1] + 1, np.uint64)
     out[place] = np.maximum(words.hash, np.uint64(1))
@@ -145,30 +147,66 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.uint64, n
             yield seed_of(name), np.frombuffer(raw.as_buffer(), "<u8")
 
 
+def surroundings(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the AROUND words before each place, and of those from it on (one place more than words)."""
+    padded = np.concatenate([np.zeros(AROUND, np.uint64), words, np.zeros(AROUND, np.uint64)])
+    n = len(words) + 1
+    before, after = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(AROUND):
+        before = before * textbytes.BASE + padded[j : j + n]
+        after = after * textbytes.BASE + padded[AROUND + j : AROUND + j + n]
+    return before, after
+
+
+def context(around: tuple[np.ndarray, np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
+    """What tells an occurrence of a phrase from others: a hash of the words around it."""
+    return textbytes.mix(around[0][at] * SECOND + around[1][at + k])
+
+
 def frequent(words: DataFrame, k: int, bits: list[np.ndarray], least: int) -> DataFrame:
-    """(h,): hashes of phrases of k words that occur ``least`` times, written."""
+    """(h, c) of phrases of k words that occur ``least`` times, written: their hash, and the least context of their occurrences."""
     sent = words.sparkSession.sparkContext.broadcast(bits)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def summed() -> Iterator[pa.RecordBatch]:
-            seen, n = np.unique(np.concatenate(held), return_counts=True)
+            h, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            for lo in range(0, len(seen), SLOTS):
-                yield pa.RecordBatch.from_arrays([pa.array(seen[lo : lo + SLOTS].view(np.int64)), pa.array(n[lo : lo + SLOTS].astype(np.int64))], ["h", "n"])
+            order = np.argsort(h)
+            h, c = h[order], c[order].view(np.int64)
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            n, c = np.diff(np.append(first, len(h))), np.minimum.reduceat(c, first) if len(h) else c
+            for lo in range(0, len(first), SLOTS):
+                part = slice(lo, lo + SLOTS)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first[part]].view(np.int64)), pa.array(n[part]), pa.array(c[part])], ["h", "n", "c"])
 
         for seed, row in _stretches(batches):
-            *_, (level, _, hashes) = levels(row, seed, sent.value)
+            *_, (level, at, hashes) = levels(row, seed, sent.value)
             if level == k:
-                held.append(hashes)
-            if sum(map(len, held)) >= TOGETHER:
+                held.append((hashes, context(surroundings(row), at, k)))
+            if sum(len(h) for h, _ in held) >= TOGETHER:
                 yield from summed()
         if held:
             yield from summed()
 
-    rows = words.select("lang", "words").mapInArrow(counted, "h bigint, n bigint")
-    return materialise(rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), f"level-{k}")
+    rows = words.select("lang", "words").mapInArrow(counted, "h bigint, n bigint, c bigint")
+    return materialise(rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("c").alias("c")).where(F.col("n") >= least).select("h", "c"), f"level-{k}")
+
+
+def homes(hashes: DataFrame) -> DataFrame:
+    """(h,): one hash of each (h, c), as ``home_hash`` makes it in numpy."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(home_hash(h, c).view(np.int64))], ["h"])
+
+    return hashes.select("h", "c").mapInArrow(joined, "h bigint")
+
+
+def home_hash(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return textbytes.mix(h ^ textbytes.mix(c, 0x40E))
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -190,13 +228,14 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, text: str, lang: str, bits: list[np.ndarray]) -> DataFrame:
-    """(h, g, lang, k, phrase, parts) of every phrase that is marked in its level's bitmap. parts: for each cut the
-    hashes (h, g) of both sides."""
+def candidates(docs: DataFrame, text: str, lang: str, bits: list[np.ndarray], home: np.ndarray) -> DataFrame:
+    """(h, g, lang, k, phrase, parts) of every phrase that is marked in its level's bitmap, from the occurrence with the least
+    context (marked in ``home``), and from few others: rows follow from the phrases, not from their occurrences or the tasks.
+    parts: for each cut the hashes (h, g) of both sides."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent_home = docs.sparkSession.sparkContext.broadcast(home)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = [np.zeros(0, np.uint64) for _ in range(LONGEST)]
         for name, data, offsets in by_language(batches, textbytes.CHUNK_BYTES):
             row, place, words = word_hashes(data, offsets)
             if not len(place):
@@ -211,18 +250,15 @@ def candidates(docs: DataFrame, text: str, lang: str, bits: list[np.ndarray]) ->
             number = np.zeros(len(row) + 1, np.int64)
             number[place] = np.arange(len(place))
             h, g = np.zeros((LONGEST, len(row)), np.uint64), np.zeros((LONGEST, len(row)), np.uint64)
+            around = surroundings(row)
             for k, at, hashes in levels(row, seed, sent.value):
                 there = marked(sent.value[k - 1], hashes)
                 at, hashes = at[there], hashes[there]
                 h[k - 1, at], g[k - 1, at] = hashes, second_hashes(row, seed, at, k)
-                new, one = np.unique(hashes, return_index=True)
-                if len(done[k - 1]):
-                    near = np.minimum(np.searchsorted(done[k - 1], new), len(done[k - 1]) - 1)
-                    one, new = one[done[k - 1][near] != new], new[done[k - 1][near] != new]
-                if not len(one):
+                here = marked(sent_home.value, home_hash(hashes, context(around, at, k)))
+                at = at[here][np.unique(hashes[here], return_index=True)[1]]
+                if not len(at):
                     continue
-                done[k - 1] = np.sort(np.concatenate([done[k - 1], new])) if len(done[k - 1]) + len(new) <= SENT else np.sort(new)[:SENT]
-                at = at[one]
                 lo, hi = start[number[at]], after[number[at + k - 1]] - 1
                 ends = np.concatenate(([0], np.cumsum(hi - lo)))
                 take = flat[np.repeat(lo - ends[:-1], hi - lo) + np.arange(ends[-1])]
@@ -400,11 +436,14 @@ def counted_phrases(docs: DataFrame, least: int = 30, text: str = "text", lang:
     hashes = found[0]
     for more in found[1:]:
         hashes = hashes.unionByName(more)
-    raw = candidates(docs, text, lang, bits).groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("lang", "k", "phrase", "parts")), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
+    raw = candidates(docs, text, lang, bits, bitmap(homes(hashes))).groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("lang", "k", "phrase", "parts")), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
     # A bucket may be marked for another hash; only hashes that reached the threshold stay.
     sure = F.when(F.col("low") == F.col("high"), F.col("phrase")).otherwise(F.raise_error(F.lit("two phrases have one hash")))
     keys = materialise(raw.join(hashes, "h", "left_semi").select("h", "g", "lang", "k", sure.alias("phrase"), "parts"), "phrases")
-    blocks = max(1, -(-keys.count() // BLOCK))
+    n = keys.count()
+    if n != hashes.count():
+        raise ValueError("a frequent phrase was not met again: the texts changed between two passes")
+    blocks = max(1, -(-n // BLOCK))
     made = perfect_hashes(keys.select("h", "g", F.pmod("g", F.lit(blocks)).alias("block")))
     rows = materialise(keys.where("k > 1").select("*", *(F.lit(0).cast("long").alias(c) for c in SEEN)), "cuts")
     sent_bits = spark.sparkContext.broadcast(bits)

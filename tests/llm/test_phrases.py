@@ -49,6 +49,23 @@ def test_mining_equals_plain_counting(spark, monkeypatch, block):
     assert sorted(map(tuple, phrases.mine(df, 5, 60).collect())) == plain(docs, 5, 60)
 
 
+def test_what_stands_around_a_phrase_is_its_texts_own():
+    texts = ["a b c d", "e", "", "f g. h i j", "k"]
+
+    def found(parts):
+        out = []
+        for part in parts:
+            raw = [t.encode() for t in part]
+            row, place, _ = phrases.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            around = phrases.surroundings(row)
+            for k in (1, 2):
+                at = place[: len(place) - k + 1]
+                out += [(int(row[i]), int(c)) for i, c in zip(at, phrases.context(around, at, k), strict=True) if row[i + k - 1]]
+        return sorted(out)
+
+    assert found([texts]) == found([[t] for t in texts]) == found([texts[:2], texts[2:]])
+
+
 def test_tree_of_many_parts(spark):
     rows = spark.range(200, numPartitions=70).select(F.lit(3).alias("piece"), F.spark_partition_id().alias("part"), F.lit(np.array([1, 5], "<i8").tobytes()).alias("counts"))
     (r,) = phrases.tree_sum(rows).collect()
