@@ -32,13 +32,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, release
@@ -54,7 +55,9 @@ BITS = 26
 BLOCK, SLOTS = 1 << 21, 1 << 15
 FAN = 32
 #: Rows of text looked at together, bytes of text behind one row of stored words, phrases summed at a time.
-ROWS, STORED, TOGETHER = 512, 1 << 17, 1 << 20
+ROWS, STORED, TOGETHER = 512, 1 << 17, 1 << 19
+#: Rows of stored words looked at together.
+WORD_ROWS = 64
 #: Words on either side that tell occurrences of a phrase apart.
 AROUND = 3
 
@@ -64,6 +67,18 @@ IS_WORD = ~ENDS & (_codes != 32) & (_codes != 9)
 SECOND = np.uint64(0xD1342543DE82EF95)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started within send at most ``rows`` rows of a table to a Python worker at a time: stored words are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def seed_of(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
@@ -134,7 +149,8 @@ def tokenised(docs: DataFrame, text: str, lang: str) -> DataFrame:
             if len(place):
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(place)], pa.int64()), pa.array([hashes.astype("<u8").tobytes()], pa.binary())], ["lang", "n", "words"])
 
-    return materialise(_texts(docs, text, lang).mapInArrow(cut, "lang string, n bigint, words binary"), "words")
+    with small_batches(docs.sparkSession, ROWS):
+        return materialise(_texts(docs, text, lang).mapInArrow(cut, "lang string, n bigint, words binary"), "words")
 
 
 def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -191,7 +207,8 @@ def frequent(words: DataFrame, k: int, bits: list[np.ndarray], least: int) -> Da
             yield from summed()
 
     rows = words.select("lang", "words").mapInArrow(counted, "h bigint, n bigint, c bigint")
-    return materialise(rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("c").alias("c")).where(F.col("n") >= least).select("h", "c"), f"level-{k}")
+    with small_batches(words.sparkSession, WORD_ROWS):
+        return materialise(rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("c").alias("c")).where(F.col("n") >= least).select("h", "c"), f"level-{k}")
 
 
 def homes(hashes: DataFrame) -> DataFrame:
@@ -391,7 +408,9 @@ def count_slots(words: DataFrame, bits, slots) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part], pa.int32()), pa.array([some.astype("<i8").tobytes()], pa.binary())], ["piece", "part", "counts"])
 
     out = np.zeros(len(slots.value.h), np.int64)
-    for r in tree_sum(words.select("lang", "words").mapInArrow(counted, "piece int, part int, counts binary")).collect():  # 8 bytes a slot of the block
+    with small_batches(words.sparkSession, WORD_ROWS):
+        found = tree_sum(words.select("lang", "words").mapInArrow(counted, "piece int, part int, counts binary")).collect()  # 8 bytes a slot of the block
+    for r in found:
         out[r.piece * SLOTS : (r.piece + 1) * SLOTS] = np.frombuffer(r.counts, "<i8")
     return out
 
@@ -439,7 +458,8 @@ def counted_phrases(docs: DataFrame, least: int = 30, text: str = "text", lang:
     raw = candidates(docs, text, lang, bits, bitmap(homes(hashes))).groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("lang", "k", "phrase", "parts")), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
     # A bucket may be marked for another hash; only hashes that reached the threshold stay.
     sure = F.when(F.col("low") == F.col("high"), F.col("phrase")).otherwise(F.raise_error(F.lit("two phrases have one hash")))
-    keys = materialise(raw.join(hashes, "h", "left_semi").select("h", "g", "lang", "k", sure.alias("phrase"), "parts"), "phrases")
+    with small_batches(spark, ROWS):
+        keys = materialise(raw.join(hashes, "h", "left_semi").select("h", "g", "lang", "k", sure.alias("phrase"), "parts"), "phrases")
     n = keys.count()
     if n != hashes.count():
         raise ValueError("a frequent phrase was not met again: the texts changed between two passes")
