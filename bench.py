@@ -53,7 +53,7 @@ def main() -> None:
         **{f"plan_uniqueness_{n}": lambda n=n: diagnostics.uniqueness(electorate.ensemble(spark, folder, n), ["county"]) for n in (20, 200, 1000)},
         "rhat_200": lambda: rhat(200),
         "components": lambda: components(graph.contiguity(grid.where("k % 3 != 0"), "rook", ["county"]), nodes=grid.select("precinct_id")),
-        "overlap_pairs": lambda: quality.overlap_pairs(quality.box_pairs(electorate.grid(spark, folder, enlarged=True), 2.0, ["county"]), quality.rectangle_intersection(), ["county"], 0.1, 0.001),
+        "overlap_pairs": lambda: quality.overlap_pairs(quality.box_pairs(electorate.grid(spark, folder, enlarged=True), ["county"]), quality.rectangle_intersection(), ["county"], 0.1, 0.001),
         "edges_queen": lambda: graph.contiguity(grid, "queen", ["county"]),
     }
     out = {}

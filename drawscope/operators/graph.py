@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tiles
 from .components import components
 
 
@@ -110,8 +111,7 @@ def bridges(nodes: DataFrame, edges: DataFrame, scope: str = "county", unit: str
     """An edge for each minor component: from its least node to the nearest node of the scope's
     largest component (ties: least component, least node) (GR9).
 
-    Minor components are joined with the main one's nodes within a scope, the least distance
-    is kept by a partial aggregate, so no scope's pairs are gathered.
+    Only tiles that may hold the nearest node are looked into (``tiles.nearest``), so the work is a few rows a minor component.
     """
     parts = components(edges, nodes=nodes.select(unit))
     placed = nodes.select(scope, F.col(unit).alias("node"), F.col(x).alias("x"), F.col(y).alias("y")).join(parts, "node")
@@ -120,9 +120,7 @@ def bridges(nodes: DataFrame, edges: DataFrame, scope: str = "county", unit: str
     largest = sizes.join(main, scope).where("n = top").groupBy(scope).agg(F.min("component").alias("main"))
     minor = sizes.join(largest, scope).where("component != main").select(scope, F.col("first.node").alias("u"), F.col("first.x").alias("ux"), F.col("first.y").alias("uy"))
     body = placed.join(largest, scope).where("component = main").select(scope, "node", "x", "y")
-    d2 = (F.col("x") - F.col("ux")) * (F.col("x") - F.col("ux")) + (F.col("y") - F.col("uy")) * (F.col("y") - F.col("uy"))
-    best = minor.join(body, scope).groupBy(scope, "u").agg(F.min(F.struct(d2.alias("d2"), "node")).alias("b"))
-    return best.select(scope, F.least("u", "b.node").alias("src"), F.greatest("u", "b.node").alias("dst"), F.col("b.d2").alias("d2"))
+    return tiles.nearest(minor, body, [scope]).select(scope, F.least("u", "node").alias("src"), F.greatest("u", "node").alias("dst"), "d2")
 
 
 def district_components(assigned: DataFrame, edges: DataFrame, scope: Sequence[str] = ("county",)) -> DataFrame:

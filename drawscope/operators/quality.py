@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rings
 from ..functions.keys import joined_reasons, worst_severity
+from . import tiles
 from .units import ContractError, official
 
 OVERLAP = ("n_overlap_partners", "sum_overlap_area_m2", "max_overlap_area_m2", "max_overlap_ratio")
@@ -21,24 +22,16 @@ def measured(units: DataFrame, shape: str = "shape", unit: str = "precinct_id")
     return sized.withColumn("polsby_popper", rings.polsby_popper(F.col("area_m2"), F.col("perimeter_m")))
 
 
-def box_pairs(units: DataFrame, cell: float, scope: list[str], shape: str = "shape", unit: str = "precinct_id", grow: float = 0.0) -> DataFrame:
-    """Pairs (a < b) within a scope whose bounds meet (JN6).
+def box_pairs(units: DataFrame, scope: list[str], shape: str = "shape", unit: str = "precinct_id", grow: float = 0.0, most: int = 32) -> DataFrame:
+    """Pairs (a < b) within a scope whose bounds meet (JN6), with both shapes.
 
-    Bounds are dealt to square cells of side ``cell``; units of one cell meet in an equi-join,
-    and a pair is kept only in the cell that holds the lower left corner of both bounds'
-    intersection, so it is made once. ``grow`` widens the bounds on every side. Only ids and bounds
+    Bounds are dealt to tiles that follow the data (``tiles.meeting``). ``grow`` widens them on every side. Only ids and bounds
     are dealt; shapes are fetched for the pairs that are kept, so ids are unique within a scope.
     """
     b = rings.bounds(F.col(shape))
-    boxed = units.where(F.size(shape) > 0).select(*scope, F.col(unit).alias("id"), *((b[n] + (-grow if n.startswith("min") else grow)).alias(n) for n in ("minx", "miny", "maxx", "maxy")))
-    at = lambda v: F.floor(F.col(v) / cell).cast("bigint")
-    dealt = boxed.withColumn("gx", F.explode(F.sequence(at("minx"), at("maxx")))).withColumn("gy", F.explode(F.sequence(at("miny"), at("maxy"))))
-    left = dealt.select(*scope, "gx", "gy", *(F.col(c).alias(f"{c}_a") for c in ("id", "minx", "miny", "maxx", "maxy")))
-    right = dealt.select(*scope, "gx", "gy", *(F.col(c).alias(f"{c}_b") for c in ("id", "minx", "miny", "maxx", "maxy")))
-    met = left.join(right, [*scope, "gx", "gy"]).where("id_a < id_b and minx_a <= maxx_b and minx_b <= maxx_a and miny_a <= maxy_b and miny_b <= maxy_a")
-    home = (F.floor(F.greatest("minx_a", "minx_b") / cell) == F.col("gx")) & (F.floor(F.greatest("miny_a", "miny_b") / cell) == F.col("gy"))
+    boxed = units.where(F.size(shape) > 0).select(*scope, F.col(unit).alias("id"), *((b[n] + (-grow if n.startswith("min") else grow)).alias(n) for n in tiles.BOUNDS))
     shapes = [units.select(*scope, F.col(unit).alias(f"id_{x}"), F.col(shape).alias(f"s_{x}")) for x in "ab"]
-    return met.where(home).join(shapes[0], [*scope, "id_a"]).join(shapes[1], [*scope, "id_b"])
+    return tiles.meeting(boxed, scope, most).join(shapes[0], [*scope, "id_a"]).join(shapes[1], [*scope, "id_b"])
 
 
 def overlap_pairs(pairs: DataFrame, intersection: Column, scope: list[str], min_area: float = 5.0, min_ratio: float | None = 0.001) -> DataFrame:

@@ -4,8 +4,8 @@ Overlay works by slabs: the plane is cut at every vertex and crossing into horiz
 in which edges don't cross; in a strip, the stretches between neighbouring edges are inside or
 outside each input by the even-odd rule, and the trapezoids that an operation keeps are sewn
 together along shared sides. It is exact up to rounding for simple, self-crossing and holed
-polygons, and its cost is bounded by the vertices of the shapes at hand (units of one county
-and their neighbours); shapes travel in Arrow batches.
+polygons, and its cost is bounded by the vertices of the shapes at hand: two units, or what lies in one
+tile (``dissolve``); shapes travel in Arrow batches.
 
 A shape is a list of polygons, a polygon a list of rings (shell, then holes), a ring a closed
 list of (x, y). Defined cases: null and empty shapes are empty; rings of no area vanish.
@@ -128,7 +128,7 @@ def overlay_area(a: Shape, b: Shape) -> float:
     return sum((hi - lo) * ((r0 - l0) + (r1 - l1)) / 2 for lo, hi, l0, r0, l1, r1 in trapezoids([a, b], lambda s: s == 3))
 
 
-def _sewn(cells: list[tuple]) -> Shape:
+def sewn(cells: list[tuple]) -> Shape:
     """Polygons whose area is that of the trapezoids: sides that two cells share vanish."""
     grid = lambda v: round(v / SNAP)
     level: dict[int, set[int]] = defaultdict(set)
@@ -156,6 +156,11 @@ def _sewn(cells: list[tuple]) -> Shape:
         add((grid(r0), y0), (grid(r1), y1))
         flat(y1, grid(r1), grid(l1))
         add((grid(l1), y1), (grid(l0), y0))
+    return looped(count)
+
+
+def looped(count: dict[tuple, int]) -> Shape:
+    """Polygons from directed edges between points of the snap grid, and how often each stands there."""
     out: dict[tuple, list[tuple]] = defaultdict(list)
     for (p, q), n in count.items():
         out[p] += [q] * n
@@ -213,15 +218,15 @@ def contains(ring: Ring, x: float, y: float) -> bool:
 
 
 def intersection(a: Shape, b: Shape) -> Shape:
-    return _sewn(list(trapezoids([a, b], lambda s: s == 3)))
+    return sewn(list(trapezoids([a, b], lambda s: s == 3)))
 
 
 def difference(a: Shape, b: list[Shape]) -> Shape:
-    return _sewn(list(trapezoids([a, *b], lambda s: s == 1)))
+    return sewn(list(trapezoids([a, *b], lambda s: s == 1)))
 
 
 def union(shapes: list[Shape]) -> Shape:
-    return _sewn(list(trapezoids(shapes, lambda s: s != 0)))
+    return sewn(list(trapezoids(shapes, lambda s: s != 0)))
 
 
 def repaired(shape: Shape) -> tuple[Shape, bool]:
@@ -349,8 +354,8 @@ def fuzzy_contiguity(pairs: DataFrame, buffer: float, scope: list[str]) -> DataF
     return pairs.where(shape_distance(F.col("s_a"), F.col("s_b")) <= 2 * buffer + 1e-9).select(*scope, F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
 
 
-def hexagon_pieces(gap: Shape, cell_area: float, min_fragment: float, most: int, width: float | None, fraction: float | None) -> tuple[list[Shape], int]:
-    """(pieces of a hexagon grid over a void, grid cells left out by the limit) (GEO11)."""
+def hexagon_pieces(gap: Shape, cell_area: float, min_fragment: float, most: int | None, width: float | None, fraction: float | None) -> tuple[list[Shape], int]:
+    """(pieces of a hexagon grid over a void, grid cells left out by a limit of ``most`` pieces, if there is one) (GEO11)."""
     radius = math.sqrt(2 * cell_area / (3 * math.sqrt(3)))
     xs, ys = [p[0] for r in gap[0][:1] for p in r], [p[1] for r in gap[0][:1] for p in r]
     wide, high, pad = math.sqrt(3) * radius, 1.5 * radius, 2 * radius
@@ -361,7 +366,7 @@ def hexagon_pieces(gap: Shape, cell_area: float, min_fragment: float, most: int,
             centres.append((min(xs) - pad + shift + column * wide, min(ys) - pad + row * high))
     out: list[Shape] = []
     for i, (cx, cy) in enumerate(centres):
-        if len(out) >= most:
+        if most is not None and len(out) >= most:
             return out, len(centres) - i
         if cx + radius < min(xs) or cx - radius > max(xs) or cy + radius < min(ys) or cy - radius > max(ys):
             continue
@@ -369,7 +374,7 @@ def hexagon_pieces(gap: Shape, cell_area: float, min_fragment: float, most: int,
         for polygon in intersection(gap, [[corners + corners[:1]]]):
             if area([polygon]) >= min_fragment and good_piece(polygon, cell_area, width, fraction):
                 out.append([polygon])
-                if len(out) >= most:
+                if most is not None and len(out) >= most:
                     return out, len(centres) - i - 1
     return out, 0
 
@@ -381,7 +386,7 @@ def good_piece(polygon: list[Ring], cell_area: float, width: float | None, fract
     return not (fraction and fraction > 0) or area([polygon]) >= fraction * cell_area
 
 
-def parted_voids(gaps: list[Shape], cell_area: float | None, part_from: float, min_fragment: float, most: int = 200_000, width: float | None = 30.0, fraction: float | None = None) -> tuple[list[Shape], int, int]:
+def parted_voids(gaps: list[Shape], cell_area: float | None, part_from: float, min_fragment: float, most: int | None = None, width: float | None = 30.0, fraction: float | None = None) -> tuple[list[Shape], int, int]:
     """(pieces, cells left out, pieces dropped for their quality): large voids as hexagons, small ones whole (GEO12)."""
     gaps = [[p] for g in gaps for p in g if p]
     if cell_area is None:
@@ -404,56 +409,9 @@ def parted_voids(gaps: list[Shape], cell_area: float | None, part_from: float, m
     return kept, left_out, len(final) - len(kept)
 
 
-_VOIDS = f"county string, void_key bigint, cx double, cy double, area_m2 double, shape {rings.SHAPE}, cells_left_out bigint, pieces_dropped bigint"
-
-
-def voids(units: DataFrame, shells: DataFrame, min_area: float = 100.0, hexagons: bool = False, mean_factor: float = 1.5, least: float = 10_000.0, most: float = 5_000_000.0, part_factor: float = 4.0, width: float | None = 30.0, fraction: float | None = None, most_cells: int = 200_000) -> DataFrame:
-    """What units leave uncovered of their county's shell, in pieces of ``min_area`` or more
-    (GEO7-9, GEO12). units: (county, precinct_id, shape); shells: (county, shape).
-
-    ``most_cells``: hexagons that a void is cut into at most. Every row tells, for its county, how many
-    grid cells were left out for that (``cells_left_out``), and how many pieces for their quality.
-
-    A county's units meet in one task: their number is that of a county's polling stations,
-    a few thousand at most, whatever the number of plans.
-    """
-
-    def of_county(mine: pa.Table, shell: pa.Table) -> pa.Table:
-        rows = []
-        if len(shell):
-            county = shell.column("county")[0].as_py()
-            outer = union([from_rows(s) for s in shell.column("shape").to_pylist()])
-            covered = [s for s in (from_rows(v) for v in mine.column("shape").to_pylist()) if s]
-            gaps = [[p] for p in (difference(outer, covered) if covered else outer) if area([p]) >= min_area]
-            left_out = dropped = 0
-            if hexagons and covered:
-                mean = sum(map(area, covered)) / len(covered)
-                gaps, left_out, dropped = parted_voids(gaps, max(least, min(mean * mean_factor, most)), max(least, mean * part_factor), min_area, most_cells, width, fraction)
-            for i, g in enumerate(gaps):
-                x, y = ring_centroid(g[0][0])
-                rows.append({"county": county, "void_key": i, "cx": x, "cy": y, "area_m2": area(g), "shape": to_rows(g), "cells_left_out": left_out, "pieces_dropped": dropped})
-        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-        return pa.Table.from_pylist(rows, pa.schema([("county", pa.string()), ("void_key", pa.int64()), ("cx", pa.float64()), ("cy", pa.float64()), ("area_m2", pa.float64()), ("shape", pa.list_(pa.list_(pa.list_(point)))), ("cells_left_out", pa.int64()), ("pieces_dropped", pa.int64())]))
-
-    return units.select("county", "shape").groupBy("county").cogroup(shells.select("county", "shape").groupBy("county")).applyInArrow(of_county, _VOIDS)
-
-
 def ring_centroid(ring: Ring) -> tuple[float, float]:
     a = ring_area(ring)
     if a == 0:
         return sum(p[0] for p in ring) / len(ring), sum(p[1] for p in ring) / len(ring)
     cross = [(p, q, p[0] * q[1] - q[0] * p[1]) for p, q in zip(ring, ring[1:], strict=False)]
     return sum((p[0] + q[0]) * c for p, q, c in cross) / (6 * a), sum((p[1] + q[1]) * c for p, q, c in cross) / (6 * a)
-
-
-def shell_coverage(units: DataFrame, shells: DataFrame) -> DataFrame:
-    """Per county: shell area, area of the units' union, of its part in the shell, and of the void (AGG25)."""
-
-    def of_county(mine: pa.Table, shell: pa.Table) -> pa.Table:
-        outer = union([from_rows(s) for s in shell.column("shape").to_pylist()])
-        inner = union([s for s in (from_rows(v) for v in mine.column("shape").to_pylist()) if s])
-        county = (shell if len(shell) else mine).column("county")[0].as_py()
-        shared, whole = overlay_area(outer, inner), area(outer)
-        return pa.Table.from_pylist([{"county": county, "shell_area": whole, "union_area": area(inner), "covered_area": shared, "void_area": whole - shared, "void_ratio": (whole - shared) / whole if whole > 0 else None}], pa.schema([("county", pa.string()), *((c, pa.float64()) for c in ("shell_area", "union_area", "covered_area", "void_area", "void_ratio"))]))
-
-    return units.select("county", "shape").groupBy("county").cogroup(shells.select("county", "shape").groupBy("county")).applyInArrow(of_county, "county string, shell_area double, union_area double, covered_area double, void_area double, void_ratio double")

@@ -68,22 +68,21 @@ def long_votes(wide: DataFrame, coding: BlocCoding, key: str = "precinct_id") ->
 
 @dataclass(frozen=True)
 class Contiguity:
-    """How neighbours are found (GR11): queen, rook, or fuzzy with a buffer in metres."""
+    """How neighbours are found (GR11): queen, rook, or fuzzy: shapes that meet, once widened by a buffer in metres if there is one."""
 
     rule: str = "queen"
     buffer_m: float | None = None
-    cell_m: float = 1000.0
 
     def __post_init__(self) -> None:
         if self.rule not in ("queen", "rook", "fuzzy"):
             raise ContractError(f"unknown contiguity {self.rule!r}")
-        if self.rule == "fuzzy" and not (self.buffer_m and self.buffer_m > 0):
-            raise ContractError("fuzzy contiguity needs a positive buffer")
+        if self.buffer_m is not None and self.buffer_m < 0:
+            raise ContractError("a buffer can't be negative")
 
     def edges(self, units: DataFrame, scope: list[str]) -> DataFrame:
         if self.rule != "fuzzy":
             return graph.contiguity(units, self.rule, scope)
-        return shapes.fuzzy_contiguity(quality.box_pairs(units, self.cell_m, scope, grow=self.buffer_m), self.buffer_m, scope)
+        return shapes.fuzzy_contiguity(quality.box_pairs(units, scope, grow=self.buffer_m or 0.0), self.buffer_m or 0.0, scope)
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, rings
-from ..operators import ensembles, graph, quality, shapes
+from ..operators import dissolve, ensembles, graph, quality, shapes
 from ..operators import units as ops
 from ..operators.components import components
 from ..scratch import scoped_path, table
@@ -507,7 +507,7 @@ _OV = ", ov AS (SELECT a.county, a.precinct_id AS precinct_id_a, b.precinct_id A
 
 
 def _overlaps(spark, d) -> DataFrame:
-    pairs = quality.box_pairs(electorate.grid(spark, d, enlarged=True), 2.0, SCOPE)
+    pairs = quality.box_pairs(electorate.grid(spark, d, enlarged=True), SCOPE)
     return quality.overlap_pairs(pairs, quality.rectangle_intersection(), SCOPE, 0.1, 0.001)
 
 
@@ -763,18 +763,41 @@ def _shells(spark, d) -> DataFrame:
 
 @q(" SELECT county, round(8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0), 6) AS void_area FROM grid GROUP BY county HAVING 8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0) > 0")
 def void_totals(spark, d):  # GEO7, GEO8, GEO9, AGG19
-    v = shapes.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=0.5)
+    v = dissolve.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=0.5)
     return v.groupBy("county").agg(r(F.sum("area_m2")).alias("void_area"))
 
 
 @q(" SELECT county, round(8 * (max(y) + 1), 6) AS shell_area, round(count(*) FILTER (k % 3 <> 0), 6)::DOUBLE AS union_area, round((8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0)) / (8 * (max(y) + 1)), 6) AS void_ratio FROM grid GROUP BY county")
 def shell_coverage(spark, d):  # AGG25
-    c = shapes.shell_coverage(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d))
+    c = dissolve.shell_coverage(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d))
     return c.select("county", *(r(x).alias(x) for x in ("shell_area", "union_area", "void_ratio")))
 
 
+def _diamonds(spark, d) -> DataFrame:
+    """Every unit as the diamond between the middles of its square's sides: nothing but corners meet."""
+    p = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    ring = F.array(p(0.5, 0.0), p(1.0, 0.5), p(0.5, 1.0), p(0.0, 0.5), p(0.5, 0.0))
+    return electorate.grid(spark, d).select("county", "precinct_id", F.array(F.array(ring)).alias("shape"))
+
+
+@q(""", n AS (SELECT county, max(y) + 1 AS top, count(*) AS n, count(*) % 8 AS m FROM grid GROUP BY county)
+  SELECT county, round(8 * top, 6) AS shell_area, round(n / 2, 6)::DOUBLE AS union_area, round(8 * top - n / 2, 6)::DOUBLE AS void_area, (9 * (top + 1) - CASE WHEN m > 0 THEN 2 * (9 - m) - 1 ELSE 0 END)::BIGINT AS n_voids FROM n""")
+def void_diamonds(spark, d):  # GEO7, GEO8, AGG25: a void at each corner of the grid; those beside missing cells are one
+    units, shells = _diamonds(spark, d), _shells(spark, d)
+    v = dissolve.voids(units, shells, min_area=0.01).groupBy("county").agg(F.count("*").alias("n_voids"), r(F.sum("area_m2")).alias("void_area"))
+    return dissolve.shell_coverage(units, shells).select("county", r("shell_area").alias("shell_area"), r("union_area").alias("union_area")).join(v, "county")
+
+
+@q(""", n AS (SELECT county, max(y) + 1 AS top, count(*) AS n FROM grid GROUP BY county)
+  SELECT county, round(7.5::DOUBLE * (top - 0.5::DOUBLE), 6) AS shell_area, round(n * (0.81::DOUBLE + 4 * 0.9::DOUBLE * 0.04::DOUBLE + 32 * 0.0016::DOUBLE * sin(pi() / 32)), 6) AS union_area FROM n""")
+def buffered_coverage(spark, d):  # GEO8: squares of nine tenths widened by four hundredths, shells shrunk by a quarter
+    small = F.transform("shape", lambda p: F.transform(p, lambda ring: F.transform(ring, lambda v: F.struct((F.col("x") + 0.05 + (v["x"] - F.col("x")) * 0.9).alias("x"), (F.col("y") + 0.05 + (v["y"] - F.col("y")) * 0.9).alias("y")))))
+    c = dissolve.shell_coverage(electorate.grid(spark, d).withColumn("shape", small), _shells(spark, d), shell_buffer=-0.25, unit_buffer=0.04)
+    return c.select("county", r("shell_area").alias("shell_area"), r("union_area").alias("union_area"))
+
+
 def voids_numbered(spark, d):  # GEO12, WIN2
-    v = shapes.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=0.5, hexagons=True, least=0.1, most=50.0, mean_factor=1.5, part_factor=2.0, width=0.2)
+    v = dissolve.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=0.5, hexagons=True, least=0.1, most=50.0, mean_factor=1.5, part_factor=2.0, width=0.2)
     return ops.numbered_voids(v).select("county", "precinct_id", r("area_m2").alias("area_m2"))
 
 
@@ -783,7 +806,7 @@ QUERIES["voids_numbered"] = voids_numbered
 
 @q(" SELECT county, round(8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0), 3) AS void_area, 0::BIGINT AS cells_left_out FROM grid GROUP BY county HAVING 8 * (max(y) + 1) - count(*) FILTER (k % 3 <> 0) > 0")
 def voids_in_pieces(spark, d):  # GEO11, GEO12: hexagons cover what they cut up
-    v = shapes.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=1e-9, hexagons=True, least=0.1, most=50.0, mean_factor=1.5, part_factor=2.0, width=None)
+    v = dissolve.voids(electorate.grid(spark, d).where("k % 3 != 0"), _shells(spark, d), min_area=1e-9, hexagons=True, least=0.1, most=50.0, mean_factor=1.5, part_factor=2.0, width=None)
     return v.groupBy("county").agg(r(F.sum("area_m2"), 3).alias("void_area"), F.max("cells_left_out").alias("cells_left_out"))
 
 
@@ -800,12 +823,12 @@ def repair_summary(spark, d):  # GEO2, GEO3, AGG24
 def edges_fuzzy(spark, d):  # GR3, JN6: squares shrunk to nine tenths, widened by six hundredths
     small = F.transform("shape", lambda p: F.transform(p, lambda ring: F.transform(ring, lambda v: F.struct((F.col("x") + (v["x"] - F.col("x")) * 0.9).alias("x"), (F.col("y") + (v["y"] - F.col("y")) * 0.9).alias("y")))))
     g = electorate.grid(spark, d).withColumn("shape", small)
-    return shapes.fuzzy_contiguity(quality.box_pairs(g, 2.0, SCOPE, grow=0.06), 0.06, SCOPE)
+    return shapes.fuzzy_contiguity(quality.box_pairs(g, SCOPE, grow=0.06), 0.06, SCOPE)
 
 
 @q(f"{_OV} SELECT county, precinct_id_a, precinct_id_b, round(ar, 6)::DOUBLE AS area FROM mo")
 def overlap_pairs_clipped(spark, d):  # GEO6 by overlay
-    pairs = quality.box_pairs(electorate.grid(spark, d, enlarged=True), 2.0, SCOPE)
+    pairs = quality.box_pairs(electorate.grid(spark, d, enlarged=True), SCOPE)
     found = quality.overlap_pairs(pairs, shapes.intersection_area(F.col("s_a"), F.col("s_b")), SCOPE, 0.1, 0.001)
     return found.select("county", "precinct_id_a", "precinct_id_b", r("intersection_area_m2").alias("area"))
 

@@ -25,7 +25,7 @@ def test_bloc_coding(spark):
 
 
 def test_options_are_checked():
-    for wrong in ({"rule": "bishop"}, {"rule": "fuzzy"}, {"rule": "fuzzy", "buffer_m": 0}):
+    for wrong in ({"rule": "bishop"}, {"rule": "fuzzy", "buffer_m": -1}):
         with pytest.raises(ContractError):
             config.Contiguity(**wrong)
     with pytest.raises(ContractError):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawscope.functions import keys, rings
-from drawscope.operators import ensembles, graph, quality, shapes
+from drawscope.operators import dissolve, ensembles, graph, quality, shapes
 from drawscope.operators import units as ops
 from drawscope.operators.components import components
 from drawscope.operators.units import ContractError
@@ -83,7 +83,7 @@ def test_repair_and_overlay(spark):
 
 def test_overlaps_flags_and_hubs(spark):
     units = layer(spark, [("a", square(0.0, 0.0, 1.0)), ("b", square(0.5, 0.0, 1.0)), ("c", square(1.5, 0.0, 1.0)), ("far", square(50.0, 50.0, 1.0))])
-    pairs = quality.box_pairs(units, 3.0, ["county"])
+    pairs = quality.box_pairs(units, ["county"])
     found = quality.overlap_pairs(pairs, shapes.intersection_area(F.col("s_a"), F.col("s_b")), ["county"], 0.1).collect()
     assert [(r.precinct_id_a, r.precinct_id_b, r.intersection_area_m2) for r in found] == [("a", "b", pytest.approx(0.5))]
     rows = quality.merged(quality.measured(units), quality.overlap_units(units, spark.createDataFrame(found)), check=True)
@@ -110,7 +110,7 @@ def test_contiguity_of_a_two_by_two_grid(spark):
     assert graph.contiguity(grid).count() == 6 and graph.contiguity(grid, "rook").count() == 4
     near = layer(spark, [("a", square(0.0, 0.0, 1.0)), ("b", square(1.05, 0.0, 1.0))])
     assert graph.contiguity(near).count() == 0
-    assert shapes.fuzzy_contiguity(quality.box_pairs(near, 2.0, ["county"], grow=0.03), 0.03, ["county"]).count() == 1
+    assert shapes.fuzzy_contiguity(quality.box_pairs(near, ["county"], grow=0.03), 0.03, ["county"]).count() == 1
 
 
 @pytest.mark.parametrize("name", [lambda i: i, lambda i: f"{'é' * (i % 3)}{i}"])
@@ -165,13 +165,13 @@ def test_national_graph(spark):
 def test_voids_link_blocks_and_hexagons_keep_area(spark):
     shell = spark.createDataFrame([("01", square(0.0, 0.0, 1000.0))], f"county string, shape {rings.SHAPE}")
     units = layer(spark, [("a", square(0.0, 0.0, 300.0, 1000.0)), ("b", square(700.0, 0.0, 300.0, 1000.0))], "01")
-    v = shapes.voids(units, shell).collect()
+    v = dissolve.voids(units, shell).collect()
     assert [round(r.area_m2) for r in v] == [400000]
     named = ops.numbered_voids(spark.createDataFrame(v)).first()
     assert named.precinct_id == "gap-01-0000"
-    cells = shapes.voids(units, shell, hexagons=True, mean_factor=0.05, part_factor=0.5, least=100.0, width=1.0).collect()
+    cells = dissolve.voids(units, shell, hexagons=True, mean_factor=0.05, part_factor=0.5, least=100.0, width=1.0).collect()
     assert len(cells) > 10 and sum(r.area_m2 for r in cells) == pytest.approx(400000, rel=0.02)
-    c = shapes.shell_coverage(units, shell).first()
+    c = dissolve.shell_coverage(units, shell).first()
     assert c.void_ratio == pytest.approx(0.4) and c.union_area == pytest.approx(600000)
     thin = shapes.from_rows(square(0.0, 0.0, 2000.0, 5.0))
     assert shapes.parted_voids([thin], 10_000.0, 1.0, 1.0, width=30.0)[0] == []
