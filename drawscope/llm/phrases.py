@@ -175,8 +175,8 @@ def surroundings(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def context(around: tuple[np.ndarray, np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
-    """What tells an occurrence of a phrase from others: a hash of the words around it."""
-    return textbytes.mix(around[0][at] * SECOND + around[1][at + k])
+    """What tells an occurrence of a phrase from others: 31 bits of a hash of the words around it."""
+    return textbytes.mix(around[0][at] * SECOND + around[1][at + k]) >> np.uint64(33)
 
 
 def frequent(words: DataFrame, k: int, bits: list[np.ndarray], least: int) -> DataFrame:
