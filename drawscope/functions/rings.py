@@ -104,6 +104,18 @@ _ALPHA = (
     61 * _N**3 / 240 - 103 * _N**4 / 140,
     49561 * _N**4 / 161280,
 )
+_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+_DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+    56 * _N**3 / 15 - 136 * _N**4 / 35,
+    4279 * _N**4 / 630,
+)
 _RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 
 
@@ -120,6 +132,27 @@ def utm(p: Column, central_meridian: float = 15.0) -> Column:
     return F.struct((_E0 + _K0 * _RADIUS * x).alias("x"), (_K0 * _RADIUS * y).alias("y"))
 
 
+def lonlat(p: Column, central_meridian: float = 15.0) -> Column:
+    """The way back from ``utm``: metres in longitude and latitude (degrees), within 1e-9 degrees (GEO4)."""
+    # Each step's values are bound once, so the expression doesn't grow with every use of them.
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    scaled = F.struct((p["y"] / (_K0 * _RADIUS)).alias("xi"), ((p["x"] - _E0) / (_K0 * _RADIUS)).alias("eta"))
+
+    def sphere(q: Column) -> Column:
+        a, b = q["xi"], q["eta"]
+        for j, c in enumerate(_BETA, 1):
+            a = a - c * F.sin(2 * j * q["xi"]) * F.cosh(2 * j * q["eta"])
+            b = b - c * F.cos(2 * j * q["xi"]) * F.sinh(2 * j * q["eta"])
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    def degrees(w: Column) -> Column:
+        lon = F.degrees(F.atan2(F.sinh(w["b"]), F.cos(w["a"]))) + central_meridian
+        lat = bound(F.asin(F.sin(w["a"]) / F.cosh(w["b"])), lambda chi: sum((c * F.sin(2 * j * chi) for j, c in enumerate(_DELTA, 1)), chi))
+        return F.struct(lon.alias("x"), F.degrees(lat).alias("y"))
+
+    return bound(scaled, lambda q: bound(sphere(q), degrees))
+
+
 def web_mercator(p: Column) -> Column:
     return F.struct((F.radians(p["x"]) * _A).alias("x"), (F.log(F.tan(math.pi / 4 + F.radians(p["y"]) / 2)) * _A).alias("y"))
 

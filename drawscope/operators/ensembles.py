@@ -71,6 +71,19 @@ def from_columns(spark: SparkSession, unit_ids: Sequence[str], columns: Sequence
     return held.select("draw", "chain", F.explode(F.arrays_zip(units.alias("u"), F.col("labels").alias("d"))).alias("z")).select(F.col("z.u").alias("precinct_id"), "draw", "chain", F.col("z.d").alias("district"))
 
 
+def from_label_columns(units: DataFrame, columns: Sequence[str], draw_ids: Sequence[int] | None = None, chains: Sequence[int] | None = None, key: str = "precinct_id") -> DataFrame:
+    """A long table from a table with a column of districts for each draw (PIV5). A unit that repeats, or lacks a
+    district, stops the job that reads it."""
+    draws = list(draw_ids) if draw_ids is not None else list(range(1, len(columns) + 1))
+    if len(draws) != len(columns) or len(set(draws)) != len(draws) or (chains is not None and len(chains) != len(columns)):
+        raise ContractError("draw ids and chains must be as many as draws, and differ")
+    whole = F.expr(" and ".join(f"`{c}` is not null" for c in columns)) if columns else F.lit(True)
+    one = units.groupBy(key).agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in columns))
+    sure = F.when((F.col("__n") == 1) & whole, F.col(key)).otherwise(F.raise_error(F.lit("a unit repeats or lacks a district")))
+    labels = F.array(*(F.struct(F.lit(int(d)).alias("draw"), F.lit(int(chains[i]) if chains is not None else None).cast("int").alias("chain"), F.col(columns[i]).cast("int").alias("district")) for i, d in enumerate(draws)))
+    return one.select(sure.cast(units.schema[key].dataType).alias(key), F.explode(labels).alias("z")).select(key, "z.draw", "z.chain", "z.district")
+
+
 def from_indexed(rows: DataFrame, units: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Sampler rows (unit_index, draw, chain, district) with ids for indexes (SRC11).
     units: (scope, unit_index, precinct_id)."""

@@ -18,12 +18,14 @@ import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import rings
+from ..functions import flat
 
 Ring = list[tuple[float, float]]
 Shape = list[list[Ring]]
@@ -291,26 +293,85 @@ def holds_circle(polygon: list[Ring], radius: float) -> bool:
     return False
 
 
-def distance(a: Shape, b: Shape) -> float:
-    """Least distance of two shapes, 0 where they meet."""
-    if not a or not b:
+#: Segments of one box of a shape's packed tree.
+LEAF = 16
+
+
+class Outline:
+    """A shape's segments as an array (ax, ay, bx, by), with boxes around every ``LEAF`` in a row of them."""
+
+    def __init__(self, arrays: flat.Flat, i: int):
+        rings_ = slice(arrays.rings[arrays.polygons[i]], arrays.rings[arrays.polygons[i + 1]])
+        first, last = arrays.points[:-1][rings_], arrays.points[1:][rings_]
+        lo, hi = (int(first[0]), int(last[-1])) if len(first) else (0, 0)
+        xy = np.stack([arrays.x[lo:hi], arrays.y[lo:hi]], axis=1)
+        inner = np.ones(max(0, hi - lo), bool)
+        inner[last - 1 - lo] = False  # no segment begins at a ring's last point
+        at = np.flatnonzero(inner)
+        self.segments = np.concatenate([xy[at], xy[at + 1]], axis=1)
+        polygon = np.repeat(np.arange(arrays.polygons[i], arrays.polygons[i + 1]), np.diff(arrays.rings)[arrays.polygons[i] : arrays.polygons[i + 1]])
+        self.polygon = np.repeat(polygon, last - first)[at]
+        self.points = xy[first - lo] if len(first) else xy[:0]  # one of each ring
+        cuts = np.arange(0, len(at), LEAF)
+        ends = np.concatenate([self.segments[:, :2], self.segments[:, 2:]], axis=1).reshape(-1, 2, 2) if len(at) else np.zeros((0, 2, 2))
+        low, high = ends.min(axis=1) if len(at) else ends[:, 0], ends.max(axis=1) if len(at) else ends[:, 0]
+        self.low = np.minimum.reduceat(low, cuts) if len(at) else low
+        self.high = np.maximum.reduceat(high, cuts) if len(at) else high
+
+    def block(self, k: int) -> np.ndarray:
+        return self.segments[k * LEAF : (k + 1) * LEAF]
+
+    def holds(self, points: np.ndarray) -> bool:
+        """Whether one of the points lies in one of the polygons (outside its holes)."""
+        ax, ay, bx, by = self.segments.T
+        for x, y in points:
+            crosses = (ay > y) != (by > y)
+            s = np.flatnonzero(crosses)
+            right = s[x < ax[s] + (bx[s] - ax[s]) * (y - ay[s]) / (by[s] - ay[s])]
+            if (np.unique(self.polygon[right], return_counts=True)[1] % 2).any():
+                return True
+        return False
+
+
+def _apart(p: np.ndarray, q: np.ndarray) -> float:
+    """Least squared distance of two sets of segments."""
+    ax, ay, bx, by = (p[:, None, i] for i in range(4))
+    cx, cy, dx, dy = (q[None, :, i] for i in range(4))
+    side = lambda ox, oy, ux, uy, vx, vy: (ux - ox) * (vy - oy) - (uy - oy) * (vx - ox)
+    if ((side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0) & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)).any():
+        return 0.0
+
+    def to(px, py, ax, ay, bx, by):
+        ux, uy = bx - ax, by - ay
+        n = ux * ux + uy * uy
+        t = np.clip(((px - ax) * ux + (py - ay) * uy) / np.where(n == 0, 1.0, n), 0.0, 1.0)
+        return ((px - ax - t * ux) ** 2 + (py - ay - t * uy) ** 2).min()
+
+    return float(min(to(ax, ay, cx, cy, dx, dy), to(bx, by, cx, cy, dx, dy), to(cx, cy, ax, ay, bx, by), to(dx, dy, ax, ay, bx, by)))
+
+
+def apart(a: Outline, b: Outline) -> float:
+    """Least distance of two shapes, 0 where they meet: pairs of boxes from the nearest on, until no box is nearer
+    than what was found (a branch and bound over the packed trees)."""
+    if not len(a.segments) or not len(b.segments):
         return math.inf
+    gap = np.maximum(0.0, np.maximum(a.low[:, None] - b.high[None], b.low[None] - a.high[:, None]))
+    least = (gap * gap).sum(axis=2)
     best = math.inf
-    for one, other in ((a, b), (b, a)):
-        segments = [(p, q) for polygon in other for ring in polygon for p, q in zip(ring, ring[1:], strict=False)]
-        for polygon in one:
-            for ring in polygon:
-                for x, y in ring:
-                    best = min(best, min(_to_segment(x, y, p, q) for p, q in segments))
-                    if best == 0:
-                        return 0.0
-    return 0.0 if overlay_area(a, b) > 0 or _cross(a, b) else best
+    for k in np.argsort(least, axis=None, kind="stable").tolist():
+        i, j = divmod(k, least.shape[1])
+        if least[i, j] >= best:
+            break
+        best = min(best, _apart(a.block(i), b.block(j)))
+        if best == 0:
+            return 0.0
+    return 0.0 if a.holds(b.points) or b.holds(a.points) else math.sqrt(best)
 
 
-def _cross(a: Shape, b: Shape) -> bool:
-    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    lines = lambda s: [(p, q) for polygon in s for ring in polygon for p, q in zip(ring, ring[1:], strict=False)]
-    return any(side(p, q, r) * side(p, q, s) < 0 and side(r, s, p) * side(r, s, q) < 0 for p, q in lines(a) for r, s in lines(b))
+def distance(a: Shape, b: Shape) -> float:
+    """``apart`` of shapes as lists."""
+    both = flat.of(pa.array([to_rows(a), to_rows(b)], flat.SHAPE))
+    return apart(Outline(both, 0), Outline(both, 1))
 
 
 # ---- operators on DataFrames ----------------------------------------------------------------
@@ -330,22 +391,44 @@ def intersection_area(a, b):
 
 
 def shape_distance(a, b):
-    return _pairwise(distance)(a, b)
+    """Least distance of two shape columns, 0 where they meet, infinite for an empty one."""
+
+    @F.arrow_udf("double")
+    def measured(one: pa.Array, other: pa.Array) -> pa.Array:
+        p, q = flat.of(one), flat.of(other)
+        return pa.array([apart(Outline(p, i), Outline(q, i)) for i in range(len(one))], pa.float64())
+
+    return measured(a, b)
 
 
 def repair(units: DataFrame, shape: str = "shape") -> DataFrame:
-    """``shape`` made valid, with was_valid, area_before and area_after; an empty one is null (GEO2, GEO3)."""
-    kind = f"struct<shape:{rings.SHAPE},was_valid:boolean,area_before:double,area_after:double>"
-
-    @F.udf(kind, useArrow=True)
-    def fixed(value):
-        s = from_rows(value)
-        out, valid = repaired(s)
-        return (to_rows(out) or None, valid, area(s), area(out))
-
-    others = [c for c in units.columns if c != shape]
-    done = units.withColumn("__r", fixed(F.col(shape)))
-    return done.select(*others, F.col("__r.shape").alias(shape), "__r.was_valid", "__r.area_before", "__r.area_after", F.col("__r.shape").isNull().alias("is_empty"))
+    """``shape`` made valid, with was_valid, area_before and area_after; an empty one is null (GEO2, GEO3).
+
+    A batch is judged as flat arrays (``flat.sound``); only shapes in doubt become Python objects and are overlaid."""
+
+    def fixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(shape)
+            column = batch.column(at)
+            arrays = flat.of(column)
+            valid, before = flat.sound(arrays), flat.areas(arrays)
+            after, odd, made = before.copy(), np.flatnonzero(~valid), []
+            for i in odd.tolist():
+                out, valid[i] = repaired(from_rows(column[i].as_py()))
+                before[i], after[i] = area(from_rows(column[i].as_py())), area(out)
+                made.append(to_rows(out) or None)
+            if len(odd):
+                place = np.arange(len(column))
+                place[odd] = len(column) + np.arange(len(odd))
+                column = pa.concat_arrays([column.cast(flat.SHAPE), pa.array(made, flat.SHAPE)]).take(pa.array(place))
+            names = [c for c in batch.schema.names if c != shape]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), column.cast(flat.SHAPE), pa.array(valid), pa.array(before), pa.array(after)], [*names, shape, "was_valid", "area_before", "area_after"])
+
+    facts = ("was_valid", "area_before", "area_after", "is_empty")
+    rows = units.drop(*facts)
+    kept = [f for f in rows.schema.fields if f.name != shape]
+    kind = T.StructType([*kept, rows.schema[shape], T.StructField("was_valid", T.BooleanType()), T.StructField("area_before", T.DoubleType()), T.StructField("area_after", T.DoubleType())])
+    return rows.select(*(f.name for f in kept), shape).mapInArrow(fixed, kind).withColumn("is_empty", F.col(shape).isNull())
 
 
 def fuzzy_contiguity(pairs: DataFrame, buffer: float, scope: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import keys, rings
 from ..operators import ensembles
 from ..operators import units as ops
 from ..scratch import scoped_path, table
-from ..sources import settlements, sinks, stored
+from ..sources import geoparquet, settlements, sinks, stored
 from . import electorate, reports
 from .registry import _ALL, _EDGE, SCOPE, SKIP, edges_rook, q, r
 
@@ -126,12 +126,26 @@ def stored_edges(spark, d):  # SNK4, SRC15, GR6: reversed, repeated and looped r
     return stored.edges(spark, f"{folder}/edges")
 
 
-@q(" SELECT precinct_id, county, side * side AS area, x AS min_x, y + side AS max_y, 5 AS n_points FROM grid")
-def stored_layer(spark, d):  # SNK2, SRC9
+def _layer(spark, d) -> str:
     path = scoped_path(spark, "layer")
-    sinks.write_geoparquet(electorate.grid(spark, d, enlarged=True).select("precinct_id", "county", "shape"), path)
+    geoparquet.write(electorate.grid(spark, d, enlarged=True).select("precinct_id", "county", "shape"), path, geoparquet.UTM_33N)
+    return path
+
+
+@q(" SELECT precinct_id, county, side * side AS area, x AS min_x, y + side AS max_y, 5 AS n_points, 'EPSG:32633' AS crs, (SELECT max(x + side) FROM grid) AS layer_max_x FROM grid")
+def stored_layer(spark, d):  # SNK2, SRC9
+    path = _layer(spark, d)
+    about = geoparquet.described(path)
     shape, box = F.col("shape"), rings.bounds(F.col("shape"))
-    return stored.geoparquet(spark, path).select("precinct_id", "county", r(rings.area(shape)).alias("area"), box["minx"].alias("min_x"), box["maxy"].alias("max_y"), F.size(F.flatten(F.flatten(shape))).alias("n_points"))
+    return geoparquet.read(spark, path).select("precinct_id", "county", r(rings.area(shape)).alias("area"), box["minx"].alias("min_x"), box["maxy"].alias("max_y"), F.size(F.flatten(F.flatten(shape))).alias("n_points"), F.lit(about["crs"]).alias("crs"), F.lit(about["bounds"][2]).alias("layer_max_x"))
+
+
+@q(" SELECT precinct_id, x AS min_x, y AS min_y FROM grid WHERE x <= 2.5 AND x + side >= 1.25 AND y <= 3 AND y + side >= 0.5")
+def stored_layer_box(spark, d):  # SRC9: files whose bounds miss the box are not opened
+    box = (1.25, 0.5, 2.5, 3.0)
+    b = rings.bounds(F.col("shape"))
+    rows = geoparquet.read(spark, _layer(spark, d), box).select("precinct_id", b.alias("b"))
+    return rows.where((F.col("b.minx") <= box[2]) & (F.col("b.maxx") >= box[0]) & (F.col("b.miny") <= box[3]) & (F.col("b.maxy") >= box[1])).select("precinct_id", F.col("b.minx").alias("min_x"), F.col("b.miny").alias("min_y"))
 
 
 @q(" SELECT precinct_id, 'Feature' AS kind, 'MultiPolygon' AS geometry, x + side AS corner_x, y + side AS corner_y FROM grid")
@@ -171,9 +185,12 @@ def requested_draws(spark, d):  # ORD6: the first mention counts, what is no num
     return table(spark, d, "events").select("event_id", F.concat(F.when(e % 3 == 0, "d").otherwise(""), kept).alias("kept"))
 
 
-@q(" SELECT v.* FROM (VALUES ('b', 4, 1, 2), ('a', 4, 1, 1), ('c', 4, 1, 2), ('b', 9, 2, 1), ('a', 9, 2, 2), ('c', 9, 2, 2)) v(precinct_id, draw, chain, district)", base=False)
-def column_ensemble(spark, d):  # PIV5
-    return ensembles.from_columns(spark, ["b", "a", "c"], [[2, 1, 2], [1, 2, 2]], [4, 9], [1, 2])
+@q(" SELECT c_custkey::VARCHAR AS precinct_id, t.draw::INTEGER AS draw, t.chain::INTEGER AS chain, (1 + (c_custkey * t.draw) % (2 + c_nationkey % 3))::INTEGER AS district FROM customer, (VALUES (4, 1), (9, 2), (10, 2)) t(draw, chain)", base=False)
+def column_ensemble(spark, d):  # PIV5: a label column a draw
+    k, nd = F.col("c_custkey"), F.lit(2) + F.col("c_nationkey") % 3
+    draws = [4, 9, 10]
+    units = table(spark, d, "customer").select(k.cast("string").alias("precinct_id"), *((1 + (k * n) % nd).cast("int").alias(f"plan_{n}") for n in draws))
+    return ensembles.from_label_columns(units, [f"plan_{n}" for n in draws], draws, [1, 2, 2])
 
 
 @q(""" , el AS (SELECT 6378137.0::DOUBLE AS a, (1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE) AS n),
@@ -190,6 +207,14 @@ def projected_points(spark, d):  # GEO4
     return g.select("precinct_id", r(p["x"], 3).alias("east"), r(p["y"], 3).alias("north"))
 
 
+@q(" SELECT precinct_id, round(16 + x / 2, 9) AS lon, round(46 + i % 5 / 2.0::DOUBLE, 9) AS lat FROM grid")
+def unprojected_points(spark, d):  # GEO4: to metres and back
+    at = F.struct((16 + F.col("x") / 2).alias("x"), (46 + F.col("i") % 5 / 2.0).alias("y"))
+    g = electorate.grid(spark, d).withColumn("i", (F.col("y") * 8 + F.col("x")).cast("bigint"))
+    p = rings.lonlat(rings.utm(at))
+    return g.select("precinct_id", r(p["x"], 9).alias("lon"), r(p["y"], 9).alias("lat"))
+
+
 @q(" SELECT n_name AS stem, CASE WHEN n_nationkey % 4 = 0 THEN 'N-' || n_nationkey ELSE n_name END AS new_stem, n_nationkey % 4 = 0 AS changed FROM nation", base=False)
 def realigned_stems(spark, d):  # SNK13
     n = table(spark, d, "nation")

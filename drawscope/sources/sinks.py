@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..operators.ensembles import require_complete, to_wide
 from ..operators.units import unit_index
-from .stored import ENSEMBLE_SCHEMA, fingerprint, id_hash, with_wkb
+from .stored import ENSEMBLE_SCHEMA, fingerprint, id_hash
 
 
 def finite_nulls(df: DataFrame) -> DataFrame:
@@ -53,10 +53,6 @@ def write_document(spark: SparkSession, value: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(value, sort_keys=True, allow_nan=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_geoparquet(units: DataFrame, path: str) -> None:
-    write_table(with_wkb(units), path)
-
-
 def geojson_rows(units: DataFrame, shape: str = "shape") -> DataFrame:
     """A GeoJSON feature a row (newline-delimited GeoJSON) (SNK2)."""
     coordinates = F.transform(shape, lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))))

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rings
+from ..functions import flat, rings
 from ..functions.keys import county_code
 from ..operators.ensembles import require_complete, to_long
 from ..operators.graph import normal_edges
-from ..operators.shapes import from_rows
 from ..operators.units import ContractError
 
 ENSEMBLE_SCHEMA = "drawscope.ensemble/v1"
@@ -129,56 +127,21 @@ def shells(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(checked.alias("county"), shape.alias("shape"))
 
 
-def wkb_of(value) -> bytes | None:
-    """A shape as a little-endian WKB multipolygon."""
-    if value is None:
-        return None
-    shape = from_rows(value)
-    out = [struct.pack("<BII", 1, 6, len(shape))]
-    for polygon in shape:
-        out.append(struct.pack("<BII", 1, 3, len(polygon)))
-        for ring in polygon:
-            out.append(struct.pack("<I", len(ring)) + b"".join(struct.pack("<dd", *p) for p in ring))
-    return b"".join(out)
-
-
-def shape_of_wkb(data: bytes | None) -> list | None:
-    """Polygons and multipolygons of either byte order."""
-    if data is None:
-        return None
-
-    def polygons(at: int) -> tuple[list, int]:
-        order = "<" if data[at] else ">"
-        kind, n = struct.unpack_from(f"{order}II", data, at + 1)
-        at += 9
-        found = []
-        if kind % 1000 == 6:
-            for _ in range(n):
-                part, at = polygons(at)
-                found += part
-            return found, at
-        if kind % 1000 != 3:
-            raise ValueError(f"geometry kind {kind} is no polygon")
-        polygon = []
-        for _ in range(n):
-            (m,) = struct.unpack_from(f"{order}I", data, at)
-            xy = struct.unpack_from(f"{order}{2 * m}d", data, at + 4)
-            polygon.append([{"x": x, "y": y} for x, y in zip(xy[::2], xy[1::2], strict=True)])
-            at += 4 + 16 * m
-        return [polygon], at
-
-    return polygons(0)[0]
-
-
 def with_wkb(units: DataFrame, shape: str = "shape", column: str = "geometry") -> DataFrame:
-    @F.pandas_udf("binary")
-    def encoded(values: pd.Series) -> pd.Series:
-        return values.map(wkb_of)
+    """``shape`` as little-endian WKB multipolygons, batch by batch."""
+
+    @F.arrow_udf("binary")
+    def encoded(values: pa.Array) -> pa.Array:
+        return flat.to_wkb(flat.of(values))
 
     return units.withColumn(column, encoded(F.col(shape))).drop(shape)
 
 
-def geoparquet(spark: SparkSession, path: str, column: str = "geometry") -> DataFrame:
-    """A unit layer whose geometry is WKB (SRC9)."""
-    decoded = F.udf(shape_of_wkb, rings.SHAPE, useArrow=True)
-    return spark.read.parquet(path).withColumn("shape", decoded(F.col(column))).drop(column)
+def from_wkb(rows: DataFrame, column: str = "geometry", shape: str = "shape") -> DataFrame:
+    """WKB polygons and multipolygons, of either byte order, as nested arrays."""
+
+    @F.arrow_udf(rings.SHAPE)
+    def decoded(values: pa.Array) -> pa.Array:
+        return flat.to_arrow(flat.from_wkb(values.cast(pa.binary())))
+
+    return rows.withColumn(shape, decoded(F.col(column))).drop(column)

@@ -165,3 +165,51 @@ def test_shapes_that_meet_need_no_buffer(spark):
     units = layer(spark, [turned(0.0, 0.0, 1.0, 1.0, 0.0), turned(2.0, 0.0, 1.0, 1.0, 0.0), turned(4.01, 0.0, 1.0, 1.0, 0.0), turned(5.5, 1.5, 1.0, 1.0, 0.4)])
     found = lambda **k: sorted((r.src[-1], r.dst[-1]) for r in config.Contiguity("fuzzy", **k).edges(units, ["county"]).collect())
     assert found() == [("0", "1"), ("2", "3")] and found(buffer_m=0.01) == [("0", "1"), ("1", "2"), ("2", "3")]
+
+
+def plain_distance(a, b):
+    """All pairs of segments, and whether one lies in the other."""
+    lines = lambda s: [(p, q) for polygon in s for ring in polygon for p, q in zip(ring, ring[1:], strict=False)]
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    best = math.inf
+    for p, q in lines(a):
+        for r, s in lines(b):
+            if side(p, q, r) * side(p, q, s) < 0 and side(r, s, p) * side(r, s, q) < 0:
+                return 0.0
+            best = min(best, *(shapes._to_segment(*x, y, z) for x, y, z in ((p, r, s), (q, r, s), (r, p, q), (s, p, q))))
+    inside = lambda one, other: any(shapes.contains(p[0], *ring[0]) and not any(shapes.contains(h, *ring[0]) for h in p[1:]) for p in other for polygon in one for ring in polygon)
+    return 0.0 if best == 0 or inside(a, b) or inside(b, a) else best
+
+
+def wavy(rng, n, x, y, r):
+    ring = [(x + (r + rng.random()) * math.cos(a), y + (r + rng.random()) * math.sin(a)) for a in (2 * math.pi * k / n for k in range(n))]
+    return [[ring + ring[:1]]]
+
+
+def test_distances_equal_all_pairs():
+    rng = random.Random(7)
+    for _ in range(150):
+        a, b = (wavy(rng, rng.choice([3, 7, 40]), rng.random() * 12, rng.random() * 12, rng.random() * 4) for _ in range(2))
+        if rng.random() < 0.3:
+            a[0].append([(p[0] * 0.5, p[1] * 0.5) for p in a[0][0]])
+        assert shapes.distance(a, b) == pytest.approx(plain_distance(a, b), abs=1e-9)
+    square = turned(0.0, 0.0, 1.0, 1.0, 0.0)
+    assert shapes.distance(square, turned(2.0, 0.0, 1.0, 1.0, 0.0)) == 0 and shapes.distance(square, []) == math.inf
+    ring = [[square[0][0], [(x / 2, y / 2) for x, y in square[0][0]]]]
+    assert shapes.distance(ring, turned(0.0, 0.0, 0.25, 0.25, 0.0)) == pytest.approx(0.25)
+
+
+def test_distance_of_long_outlines_is_quick():
+    import time
+
+    rng = random.Random(8)
+    a, b = wavy(rng, 800, 0.0, 0.0, 10.0), wavy(rng, 800, 30.0, 5.0, 10.0)
+    import pyarrow as pa
+
+    from drawscope.functions import flat
+
+    both = flat.of(pa.array([shapes.to_rows(a), shapes.to_rows(b)], flat.SHAPE))
+    began = time.perf_counter()
+    for _ in range(10):
+        found = shapes.apart(shapes.Outline(both, 0), shapes.Outline(both, 1))
+    assert (time.perf_counter() - began) / 10 < 0.02 and found == pytest.approx(plain_distance(a, b))

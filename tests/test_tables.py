@@ -14,7 +14,7 @@ from drawscope.operators import units as ops
 from drawscope.operators.components import components
 from drawscope.operators.units import ContractError
 from drawscope.plans import generate
-from drawscope.sources import settlements, sinks, stored
+from drawscope.sources import geoparquet, settlements, sinks, stored
 
 
 def one(spark, column):
@@ -278,8 +278,8 @@ def test_ensemble_layouts_and_storage(spark, folder):
 
 def test_sinks(spark, folder):
     units = layer(spark, [("a", square(0.0, 0.0, 2.0)), ("b", None)])
-    sinks.write_geoparquet(units, f"{folder}/geo")
-    assert {r.precinct_id: r.shape for r in stored.geoparquet(spark, f"{folder}/geo").collect()} == {r.precinct_id: r.shape for r in units.collect()}
+    geoparquet.write(units, f"{folder}/geo")
+    assert {r.precinct_id: r.shape for r in geoparquet.read(spark, f"{folder}/geo").collect()} == {r.precinct_id: r.shape for r in units.collect()}
     assert json.loads(sinks.geojson_rows(units.limit(1)).first().value)["geometry"]["coordinates"][0][0][1] == [2.0, 0.0]
     nested = spark.createDataFrame([(float("nan"), [1.0, float("inf")], {"k": float("-inf")}, "s")], "a double, b array<double>, c map<string,double>, d string")
     sinks.write_json_rows(nested, f"{folder}/json", ["d"])
