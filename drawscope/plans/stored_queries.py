@@ -12,7 +12,7 @@ from ..operators import ensembles
 from ..operators import units as ops
 from ..scratch import scoped_path, table
 from ..sources import geoparquet, settlements, sinks, stored
-from . import electorate, reports
+from . import electorate, reports, runs
 from .registry import _ALL, _EDGE, SCOPE, SKIP, edges_rook, q, r
 
 #: Units a settlement file holds at most (repeats aside), so files grow in number and not in size.
@@ -168,6 +168,18 @@ def stored_reports(spark, d):  # SRC16, SNK6, PIV6
     return flat.select("maz", "metric", *(r(c).alias(c) for c in flat.columns[2:]))
 
 
+@q(" SELECT county, sum(votes + CASE WHEN county = '07' THEN 1 ELSE 0 END)::BIGINT AS votes, CASE WHEN county = '07' THEN 2 ELSE 1 END AS run FROM lv GROUP BY county")
+def resumed_stage(spark, d):  # DOM6: three calls; the second finds nothing stale and is no run, the third finds one county
+    folder = scoped_path(spark, "stage")
+    votes = electorate.list_votes(spark, d).join(electorate.units(spark, d).select("precinct_id", "county"), "precinct_id")
+    more = votes.withColumn("votes", F.col("votes") + F.when(F.col("county") == "07", 1).otherwise(0))
+    total = lambda frames: frames["votes"].groupBy("county").agg(F.sum("votes").alias("votes"))
+    for given in (votes, votes, more):
+        runs.run(spark, folder, {"votes": given}, total)
+    last = runs.manifest(spark, folder).select("county", "run")
+    return runs.read(spark, folder).join(last, "county").select("county", "votes", "run")
+
+
 # ---- small operators ------------------------------------------------------------------------
 
 
