@@ -6,6 +6,7 @@ Names in the comments are the operators that a query shows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators import units as ops
 from ..operators.components import components
 from ..scratch import scoped_path, table
 from ..sources import logs, sinks
-from . import diagnostics, electorate, figures, generate, metrics, reports, rollup, rules
+from . import config, diagnostics, electorate, figures, generate, metrics, reports, rollup, rules
 from .electorate import BASE_SQL, DRAWS
 
 SKIP = metrics.Policy(safety=metrics.Safety(on_small_values="skip_balance"))
@@ -637,6 +638,14 @@ def fig_national(spark, d):  # FIG1
     return f.select("metric", r("focal_pp", 4).alias("focal_pp"), r("ensemble_pp", 4).alias("ensemble_pp"))
 
 
+@q(f""", ft2 AS (SELECT county, district, sum(a) AS a, sum(b) AS b FROM (SELECT fo.county, coalesce(district, fo.county || '-1') AS district, a, b FROM fo JOIN uv USING (precinct_id)) GROUP BY ALL), fm2 AS (SELECT county, {_METRICS} FROM ft2 GROUP BY county)
+  SELECT county, metric, round(value, 6) + 0.0::DOUBLE AS focal_value FROM (UNPIVOT fm2 ON vote_share_a, seat_share_a, efficiency_gap, mean_median_a_share_diff INTO NAME metric VALUE value)""")
+def strict_comparison(spark, d):  # DOM9: every voting unit has an enacted district
+    whole = electorate.focal(spark, d).withColumn("district", F.coalesce("district", F.concat("county", F.lit("-1"))))
+    c = metrics.compare(electorate.units(spark, d).select("county", "precinct_id"), electorate.list_votes(spark, d), electorate.coding(spark), whole, electorate.ensemble(spark, d), SCOPE, SKIP, strict=True)
+    return c.select("county", "metric", r("focal_value").alias("focal_value"))
+
+
 @q(f"{_ALL} SELECT maz, round(max(percentile_rank) FILTER (metric = 'seat_share_a'), 6) AS seat_share_a, round(max(percentile_rank) FILTER (metric = 'efficiency_gap'), 6) AS efficiency_gap, round(max(percentile_rank) FILTER (metric = 'mean_median_a_share_diff'), 6) AS mean_median_a_share_diff, round(any_value(weight), 9) AS weight, (row_number() OVER (ORDER BY any_value(weight) DESC, maz))::INTEGER AS place FROM cmp JOIN wt ON maz = county GROUP BY maz")
 def fig_percentile_matrix(spark, d):  # FIG2, JN8
     m = figures.percentile_matrix(_reports(spark, d), _weights(spark, d))
@@ -833,6 +842,16 @@ def overlap_pairs_clipped(spark, d):  # GEO6 by overlay
     return found.select("county", "precinct_id_a", "precinct_id_b", r("intersection_area_m2").alias("area"))
 
 
+@q(f""", {_EDGE} SELECT county, 'queen' AS rule, count(*) AS n_edges FROM eq GROUP BY county UNION ALL SELECT county, 'rook', count(*) FROM eq WHERE manhattan = 1 GROUP BY county
+  UNION ALL SELECT county, 'fuzzy', count(*) FROM eq WHERE manhattan = 1 GROUP BY county UNION ALL SELECT county, 'meeting', count(*) FROM eq GROUP BY county""")
+def contiguity_rules(spark, d):  # GR1, GR2, GR3, GR11: squares that meet are the queen's neighbours; shrunk ones need a buffer
+    g = electorate.grid(spark, d)
+    small = g.withColumn("shape", F.transform("shape", lambda p: F.transform(p, lambda ring: F.transform(ring, lambda v: F.struct((F.col("x") + (v["x"] - F.col("x")) * 0.9).alias("x"), (F.col("y") + (v["y"] - F.col("y")) * 0.9).alias("y"))))))
+    kinds = {"queen": (config.Contiguity("queen"), g), "rook": (config.Contiguity("rook"), g), "fuzzy": (config.Contiguity("fuzzy", 0.06), small), "meeting": (config.Contiguity("fuzzy"), g)}
+    found = [rule.edges(units, SCOPE).groupBy("county").agg(F.count("*").alias("n_edges")).select("county", F.lit(name).alias("rule"), "n_edges") for name, (rule, units) in kinds.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def generated_plans(spark, d):  # DOM4, DOM6: a seeded generator, validated by the rules in tests
     g = electorate.grid(spark, d).join(ops.population_of(electorate.units(spark, d).select("precinct_id"), electorate.voters(spark, d)), "precinct_id")
     return generate.generate(g, graph.contiguity(g, "rook", SCOPE), electorate.districts(spark, d), 4, seed=7, per_chain=2)
