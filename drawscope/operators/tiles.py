@@ -47,10 +47,10 @@ def dealt(boxes: DataFrame, scope: list[str], most: int = 32) -> DataFrame:
     rows = materialise(_spread(first, {v: place(v, "min") for v in "xy"}, {v: place(v, "max") for v in "xy"}), "tiles")
     for _ in range(ROUNDS):
         small = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) <= size_of()
-        heavy = materialise(rows.where(small).groupBy(*scope, *TILE).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*scope, *TILE, F.lit(True).alias("__heavy")), "heavy-tiles")
+        heavy = rows.where(small).groupBy(*scope, *TILE).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*scope, *TILE, F.lit(True).alias("__heavy"))
         if heavy.isEmpty():
-            release(heavy)
             break
+        heavy = materialise(heavy, "heavy-tiles")
         both = rows.join(heavy, [*scope, *TILE], "left")
         down = both.where("__heavy").drop("__heavy").withColumns({"level": F.col("level") + 2, "__x": F.col("ix") * 4, "__y": F.col("iy") * 4}).drop("ix", "iy")
         inner = {v: (F.greatest(F.col(f"__{v}"), place(v, "min")), F.least(F.col(f"__{v}") + 3, place(v, "max"))) for v in "xy"}
