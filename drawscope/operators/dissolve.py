@@ -72,7 +72,10 @@ def band(shape: Shape, reach: float, inward: bool = False) -> list[Shape]:
 
 
 def _half(ring: Ring, axis: int, at: float, upper: bool) -> Ring:
-    """What of an open ring lies on one side of a line; the line's own stretches join it."""
+    """What of an open ring lies on one side of a line; the line's own stretches join it. Vertices that match the line on
+    the snap grid lie on it, for the tiles on both of its sides."""
+    near = lambda v: at if abs(v - at) <= 8 * SNAP else v
+    ring = [(near(p[0]), p[1]) if axis == 0 else (p[0], near(p[1])) for p in ring]
     out: Ring = []
     for i, q in enumerate(ring):
         p = ring[i - 1]
@@ -155,7 +158,7 @@ def _parted(units: DataFrame, shells: DataFrame, scope: list[str], shell_buffer:
                         out.append({**{s: row[s] for s in scope}, **{c: row[c] for c in ("x0", "y0", "side")}, "level": level, "ix": ix, "iy": iy, "kind": kind, "parts": shapes.to_rows(parts)})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([*((s, batch.schema.field(s).type) for s in scope), ("x0", pa.float64()), ("y0", pa.float64()), ("side", pa.float64()), ("level", pa.int32()), ("ix", pa.int64()), ("iy", pa.int64()), ("kind", pa.int32()), ("parts", _SHAPE)]))
 
-    kept = rows.join(where, "row").select(*scope, "kind", "shape", "x0", "y0", "side", "tiles")
+    kept = rows.join(where.hint("merge"), "row").select(*scope, "kind", "shape", "x0", "y0", "side", "tiles")
     named = ", ".join(f"{s} {kinds[s].simpleString()}" for s in scope)
     return kept.mapInArrow(cut, f"{named}, x0 double, y0 double, side double, level int, ix bigint, iy bigint, kind int, parts {rings.SHAPE}")
 
@@ -281,7 +284,7 @@ def gaps(units: DataFrame, shells: DataFrame, scope: list[str], shell_buffer: fl
     placed = ends.join(reach, scope).withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / F.col("reach")).cast("bigint"), F.floor(F.col("hi") / F.col("reach")).cast("bigint"))))
     key = [*scope, "axis", "line", "block"]
     side = lambda up, x: placed.where("upper" if up else "not upper").select(*key, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "lo", "hi")))
-    links = side(True, "a").join(side(False, "b"), key).where(F.least("hi_a", "hi_b") - F.greatest("lo_a", "lo_b") > SNAP).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).distinct()
+    links = side(True, "a").join(side(False, "b").hint("merge"), key).where(F.least("hi_a", "hi_b") - F.greatest("lo_a", "lo_b") > SNAP).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).distinct()
     parts = components(links, nodes=pieces.select("id"))
     named = ", ".join(f"{s} {pieces.schema[s].dataType.simpleString()}" for s in scope)
 
@@ -291,7 +294,7 @@ def gaps(units: DataFrame, shells: DataFrame, scope: list[str], shell_buffer: fl
         names, void = _one(table, scope), table["component"][0].as_py()
         return pa.Table.from_pylist([{**names, "void": f"{void}/{i}", "shape": shapes.to_rows([p])} for i, p in enumerate(whole)], pa.schema([*((s, table.schema.field(s).type) for s in scope), ("void", pa.string()), ("shape", _SHAPE)]))
 
-    grouped = pieces.select(*scope, F.col("id").alias("node"), "shape").join(parts, "node").select(*scope, "component", "shape")
+    grouped = pieces.select(*scope, F.col("id").alias("node"), "shape").join(parts.hint("merge"), "node").select(*scope, "component", "shape")
     return grouped.groupBy(*scope, "component").applyInArrow(joined, f"{named}, void string, shape {rings.SHAPE}")
 
 

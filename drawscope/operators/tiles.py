@@ -1,6 +1,7 @@
 """Tiles of a quadtree that follows the data: where boxes meet, and which point is nearest.
 
-A scope's tiles are squares of side ``side / 2**level`` from the lower left corner of all its boxes. Boxes are dealt
+A scope's tiles are squares of side ``side / 2**level`` from a point just below the lower left corner of all its boxes. That point
+and the side are dyadic, so no border passes a hair from coordinates that are round numbers: it meets them, or is well away. Boxes are dealt
 to tiles of one level first; tiles that still hold more than ``most`` boxes no larger than themselves
 are parted sixteenfold, round after round. So dense places get small tiles, and a box that is far larger than the others
 is dealt to the tiles there are, not to all small squares it covers. Nothing is gathered: a round is
@@ -36,8 +37,11 @@ def dealt(boxes: DataFrame, scope: list[str], most: int = 32) -> DataFrame:
     Rows without bounds go nowhere. Written to the shared folder.
     """
     known = materialise(boxes.where(" and ".join(f"{b} is not null" for b in BOUNDS)), "boxes")
-    span = F.greatest(F.max("maxx") - F.min("minx"), F.max("maxy") - F.min("miny"))
-    root = known.groupBy(*scope).agg(F.min("minx").alias("x0"), F.min("miny").alias("y0"), (span * (1 + 1e-9) + 1e-9).alias("side"), F.count("*").alias("__n"))
+    span = F.greatest(F.max("maxx") - F.min("minx"), F.max("maxy") - F.min("miny")) * (1 + 1e-9) + 1e-9
+    step = F.pow(F.lit(2.0), F.floor(F.log2("__span")) - 4)
+    low = lambda v: F.floor(F.col(v) / (step / 1024)) * (step / 1024)
+    whole = known.groupBy(*scope).agg(F.min("minx").alias("x0"), F.min("miny").alias("y0"), span.alias("__span"), F.count("*").alias("__n"))
+    root = whole.select(*scope, low("x0").alias("x0"), low("y0").alias("y0"), (F.ceil((F.col("__span") + step / 1024) / step) * step).alias("side"), "__n")
     level = F.greatest(F.lit(0), F.ceil(F.log(F.col("__n") / most) / F.log(F.lit(4.0)))).cast("int")
     first = known.join(root, scope).withColumn("level", level).drop("__n")
 
@@ -51,7 +55,7 @@ def dealt(boxes: DataFrame, scope: list[str], most: int = 32) -> DataFrame:
         if heavy.isEmpty():
             break
         heavy = materialise(heavy, "heavy-tiles")
-        both = rows.join(heavy, [*scope, *TILE], "left")
+        both = rows.join(heavy.hint("merge"), [*scope, *TILE], "left")
         down = both.where("__heavy").drop("__heavy").withColumns({"level": F.col("level") + 2, "__x": F.col("ix") * 4, "__y": F.col("iy") * 4}).drop("ix", "iy")
         inner = {v: (F.greatest(F.col(f"__{v}"), place(v, "min")), F.least(F.col(f"__{v}") + 3, place(v, "max"))) for v in "xy"}
         parted = _spread(down, {v: inner[v][0] for v in "xy"}, {v: inner[v][1] for v in "xy"}).drop("__x", "__y")
@@ -104,9 +108,9 @@ def nearest(asked: DataFrame, points: DataFrame, scope: list[str]) -> DataFrame:
         size = size_of(F.lit(step * level))
         away = [F.greatest(F.lit(0.0), F.col(f"{v}0") + F.col(f"i{v}") * size - F.col(f"u{v}"), F.col(f"u{v}") - F.col(f"{v}0") - (F.col(f"i{v}") + 1) * size) for v in "xy"]
         # Rounding may put a point a hair outside the tile it was dealt to.
-        opened = up.join(tiles, [*scope, "__ix", "__iy"]).withColumns({"__least": (away[0] * away[0] + away[1] * away[1]) * (1 - 1e-9), "__bound": d2("p.x", "p.y")})
+        opened = up.join(tiles.hint("merge"), [*scope, "__ix", "__iy"]).withColumns({"__least": (away[0] * away[0] + away[1] * away[1]) * (1 - 1e-9), "__bound": d2("p.x", "p.y")})
         bound = F.min("__bound").over(Window.partitionBy(*scope, "u"))
         found = opened.withColumn("__best", bound).where(F.col("__least") <= F.col("__best")).select(*found.columns)
     last = based.withColumns({"ix": cell("x", depth), "iy": cell("y", depth)}).select(*scope, "ix", "iy", "node", "x", "y")
-    best = found.join(last, [*scope, "ix", "iy"]).groupBy(*scope, "u").agg(F.min(F.struct(d2("x", "y").alias("d2"), "node")).alias("b"))
-    return asked.join(best, [*scope, "u"]).select(*asked.columns, "b.node", "b.d2")
+    best = found.join(last.hint("merge"), [*scope, "ix", "iy"]).groupBy(*scope, "u").agg(F.min(F.struct(d2("x", "y").alias("d2"), "node")).alias("b"))
+    return asked.join(best.hint("merge"), [*scope, "u"]).select(*asked.columns, "b.node", "b.d2")
