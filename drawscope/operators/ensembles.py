@@ -87,7 +87,7 @@ def from_label_columns(units: DataFrame, columns: Sequence[str], draw_ids: Seque
 def from_indexed(rows: DataFrame, units: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Sampler rows (unit_index, draw, chain, district) with ids for indexes (SRC11).
     units: (scope, unit_index, precinct_id)."""
-    return rows.join(units.select(*scope, "unit_index", "precinct_id"), [*scope, "unit_index"]).select(*scope, "precinct_id", "draw", "chain", "district")
+    return rows.join(units.select(*scope, "unit_index", "precinct_id").hint("merge"), [*scope, "unit_index"]).select(*scope, "precinct_id", "draw", "chain", "district")
 
 
 def index_contract(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
