@@ -3,7 +3,8 @@
 Every round links each node's neighbours to the least label known there; the number of rounds
 grows with the logarithm of the longest path, not with its length. Each round is written to
 the shared folder, so a lost executor costs one round at most. No node's neighbours are ever
-gathered in one task: a round is joins and a minimum by key, which combine map-side.
+gathered in one task: a round is joins and a minimum by key, which combine map-side. The joins are by sorted
+shuffles: their sides grow with the graph, and compressed sizes would have them sent through the driver.
 
 Edges are counted once they are written. Up to ``one_task`` rows of them (a few tens of MB),
 one task finds the same labels, since a round's jobs would cost more than its work.
@@ -66,7 +67,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
     release(both)
     if nodes is None:
         return labels
-    alone = nodes.select(F.col(nodes.columns[0]).alias("node")).where("node is not null").distinct().join(labels.select("node"), "node", "left_anti")
+    alone = nodes.select(F.col(nodes.columns[0]).alias("node")).where("node is not null").distinct().join(labels.select("node").hint("merge"), "node", "left_anti")
     return labels.unionByName(alone.select("node", F.col("node").alias("component")))
 
 
@@ -74,14 +75,14 @@ def _by_rounds(both: DataFrame, max_rounds: int) -> DataFrame:
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     for _ in range(max_rounds):
         # Hook: what a neighbour knows; applied to the node and to the node's present root.
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m")).select(F.col("a").alias("node"), "m")
-        better = labels.join(seen, "node").where("m < component")
+        seen = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m")).select(F.col("a").alias("node"), "m")
+        better = labels.join(seen.hint("merge"), "node").where("m < component")
         hooked = better.select("node", F.col("m").alias("new")).unionByName(better.select(F.col("component").alias("node"), F.col("m").alias("new"))).groupBy("node").agg(F.min("new").alias("new"))
-        lower = labels.join(hooked, "node", "left").select("node", F.least("component", F.coalesce("new", "component")).alias("component"), (F.coalesce("new", "component") < F.col("component")).alias("moved"))
+        lower = labels.join(hooked.hint("merge"), "node", "left").select("node", F.least("component", F.coalesce("new", "component")).alias("component"), (F.coalesce("new", "component") < F.col("component")).alias("moved"))
         # Jump: take the label of one's label, twice.
         for k in (1, 2):
             up = lower.select(F.col("node").alias(f"n{k}"), F.col("component").alias(f"c{k}"))
-            lower = lower.join(up, lower["component"] == up[f"n{k}"], "left").select("node", F.coalesce(f"c{k}", "component").alias("component"), "moved")
+            lower = lower.join(up.hint("merge"), lower["component"] == up[f"n{k}"], "left").select("node", F.coalesce(f"c{k}", "component").alias("component"), "moved")
             if k == 1:
                 lower = materialise(lower, "labels-half")
                 half = lower

@@ -53,7 +53,7 @@ def both_ways(edges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def degrees(nodes: DataFrame, edges: DataFrame, unit: str = "precinct_id") -> DataFrame:
     """Neighbours of every node, 0 for islands (GR5)."""
     per = both_ways(edges).groupBy("node").agg(F.count("*").alias("degree"))
-    return nodes.select(F.col(unit).alias("node")).join(per, "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+    return nodes.select(F.col(unit).alias("node")).join(per.hint("merge"), "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
 
 
 def neighbour_lists(edges: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def health(nodes: DataFrame, edges: DataFrame, scope: str = "county", unit: str
     """Per scope: components, islands (the first ``listed`` by id), and whether it is one piece (GR8).
     ``edges`` within scopes; nodes: (scope, unit)."""
     parts = components(edges, nodes=nodes.select(unit))
-    placed = nodes.select(scope, F.col(unit).alias("node")).join(parts, "node").join(degrees(nodes, edges, unit), "node")
+    placed = nodes.select(scope, F.col(unit).alias("node")).join(parts.hint("merge"), "node").join(degrees(nodes, edges, unit).hint("merge"), "node")
     per = placed.groupBy(scope, "component").agg(F.count("*").alias("n")).groupBy(scope).agg(F.count("*").alias("n_components"), F.max("n").alias("largest_component"), F.sum("n").alias("n_nodes"))
     rank = Window.partitionBy(scope).orderBy("node")
     islands = placed.where("degree = 0").withColumn("r", F.row_number().over(rank)).groupBy(scope).agg(F.count("*").alias("n_islands"), F.array_sort(F.collect_list(F.when(F.col("r") <= listed, F.col("node")))).alias("islands"))
@@ -114,7 +114,7 @@ def bridges(nodes: DataFrame, edges: DataFrame, scope: str = "county", unit: str
     Only tiles that may hold the nearest node are looked into (``tiles.nearest``), so the work is a few rows a minor component.
     """
     parts = components(edges, nodes=nodes.select(unit))
-    placed = nodes.select(scope, F.col(unit).alias("node"), F.col(x).alias("x"), F.col(y).alias("y")).join(parts, "node")
+    placed = nodes.select(scope, F.col(unit).alias("node"), F.col(x).alias("x"), F.col(y).alias("y")).join(parts.hint("merge"), "node")
     sizes = placed.groupBy(scope, "component").agg(F.count("*").alias("n"), F.min(F.struct("node", "x", "y")).alias("first"))
     main = sizes.groupBy(scope).agg(F.max("n").alias("top"))
     largest = sizes.join(main, scope).where("n = top").groupBy(scope).agg(F.min("component").alias("main"))
