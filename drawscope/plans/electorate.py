@@ -14,6 +14,8 @@ from ..operators.units import numbered_voids, unit_index
 from ..scratch import table
 
 DRAWS = 20
+#: Rows of an ensemble that one task makes from its units.
+ROWS_A_TASK = 1 << 19
 BLOCS = {"1": "a", "2": "a", "3": "b", "4": "b"}
 
 
@@ -50,9 +52,15 @@ def districts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ensemble(spark: SparkSession, folder: str, draws: int = DRAWS) -> DataFrame:
-    """(county, draw, chain, precinct_id, district); the last draw repeats the first."""
+    """(county, draw, chain, precinct_id, district); the last draw repeats the first.
+
+    A unit makes a row a draw, so units are dealt to tasks before that: files as small as theirs are read by one task,
+    which would sort or group all rows of the ensemble."""
     k, e = F.col("k"), F.when(F.col("draw") == draws, 1).otherwise(F.col("draw"))
-    long = units(spark, folder).select("county", "precinct_id", "k", "nd", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    few = units(spark, folder)
+    tasks = -(-few.count() * draws // ROWS_A_TASK)
+    dealt = few.repartition(tasks, "precinct_id") if tasks > 1 else few
+    long = dealt.select("county", "precinct_id", "k", "nd", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     return long.select("county", "draw", (1 + (F.col("draw") - 1 - (F.col("draw") - 1) % 5) / 5).cast("int").alias("chain"), "precinct_id", (1 + (k * 31 + e * 17 + (k * e) % 7) % F.col("nd")).cast("int").alias("district"))
 
 
