@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import random
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import pyarrow as pa
@@ -21,24 +22,38 @@ _ROWS = "county string, draw int, chain int, precinct_id string, district int"
 
 
 def grown(ids: list[str], population: dict[str, float], neighbours: dict[str, list[str]], n: int, seed: str) -> dict[str, int]:
-    """Districts 1..n of the units: every step the least populous district takes a neighbour."""
+    """Districts 1..n of the units: every step the least populous district takes a neighbour.
+
+    A district's free neighbours are kept sorted and lose what any district takes, so a step costs what lies around one unit,
+    not all that the district has ever touched."""
     rng = random.Random(seed)
     starts = rng.sample(sorted(ids), min(n, len(ids)))
     out: dict[str, int] = {}
-    heap, frontier = [], {}
+    heap: list[tuple[float, int]] = []
+    free: dict[int, list[str]] = {d: [] for d in range(1, len(starts) + 1)}
+    beside: dict[str, set[int]] = defaultdict(set)  # whose free neighbour a unit is
+
+    def reach(d: int, u: str) -> None:
+        for v in neighbours[u]:
+            if v not in out and d not in beside[v]:
+                beside[v].add(d)
+                insort(free[d], v)
+
     for d, s in enumerate(starts, 1):
         out[s] = d
-        frontier[d] = set(neighbours[s])
         heap.append((population.get(s, 0.0), d))
+    for d, s in enumerate(starts, 1):
+        reach(d, s)
     heapq.heapify(heap)
     while heap:
         p, d = heapq.heappop(heap)
-        free = sorted(u for u in frontier[d] if u not in out)
-        if not free:
+        if not free[d]:
             continue
-        u = rng.choice(free)
+        u = rng.choice(free[d])
         out[u] = d
-        frontier[d] |= set(neighbours[u])
+        for other in beside.pop(u):
+            del free[other][bisect_left(free[other], u)]
+        reach(d, u)
         heapq.heappush(heap, (p + population.get(u, 0.0), d))
     for u in sorted(ids):  # pieces of the graph that hold no start
         out.setdefault(u, 1)
