@@ -69,14 +69,17 @@ SECOND = np.uint64(0xD1342543DE82EF95)
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs started within send at most ``rows`` rows of a table to a Python worker at a time: stored words are long rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """Jobs started within read and send at most ``rows`` rows of a table to a Python worker at a time: stored words are long
+    rows, and Spark's Parquet reader would hold 4096 of them in each task."""
+    arrow, reader = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = {key: spark.conf.get(key) for key in (arrow, reader)}
+    for key, value in before.items():
+        spark.conf.set(key, str(min(rows, int(value)) if int(value) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def seed_of(lang: str) -> np.uint64:

@@ -106,3 +106,11 @@ def test_query_equals_its_sql(spark, folder):
     columns = [c[0] for c in want.description]
     got = queries.op12_phrase_mining(spark, folder).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) >= 50
+
+
+def test_stored_words_are_read_few_rows_at_a_time(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
+    with phrases.small_batches(spark, 64):
+        assert [spark.conf.get(k) for k in keys] == ["64", "64"]
+    assert [spark.conf.get(k) for k in keys] == before
