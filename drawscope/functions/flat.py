@@ -55,7 +55,7 @@ def to_arrow(flat: Flat) -> pa.Array:
     return pa.ListArray.from_arrays(at(flat.polygons), polygons, mask=pa.array(~flat.known) if len(flat.known) and not flat.known.all() else None)
 
 
-def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, … for each of the spans."""
     ends = np.cumsum(size)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
@@ -87,7 +87,7 @@ def to_wkb(flat: Flat) -> pa.Array:
         put(at + 1, np.full(len(at), kind, "<u4"))
         put(at + 5, count.astype("<u4"))
     put(ring_at, n_points.astype("<u4"))
-    put(_spans(np.zeros(len(ring_at), np.int64), n_points) * 16 + np.repeat(ring_at + 4, n_points), np.stack([flat.x, flat.y], axis=1).astype("<f8"))
+    put(spans(np.zeros(len(ring_at), np.int64), n_points) * 16 + np.repeat(ring_at + 4, n_points), np.stack([flat.x, flat.y], axis=1).astype("<f8"))
     binary = pa.Array.from_buffers(pa.large_binary(), len(shape_size), [None, pa.py_buffer(shape_at.astype(np.int64)), pa.py_buffer(out)])
     return pc.if_else(pa.array(flat.known), binary, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
@@ -200,7 +200,7 @@ def sound(flat: Flat) -> np.ndarray:
     while lo < len(low):
         hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + PAIRS, "right")) - 1)
         i = np.repeat(np.arange(lo, hi), partners[lo:hi])
-        j = _spans(np.arange(lo, hi) + 1, partners[lo:hi])
+        j = spans(np.arange(lo, hi) + 1, partners[lo:hi])
         near = (np.maximum(np.minimum(ay[i], by[i]), np.minimum(ay[j], by[j])) <= np.minimum(np.maximum(ay[i], by[i]), np.maximum(ay[j], by[j]))) & good[shape[i]]
         i, j = i[near], j[near]
         side = lambda px, py, qx, qy, rx, ry: np.sign((qx - px) * (ry - py) - (qy - py) * (rx - px))

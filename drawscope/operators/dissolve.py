@@ -22,18 +22,24 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rings
+from ..functions import cuts, flat, rings
+from ..functions.cuts import ARC
 from ..scratch import materialise
 from . import shapes, tiles
 from .components import components
 from .shapes import SNAP, Ring, Shape
 
-ARC = 16
 MOST = 24
+#: Tiles of a shape from which it is halved with them, and shapes that are cut at a time.
+MANY, AT_A_TIME = 64, 512
+#: Tiles of one level that are overlaid at a time: a square of so many a side.
+SIDE = 4
 UNIT, SHELL, CUT = 0, 1, 2
 
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -65,7 +71,7 @@ def band(shape: Shape, reach: float, inward: bool = False) -> list[Shape]:
                 if angle * side <= 0:
                     continue
                 first = math.atan2(-side * ux, side * uy)
-                n = max(1, math.ceil(abs(angle) / (math.pi / 2 / ARC)))
+                n = max(1, math.ceil(abs(angle) / (math.pi / 2 / ARC) - 1e-9))
                 arc = [(x + reach * math.cos(first + angle * k / n), y + reach * math.sin(first + angle * k / n)) for k in range(n + 1)]
                 out.append([[[(x, y), *arc, (x, y)]]])
     return out
@@ -116,17 +122,123 @@ def _deal(polygon: list[Ring], boxes: list[tuple]) -> Iterator[tuple[tuple, list
         yield from _deal(part, half)
 
 
-def _closed(polygon: list[Ring]) -> list[Ring]:
-    return [ring if ring[0] == ring[-1] else ring + ring[:1] for ring in polygon]
-
-
 def _box(x0: float, y0: float, side: float, level: int, ix: int, iy: int) -> tuple[float, float, float, float]:
     size = side / 2.0**level
     return x0 + ix * size, y0 + iy * size, x0 + (ix + 1) * size, y0 + (iy + 1) * size
 
 
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+class _Outlines:
+    """Polygons of open rings, gathered as flat arrays: each has its shape's row and a kind."""
+
+    def __init__(self):
+        self.x, self.y, self.size, self.rings, self.row, self.kind = ([] for _ in range(6))
+
+    def add(self, x: np.ndarray, y: np.ndarray, size: np.ndarray, rings_: np.ndarray, row: np.ndarray, kind: np.ndarray) -> None:
+        """size: points of each ring; rings_: rings of each polygon."""
+        for held, new in zip((self.x, self.y, self.size, self.rings, self.row, self.kind), (x, y, size, rings_, row, kind), strict=True):
+            held.append(np.asarray(new))
+
+    def polygon(self, rings_: list[Ring], *names: int) -> None:
+        points = np.array([p for ring in rings_ for p in ring]).reshape(-1, 2)
+        self.add(points[:, 0], points[:, 1], [len(ring) for ring in rings_], [len(rings_)], *([n] for n in names))
+
+    def arrays(self) -> tuple:
+        """(x, y, where rings begin, where polygons begin, row, kind)"""
+        x, y = (np.concatenate([np.zeros(0), *v]) for v in (self.x, self.y))
+        size, rings_, row, kind = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (self.size, self.rings, self.row, self.kind))
+        return x, y, np.append(0, np.cumsum(size)), np.append(0, np.cumsum(rings_)), row, kind
+
+
+def _outlines(batch: pa.RecordBatch, reach: np.ndarray) -> tuple:
+    """What the shapes of a batch bring, as ``_Outlines.arrays``: their polygons, and what their buffers add. A convex polygon
+    brings its widened outline alone; any other one its band."""
+    shape = flat.of(batch.column("shape"))
+    x, y, points = cuts.opened(shape.x, shape.y, shape.points)
+    n_polygons, n_rings = np.diff(shape.polygons), np.diff(shape.rings)
+    row = np.repeat(np.arange(len(n_polygons)), n_polygons)
+    kind = _numbers(batch, "kind")[row].astype(np.int64)
+    out = _Outlines()
+    single = np.flatnonzero((n_rings == 1) & (reach[row] > 0))
+    convex, *wide = cuts.widened(*cuts.taken(x, y, points, shape.rings[:-1][single]), reach[row[single]])
+    grown = single[convex]
+    out.add(*wide[:2], np.diff(wide[2])[convex], np.ones(len(grown), np.int64), row[grown], kind[grown])
+    plain = np.ones(len(row), bool)
+    plain[grown] = False
+    at = flat.spans(shape.rings[:-1][plain], n_rings[plain])
+    px, py, pp = cuts.taken(x, y, points, at)
+    out.add(px, py, np.diff(pp), n_rings[plain], row[plain], kind[plain])
+    for i in np.flatnonzero(plain & (reach[row] != 0)).tolist():
+        polygon = [list(zip(shape.x[a:b].tolist(), shape.y[a:b].tolist(), strict=True)) for a, b in zip(shape.points[shape.rings[i] : shape.rings[i + 1]], shape.points[1:][shape.rings[i] : shape.rings[i + 1]], strict=True)]
+        near = float(reach[row[i]])
+        for piece in band([polygon], abs(near), near < 0):
+            out.polygon([piece[0][0][:-1]], row[i], kind[i] if near > 0 else CUT)
+    return out.arrays()
+
+
+def _cut(batch: pa.RecordBatch, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, flat.Flat]:
+    """(row, tile of the batch, kind, parts): what the shapes of a batch bring to each of their tiles."""
+    x, y, points, polygons, row, kind = _outlines(batch, reach)
+    tiles_ = batch.column("tiles").flatten()
+    n_tiles = pc.list_value_length(batch.column("tiles")).to_numpy(zero_copy_only=False).astype(np.int64)
+    level, ix, iy = (tiles_.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    first = np.cumsum(n_tiles) - n_tiles
+    x0, y0, side = (np.repeat(_numbers(batch, c), n_tiles) for c in ("x0", "y0", "side"))
+    box = _box(x0, y0, side, level, ix, iy)
+    # A polygon and a tile of its shape, if their bounds share more than a border.
+    few = np.flatnonzero(n_tiles[row] < MANY)
+    count = n_tiles[row[few]]
+    polygon, tile = np.repeat(few, count), flat.spans(first[row[few]], count)
+    low_x, low_y, high_x, high_y = cuts.bounds(x, y, points[polygons])
+    near = 8 * SNAP
+    meets = (low_x[polygon] < box[2][tile] - near) & (high_x[polygon] > box[0][tile] + near) & (low_y[polygon] < box[3][tile] - near) & (high_y[polygon] > box[1][tile] + near)
+    polygon, tile = polygon[meets], tile[meets]
+    within = (low_x[polygon] > box[0][tile] + near) & (high_x[polygon] < box[2][tile] - near) & (low_y[polygon] > box[1][tile] + near) & (high_y[polygon] < box[3][tile] - near)
+    found: list[tuple] = []  # (x, y, ring sizes, place in the result of each ring)
+    places: list[tuple] = [(polygon, tile)]
+    for inner in (True, False):
+        pair = np.flatnonzero(within == inner)
+        n = np.diff(polygons)[polygon[pair]]
+        pair = np.repeat(pair, n)
+        rx, ry, rp = cuts.taken(x, y, points, flat.spans(polygons[:-1][polygon[within == inner]], n))
+        if not inner:
+            for side_, (axis, upper) in enumerate(((0, True), (1, True), (0, False), (1, False))):
+                rx, ry, rp = cuts.half(rx, ry, rp, axis, box[side_][tile[pair]], upper, near)
+        found.append((rx, ry, np.diff(rp), pair))
+    done = len(polygon)
+    for i in np.flatnonzero(n_tiles[row] >= MANY).tolist():
+        rings_ = [list(zip(x[a:b].tolist(), y[a:b].tolist(), strict=True)) for a, b in zip(points[polygons[i] : polygons[i + 1]], points[1:][polygons[i] : polygons[i + 1]], strict=True)]
+        mine = range(first[row[i]], first[row[i]] + n_tiles[row[i]])
+        dealt = list(_deal(rings_, [(*(float(b[t]) for b in box), t) for t in mine]))
+        xy = np.array([p for _, part in dealt for ring in part for p in ring]).reshape(-1, 2)
+        found.append((xy[:, 0], xy[:, 1], np.array([len(ring) for _, part in dealt for ring in part], np.int64), np.repeat(done + np.arange(len(dealt)), [len(part) for _, part in dealt])))
+        places.append((np.full(len(dealt), i), np.array([t for t, _ in dealt], np.int64)))
+        done += len(dealt)
+    polygon, tile = (np.concatenate(v).astype(np.int64) for v in zip(*places, strict=True))
+    rx, ry, size, pair = (np.concatenate(v) for v in zip(*found, strict=True))
+    rp = np.append(0, np.cumsum(size))
+    order = np.lexsort((pair, kind[polygon[pair]], tile[pair]))
+    order = order[size[order] >= 3]
+    pair = pair[order]
+    rx, ry, rp = cuts.taken(rx, ry, rp, order)
+    # Rings are closed: each ends with its first point.
+    size = np.diff(rp)
+    at = flat.spans(rp[:-1], size + 1)
+    at[np.cumsum(size + 1) - 1] = rp[:-1]
+    pieces = np.flatnonzero(np.diff(pair, prepend=-1))
+    mine = pair[pieces]
+    rows = np.flatnonzero((np.diff(tile[mine], prepend=-1) != 0) | (np.diff(kind[polygon[mine]], prepend=-1) != 0))
+    ends = lambda starts, n: np.append(starts, n).astype(np.int64)
+    parts = flat.Flat(np.ones(len(rows), bool), ends(rows, len(pieces)), ends(pieces, len(pair)), np.append(0, np.cumsum(size + 1)), rx[at], ry[at])
+    mine = mine[rows]
+    return row[polygon[mine]], tile[mine], kind[polygon[mine]], parts
+
+
 def _parted(units: DataFrame, shells: DataFrame, scope: list[str], shell_buffer: float, unit_buffer: float, most: int) -> DataFrame:
-    """(scope, x0, y0, side, level, ix, iy, kind, parts): each shape's parts in each tile it meets."""
+    """(scope, x0, y0, side, level, ix, iy, kind, parts): each shape's parts in each tile it meets, as WKB: that travels as one value."""
     one = lambda df, kind: df.where(F.size("shape") > 0).select(*scope, F.lit(kind).alias("kind"), "shape")
     rows = materialise(one(units, UNIT).unionByName(one(shells, SHELL)).withColumn("row", F.monotonically_increasing_id()), "shapes")
     b = rings.bounds(F.col("shape"))
@@ -138,41 +250,36 @@ def _parted(units: DataFrame, shells: DataFrame, scope: list[str], shell_buffer:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                out = []
-                for row in batch.slice(lo, 64).to_pylist():
-                    boxes = [(*_box(row["x0"], row["y0"], row["side"], t["level"], t["ix"], t["iy"]), (t["level"], t["ix"], t["iy"])) for t in row["tiles"]]
-                    shape = shapes.from_rows(row["shape"])
-                    reach = unit_buffer if row["kind"] == UNIT else shell_buffer
-                    made = [(row["kind"], [polygon for polygon in shape])]
-                    if reach > 0:
-                        made.append((row["kind"], [p[0] for p in band(shape, reach)]))
-                    elif reach < 0:
-                        made.append((CUT, [p[0] for p in band(shape, -reach, True)]))
-                    found: dict[tuple, list] = defaultdict(list)
-                    for kind, polygons in made:
-                        for polygon in polygons:
-                            for tile, part in _deal([r[:-1] if r[0] == r[-1] else r for r in polygon], boxes):
-                                found[tile, kind].append(_closed(part))
-                    for ((level, ix, iy), kind), parts in found.items():
-                        out.append({**{s: row[s] for s in scope}, **{c: row[c] for c in ("x0", "y0", "side")}, "level": level, "ix": ix, "iy": iy, "kind": kind, "parts": shapes.to_rows(parts)})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([*((s, batch.schema.field(s).type) for s in scope), ("x0", pa.float64()), ("y0", pa.float64()), ("side", pa.float64()), ("level", pa.int32()), ("ix", pa.int64()), ("iy", pa.int64()), ("kind", pa.int32()), ("parts", _SHAPE)]))
+            for lo in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(lo, AT_A_TIME)
+                reach = np.where(_numbers(part, "kind") == UNIT, unit_buffer, shell_buffer)
+                row, tile, kind, parts = _cut(part, reach)
+                tiles_ = part.column("tiles").flatten()
+                columns = [*((s, part.column(s).take(pa.array(row))) for s in (*scope, "x0", "y0", "side")), *((t, tiles_.field(i).take(pa.array(tile)).cast(k)) for i, (t, k) in enumerate(zip(tiles.TILE, (pa.int32(), pa.int64(), pa.int64()), strict=True))), ("kind", pa.array(kind, pa.int32())), ("parts", flat.to_wkb(parts))]
+                yield pa.RecordBatch.from_arrays([c for _, c in columns], [n for n, _ in columns])
 
     kept = rows.join(where.hint("merge"), "row").select(*scope, "kind", "shape", "x0", "y0", "side", "tiles")
     named = ", ".join(f"{s} {kinds[s].simpleString()}" for s in scope)
-    return kept.mapInArrow(cut, f"{named}, x0 double, y0 double, side double, level int, ix bigint, iy bigint, kind int, parts {rings.SHAPE}")
+    return kept.mapInArrow(cut, f"{named}, x0 double, y0 double, side double, level int, ix bigint, iy bigint, kind int, parts binary")
 
 
-def _overlay(table: pa.Table) -> tuple[list[Shape], int, int]:
-    """(shapes of a tile: shells, then units, then what shells lose; how many shells; how many units)."""
-    by: dict[int, list[Shape]] = {UNIT: [], SHELL: [], CUT: []}
-    for kind, parts in zip(table["kind"].to_pylist(), table["parts"].to_pylist(), strict=True):
-        by[kind] += [[polygon] for polygon in shapes.from_rows(parts)]
-    return by[SHELL] + by[UNIT] + by[CUT], len(by[SHELL]), len(by[UNIT])
+def _squares(parted: DataFrame, scope: list[str]):
+    """Parts grouped by squares of ``SIDE`` x ``SIDE`` tiles, so that a call of Python has more than a few shapes."""
+    return parted.groupBy(*scope, "level", *(F.floor(F.col(i) / SIDE).alias(f"{i}_square") for i in ("ix", "iy")))
 
 
-def _strips(cells) -> float:
-    return sum((hi - lo) * ((r0 - l0) + (r1 - l1)) / 2 for lo, hi, l0, r0, l1, r1 in cells)
+def _strips(table: pa.Table) -> tuple[shapes.Strips, list[tuple]]:
+    """(overlay of the parts in a square of tiles, the tiles' (ix, iy)); kinds: UNIT, SHELL, and CUT, what shells lose."""
+    parts = flat.from_wkb(table["parts"].combine_chunks())
+    size = np.diff(parts.points)
+    begins = np.ones(len(parts.x), bool)
+    begins[parts.points[1:][size > 0] - 1] = False  # no edge begins at a ring's last point
+    at = np.flatnonzero(begins)
+    polygon = np.repeat(np.repeat(np.arange(len(parts.rings) - 1), np.diff(parts.rings)), size)[at]
+    row = np.repeat(np.arange(len(parts.known)), np.diff(parts.polygons))[polygon]
+    places, tile = np.unique(np.stack([table[i].to_numpy() for i in ("ix", "iy")], axis=1), axis=0, return_inverse=True)
+    edges = np.stack([parts.x[at], parts.y[at], parts.x[at + 1], parts.y[at + 1]], axis=1)
+    return shapes.Strips(edges, polygon, table["kind"].to_numpy()[row], tile.reshape(-1)[row], 3), [tuple(p) for p in places.tolist()]
 
 
 def _one(table: pa.Table, columns: list[str]) -> dict:
@@ -185,20 +292,15 @@ def shell_coverage(units: DataFrame, shells: DataFrame, scope: list[str] | None
     scope = scope or ["county"]
 
     def measured(table: pa.Table) -> pa.Table:
-        all_, n, m = _overlay(table)
-        shell, unit = (1 << n) - 1, ((1 << m) - 1) << n
-        inside = lambda s: bool(s & shell) and not s >> (n + m)
-        row = {
-            **_one(table, scope),
-            "shell_area": _strips(shapes.trapezoids(all_[:n] + all_[n + m :], lambda s: bool(s & shell) and not s >> n)),
-            "union_area": _strips(shapes.trapezoids(all_[n : n + m], lambda s: s != 0)),
-            "covered_area": _strips(shapes.trapezoids(all_, lambda s: inside(s) and bool(s & unit))),
-        }
+        strips, _ = _strips(table)
+        unit, shell, cut = strips.inside
+        inside = (shell > 0) & (cut == 0)
+        row = {**_one(table, scope), "shell_area": strips.area(inside), "union_area": strips.area(unit > 0), "covered_area": strips.area(inside & (unit > 0))}
         return pa.Table.from_pylist([row], pa.schema([*((s, table.schema.field(s).type) for s in scope), *((c, pa.float64()) for c in ("shell_area", "union_area", "covered_area"))]))
 
     parted = _parted(units, shells, scope, shell_buffer, unit_buffer, most)
     named = ", ".join(f"{s} {parted.schema[s].dataType.simpleString()}" for s in scope)
-    sums = parted.groupBy(*scope, *tiles.TILE).applyInArrow(measured, f"{named}, shell_area double, union_area double, covered_area double")
+    sums = _squares(parted, scope).applyInArrow(measured, f"{named}, shell_area double, union_area double, covered_area double")
     whole = sums.groupBy(*scope).agg(*(F.sum(c).alias(c) for c in ("shell_area", "union_area", "covered_area")))
     void = F.col("shell_area") - F.col("covered_area")
     return whole.withColumns({"void_area": void, "void_ratio": F.when(F.col("shell_area") > 0, void / F.col("shell_area"))})
@@ -258,20 +360,20 @@ def _pieces(units: DataFrame, shells: DataFrame, scope: list[str], shell_buffer:
     """(scope, id, shape, touches, size): what units leave of the shells in each tile, written."""
 
     def left(table: pa.Table) -> pa.Table:
-        all_, n, _ = _overlay(table)
-        shell = (1 << n) - 1
-        box = _box(*(table[c][0].as_py() for c in ("x0", "y0", "side", "level", "ix", "iy")))
         rows = []
-        if n:
-            found = shapes.sewn(list(shapes.trapezoids(all_, lambda s: bool(s & shell) and not s >> n)))
-            names = _one(table, [*scope, *tiles.TILE])
-            for i, polygon in enumerate(found):
-                rows.append({**{s: names[s] for s in scope}, "id": ":".join(str(v) for v in (*names.values(), i)), "shape": shapes.to_rows([polygon]), "touches": _touches(polygon, box)})
+        if pc.any(pc.equal(table["kind"], SHELL)).as_py():
+            strips, places = _strips(table)
+            unit, shell, cut = strips.inside
+            names, at = _one(table, scope), _one(table, ["x0", "y0", "side", "level"])
+            for tile, cells in strips.cells((shell > 0) & (unit == 0) & (cut == 0)).items():
+                box = _box(*at.values(), *places[tile])
+                for i, polygon in enumerate(shapes.sewn(cells)):
+                    rows.append({**names, "id": ":".join(str(v) for v in (*names.values(), at["level"], *places[tile], i)), "shape": shapes.to_rows([polygon]), "touches": _touches(polygon, box)})
         return pa.Table.from_pylist(rows, pa.schema([*((s, table.schema.field(s).type) for s in scope), ("id", pa.string()), ("shape", _SHAPE), ("touches", _TOUCH)]))
 
     parted = _parted(units, shells, scope, shell_buffer, unit_buffer, most)
     named = ", ".join(f"{s} {parted.schema[s].dataType.simpleString()}" for s in scope)
-    made = parted.groupBy(*scope, *tiles.TILE).applyInArrow(left, f"{named}, id string, shape {rings.SHAPE}, touches array<struct<axis:int,line:bigint,upper:boolean,lo:double,hi:double>>")
+    made = _squares(parted, scope).applyInArrow(left, f"{named}, id string, shape {rings.SHAPE}, touches array<struct<axis:int,line:bigint,upper:boolean,lo:double,hi:double>>")
     return materialise(made, "pieces")
 
 
