@@ -112,3 +112,27 @@ def test_a_widened_unit_brings_each_tile_one_polygon_and_tiles_are_overlaid_toge
     assert dissolve._squares(parted, ["county"]).count().count() * 8 <= n_tiles
     c = dissolve.shell_coverage(units, shell, shell_buffer=-0.25, unit_buffer=0.04).first()
     assert c.shell_area == pytest.approx((side - 0.5) ** 2) and c.union_area == pytest.approx(side * side * (0.81 + 4 * 0.9 * 0.04 + 32 * 0.0016 * math.sin(math.pi / 32)))
+
+
+def test_voids_send_no_more_than_counties_through_the_driver(spark, monkeypatch):
+    """Whatever is written on the way, and the result, joins by shuffle; but a row a county may be sent to all tasks."""
+    import re
+
+    from drawscope import scratch
+    from drawscope.operators import components, tiles
+    from drawscope.plans import registry
+
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+
+    def watched(df, label, **options):
+        seen(df)
+        return scratch.materialise(df, label, **options)
+
+    for module in (dissolve, components, tiles):
+        monkeypatch.setattr(module, "materialise", watched)
+    monkeypatch.setattr(components.components, "__defaults__", (*components.components.__defaults__[:-1], 0))  # by rounds, as on larger tables
+    seen(registry.QUERIES["voids_numbered"](spark, "/root/testdata/sf0.001"))
+    keys = {k for plan in plans for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)}
+    assert len(plans) >= 8 and {re.sub(r"#\d+", "", k) for k in keys} <= {"county"}
+    assert not any("BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan for plan in plans)
