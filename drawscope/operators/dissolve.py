@@ -40,6 +40,8 @@ MOST = 24
 MANY, AT_A_TIME = 64, 512
 #: Tiles of one level that are overlaid at a time: a square of so many a side.
 SIDE = 4
+#: Pieces of voids that are put together at a time, on average.
+PIECES = 256
 UNIT, SHELL, CUT = 0, 1, 2
 
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -391,13 +393,17 @@ def gaps(units: DataFrame, shells: DataFrame, scope: list[str], shell_buffer: fl
     named = ", ".join(f"{s} {pieces.schema[s].dataType.simpleString()}" for s in scope)
 
     def joined(table: pa.Table) -> pa.Table:
-        found = [polygon for shape in table["shape"].to_pylist() for polygon in shapes.from_rows(shape)]
-        whole = merged(found) if len(found) > 1 else found
-        names, void = _one(table, scope), table["component"][0].as_py()
-        return pa.Table.from_pylist([{**names, "void": f"{void}/{i}", "shape": shapes.to_rows([p])} for i, p in enumerate(whole)], pa.schema([*((s, table.schema.field(s).type) for s in scope), ("void", pa.string()), ("shape", _SHAPE)]))
-
+        by: dict[str, Shape] = defaultdict(list)
+        for void, shape in zip(table["component"].to_pylist(), table["shape"].to_pylist(), strict=True):
+            by[void] += shapes.from_rows(shape)
+        names = _one(table, scope)
+        rows = [{**names, "void": f"{void}/{i}", "shape": shapes.to_rows([p])} for void, found in by.items() for i, p in enumerate(merged(found) if len(found) > 1 else found)]
+        return pa.Table.from_pylist(rows, pa.schema([*((s, table.schema.field(s).type) for s in scope), ("void", pa.string()), ("shape", _SHAPE)]))
+
+    # Most voids are a few pieces, so a call of Python gets some hundreds of pieces; a void stays in one.
+    calls = max(1, -(-pieces.count() // PIECES))
     grouped = pieces.select(*scope, F.col("id").alias("node"), "shape").join(parts.hint("merge"), "node").select(*scope, "component", "shape")
-    return grouped.groupBy(*scope, "component").applyInArrow(joined, f"{named}, void string, shape {rings.SHAPE}")
+    return grouped.groupBy(*scope, F.pmod(F.xxhash64("component"), F.lit(calls)).alias("call")).applyInArrow(joined, f"{named}, void string, shape {rings.SHAPE}")
 
 
 def voids(

@@ -114,6 +114,17 @@ def test_a_widened_unit_brings_each_tile_one_polygon_and_tiles_are_overlaid_toge
     assert c.shell_area == pytest.approx((side - 0.5) ** 2) and c.union_area == pytest.approx(side * side * (0.81 + 4 * 0.9 * 0.04 + 32 * 0.0016 * math.sin(math.pi / 32)))
 
 
+def test_voids_put_together_at_a_time_are_those_put_together_alone(spark, monkeypatch):
+    units = spark.createDataFrame([(c, f"u{i:05}", square(i % 9 * 1.0, i // 9 * 1.0, 1.0)) for c in ("01", "02") for i in range(81) if i % (3 + int(c))], f"county string, precinct_id string, shape {rings.SHAPE}")
+    shells = spark.createDataFrame([(c, square(0.0, 0.0, 9.0)) for c in ("01", "02")], f"county string, shape {rings.SHAPE}")
+    made = []
+    for pieces in (1, 5, 1 << 20):
+        monkeypatch.setattr(dissolve, "PIECES", pieces)
+        made.append(sorted((r.county, r.void, round(shapes.area(shapes.from_rows(r.shape)), 6)) for r in dissolve.gaps(units, shells, ["county"], most=3).collect()))
+    assert made[0] == made[1] == made[2] and {c for c, *_ in made[0]} == {"01", "02"}
+    assert sum(a for *_, a in made[0]) == pytest.approx(21 + 17) and len({(c, v) for c, v, _ in made[0]}) == len(made[0])
+
+
 def test_voids_send_no_more_than_counties_through_the_driver(spark, monkeypatch):
     """Whatever is written on the way, and the result, joins by shuffle; but a row a county may be sent to all tasks."""
     import re
