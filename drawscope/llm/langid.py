@@ -276,7 +276,8 @@ def language_column(df: DataFrame, model: ContextTrees, text: str = "text") -> C
         names, scores, per_byte = predict(sent.value, column)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(per_byte)], list(OUTPUT))
 
-    return language(F.col(f"`{text}`").cast("string"))
+    # Else a filter on what is found runs it a second time, in further workers of the same task.
+    return language.asNondeterministic()(F.col(f"`{text}`").cast("string"))
 
 
 def with_language(df: DataFrame, model: ContextTrees, text: str = "text") -> DataFrame:

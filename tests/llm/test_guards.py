@@ -45,6 +45,15 @@ def test_rows_without_ids_train_and_are_not_held_out(spark, tmp_path):
     assert not any(r.held_out for r in queries.op9_quality(spark, str(tmp_path)).collect())
 
 
+def test_a_filter_on_the_language_runs_it_once_a_row(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"{t} {i}", lang, "s", 9) for i in range(8) for t, lang in (("the quick brown fox", "en"), ("der schnelle fuchs", "de"))]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.lang for r in out.collect()) == ["de"] * 8 + ["en"] * 8
+
+
 def test_orders_whose_codes_would_overflow_are_refused(spark):
     docs = spark.createDataFrame([(1, "abcdefghij", "en")], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="order 7"):
