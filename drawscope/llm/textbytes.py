@@ -114,8 +114,27 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = IS_WORD, fold: np.ndarray = LOWER) -> Words:
-    """Maximal runs of bytes in ``kinds`` within each text, hashed after ``fold``."""
+def _by_eights(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings; those of more than 64 bytes byte by byte."""
+    out = size.astype(np.uint64) * BASE
+    eights = _eights(data)
+    left = np.arange(len(start))
+    for k in range(0, 64, 8):
+        if not len(left):
+            return out
+        out[left] += mix(eights[start[left] + k] & _KEPT[np.minimum(size[left] - k, 8)], k)
+        left = left[size[left] > k + 8]
+    if len(left):
+        n = size[left]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        scaled = (data[place + np.repeat(start[left], n)].astype(np.uint64) + np.uint64(1)) * multipliers(int(n.max()))[place]
+        out[left] = mix(np.add.reduceat(scaled, first), 0x51ED)
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = IS_WORD, fold: np.ndarray | None = LOWER, cuts: np.ndarray | None = None) -> Words:
+    """Maximal runs of bytes in ``kinds`` within each text, parted before each of ``cuts`` (places inside runs), hashed after ``fold`` (None: as they are, eight bytes at a time)."""
     n = len(data)
     inside = np.zeros(n + 1, bool)
     inside[:n] = kinds[data]
@@ -127,9 +146,13 @@ def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = IS_WORD, fo
     ends = inside[:n] & ~inside[1:]
     last = cut[cut > 0] - 1
     ends[last] = inside[last]
+    if cuts is not None:
+        begins[cuts] = ends[cuts - 1] = True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     hashes = np.zeros(len(start), np.uint64)
-    if len(start):
+    if fold is None:
+        hashes = _by_eights(data, start, end - start)
+    elif len(start):
         size = end - start
         at = np.flatnonzero(inside)
         place = at - np.repeat(start, size)

@@ -50,61 +50,87 @@ FILE_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
 
 #: Lengths of the four ranks of a control byte.
-LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1).astype(np.uint8)
+#: Ids that a task counts at a time.
+COUNTED = 1 << 18
+
+
+def _used(length: np.ndarray) -> np.ndarray:
+    """Which bytes of ranks, two or four bytes wide as the longest needs, are written; ``length`` is the bytes of each."""
+    width = 4 if len(length) and length.max() > 2 else 2
+    used = np.ones((len(length), width), bool)
+    for k in range(1, width):
+        np.greater(length, k, out=used[:, k])
+    return used
 
 
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of ranks below 2**32."""
     n = len(ranks)
-    wide = ranks.astype("<u4")
-    length = 1 + (wide > 0xFF).astype(np.uint8) + (wide > 0xFFFF) + (wide > 0xFFFFFF)
-    control = np.zeros(-(-n // 4) * 4, np.uint8)
-    control[:n] = length - 1
-    control = (control.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) < length[:, None]
-    return control.tobytes(), wide.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    more = np.zeros(-(-n // 4) * 4, np.uint8)  # bytes of each rank, less one
+    top = int(ranks.max()) if n else 0
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        if top > limit:
+            more[:n] += ranks > limit
+    four = more.view("<u4")
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
+    used = _used(more[:n] + np.uint8(1))
+    return control.tobytes(), ranks.astype(f"<u{used.shape[1]}").view(np.uint8)[used.ravel()].tobytes()
 
 
 def decode(controls: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, int]:
     """(n ranks, data bytes used)."""
     length = LENGTHS[controls].ravel()[:n]
-    end = np.cumsum(length)
-    at = end - length
-    out = data[at].astype(np.uint32) if n else np.zeros(0, np.uint32)
-    for k in range(1, 4):
-        more = np.flatnonzero(length > k)
-        if not len(more):
-            break
-        out[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out, int(end[-1]) if n else 0
+    used, size = _used(length), int(length.sum())
+    out = np.zeros(used.size, np.uint8)
+    out[used.ravel()] = data[:size]
+    return out.view(f"<u{used.shape[1]}").astype(np.uint32), size
 
 
 def tokenise(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = tokens.END_ID) -> DataFrame:
-    """(doc_id, ids): ids as two- or four-byte integers."""
+    """(doc_id, ids, counts): a row a document, with its ids as two- or four-byte integers, and at each task's
+    end a row that has only ``counts``, how often each id came in the task (int64, by id)."""
+    names = ["doc_id", "ids", "counts"]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = [tokens.with_end(x, end_id).tobytes() for x in tokens.encoder(tokenizer).encode(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(encoded, "doc_id bigint, ids binary")
-
-
-def ranking(ids: DataFrame, dtype: np.dtype) -> tuple[np.ndarray, int]:
+            ids: list[bytes] = []
+            open_, size = [], 0
+            for x in tokens.encoder(tokenizer).encode(batch.column(1)):
+                ids.append((ended := tokens.with_end(x, end_id)).tobytes())
+                open_.append(ended)
+                size += len(ended)
+                if size >= COUNTED:
+                    total, open_, size = _sum(total, np.bincount(np.concatenate(open_))), [], 0
+            if open_:
+                total = _sum(total, np.bincount(np.concatenate(open_)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(encoded, "doc_id bigint, ids binary, counts binary")
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays, the shorter of them followed by zeros."""
+    if len(a) < len(b):
+        a, b = b, a
+    a[: len(b)] += b
+    return a
+
+
+def ranking(counts: DataFrame) -> tuple[np.ndarray, int]:
     """(ids that occur, by falling frequency over the whole corpus, ties to the smaller id; how many ids there are)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                found = np.bincount(np.frombuffer(x.as_buffer(), dtype))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+                total = _sum(total, np.frombuffer(x.as_buffer(), "<i8").copy())
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = counts.mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64), int(rows["n"].sum())
 
 
@@ -133,12 +159,13 @@ def _blocks(documents: Iterator[tuple[int | None, np.ndarray]], block_tokens: in
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key: str = "doc_id", files: int | None = None, block_tokens: int = BLOCK_TOKENS, end_id: int = tokens.END_ID) -> None:
-    """Encode ``docs`` into a new set of files. Texts are read and tokenised once; the only
-    shuffle is that of ids by ranges of ``doc_id``, and each document is coded once, after it."""
+    """Encode ``docs`` into a new set of files. Texts are read and tokenised once, and their ids counted on
+    the way; the only large shuffle is that of ids by ranges of ``doc_id``, and each document is coded once, after it."""
     spark = docs.sparkSession
-    ids = materialise(tokenise(docs, tokenizer, text, key, end_id), "token-ids")
+    found = materialise(tokenise(docs, tokenizer, text, key, end_id), "token-ids")
+    ids = found.where("ids is not null").select("doc_id", "ids")
     dtype = tokens.encoder(tokenizer).dtype
-    by_rank, total = ranking(ids, dtype)
+    by_rank, total = ranking(found.where("counts is not null").select("counts"))
     spark.createDataFrame([(bytearray(by_rank.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
@@ -153,7 +180,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text"
     n = files or max(1, some, -(-size // FILE_BYTES))
     place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
     ids.repartitionByRange(n, *place).sortWithinPartitions(*place, "ids").mapInArrow(coded, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
-    release(ids)
+    release(found)
 
 
 def read_blocks(spark: SparkSession, folder: str) -> DataFrame:

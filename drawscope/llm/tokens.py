@@ -8,16 +8,22 @@ this against encoding whole texts. Only the six ASCII white-space characters par
 Pieces are looked up by a 64-bit hash, and every one of them is compared byte for byte with the
 piece whose ids it is given; one that only shares the hash is encoded by itself.
 
+Where the tokenizer's file has the normaliser and the splitter of ``PARTED``, a piece of plain letters
+and then signs is looked up as two, its letters with A-Z lower-cased: the splitter parts them there,
+and the normaliser takes these characters one by one. So "word", "Word," and "WORD!" are learned once.
+
 Special-token strings are recognised as the library does by default; they hold no white space.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from . import textbytes
@@ -31,13 +37,84 @@ REMEMBERED_BYTES = 1 << 24
 IS_PIECE = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Letters, then signs of ASCII other than the apostrophe: one word, or one and the signs.
 LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)[!-&(-/:-@\[-`{-~]*\Z").match
-AS_IS = np.arange(256).astype(np.uint8)
+
+#: (normaliser, splitter) of tokenizer files whose letters and signs part.
+PARTED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+SIGNS = rb"!\"#$%&()*+,-./:;<=>?@[\]^_`{|}~"
+#: Pieces that normaliser and splitter of ``PARTED`` leave as they are.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: No piece of letters and then signs holds what this finds.
+SIGN_THEN_LETTER = re.compile(f"[{re.escape(SIGNS.decode())}][A-Za-z]").search
+#: Kinds of bytes: white space, ASCII letters, first and further bytes of U+00C0 to U+017F, signs, others.
+WHITE, LETTER, LEAD, FURTHER, SIGN, OTHER = range(6)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[~IS_PIECE] = WHITE
+KIND[np.r_[65:91, 97:123]] = LETTER
+KIND[0xC3:0xC6] = LEAD
+KIND[0x80:0xC0] = FURTHER
+KIND[list(SIGNS)] = SIGN
+
+
+def plain_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, cuts): in pieces of letters and then signs, A-Z lower-cased, and where the signs begin.
+
+    Letters are those of ASCII and U+00C0 to U+017F but the capital I with a dot, whose lower case ends
+    in a mark. All other pieces stay as they are.
+    """
+    n = len(data)
+    kind = KIND[data]
+    first, last = offsets[:-1][offsets[:-1] < n], offsets[1:][offsets[1:] > 0] - 1
+    lead, further, sign = kind == LEAD, kind == FURTHER, kind == SIGN
+    odd = kind == OTHER
+    odd[1:] |= further[1:] & ~lead[:-1]
+    odd[:-1] |= lead[:-1] & ~further[1:]
+    odd[first] |= further[first]  # no character reaches from one text into the next
+    odd[last] |= lead[last]
+    signed = np.zeros(n, bool)  # after a sign
+    signed[1:] = sign[:-1]
+    signed[first] = False
+    odd |= ((kind == LETTER) | lead) & signed
+    for a, b in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)):
+        at = np.flatnonzero(data[1:] == b) + 1
+        odd[at[data[at - 1] == a]] = True
+    begins = kind != WHITE
+    begins[1:] &= kind[:-1] == WHITE
+    begins[first] = True
+    piece = np.cumsum(begins)
+    plain = np.ones(len(begins) + 1, bool)
+    plain[piece[odd]] = False
+    cuts = np.flatnonzero(sign[1:] & ((kind[:-1] == LETTER) | further[:-1])) + 1
+    large = np.flatnonzero((data >= 65) & (data <= 90))
+    folded = data.copy()
+    folded[large[plain[piece[large]]]] |= 32
+    return folded, cuts[plain[piece[cuts]]]
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending hashes, where each is first, which of them each hash is)."""
+    of, seen = pd.factorize(hashes)
+    order = np.argsort(seen)
+    place = np.empty(len(seen), np.int64)
+    place[order] = np.arange(len(seen))
+    new = np.concatenate(([True], of[1:] > np.maximum.accumulate(of)[:-1]))  # found in the order they first come
+    return seen[order], np.flatnonzero(new)[order], place[of]
 
 
 class PieceEncoder:
+    parted = False
+
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -50,6 +127,11 @@ class PieceEncoder:
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.marked = bool(suffix) and [len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in ("a", "a,")] == [1, 2]
+        made = json.loads(self.tokenizer.to_str())
+        self.parted = (made["normalizer"], made["pre_tokenizer"]) == PARTED and all(SIGN_THEN_LETTER(t["content"]) for t in made["added_tokens"])
+        if self.parted:  # the same model, without the steps that change nothing of plain pieces
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _empty(self, top: int, remembered: int) -> None:
         """No piece known yet, of a vocabulary of ``top`` ids."""
@@ -65,9 +147,9 @@ class PieceEncoder:
         self.text_size = np.zeros(1 << 12, np.int32)
         self.rows = self.used = self.text_used = 0
 
-    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> textbytes.Words:
+    def _parts(self, data: np.ndarray, offsets: np.ndarray, *cuts: np.ndarray) -> textbytes.Words:
         """The pieces of the texts."""
-        return textbytes.words(data, offsets, IS_PIECE, AS_IS)
+        return textbytes.words(data, offsets, IS_PIECE, None, *cuts)
 
     def _encoded(self, pieces: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
         """(order, ids, lengths): the pieces' positions as encoded, and their ids and lengths in stretches."""
@@ -75,9 +157,12 @@ class PieceEncoder:
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         rest: list[int] = []
+        plain = [i for i, p in enumerate(pieces) if PLAIN(p)] if self.parted and self.marked else []
         simple: list[int] = []
         expected: list[int] = []
-        for i, p in enumerate(pieces):
+        others = range(len(pieces)) if not plain else np.delete(np.arange(len(pieces)), plain).tolist()
+        for i in others:
+            p = pieces[i]
             m = LETTERS_THEN_SIGNS(p) if self.marked else None
             if m:
                 simple.append(i)
@@ -85,19 +170,21 @@ class PieceEncoder:
             else:
                 rest.append(i)
         step = 512
-        parts = [simple[i : i + step] for i in range(0, len(simple), step)]
-        batch = self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in part]) for part in parts], add_special_tokens=False)
-        for k, (part, e) in enumerate(zip(parts, batch, strict=True)):
-            x = np.array(e.ids, self.dtype)
-            cuts = np.flatnonzero(self.ends[x]) + 1
-            want = np.cumsum(expected[k * step : (k + 1) * step])
-            # No piece gives fewer words than expected, so an equal total means an equal number each.
-            if len(cuts) == want[-1] and cuts[-1] == len(x):
-                order += part
-                ids.append(x)
-                lengths.append(np.diff(cuts[want - 1], prepend=0))
-            else:
-                rest += part
+        for some, words in ((plain, [1] * len(plain)), (simple, expected)):
+            parts = [some[i : i + step] for i in range(0, len(some), step)]
+            by = self.model if some is plain and parts else self.tokenizer
+            batch = by.encode_batch_fast([" ".join([pieces[i] for i in part]) for part in parts], add_special_tokens=False)
+            for k, (part, e) in enumerate(zip(parts, batch, strict=True)):
+                x = np.array(e.ids, self.dtype)
+                cuts = np.flatnonzero(self.ends[x]) + 1
+                want = np.cumsum(words[k * step : (k + 1) * step])
+                # No piece gives fewer words than expected, so an equal total means an equal number each.
+                if len(cuts) == want[-1] and cuts[-1] == len(x):
+                    order += part
+                    ids.append(x)
+                    lengths.append(np.diff(cuts[want - 1], prepend=0))
+                else:
+                    rest += part
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             x = np.array(e.ids, self.dtype)
             order.append(i)
@@ -134,11 +221,14 @@ class PieceEncoder:
 
     def _stretch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
-        pieces = self._parts(data, offsets)
+        cuts = []
+        if self.parted and len(data):
+            data, *cuts = plain_parts(data, offsets)
+        pieces = self._parts(data, offsets, *cuts)
         if not len(pieces.hash):
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
         start, size = pieces.start, pieces.end - pieces.start
-        seen, at, inverse = np.unique(pieces.hash, return_index=True, return_inverse=True)
+        seen, at, inverse = distinct(pieces.hash)
         place = np.searchsorted(self.keys, seen)
         known = np.zeros(len(seen), bool)
         inside = place < len(self.keys)

@@ -40,6 +40,40 @@ def test_any_text_is_encoded_as_the_library_does(texts):
     assert [[*x.tolist(), 2] for x in tokens.encoder(PATH).encode(pa.array(texts, pa.string()))] == plain_ids(texts)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZkKséÀß×÷İıſŉœČΣя!'·<|>_\\9 \n\u0301\u030c\u0307"), max_size=12) | st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "Word<|endoftext|>!", "J\u030c!", "İ!", "don't!"]), max_size=8))
+def test_parted_pieces_give_the_ids_of_whole_texts(texts):
+    assert tokens.encoder(PATH).parted
+    assert [[*x.tolist(), 2] for x in tokens.encoder(PATH).encode(pa.array([" ".join(texts), *texts], pa.string()))] == plain_ids([" ".join(texts), *texts])
+
+
+def test_a_word_is_learned_once():
+    made = tokens.PieceEncoder(PATH)
+    texts = ["word Word word, WORD!! word. élan Élan élan, <|endoftext|> 'word"]
+    assert [[*x.tolist(), 2] for x in made.encode(pa.array(texts))] == plain_ids(texts)
+    known = [bytes(made.text[a : a + n]).decode() for a, n in zip(made.text_start[: made.rows].tolist(), made.text_size[: made.rows].tolist(), strict=True)]
+    assert sorted(known) == sorted(["word", ",", "!!", ".", "élan", "Élan", "<|endoftext|>", "'word"])
+
+
+def test_broken_characters_are_not_parted():
+    texts = [b"a\xc3", b"\x80!", b"B\xc3!", b"B\x80!", b"\xc3\xa9!", b"C,"]
+    data, cuts = tokens.plain_parts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert data.tobytes() == b"a\xc3\x80!B\xc3!B\x80!\xc3\xa9!c," and cuts.tolist() == [12, 14]
+
+
+def test_ids_are_counted_as_they_are_made(spark):
+    docs, rows = frame(spark)
+    found = tokenfile.tokenise(docs.repartition(3), PATH).collect()
+    made = [r for r in found if r.ids is not None]
+    assert len(made) == len(rows) and all(r.counts is None for r in made) and all(r.doc_id is None and r.ids is None for r in found if r.counts is not None)
+    total = np.zeros(1 << 16, np.int64)
+    for r in found:
+        if r.counts is not None:
+            x = np.frombuffer(r.counts, "<i8")
+            total[: len(x)] += x
+    assert np.array_equal(total, np.bincount(sum(plain_ids([t for _, t in rows]), []), minlength=1 << 16))
+
+
 @given(st.lists(st.sampled_from([0, 1, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1]), max_size=40))
 def test_coding_round_trip(values):
     ranks = np.array(values, np.uint32)
